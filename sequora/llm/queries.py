@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequora.llm import bpe, exact_dedup, jaccard_join, licenses, pii, warc
+from sequora.llm import bpe, decontaminate, exact_dedup, jaccard_join, licenses, pii, warc
 from sequora.llm.store import read_table
 
 
@@ -20,6 +20,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_table(read_table(spark, sf_dir, "documents")))
 
@@ -32,5 +36,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_jaccard_join, op7_bpe, op9_warc, op10_licenses)}
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op9_warc": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_jaccard_join, op4_decontaminate, op7_bpe, op9_warc, op10_licenses)}
+ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE}
