@@ -111,7 +111,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     ids = cut(contaminated(docs, benchmark, width, coverage, run).select("doc_id").distinct(), "contaminated")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti")
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_anti")
 
 
 _NUM = ", ".join(f"'{w}'" for w in NUMBER_WORDS)

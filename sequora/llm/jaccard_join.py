@@ -122,7 +122,7 @@ class _Join:
         return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(both * 100 >= self.percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept (one row of each component), and text_hash."""
     job = _Join(docs, F.col(text_col), width, percent)
     table = sketch.ranks(job.texts, lambda batch: shingles.sets_of(batch.column(0), width))
@@ -182,7 +182,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(own, F.col("id")).otherwise(F.col("least.id")).alias("component_id"), (own | (F.col("row") == F.col("least.row"))).alias("kept"), "text_hash")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The input with one document of each component, that with the smallest id; documents without words stay."""
     said, hashed, maybe = _named(docs, "said", "text_hash", "maybe")
     at = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))

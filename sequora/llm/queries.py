@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequora.llm import bpe, decontaminate, exact_dedup, jaccard_join, licenses, pii, warc
+from sequora.llm import bpe, decontaminate, exact_dedup, jaccard_join, licenses, pii, quality, toxicity, warc
 from sequora.llm.store import read_table
 
 
@@ -17,13 +17,21 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_table(read_table(spark, sf_dir, "documents")))
 
@@ -36,5 +44,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_jaccard_join, op4_decontaminate, op7_bpe, op9_warc, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_jaccard_join, op4_decontaminate, op5_quality, op6_toxicity, op7_bpe, op9_warc, op10_licenses)}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE}
