@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequora.llm import bpe, decontaminate, exact_dedup, jaccard_join, licenses, pii, quality, toxicity, warc
+from sequora.llm import bpe, decontaminate, exact_dedup, jaccard_join, licenses, pii, quality, suffix_dedup, toxicity, warc
 from sequora.llm.store import read_table
 
 
@@ -36,6 +36,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_table(read_table(spark, sf_dir, "documents")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -44,5 +48,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_jaccard_join, op4_decontaminate, op5_quality, op6_toxicity, op7_bpe, op9_warc, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_jaccard_join, op4_decontaminate, op5_quality, op6_toxicity, op7_bpe, op8_suffix_dedup, op9_warc, op10_licenses)}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE}
