@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from sequora.plans import transitions  # noqa: F401
+from sequora.plans import transitions, windows  # noqa: F401
 from sequora.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
