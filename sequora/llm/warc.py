@@ -1,6 +1,6 @@
 """WARC archives: write with an index first, then read records by coalesced byte ranges.
 
-``write`` deals the pages out to tasks; each task appends its records to one archive file in the shared folder
+``write`` deals the pages out to tasks; each task appends its records, each compressed by itself, to one archive file
 and returns their index rows (file, offset, length, url, digest). The index is committed as a table, so it names
 only the files of tasks that ended well; what a lost or repeated task left is never read. ``read`` takes any
 selection of the index, sorts it by file and offset, joins neighbouring ranges into one read, and parses the
@@ -15,6 +15,7 @@ share payload and page_id one is the response.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sequora.llm import bitmap
 from sequora.llm.store import cut, fresh_path
 
 #: Bytes between two records that are read along rather than with a second request.
@@ -69,7 +71,8 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
 
 
 def parse(data: bytes) -> dict:
-    """The fields of a record."""
+    """The fields of a compressed record."""
+    data = gzip.decompress(data)
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
@@ -90,14 +93,14 @@ def parse(data: bytes) -> dict:
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _open(folder)
-        name, at, out = f"{uuid.uuid4().hex}.warc", 0, None
+        name, at, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 if out is None:
                     store.create_dir(path, recursive=True)
-                    out = store.open_output_stream(f"{path}/{name}")
-                data = record(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], r["revisit"])
+                    out = store.open_output_stream(f"{path}/{name}", compression=None)
+                data = gzip.compress(record(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], r["revisit"]), 4, mtime=0)
                 out.write(data)
                 rows.append({"page_id": r["page_id"], "file": f"{folder}/{name}", "offset": at, "length": len(data), "url": r["url"], "digest": base32_sha1(r["html"].encode())})
                 at += len(data)
@@ -110,12 +113,19 @@ def _writer(folder: str):
 
 
 def revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, revisit, refers_to) for each page; only digests are shuffled, payloads stay in place."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("row", F.monotonically_increasing_id())
-    keys = rows.where(F.octet_length("html") >= min_revisit_bytes).select("page_id", "row", F.sha2("html", 256).alias("sha"))
-    best = keys.groupBy("sha").agg(F.max(F.struct("page_id", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").repartition(F.col("best.row"))
-    later = keys.join(best.hint("merge"), "sha").where("row != best.row").select("row", F.col("best.page_id").alias("refers_to"), F.lit(True).alias("revisit"))
-    return rows.join(later.hint("shuffle_merge"), "row", "left").select("page_id", "url", "html", F.coalesce("revisit", F.lit(False)).alias("revisit"), "refers_to")
+    """(page_id, url, html, revisit, refers_to) for each page; payloads that certainly have no copy stay in place."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    hashed = F.xxhash64("html")
+    long = rows.where(F.octet_length("html") >= min_revisit_bytes)
+    twice = bitmap.repeated(long.select(hashed), bitmap.bits_for(rows.count()))
+    marked = rows.withColumn("maybe", (F.octet_length("html") >= min_revisit_bytes) & bitmap.probe(twice, hashed))
+    again = marked.where("maybe").drop("maybe").withColumn("row", F.monotonically_increasing_id()).withColumn("sha", F.sha2("html", 256))
+    best = again.groupBy("sha").agg(F.max(F.struct("page_id", "row")).alias("best")).repartition(F.col("best.row"))
+    met = again.join(best.hint("merge"), "sha")
+    revisit = F.col("row") != F.col("best.row")
+    met = met.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("best.page_id")).alias("refers_to"))
+    alone = marked.where("not maybe").select("page_id", "url", "html", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers_to"))
+    return alone.unionByName(met)
 
 
 def write(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
@@ -136,35 +146,40 @@ def ranges(rows: list[dict]) -> Iterator[tuple[int, int, list[dict]]]:
         yield group[0]["offset"], group[-1]["offset"] + group[-1]["length"], group
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(payload: bool):
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    opened, name = None, None
-    for batch in batches:
-        rows = batch.to_pylist()
-        while rows:
-            same = next((i for i, r in enumerate(rows) if r["file"] != rows[0]["file"]), len(rows))
-            if rows[0]["file"] != name:
-                if opened is not None:
-                    opened.close()
-                name = rows[0]["file"]
-                store, path = _open(name)
-                opened = store.open_input_file(path)
-            for start, end, group in ranges(rows[:same]):
-                data = opened.read_at(end - start, start)
-                yield pa.RecordBatch.from_pylist([parse(data[r["offset"] - start : r["offset"] - start + r["length"]]) for r in group], kind)
-            rows = rows[same:]
-    if opened is not None:
-        opened.close()
+    kind = kind if payload else kind.remove(len(kind) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, name = None, None
+        for batch in batches:
+            rows = batch.to_pylist()
+            while rows:
+                same = next((i for i, r in enumerate(rows) if r["file"] != rows[0]["file"]), len(rows))
+                if rows[0]["file"] != name:
+                    if opened is not None:
+                        opened.close()
+                    name = rows[0]["file"]
+                    store, path = _open(name)
+                    opened = store.open_input_file(path)
+                for start, end, group in ranges(rows[:same]):
+                    data = opened.read_at(end - start, start)
+                    yield pa.RecordBatch.from_pylist([parse(data[r["offset"] - start : r["offset"] - start + r["length"]]) for r in group], kind)
+                rows = rows[same:]
+        if opened is not None:
+            opened.close()
+
+    return run
 
 
 #: Bytes of an archive whose records go to one reading task.
 STRETCH_BYTES = 64 * 1024 * 1024
 
 
-def read(index: DataFrame) -> DataFrame:
-    """The records that a selection of the index names."""
+def read(index: DataFrame, payload: bool = True) -> DataFrame:
+    """The records that a selection of the index names; without ``payload`` its bytes stay in the task."""
     stretch = F.floor(F.col("offset") / STRETCH_BYTES)
-    return index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset").mapInArrow(_reader, RECORD)
+    return index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset").mapInArrow(_reader(payload), RECORD if payload else RECORD.removesuffix(", payload binary"))
 
 
 def select(spark: SparkSession, index: DataFrame, url_like: str) -> DataFrame:
@@ -174,7 +189,7 @@ def select(spark: SparkSession, index: DataFrame, url_like: str) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages, read all records back: what the archives say of each page."""
-    return read(write(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(write(pages), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
