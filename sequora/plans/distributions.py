@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def density2d_z(spark, sf_dir):
     return pixels(spark, sf_dir).groupBy("ix", "iy").agg(r6(F.avg("z")).alias("mean"), F.round(F.sum("z"), 4).alias("total"))
 
 
-KERNEL = [round(__import__("math").exp(-(i * i) / 8), 12) for i in range(-8, 9)]
+KERNEL = [round(exp(-(i * i) / 8), 12) for i in range(-8, 9)]
 WEIGHTS = [w / sum(KERNEL) for w in KERNEL]
 KSQL = "k AS (SELECT unnest(range(-8, 9)) AS d, unnest([" + ", ".join(f"{w!r}::DOUBLE" for w in WEIGHTS) + "]) AS w)"
 
