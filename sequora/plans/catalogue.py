@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from sequora.plans import distributions, relational, resampling, transitions, windows  # noqa: F401
+from sequora.plans import distributions, kernels, relational, resampling, transitions, windows  # noqa: F401
 from sequora.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
