@@ -7,7 +7,8 @@ A document is the set of its distinct word shingles. Two documents link when
 1. Documents with equal sets are one class; classes with equal prefix and size are one group.
 2. Groups that share a prefix shingle are candidates, if their sizes and the places of the shared shingle allow enough
    overlap. Prefix shingles that no other group has are left out first (Bloom filtering in two passes).
-3. Candidates are expanded to classes and verified on their whole sets.
+3. Candidates are expanded to classes. Counts of the shingles by hash range bound the overlap of two sets from above; pairs
+   that this bound allows are verified on their whole sets.
 
 Not all pairs of a large cluster are needed, as the result is its connected classes. So candidates come in two
 rounds: first every group of a shingle's list meets the list's first group only (as many pairs as list entries), and
@@ -33,25 +34,48 @@ from sequora.llm.components import components
 from sequora.llm.exact_dedup import _named
 from sequora.llm.store import cut
 
-_SETS = "row long, n long, prefix_hash long, set_hash long, prefix array<long>"
-
-
 def prefix_length(n, percent: int):
     """First shingles of a set of n of which a linked set shares one: n - ceil(percent n / 100) + 1."""
     return n - (percent * n + 99) // 100 + 1
 
 
+def histogram(hashes: np.ndarray) -> bytes:
+    """Counts of a sorted set by hash range: a power of two of ranges, one for about eight members."""
+    ranges = 1 << max(4, int(len(hashes) // 8).bit_length())
+    top = np.uint64(64 - (ranges.bit_length() - 1))
+    return np.bincount((hashes >> top).astype(np.int64), minlength=ranges).astype(np.uint16).tobytes()
+
+
+def overlap_bound(one: bytes, other: bytes) -> int:
+    """No two sets with these histograms share more members."""
+    a, b = np.frombuffer(one, np.uint16).astype(np.int64), np.frombuffer(other, np.uint16).astype(np.int64)
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.minimum(a, b.reshape(len(a), -1).sum(axis=1)).sum())
+
+
+def _may_link(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, one, other = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [overlap_bound(x, y) * (100 + percent) >= percent * (i + j) for i, j, x, y in zip(n, m, one, other)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _prefixes(table, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, prefix_hash, set_hash, prefix = [], [], [], []
+            n, prefix_hash, set_hash, prefix, counts = [], [], [], [], []
             for found in shingles.sets_of(batch.column(1), width):
                 first = sketch.rare_first(table.value, found)[: prefix_length(len(found), percent) if len(found) else 0]
                 n.append(len(found))
                 set_hash.append(shingles.set_hash(found))
                 prefix_hash.append(shingles.set_hash(np.sort(first)))
                 prefix.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prefix_hash, pa.int64()), pa.array(set_hash, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["row", "n", "prefix_hash", "set_hash", "prefix"])
+                counts.append(histogram(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prefix_hash, pa.int64()), pa.array(set_hash, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["row", "n", "prefix_hash", "set_hash", "prefix", "counts"])
 
     return run
 
@@ -106,8 +130,10 @@ class _Join:
         self.texts, self.width, self.percent = docs.select(F.coalesce(text, F.lit("")).alias("text")), width, percent
 
     def verified(self, pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
-        """The links among ``pairs`` (a, b) of classes, by their whole sets."""
-        pairs = cut(pairs, f"pairs-{name}")
+        """The links among ``pairs`` (a, b) of classes: first by the bound of their histograms, then by their whole sets."""
+        one, other = (self.counts.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}")) for x in "ab")
+        both = pairs.join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "n_a", "n_b", "c_a", "c_b")
+        pairs = cut(both.mapInArrow(_may_link(self.percent), "a long, b long"), f"pairs-{name}")
         nodes = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
         keys = cut(classes.join(nodes, "cid").select("cid", "n", "set_hash"), f"keys-{name}")
         count = keys.count()
@@ -125,11 +151,13 @@ class _Join:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept (one row of each component), and text_hash."""
     job = _Join(docs, F.col(text_col), width, percent)
-    table = sketch.ranks(job.texts, lambda batch: shingles.sets_of(batch.column(0), width))
+    size = sketch.size_for(job.texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    table = sketch.ranks(job.texts, lambda batch: shingles.sets_of(batch.column(0), width), size)
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash")).alias("key"), text.alias("text"))
-    sets = cut(keyed.mapInArrow(_prefixes(table, width, percent), f"row struct<row:long,id:{kind},text_hash:long>, n long, prefix_hash long, set_hash long, prefix array<long>").select("row.*", "n", "prefix_hash", "set_hash", "prefix"), "sets")
+    sets = cut(keyed.mapInArrow(_prefixes(table, width, percent), f"row struct<row:long,id:{kind},text_hash:long>, n long, prefix_hash long, set_hash long, prefix array<long>, counts binary").select("row.*", "n", "prefix_hash", "set_hash", "prefix", "counts"), "sets")
+    job.counts = sets.select("row", "n", "counts")
 
     full = sets.where("n > 0")
     classes = cut(full.groupBy("n", "set_hash", "prefix_hash").agg(F.min("row").alias("cid"), F.min(F.struct("id", "row")).alias("first")), "classes")
@@ -186,10 +214,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The input with one document of each component, that with the smallest id; documents without words stay."""
     said, hashed, maybe = _named(docs, "said", "text_hash", "maybe")
     at = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    lost = jaccard_components(docs, id_col, text_col, width, percent).where("not kept")
-    lost = cut(lost.select(at.alias(said), F.col("text_hash").alias(hashed)).distinct(), "lost")
+    rows = jaccard_components(docs, id_col, text_col, width, percent).select(at.alias(said), F.col("text_hash").alias(hashed), "kept")
+    lost = cut(rows.groupBy(said, hashed).agg(F.bool_or("kept").alias("one"), F.bool_and("kept").alias("all")).where("not all").drop("all"), "lost")
     # rows whose id no lost row has pass straight through; only the others meet the lost rows
     hit = bitmap.present(lost.select(F.xxhash64(said)), bitmap.bits_for(lost.count()))
     marked = docs.withColumn(maybe, bitmap.probe(hit, F.xxhash64(at)))
     asked = marked.where(F.col(maybe)).withColumn(said, at).withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return marked.where(~F.col(maybe)).drop(maybe).unionByName(asked.join(lost, [said, hashed], "left_anti").drop(said, hashed, maybe))
+    out = marked.where(~F.col(maybe)).unionByName(asked.join(lost, [said, hashed], "left_anti").drop(said, hashed))
+    if lost.where("one").limit(1).count():  # rows repeated with id and text, of which one stays
+        again = asked.join(lost.where("one"), [said, hashed], "left_semi").dropDuplicates([said, hashed])
+        out = out.unionByName(again.drop(said, hashed))
+    return out.drop(maybe)
