@@ -18,15 +18,23 @@ def row_normalised(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def stationary(p: DataFrame, rounds: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, state, pi): the uniform distribution after ``rounds`` steps; a fixed count, so one plan."""
+    """(keys, state, pi): the uniform distribution after ``rounds`` steps.
+
+    The edges into each state are gathered once, in one row per matrix (its size is that of the state graph); the steps are then nested
+    array functions of that row instead of a shuffle each.
+    """
     states = p.select(*keys, F.col("src").alias("state")).unionByName(p.select(*keys, F.col("dst").alias("state"))).distinct()
-    if keys:
-        pi = states.withColumn("pi", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    else:
-        pi = states.join(F.broadcast(states.agg((1.0 / F.count(F.lit(1))).alias("pi"))))
-    for _ in range(rounds):
-        pi = p.join(pi.withColumnRenamed("state", "src"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("state")).agg(F.sum(F.col("pi") * F.col("p")).alias("pi"))
-    return pi
+    placed = states.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("state")) - 1)
+    edges = p.join(placed.withColumnRenamed("state", "src"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("state")).agg(F.collect_list(F.struct("place", "p")).alias("into"))
+    rows = placed.join(edges, [*keys, "state"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "state", "into"))).alias("rows"))
+    empty = F.array().cast("array<struct<place:int,p:double>>")
+
+    def step(now, _):
+        return F.transform("rows", lambda r: F.aggregate(F.coalesce(r["into"], empty), F.lit(0.0), lambda s, e: s + e["p"] * F.get(now, e["place"])))
+
+    first = F.transform("rows", lambda r: F.lit(1.0) / F.size("rows"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step)
+    return rows.select(*keys, F.explode(F.arrays_zip(F.col("rows.state").alias("state"), last.alias("pi"))).alias("x")).select(*keys, "x.state", "x.pi")
 
 
 def reversible(p: DataFrame, pi: DataFrame) -> DataFrame:
