@@ -27,20 +27,23 @@ def bits_for(rows: int) -> int:
     return min(MAX_BITS, max(CHUNK_BITS, 1 << (max(1, rows * BITS_PER_ROW) - 1).bit_length()))
 
 
-def _positions(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _positions(hashes: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     """One row for each chunk that this partition touches: positions hit, and positions hit more than once."""
-    held = [np.asarray(b.column(0)).astype(np.int64) & (bits - 1) for b in batches if b.num_rows]
-    if not held:
+    held = [(h.astype(np.int64) & (bits - 1)).astype(np.uint32) for h in hashes]
+    if not sum(map(len, held)):
         return
     places, counts = np.unique(np.concatenate(held), return_counts=True)
+    del held
     chunk = places // CHUNK_BITS
     first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
     inner = (places % CHUNK_BITS).astype(np.uint16)
-    for lo, hi in zip(first, np.r_[first[1:], len(places)]):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(chunk[lo])], pa.int32()), pa.array([inner[lo:hi].tobytes()], pa.binary()), pa.array([inner[lo:hi][counts[lo:hi] > 1].tobytes()], pa.binary())],
-            names=["chunk", "once", "twice"],
-        )
+    rows = [(int(chunk[lo]), inner[lo:hi].tobytes(), inner[lo:hi][counts[lo:hi] > 1].tobytes()) for lo, hi in zip(first, np.r_[first[1:], len(places)])]
+    for i in range(0, len(rows), 1024):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 1024]), (pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "once", "twice"])
+
+
+def _column(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    return (np.asarray(b.column(0)) for b in batches if b.num_rows)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,17 +69,17 @@ def _gather(spark: SparkSession, chunks: DataFrame, bits: int):
     return spark.sparkContext.broadcast(whole)
 
 
-def repeated(hashes: DataFrame, bits: int, merge_partitions: int = 16):
-    """Broadcast bitmap of the positions that at least two rows of ``hashes`` (one long column) hit."""
-    parts = hashes.mapInArrow(lambda it: _positions(it, bits), "chunk int, once binary, twice binary")
+def repeated(hashes: DataFrame, bits: int, merge_partitions: int = 16, of=_column):
+    """Broadcast bitmap of the positions that at least two hashes hit; ``of`` gives a partition's hashes (by default, the one column)."""
+    parts = hashes.mapInArrow(lambda it: _positions(of(it), bits), "chunk int, once binary, twice binary")
     merged = parts.repartition(merge_partitions, "chunk").mapInArrow(_merge, "chunk int, bits binary")
     return _gather(hashes.sparkSession, merged, bits)
 
 
-def present(hashes: DataFrame, bits: int, merge_partitions: int = 16):
-    """Broadcast bitmap of the positions that any row of ``hashes`` (one long column) hits."""
-    twice = hashes.mapInArrow(lambda it: _positions(it, bits), "chunk int, once binary, twice binary").select("chunk", F.col("once"), F.col("once").alias("twice"))
-    merged = twice.repartition(merge_partitions, "chunk").mapInArrow(_merge, "chunk int, bits binary")
+def present(hashes: DataFrame, bits: int, merge_partitions: int = 16, of=_column):
+    """Broadcast bitmap of the positions that any hash hits."""
+    once = hashes.mapInArrow(lambda it: _positions(of(it), bits), "chunk int, once binary, twice binary").select("chunk", "once", F.col("once").alias("twice"))
+    merged = once.repartition(merge_partitions, "chunk").mapInArrow(_merge, "chunk int, bits binary")
     return _gather(hashes.sparkSession, merged, bits)
 
 

@@ -91,15 +91,30 @@ def anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return text, place, h[place], context
 
 
-def _distinct_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_TEXTS = ["doc", "tag", "text", "h", "sure"]
+
+
+def _alone(batches: Iterator[pa.RecordBatch], copies: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows (doc, tag, text, h, sure) that take part: those that no other text may equal, and those that are sure to."""
     for batch in batches:
-        for _, _, offsets, data in slices(batch.column(0)):
-            text, _, h, _ = anchors(offsets, data)
-            order = np.lexsort((h, text))
-            text, h = text[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64))], names=["h"])
+        keep = np.asarray(batch.column(4)) | ~bitmap.lookup(copies, np.asarray(batch.column(3)))
+        batch = batch.filter(pa.array(keep))
+        if batch.num_rows:
+            yield batch
+
+
+def _distinct_anchors(copies):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in _alone(batches, copies.value):
+            for _, _, offsets, data in slices(batch.column(2)):
+                text, _, h, _ = anchors(offsets, data)
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+                yield h[new].view(np.int64)
+
+    return run
 
 
 _OCCURRENCE = "anchor int, context int, doc long, tag int, place int, before int, behind int"
@@ -109,11 +124,11 @@ def _halves(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _occurrences(twice):
+def _occurrences(copies, twice):
     """Anchors that may occur in two texts: where, and how far the context goes to each side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _alone(batches, copies.value):
             doc, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for first, _, offsets, data in slices(batch.column(2)):
                 text, place, h, context = anchors(offsets, data)
@@ -135,16 +150,15 @@ def _asked_key(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, place:
     return mixed(mixed(key) + doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)).view(np.int64)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_asked_key(*(np.asarray(batch.column(i)) for i in range(4))))], names=["h"])
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    return (_asked_key(*(np.asarray(batch.column(i)) for i in range(4))) for batch in batches if batch.num_rows)
 
 
-def _contexts(asked):
+def _contexts(copies, asked):
     """The bytes of the contexts that are asked for (a false alarm is one more true occurrence)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _alone(batches, copies.value):
             doc, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for first, _, offsets, data in slices(batch.column(2)):
                 text, place, h, context = anchors(offsets, data)
@@ -306,17 +320,18 @@ class Repeats:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         text = F.coalesce(F.col(text_col), F.lit(""))
-        rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc"), text.alias("text"))
-        hashed = F.xxhash64("text")
-        bits = bitmap.bits_for(rows.count())
-        maybe = bitmap.probe(bitmap.repeated(rows.select(hashed), bits), hashed)
+        doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
+        rows = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), text.alias("text"), F.xxhash64(text).alias("h"))
+        self.copies = bitmap.repeated(rows.select("h"), bitmap.bits_for(rows.count()))
         sha = F.sha2("text", 256)
-        self.rows = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc"), text.alias("text")).select("id", "doc", sha.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), maybe.alias("maybe")), "rows")
-        again = cut(rows.where(maybe).groupBy(sha.alias("sha")).agg(F.min("doc").alias("doc"), F.first("text").alias("text")).select("doc", "text"), "copies")
-        self.texts = rows.where(~maybe).unionByName(again).where(F.octet_length("text") >= LEAST).select("doc", F.hash("text").alias("tag"), "text")
+        self.rows = cut(rows.select("id", "doc", sha.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), bitmap.probe(self.copies, F.col("h")).alias("maybe")), "rows")
         total = self.rows.agg(F.sum("n_bytes")).first()[0] or 0
-        twice = bitmap.repeated(self.texts.select("text").mapInArrow(_distinct_anchors, "h long"), bitmap.bits_for(total // 16))
-        self.found = cut(self.texts.mapInArrow(_occurrences(twice), _OCCURRENCE), "occurrences")
+        again = rows.where(bitmap.probe(self.copies, F.col("h"))).groupBy(sha.alias("sha")).agg(F.min("doc").alias("doc"), F.first("text").alias("text"))
+        again = cut(again.select("doc", F.hash("text").alias("tag"), "text", F.lit(0).cast("long").alias("h"), F.lit(True).alias("sure")), "copies")
+        alone = rows.select("doc", F.hash("text").alias("tag"), "text", "h", F.lit(False).alias("sure"))
+        self.texts = alone.unionByName(again).where(F.octet_length("text") >= LEAST).select(*_TEXTS)
+        twice = bitmap.repeated(self.texts, bitmap.bits_for(total // 16), of=_distinct_anchors(self.copies))
+        self.found = cut(self.texts.mapInArrow(_occurrences(self.copies, twice), _OCCURRENCE), "occurrences")
         classes = self.found.groupBy("anchor", "context").agg(F.min(F.struct("doc", "place", "tag")).alias("first"), F.max("doc").alias("last"))
         self.classes = cut(classes, "classes")
         per = self.classes.groupBy("anchor").agg(F.min("first.doc").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("n"))
@@ -325,8 +340,8 @@ class Repeats:
     def contexts(self) -> tuple[DataFrame, DataFrame]:
         """Contexts of one member of each class, of anchors with several classes: those for blocks, and those of hot anchors."""
         need = cut(self.classes.join(self.anchors.hint("merge"), "anchor").select("anchor", "context", F.col("first.doc").alias("doc"), F.col("first.place").alias("place")), "asked")
-        asked = bitmap.present(need.mapInArrow(_keys, "h long"), bitmap.bits_for(need.count()))
-        held = self.texts.mapInArrow(_contexts(asked), _CONTEXT)
+        asked = bitmap.present(need, bitmap.bits_for(need.count()), of=_keys)
+        held = self.texts.mapInArrow(_contexts(self.copies, asked), _CONTEXT)
         hot = self.anchors.where(F.col("n") > HOT_CLASSES).select("anchor")
         if not hot.limit(1).count():
             return held, held.limit(0)
@@ -372,7 +387,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     job = Repeats(docs, id_col, text_col)
     spans = cut(job.spans().groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     hit = bitmap.present(spans.select(F.xxhash64("doc")), bitmap.bits_for(spans.count()))
-    touched = job.texts.where(bitmap.probe(hit, F.xxhash64("doc"))).join(spans.hint("merge"), ["doc", "tag"]).select("doc", "text", "spans")
+    takes_part = F.col("sure") | ~bitmap.probe(job.copies, F.col("h"))
+    touched = job.texts.where(bitmap.probe(hit, F.xxhash64("doc")) & takes_part).select("doc", "tag", "text").join(spans.hint("merge"), ["doc", "tag"]).select("doc", "text", "spans")
     done = cut(touched.mapInArrow(_apply, "doc long, sha string, spans array<struct<start:long,end:long>>, kept binary").select("doc", "sha", "spans", F.sha2("kept", 256).alias("kept_sha")), "applied")
 
     # of equal texts, those behind the first go whole
