@@ -2,8 +2,8 @@
 
 A text longer than a chunk is cut into chunks that overlap. Each chunk is pre-tokenised by itself, in parallel.
 The pattern only looks ahead, so two runs over the same text agree from the first boundary that they share:
-neighbouring chunks are stitched at the first boundary inside their overlap that both have and that the end
-of the left chunk cannot have shaped. Where an overlap has no such boundary (one piece as long as the overlap),
+neighbouring chunks are stitched at the first boundary inside their overlap that both have and that no look-ahead
+can shape: the end of a run of letters. Where an overlap has no such boundary (one piece as long as the overlap),
 the two chunks are joined into one and it is encoded from the last safe boundary on. Then each stretch between two
 stitches is encoded by itself; the ids of a text are those of its stretches in order. Short texts are one
 chunk and never shuffle.
@@ -60,16 +60,23 @@ def decode(ids: list[int], path: str | None = None) -> bytes:
     return encoding(path).decode_bytes(ids)
 
 
+def _sure(text: str, found: np.ndarray) -> np.ndarray:
+    """Those boundaries that stay so whatever stands around: behind a letter, before an ASCII sign, digit or space.
+
+    A run of letters ends there in every reading of the text, and no look-ahead of the stretch before it reaches past it
+    (a white-space run at the end of a stretch would be read in another way than in the whole text).
+    """
+    return np.array([b for b in found.tolist() if b < len(text) and text[b - 1].isalpha() and ord(text[b]) < 128 and not text[b].isalpha()], np.int64)
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each chunk, the boundaries in the overlap with the chunk before and with the chunk behind."""
+    """For each chunk, the sure boundaries in the overlap with the chunk before and with the chunk behind."""
     for batch in batches:
         heads, tails = [], []
-        for text, at, last in zip(*(batch.column(k).to_pylist() for k in (3, 2, 4))):
+        for text, at in zip(*(batch.column(k).to_pylist() for k in (3, 2))):
             found = boundaries(text)
-            heads.append((found[found < OVERLAP_CHARS] + at).tolist())
-            # a boundary in the last piece before the end of a chunk may come from the cut
-            safe = found[:-2] if not last else found
-            tails.append((safe[safe >= CHUNK_CHARS] + at).tolist())
+            heads.append((_sure(text, found[found < OVERLAP_CHARS]) + at).tolist())
+            tails.append((_sure(text, found[found >= CHUNK_CHARS]) + at).tolist())
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=[*batch.schema.names, "head", "tail"])
 
 
