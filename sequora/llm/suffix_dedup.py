@@ -361,35 +361,63 @@ class Repeats:
         return spans.unionByName(windows.join(least.hint("merge"), "h").where("doc > least").select("doc", "tag", "start", (F.col("start") + LEAST).alias("end")))
 
 
+def _merged(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """(doc, tag, starts, ends): of each text, its spans (sorted by start) with those that overlap or touch made one."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    shift = (np.cumsum(new) - 1) << 33
+    s, e = start + shift, np.maximum.accumulate(end + shift)
+    first = np.ones(len(s), bool)
+    first[1:] = new[1:] | (s[1:] > e[:-1])
+    at = np.flatnonzero(first)
+    last = np.r_[at[1:], len(s)] - 1
+    places = pa.array(np.r_[np.flatnonzero(new[at]), len(at)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(places, pa.array(x)) for x in (start[at], e[last] - shift[last])]
+    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(tag[new]), *lists], names=["doc", "tag", "starts", "ends"])
+
+
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merged spans per text, from rows sorted by (doc, tag, start); the last text of a batch waits for the next."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(k)) for k in range(4)]
+        cols[2], cols[3] = cols[2].astype(np.int64), cols[3].astype(np.int64)
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+        done = int(other[-1]) + 1 if len(other) else 0
+        if done:
+            yield _merged(*(c[:done] for c in cols))
+        held = [c[done:] for c in cols]
+    if held is not None:
+        yield _merged(*held)
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text, the merged spans and what is left."""
+    """Of each text (doc, text, starts, ends), the digests before and after its spans are removed."""
     for batch in batches:
-        out = []
-        for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            data, merged = text.encode(), []
-            for s in sorted(spans, key=lambda s: s["start"]):
-                if merged and s["start"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["end"])
-                else:
-                    merged.append([s["start"], s["end"]])
-            kept, at = [], 0
-            for s, e in merged:
-                kept.append(data[at:s])
-                at = e
-            kept.append(data[at:])
-            out.append({"doc": doc, "sha": hashlib.sha256(data).hexdigest(), "spans": [{"start": s, "end": e} for s, e in merged], "kept": b"".join(kept)})
-        if out:
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc", pa.int64()), ("sha", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]))
+        before, after = [], []
+        for text, starts, ends in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            data = text.encode()
+            kept = b"".join(data[e:s] for e, s in zip([0, *ends], [*starts, len(data)]))
+            before.append(hashlib.sha256(data).hexdigest())
+            after.append(hashlib.sha256(kept).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.string()), batch.column(2), batch.column(3), pa.array(after, pa.string())], names=["doc", "sha", "starts", "ends", "kept_sha"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, spans (start, end) to remove, kept_sha256 of the bytes that stay."""
     job = Repeats(docs, id_col, text_col)
-    spans = cut(job.spans().groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    merged = job.spans().repartition("doc", "tag").sortWithinPartitions("doc", "tag", "start")
+    spans = cut(merged.mapInArrow(_merge_spans, "doc long, tag int, starts array<long>, ends array<long>"), "spans")
     hit = bitmap.present(spans.select(F.xxhash64("doc")), bitmap.bits_for(spans.count()))
     takes_part = F.col("sure") | ~bitmap.probe(job.copies, F.col("h"))
-    touched = job.texts.where(bitmap.probe(hit, F.xxhash64("doc")) & takes_part).select("doc", "tag", "text").join(spans.hint("merge"), ["doc", "tag"]).select("doc", "text", "spans")
-    done = cut(touched.mapInArrow(_apply, "doc long, sha string, spans array<struct<start:long,end:long>>, kept binary").select("doc", "sha", "spans", F.sha2("kept", 256).alias("kept_sha")), "applied")
+    touched = job.texts.where(bitmap.probe(hit, F.xxhash64("doc")) & takes_part).select("doc", "tag", "text").join(spans.hint("merge"), ["doc", "tag"]).select("doc", "text", "starts", "ends")
+    done = cut(touched.mapInArrow(_apply, "doc long, sha string, starts array<long>, ends array<long>, kept_sha string"), "applied")
+    spanned = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
+    done = done.select("doc", "sha", spanned.alias("spans"), "kept_sha")
 
     # of equal texts, those behind the first go whole
     first = job.rows.where("maybe").groupBy("sha").agg(F.min("doc").alias("first")).repartition(F.col("first"))
