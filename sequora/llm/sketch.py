@@ -17,7 +17,7 @@ MOST = 1 << 26
 BYTES_PER_PLACE = 12
 CHUNK = 1 << 18
 #: Hashes that a task holds before it gives their counts away.
-HELD = 1 << 22
+HELD = 1 << 20
 
 
 def size_for(text_bytes: int) -> int:
@@ -27,6 +27,7 @@ def size_for(text_bytes: int) -> int:
 def _chunks(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Counts of the held places, per chunk: low bytes compressed, what exceeds them apart."""
     places, counts = np.unique(np.concatenate(held), return_counts=True)
+    held.clear()
     chunk = places // CHUNK
     first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
     for lo, hi in zip(first, np.r_[first[1:], len(places)]):
@@ -49,7 +50,7 @@ def _count(batches: Iterator[pa.RecordBatch], hashes: Callable[[pa.RecordBatch],
             n += len(h)
             if n > HELD:
                 yield from _chunks(held)
-                held, n = [], 0
+                n = 0
     if n:
         yield from _chunks(held)
 
