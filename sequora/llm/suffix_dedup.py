@@ -7,7 +7,8 @@ the same place, so nothing is lost. Anchors that only one text has are left out
 
 Occurrences of an anchor are told apart by their context, the bytes that a repeat through the anchor can reach:
 
-* Equal contexts are one class. All members but those of its first document repeat that document's bytes whole.
+* Equal contexts are one class. All members but those of its first document repeat that document's bytes whole. Those of
+  its first document are one row for each text, which lists their places: what is found on the row holds at each of them.
 * The contexts of the classes of one anchor go to one task, in blocks. There the suffixes of the contexts that share
   ``LEAST`` bytes with another document are sorted with the lengths of their common prefixes. A stack scan gives the
   intervals of this suffix array; intervals whose occurrences all have the same byte before them are passed over, as a longer
@@ -142,34 +143,45 @@ def _occurrences(copies, twice):
     return run
 
 
-_CONTEXT = "anchor int, doc long, tag int, place int, before int, bytes binary"
+_CONTEXT = "anchor int, doc long, tag int, place int, before int, bytes binary, again array<int>"
 
 
-def _asked_key(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _asked_key(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
     key = (anchor.astype(np.int64).view(np.uint64) << np.uint64(32)) ^ context.astype(np.uint32).astype(np.uint64)
-    return mixed(mixed(key) + doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)).view(np.int64)
+    return mixed(mixed(key) + doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    return (_asked_key(*(np.asarray(batch.column(i)) for i in range(4))) for batch in batches if batch.num_rows)
+    return (_asked_key(*(np.asarray(batch.column(i)) for i in range(3))) for batch in batches if batch.num_rows)
 
 
 def _contexts(copies, asked):
-    """The bytes of the contexts that are asked for (a false alarm is one more true occurrence)."""
+    """The bytes of the contexts that are asked for (a false alarm is one more true occurrence).
+
+    Equal contexts of one text are one row: ``again`` holds how far behind the first the others are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _alone(batches, copies.value):
             doc, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for first, _, offsets, data in slices(batch.column(2)):
                 text, place, h, context = anchors(offsets, data)
-                a, own = _halves(h), place - offsets[text]
-                keep = bitmap.lookup(asked.value, _asked_key(a, _halves(context), doc[first + text], own))
-                text, place, a, own = text[keep], place[keep], a[keep], own[keep]
+                a, c = _halves(h), _halves(context)
+                keep = np.flatnonzero(bitmap.lookup(asked.value, _asked_key(a, c, doc[first + text])))
+                keep = keep[np.lexsort((place[keep], c[keep], a[keep], text[keep]))]
+                text, place, a, c = text[keep], place[keep], a[keep], c[keep]
+                new = np.ones(len(keep), bool)
+                new[1:] = (text[1:] != text[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+                at, behind = np.flatnonzero(new), np.flatnonzero(~new)
+                shift = place[behind] - place[at[np.cumsum(new)[behind] - 1]]
+                again = pa.ListArray.from_arrays(pa.array(np.searchsorted(behind, np.r_[at, len(keep)]).astype(np.int32)), pa.array(shift.astype(np.int32)))
+                text, place, a = text[new], place[new], a[new]
+                own = place - offsets[text]
                 lo, hi = np.maximum(place - SIDE, offsets[text]), np.minimum(place + LEAST, offsets[text + 1])
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(doc[first + text]), pa.array(tag[first + text]), pa.array(own.astype(np.int32)), pa.array((place - lo).astype(np.int32)), pa.array([raw[i:j] for i, j in zip(lo, hi)], pa.binary())],
-                    names=["anchor", "doc", "tag", "place", "before", "bytes"],
+                    [pa.array(a), pa.array(doc[first + text]), pa.array(tag[first + text]), pa.array(own.astype(np.int32)), pa.array((place - lo).astype(np.int32)), pa.array([raw[i:j] for i, j in zip(lo, hi)], pa.binary()), again],
+                    names=["anchor", "doc", "tag", "place", "before", "bytes", "again"],
                 )
 
     return run
@@ -185,12 +197,21 @@ class Block:
         self.start = np.asarray(col("place")).astype(np.int64) - np.asarray(col("before"))  # of the context in its text
         from sequora.llm.arrow_text import offsets_and_bytes
 
+        again = col("again")
+        self.listed, self.shifts = np.asarray(again.offsets).astype(np.int64), np.asarray(again.values).astype(np.int64)
         offsets, data = offsets_and_bytes(col("bytes"))
         self.size = np.diff(offsets)
         m = len(self.size)
         self.bytes = np.zeros((m, WIDE), np.uint8)
         self.bytes[np.repeat(np.arange(m), self.size), np.arange(len(data)) - np.repeat(offsets[:-1], self.size)] = data
 
+    def places(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into row, shift): each of the rows at its own place, and at those of its equals in the same text."""
+        n = self.listed[row + 1] - self.listed[row]
+        more = np.repeat(np.arange(len(row)), n)
+        nth = np.arange(len(more)) - np.repeat(np.cumsum(n) - n, n)
+        return np.r_[np.arange(len(row)), more], np.r_[np.zeros(len(row), np.int64), self.shifts[self.listed[row[more]] + nth]]
+
     def roots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, offset, group) of suffixes: groups share their first ``LEAST`` bytes, have two texts, and differ to their left."""
         m = len(self.size)
@@ -244,16 +265,27 @@ class Block:
                 stack.append((length, first))
 
     def spans(self) -> pa.RecordBatch:
-        """(doc, tag, start, end): bytes of a repeat group in texts other than those of its smallest document."""
-        out: list[tuple[np.ndarray, ...]] = []
+        """(doc, tag, start, end): bytes of a repeat group in texts other than those of its smallest document.
+
+        All repeats of a context hold its middle, so those of one row are one span.
+        """
+        least, most = np.full(len(self.size), WIDE), np.zeros(len(self.size), np.int64)
+        found: list[tuple[np.ndarray, ...]] = []
         for length, row, at in self.intervals():
             doc = self.doc[row]
             later = doc > doc.min()
             if later.any():
-                start = self.start[row[later]] + at[later]
-                out.append((doc[later], self.tag[row[later]], start, start + length))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["doc", "tag", "start", "end"])
+                found.append((row[later], at[later], at[later] + length))
+        if found:
+            row, lo, hi = (np.concatenate(c) for c in zip(*found))
+            np.minimum.at(least, row, lo)
+            np.maximum.at(most, row, hi)
+        hit = np.flatnonzero(most)
+        which, shift = self.places(hit)
+        row = hit[which]
+        start = self.start[row] + shift
+        cols = [self.doc[row], self.tag[row].astype(np.int32), (start + least[row]).astype(np.int32), (start + most[row]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "tag", "start", "end"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -297,7 +329,8 @@ def _block_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for block in _blocks(batches):
         rows = []
         for length, row, at in block.intervals():
-            where = [{"doc": d, "start": s} for d, s in sorted({(int(block.doc[r]), int(block.start[r] + o)) for r, o in zip(row, at)})]
+            which, shift = block.places(row)
+            where = [{"doc": d, "start": s} for d, s in sorted({(int(block.doc[row[i]]), int(block.start[row[i]] + at[i] + o)) for i, o in zip(which, shift)})]
             rows.append({"repeat": block.bytes[row[0], at[0] : at[0] + length].tobytes(), "length": int(length), "occurrences": where})
         if rows:
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("repeat", pa.binary()), ("length", pa.int32()), ("occurrences", pa.list_(pa.struct([("doc", pa.int64()), ("start", pa.int64())])))]))
@@ -312,7 +345,9 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for first in range(WIDE - LEAST + 1):
             row = np.flatnonzero(block.size >= first + LEAST)
             part = [hashlib.blake2b(block.bytes[r, first : first + LEAST].tobytes(), digest_size=16).digest() for r in row]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(block.doc[row]), pa.array(block.tag[row]), pa.array((block.start[row] + first).astype(np.int32))], names=["h", "doc", "tag", "start"])
+            which, shift = block.places(row)
+            row = row[which]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).take(pa.array(which)), pa.array(block.doc[row]), pa.array(block.tag[row]), pa.array((block.start[row] + shift + first).astype(np.int32))], names=["h", "doc", "tag", "start"])
 
 
 class Repeats:
@@ -337,11 +372,20 @@ class Repeats:
         per = self.classes.groupBy("anchor").agg(F.min("first.doc").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("n"))
         self.anchors = cut(per.where("low < high and n > 1").select("anchor", "n"), "anchors")
 
-    def contexts(self) -> tuple[DataFrame, DataFrame]:
-        """Contexts of one member of each class, of anchors with several classes: those for blocks, and those of hot anchors."""
-        need = cut(self.classes.join(self.anchors.hint("merge"), "anchor").select("anchor", "context", F.col("first.doc").alias("doc"), F.col("first.place").alias("place")), "asked")
+    def _held(self, need: DataFrame) -> DataFrame:
+        """The contexts of (anchor, context, doc)."""
+        need = cut(need, "asked")
         asked = bitmap.present(need, bitmap.bits_for(need.count()), of=_keys)
-        held = self.texts.mapInArrow(_contexts(self.copies, asked), _CONTEXT)
+        return self.texts.mapInArrow(_contexts(self.copies, asked), _CONTEXT)
+
+    def every_context(self) -> DataFrame:
+        """Contexts of all members of all classes, of anchors that two documents have."""
+        shared = self.classes.groupBy("anchor").agg(F.min("first.doc").alias("low"), F.max("last").alias("high")).where("low < high").select("anchor")
+        return self._held(self.found.join(shared.hint("merge"), "anchor").select("anchor", "context", "doc").distinct())
+
+    def contexts(self) -> tuple[DataFrame, DataFrame]:
+        """Contexts of the first document of each class, of anchors with several classes: those for blocks, and those of hot anchors."""
+        held = self._held(self.classes.join(self.anchors.hint("merge"), "anchor").select("anchor", "context", F.col("first.doc").alias("doc")))
         hot = self.anchors.where(F.col("n") > HOT_CLASSES).select("anchor")
         if not hot.limit(1).count():
             return held, held.limit(0)
@@ -433,9 +477,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(repeat, length, occurrences): maximal repeat groups inside one context, over texts that differ, with every occurrence."""
+    """(repeat, length, occurrences): maximal repeat groups inside one context, over texts that differ, with every occurrence of its anchor's classes.
+
+    An anchor is a block here however many contexts it has.
+    """
     job = Repeats(docs, id_col, text_col)
-    return job.contexts()[0].repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_block_groups, "repeat binary, length int, occurrences array<struct<doc:long,start:long>>")
+    return job.every_context().repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_block_groups, "repeat binary, length int, occurrences array<struct<doc:long,start:long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

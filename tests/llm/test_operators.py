@@ -235,6 +235,23 @@ def test_repeated_spans(spark, mixed, monkeypatch, hot):
     assert collections.Counter(tuple(r) for r in got) == brute_spans(texts, 50)
 
 
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_repeats_inside_one_document(spark, monkeypatch, hot):
+    """A passage that a document repeats with the same bytes around it, and a smaller one holds with others; one id with two texts."""
+    monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", hot)
+    passage = "the sixty bytes or so which these documents have in common."
+    line = prose(70, 8) + " left " + passage + " right " + prose(71, 8) + "\n"
+    texts = [(3, prose(72, 9) + " x " + passage + " y " + prose(73, 9)), (5, line * 2 + prose(74, 30) + line), (6, "before " + line), (7, prose(75, 5) + line), (7, prose(76, 50) + line * 2)]
+    got = suffix_dedup.digest(suffix_dedup.repeated_spans(docs_of(spark, texts))).collect()
+    assert collections.Counter(tuple(r) for r in got) == brute_spans(texts, 50)
+    groups = suffix_dedup.maximal_repeats(docs_of(spark, texts[:3])).collect()
+    want = {(i, m.start()) for i, t in texts[:3] for m in re.finditer(re.escape(passage), t)}
+    assert any({(o.doc, o.start + bytes(r.repeat).find(passage.encode())) for o in r.occurrences} == want for r in groups if passage.encode() in bytes(r.repeat))
+    # one class only: the same bytes all around
+    groups = suffix_dedup.maximal_repeats(docs_of(spark, [(1, "1" + passage * 2), (2, "2" + passage * 2)])).collect()
+    assert groups and {o.doc for r in groups for o in r.occurrences} == {1, 2}
+
+
 def test_maximal_repeats(spark):
     passage = "this passage of more than fifty bytes is in three of the texts"
     texts = [(1, "one " + passage + " end"), (2, "other " + passage + " stop"), (3, passage), (4, "nothing in common with them at all, not even a few words of it")]
