@@ -2,7 +2,7 @@
 
 Four base kinds (email, ip, card, phone) are found leftmost and without overlap, each kind by itself; a proposal
 that fails its check is dropped and the search goes on behind it. The method adds account numbers (``iban``,
-mod-97) and a score per span: a checksum or a full pattern gives the base, context words within
+mod-97; the length that the country code fixes, else the longest run of whole groups that holds) and a score per span: a checksum or a full pattern gives the base, context words within
 ``CONTEXT_CHARS`` before the span raise it, words that tell of other numbers lower it. Scores rank spans; they
 never remove a base span.
 
@@ -41,6 +41,18 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_GROUP_END = re.compile(r"(?<=[A-Z0-9])(?![A-Z0-9])")
+#: Characters of an account number by its country code.
+IBAN_CHARS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
 
 
 def luhn(digits: str) -> bool:
@@ -94,11 +106,28 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
             at = text.find("+", at + 1, hi)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A proposal may have swallowed words behind the number, so it is tried at the ends of its groups too."""
+    m = _IBAN.search(text)
+    while m:
+        start, whole = m.span()
+        ends = [e for x in _GROUP_END.finditer(text, start, whole) if (e := x.start()) - start - text.count(" ", start, e) >= 12]
+        if want := IBAN_CHARS.get(text[start : start + 2]):
+            ends = [e for e in ends if e < whole and e - start - text.count(" ", start, e) == want]
+            ends.insert(0 if whole - start - text.count(" ", start, whole) == want else len(ends), whole)
+        else:
+            ends.reverse()
+        end = next((e for e in ends if mod97(text[start:e])), None)
+        if end:
+            yield start, end
+        m = _IBAN.search(text, end or start + 1)
+
+
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by start, then kind in the order of ``KINDS``; code points, end exclusive."""
     found = [("email", *x) for x in _emails(text)]
     found += _numbers(text)
-    found += [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m.group())]
+    found += [("iban", *x) for x in _ibans(text)]
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     out = []
     for kind, start, end in found:

@@ -67,6 +67,15 @@ def test_pii_checks_and_context():
     assert pii.find_spans("1" * 200_000) == [] and pii.find_spans("") == []
 
 
+def test_pii_ibans_before_other_words():
+    for number, behind in (("ES91 2100 0418 4502 0005 1332", " BIC"), ("AT611904300234573201", " EUR 50"), ("BE68 5390 0754 7034", " KBC BRUSSELS"), ("PL61109010140000071219812874", " PLN"), ("DE89 3704 0044 0532 0130 00", " EUR"), ("ES91 2100 0418 4502 0005 1332", ".")):
+        assert [x[:3] for x in pii.find_spans("to " + number + behind)] == [("iban", 3, 3 + len(number))], number
+    two = "AT61 1904 3002 3457 3201 ES91 2100 0418 4502 0005 1332"
+    assert [x[1:3] for x in pii.find_spans(two)] == [(0, 24), (25, 54)]
+    assert [x[1:3] for x in pii.find_spans("REF1 AB12 ABCD EFGH " + two[25:])] == [(20, 49)]
+    assert pii.find_spans("ES92 2100 0418 4502 0005 1332 BIC") == []
+
+
 def test_pii_table(spark, mixed):
     got = pii.digest(pii.detect(docs_of(spark, mixed + [(50, "write a@b.co or +1 (555) 010-9999")]))).collect()
     assert len(got) == len(mixed) + 1
