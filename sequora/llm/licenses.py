@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
-Texts are split into sentences and normalised; a sentence that equals, or opens or ends a normalised known
-sentence pattern maps to its identifier. The identifiers of a text, in order, are then matched against ordered rules: a rule holds
+Texts are normalised to words and split into sentences; each normalised known sentence that a sentence holds gives
+its identifier, and of two at one place the longer does. Line breaks and comment signs are spaces, so wrapped headers are whole;
+empty lines end a sentence. The identifiers of a text, in order, are then matched against ordered rules: a rule holds
 if its identifiers appear in its order with at most ``MAX_GAP`` foreign sentences between two of them. A longer
 rule is preferred; the sentences it used are not used again.
 
@@ -12,6 +13,7 @@ Null texts count as empty and, like all texts without a match, give no row. Repe
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,37 +66,47 @@ RULES = (
     ("MPL-2.0", "notice", ("mpl2-notice",)),
 )
 MARKERS = ("licen", "permission is hereby", "redistribut", "as is", "copyright")
-_MARKED = "(?is)" + "|".join(re.escape(m) for m in MARKERS)
-#: A sentence ends at a line end, or at a stop before white space; "2.0" holds no end.
-_END = re.compile(r"[.!?;:]+(?=\s)|\n+|\r+|\Z")
-_WORD = re.compile(r"[a-z0-9]+")
+_MARKED = "(?is)" + "|".join("(?:[^a-z0-9]|\\b(?:rem|dnl)\\b)+".join(m.split()) for m in MARKERS)
+#: A sentence ends at an empty line, or at a stop before white space; "2.0" and "v. 2.0" hold no end.
+_END = re.compile(r"[.!?]+\s|(?:\r?\n|\r(?!\n))[^\r\n]*[\r\n]")
+_ABBREVIATED = re.compile(r"\.[^\S\r\n]*(?:\r?\n|\r)?[^\r\n.!?]*")
+_WORD = re.compile(r"(?m:^[ \t]*(?:rem|dnl)(?!\S))|([a-z0-9]+)")
 _KNOWN = {s: k for k, all_of in SENTENCES.items() for s in all_of}
-_LONGEST = max(len(s) for s in _KNOWN)
+_HELD = re.compile(r"(?<!\S)(?:" + "|".join(sorted(_KNOWN, key=len, reverse=True)) + r")(?!\S)")
 
 
-def normalise(sentence: str) -> str:
-    return " ".join(_WORD.findall(sentence.lower()))
+def lowered(text: str) -> str:
+    """Lower case with every code point at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
 
 
-def sentences(text: str) -> Iterator[tuple[int, int]]:
-    start = 0
-    for m in _END.finditer(text):
-        if m.start() > start:
-            yield start, m.start()
-        start = m.end()
+def normalise(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
+    """(words, at, spans): words joined by one space, or by a line break where a sentence ends; where each is in that, and in the text."""
+    low = lowered(text)
+    spans = [m.span() for m in _WORD.finditer(low) if m.group(1)]
+    parts, at, length, before, last = [], [], 0, "", 0
+    for lo, hi in spans:
+        gap = low[last:lo]
+        if parts:
+            ends = len(gap) > 1 and _END.search(gap) and not (before == "v" and _ABBREVIATED.fullmatch(gap))
+            parts.append("\n" if ends else " ")
+            length += 1
+        at.append(length)
+        before, last = low[lo:hi], hi
+        parts.append(before)
+        length += hi - lo
+    return "".join(parts), at, spans
 
 
 def identify(text: str) -> list[tuple[int, str, int, int]]:
-    """(ordinal, identifier, start, end) of the known sentences."""
-    out = []
-    for i, (lo, hi) in enumerate(sentences(text)):
-        said = normalise(text[lo:hi])
-        if kind := _KNOWN.get(said):
-            out.append((i, kind, lo, hi))
-        else:  # a known sentence that others were run into: the first that the sentence holds whole
-            held = [(at, k) for s, k in _KNOWN.items() if len(said) > len(s) and (at := f" {said} ".find(f" {s} ")) >= 0]
-            if held:
-                out.append((i, min(held)[1], lo, hi))
+    """(ordinal of the sentence, identifier, start, end) of the known sentences; spans reach from their first word to their last."""
+    said, at, spans = normalise(text)
+    out, i, last = [], 0, 0
+    for m in _HELD.finditer(said):
+        i += said.count("\n", last, m.start())
+        last = m.start()
+        out.append((i, _KNOWN[m.group()], spans[bisect_left(at, m.start())][0], spans[bisect_left(at, m.end()) - 1][1]))
     return out
 
 

@@ -294,6 +294,45 @@ def test_licenses(spark):
     assert got == [(1, "MIT", "notice"), (2, "GPL-3.0", "notice"), (6, "Apache-2.0", "full"), (7, "CC-BY-NC-4.0", "notice"), (7, "MIT", "notice")]
 
 
+def test_licences_in_their_official_wording(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+    gpl = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer."""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."""
+    ids = "\n".join("// SPDX-License-Identifier: " + x for x in ("MIT", "Apache-2.0", "GPL-3.0-or-later"))
+    block = lambda t, sign: "\r\n".join(sign + x for x in t.split("\n"))
+    texts = [(1, mit), (2, block(mit, " * ")), (3, block(mit, "REM ")), (4, apache), (5, block(apache, "# ")), (6, gpl % ":"), (7, block(gpl % ";", "// ")), (8, bsd), (9, mpl), (10, ids), (11, "\u0130 is licensed under the MIT License and licensed under CC BY 4.0 too"), (12, "Released under the MIT. License it")]
+    got = [(r.doc_id, r.licence, r.rule) for r in licenses.scan(docs_of(spark, texts)).orderBy("doc_id", "start").collect()]
+    want = [(1, "MIT", "full"), (2, "MIT", "full"), (3, "MIT", "full"), (4, "Apache-2.0", "full"), (5, "Apache-2.0", "full"), (6, "GPL", "grant"), (7, "GPL", "grant"), (8, "BSD", "partial"), (9, "MPL-2.0", "notice")]
+    assert got == want + [(10, x, "notice") for x in ("MIT", "Apache-2.0", "GPL-3.0")] + [(11, "MIT", "notice"), (11, "CC-BY-4.0", "notice")]
+    (_, _, lo, hi), *_ = licenses.identify(mpl)
+    assert mpl[lo:hi].startswith("This Source") and mpl[lo:hi].endswith("v. 2.0")
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
