@@ -9,15 +9,16 @@ Occurrences of an anchor are told apart by their context, the bytes that a repea
 
 * Equal contexts are one class. All members but those of its first document repeat that document's bytes whole. Those of
   its first document are one row for each text, which lists their places: what is found on the row holds at each of them.
+  Contexts count as equal when two 64-bit hashes are, of the anchor and of the context with its place.
 * The contexts of the classes of one anchor go to one task, in blocks. There the suffixes of the contexts that share
   ``LEAST`` bytes with another document are sorted with the lengths of their common prefixes. A stack scan gives the
   intervals of this suffix array; intervals whose occurrences all have the same byte before them are passed over, as a longer
-  repeat to the left says the same (left-extension diversity). What is left are maximal repeat groups with all occurrences.
-* An anchor with more than ``HOT_CLASSES`` classes is split: its strings of ``LEAST`` bytes are grouped by hash over
-  all tasks, exactly, instead of in one block.
+  repeat to the left says the same (left-extension diversity).
+* For ``repeated_spans``, an anchor with more than ``HOT_CLASSES`` classes is split: its strings of ``LEAST`` bytes are grouped by
+  hash over all tasks, exactly, instead of in one block. The result is the same.
 
 ``repeated_spans`` gives what to remove so that of each repeat only the document with the smallest id keeps it; ``maximal_repeats``
-gives the groups. Equal texts are collapsed first: only the one with the smallest id takes part.
+gives the groups, with all occurrences and in their whole length. Equal texts are collapsed first: only the one with the smallest id takes part.
 
 Null texts count as empty; texts below ``LEAST`` bytes are never touched. A null doc_id is smaller than any other. Rows with
 equal ids and different texts are different occurrences, neither of which comes before the other. Empty tables give empty results.
@@ -26,6 +27,7 @@ equal ids and different texts are different occurrences, neither of which comes
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,11 +120,7 @@ def _distinct_anchors(copies):
     return run
 
 
-_OCCURRENCE = "anchor int, context int, doc long, tag int, place int, before int, behind int"
-
-
-def _halves(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+_OCCURRENCE = "anchor long, context long, doc long, tag int, place int, before byte, behind byte"
 
 
 def _occurrences(copies, twice):
@@ -136,18 +134,18 @@ def _occurrences(copies, twice):
                 keep = bitmap.lookup(twice.value, h.view(np.int64))
                 text, place, h, context = text[keep], place[keep], h[keep], context[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (_halves(h), _halves(context), doc[first + text], tag[first + text], (place - offsets[text]).astype(np.int32), np.minimum(SIDE, place - offsets[text]).astype(np.int32), np.minimum(LEAST, offsets[text + 1] - place).astype(np.int32))],
+                    [pa.array(x) for x in (h.view(np.int64), context.view(np.int64), doc[first + text], tag[first + text], (place - offsets[text]).astype(np.int32), np.minimum(SIDE, place - offsets[text]).astype(np.int8), np.minimum(LEAST, offsets[text + 1] - place).astype(np.int8))],
                     names=[x.split()[0] for x in _OCCURRENCE.split(", ")],
                 )
 
     return run
 
 
-_CONTEXT = "anchor int, doc long, tag int, place int, before int, bytes binary, again array<int>"
+_CONTEXT = "anchor long, doc long, tag int, place int, before int, bytes binary, again array<int>"
 
 
 def _asked_key(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    key = (anchor.astype(np.int64).view(np.uint64) << np.uint64(32)) ^ context.astype(np.uint32).astype(np.uint64)
+    key = mixed(anchor.view(np.uint64)) ^ context.view(np.uint64)
     return mixed(mixed(key) + doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
@@ -166,7 +164,7 @@ def _contexts(copies, asked):
             doc, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for first, _, offsets, data in slices(batch.column(2)):
                 text, place, h, context = anchors(offsets, data)
-                a, c = _halves(h), _halves(context)
+                a, c = h.view(np.int64), context.view(np.int64)
                 keep = np.flatnonzero(bitmap.lookup(asked.value, _asked_key(a, c, doc[first + text])))
                 keep = keep[np.lexsort((place[keep], c[keep], a[keep], text[keep]))]
                 text, place, a, c = text[keep], place[keep], a[keep], c[keep]
@@ -325,15 +323,83 @@ def _block_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block.spans()
 
 
-def _block_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SUFFIX = "key binary, doc long, tag int, start int"
+
+
+def _block_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where strings of ``LEAST`` bytes begin that two texts have and that differ to their left: the suffixes that a repeat may begin with."""
     for block in _blocks(batches):
-        rows = []
-        for length, row, at in block.intervals():
-            which, shift = block.places(row)
-            where = [{"doc": d, "start": s} for d, s in sorted({(int(block.doc[row[i]]), int(block.start[row[i]] + at[i] + o)) for i, o in zip(which, shift)})]
-            rows.append({"repeat": block.bytes[row[0], at[0] : at[0] + length].tobytes(), "length": int(length), "occurrences": where})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("repeat", pa.binary()), ("length", pa.int32()), ("occurrences", pa.list_(pa.struct([("doc", pa.int64()), ("start", pa.int64())])))]))
+        row, at, _ = block.roots()
+        for i in range(0, len(row), 20_000):
+            r, o = row[i : i + 20_000], at[i : i + 20_000]
+            key = pa.array([hashlib.blake2b(block.bytes[x, y : y + LEAST].tobytes(), digest_size=16).digest() for x, y in zip(r, o)], pa.binary())
+            which, shift = block.places(r)
+            start = (block.start[r] + o)[which] + shift
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(which)), pa.array(block.doc[r][which]), pa.array(block.tag[r][which]), pa.array(start.astype(np.int32))], names=[x.split()[0] for x in _SUFFIX.split(", ")])
+
+
+_LONGER = "key binary, left int, more binary, doc long, tag int, start int"
+
+
+def _with_bytes(length: int):
+    """(doc, tag, text, suffixes): each suffix with the byte before it and with the ``length`` bytes behind its first ``length``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, tag, text, suffixes in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                data = text.encode()
+                rows = [(s["key"], data[s["start"] - 1] if s["start"] else -1, data[s["start"] + length : s["start"] + 2 * length], doc, tag, s["start"]) for s in suffixes]
+                for i in range(0, len(rows), 1 + (1 << 20) // length):
+                    part = zip(*rows[i : i + 1 + (1 << 20) // length])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32()))], names=[x.split()[0] for x in _LONGER.split(", ")])
+
+    return run
+
+
+def _common(a: bytes, b: bytes) -> int:
+    if a == b:
+        return len(a)
+    n = min(len(a), len(b))
+    differ = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    return int(differ.argmax()) if differ.any() else n
+
+
+_GROUP = "length int, doc long, tag int, start int, occurrences array<struct<doc:bigint,start:bigint>>, key binary, again array<struct<doc:bigint,tag:int,start:int>>"
+
+
+def _scan_intervals(length: int):
+    """Stack scan of suffixes sorted by (key, more): the intervals that end inside ``more``, and those open at its end (``key``, ``again``)."""
+
+    def keyed(rows: list[tuple]) -> Iterator[dict]:
+        # lcp with the suffix before; -1 at both ends closes the interval of the key itself
+        lcp = [-1, *(_common(a[2], b[2]) for a, b in zip(rows, rows[1:])), -1]
+        stack: list[tuple[int, int]] = []
+        for i, depth in enumerate(lcp):
+            first = i - 1
+            while stack and stack[-1][0] > depth:
+                common, first = stack.pop()
+                held = rows[first:i]
+                left = {r[1] for r in held}
+                if len(held) < 2 or len({r[3] for r in held}) < 2 or (len(left) == 1 and -1 not in left):
+                    continue  # one text only, or a longer repeat to the left says the same
+                if common == length:
+                    yield {"key": hashlib.blake2b(held[0][0] + held[0][2], digest_size=16).digest(), "again": [{"doc": r[3], "tag": r[4], "start": r[5]} for r in held]}
+                else:
+                    where = sorted((r[3], r[5]) for r in held)
+                    yield {"length": length + common, "doc": held[0][3], "tag": held[0][4], "start": held[0][5], "occurrences": [{"doc": d, "start": s} for d, s in where]}
+            if depth >= 0 and (not stack or stack[-1][0] < depth):
+                stack.append((depth, first))
+
+    kind = pa.schema([("length", pa.int32()), ("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("occurrences", pa.list_(pa.struct([("doc", pa.int64()), ("start", pa.int64())]))), ("key", pa.binary()), ("again", pa.list_(pa.struct([("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, same in itertools.groupby(rows, key=lambda r: r[0]):
+            found = list(keyed(list(same)))
+            if found:
+                yield pa.RecordBatch.from_pylist(found, kind)
+
+    return run
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,12 +543,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(repeat, length, occurrences): maximal repeat groups inside one context, over texts that differ, with every occurrence of its anchor's classes.
+    """(repeat, length, occurrences): all maximal repeat groups of ``LEAST`` bytes or more, of any length, with every occurrence.
+
+    A group is a string that two different texts have at least, that not all its occurrences have the same byte before, nor the same
+    byte behind (the ends of a text are unlike any byte).
 
-    An anchor is a block here however many contexts it has.
+    The suffixes that begin with a string of ``LEAST`` bytes that texts share (and that differ to their left) are sorted by the bytes behind
+    it; each round doubles the bytes read: a stack scan gives the intervals that end inside them, those still open go on. So
+    bytes travel only for suffixes of repeats at least half as long. A group's list of occurrences is one row and has to fit in one.
     """
     job = Repeats(docs, id_col, text_col)
-    return job.every_context().repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_block_groups, "repeat binary, length int, occurrences array<struct<doc:long,start:long>>")
+    sorted_ = job.every_context().repartition("anchor").sortWithinPartitions("anchor")
+    open_ = cut(sorted_.mapInArrow(_block_seeds, _SUFFIX).dropDuplicates(["doc", "tag", "start"]), "suffixes")
+    texts = job.texts.where(F.col("sure") | ~bitmap.probe(job.copies, F.col("h"))).select("doc", "tag", "text")
+    length, found = LEAST, None
+    while found is None or open_.limit(1).count():
+        asked = open_.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "start")).alias("suffixes"))
+        longer = texts.join(asked.hint("merge"), ["doc", "tag"]).select("doc", "tag", "text", "suffixes").mapInArrow(_with_bytes(length), _LONGER)
+        scanned = cut(longer.repartition("key").sortWithinPartitions("key", "more").mapInArrow(_scan_intervals(length), _GROUP), "intervals")
+        closed = scanned.where("length is not null").select("length", "doc", "tag", "start", "occurrences")
+        found = closed if found is None else found.unionByName(closed)
+        open_ = cut(scanned.where("length is null").select("key", F.explode("again").alias("s")).select("key", "s.doc", "s.tag", "s.start"), "suffixes")
+        length *= 2
+    # the strings themselves, from one occurrence each
+    held = found.join(texts.hint("merge"), ["doc", "tag"])
+    return held.select(F.encode("text", "UTF-8").alias("bytes"), "start", "length", "occurrences").select(F.expr("substring(bytes, start + 1, length)").alias("repeat"), "length", "occurrences")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -345,3 +345,38 @@ def test_shingle_sets_match_words():
     texts = ["A b c d e", "a B c d e", "a b c", "", "x", "a b c d a b c d a"]
     got = list(shingles.sets_of(pa.array(texts), 4))
     assert [len(s) for s in got] == [len(shingle_set(t, 4)) for t in texts] and (got[0] == got[1]).all() and got[2][0] not in got[0]
+
+
+def brute_groups(texts, least):
+    """All maximal repeats of the distinct texts: {(string, occurrences)} by sorting every suffix."""
+    first = {}
+    for i, t in sorted(texts):
+        first.setdefault(t.encode(), i)
+    suffixes = sorted((t[p:], i, p, t[p - 1] if p else None) for t, i in first.items() for p in range(len(t) - least + 1))
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    lcp = [common(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:])]
+    out = set()
+    for k, n in enumerate(lcp):
+        if n >= least:
+            lo = hi = k
+            while lo > 0 and lcp[lo - 1] >= n:
+                lo -= 1
+            while hi + 1 < len(lcp) and lcp[hi + 1] >= n:
+                hi += 1
+            held = suffixes[lo : hi + 2]
+            left = {s[3] for s in held}
+            if len({s[1] for s in held}) > 1 and (len(left) > 1 or None in left):
+                out.add((held[0][0][:n], tuple(sorted((s[1], s[2]) for s in held))))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(60, 200), (50, 51, 99, 100, 101), (1000, 380, 76)])
+def test_maximal_repeats_of_any_length(spark, sizes):
+    """Passages of 50 to 1000 bytes in three texts and more, one inside another, with the same and with other bytes around; copies; repeats inside one text."""
+    passages = [prose(300 + n, n)[:n] for n in sizes]
+    texts = [(1, "x" + passages[0] + "y"), (2, "a" * 3 + passages[0] + "b" * 3), (3, "z" + "a" * 3 + passages[0] + "b" * 3 + "w")]
+    texts += [(10 + k, prose(400 + k, 5) + p + prose(500 + k % 2, 4) + p[: len(p) - 3] + "!") for k, p in enumerate(passages * 3)]
+    texts += [(40, texts[0][1]), (41, "".join(passages)), (42, "ab" * 60), (43, "c" + "ab" * 40), (44, ""), (45, passages[-1])]
+    got = suffix_dedup.maximal_repeats(docs_of(spark, texts)).collect()
+    groups = {(bytes(r.repeat), tuple((o.doc, o.start) for o in r.occurrences)) for r in got}
+    assert groups == brute_groups(texts, 50) and len(got) == len(groups) and all(r.length == len(r.repeat) for r in got)
