@@ -4,10 +4,12 @@ Texts are normalised to words and split into sentences; each normalised known se
 its identifier, and of two at one place the longer does. Line breaks and comment signs are spaces, so wrapped headers are whole;
 empty lines end a sentence. The identifiers of a text, in order, are then matched against ordered rules: a rule holds
 if its identifiers appear in its order with at most ``MAX_GAP`` foreign sentences between two of them. A longer
-rule is preferred; the sentences it used are not used again.
+rule is preferred; the sentences it used are not used again. A notice that the words before it deny ("not released under ...")
+is passed over.
 
 Only texts with one of the marker words go through the sentence split; every known sentence holds a marker.
-Null texts count as empty and, like all texts without a match, give no row. Repeated rows give repeated results.
+Null texts count as empty and, like all texts without a match and empty tables, give no row. Repeated rows give repeated results, a
+null id is returned as it is. Texts of any length are read whole, one at a time. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,52 +22,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sequora.llm.store import small_batches
+
 MAX_GAP = 3
 
 #: Identifiers of known licence sentences, normalised (lower case, words joined by one space).
 SENTENCES = {
-    "mit-notice": ("released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"),
+    "mit-notice": ("released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "distributed under the mit license", "available under the mit license"),
     "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software",),
     "mit-condition": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
     "as-is": ("the software is provided as is without warranty of any kind",),
+    "isc-grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    "isc-as-is": ("the software is provided as is and the author disclaims all warranties",),
+    "isc-notice": ("licensed under the isc license", "released under the isc license"),
     "apache-notice": ("licensed under the apache license version 2 0", "released under the apache license version 2 0"),
     "apache-condition": ("you may not use this file except in compliance with the license",),
     "apache-warranty": ("distributed on an as is basis without warranties or conditions of any kind",),
-    "gpl3-notice": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"),
+    "gpl3-notice": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"),
+    "gpl2-notice": ("licensed under the gnu general public license version 2", "released under the gnu general public license version 2"),
+    "lgpl21-notice": ("licensed under the gnu lesser general public license version 2 1", "released under the gnu lesser general public license version 2 1"),
+    "lgpl3-notice": ("licensed under the gnu lesser general public license version 3", "released under the gnu lesser general public license version 3"),
+    "agpl3-notice": ("licensed under the gnu affero general public license version 3", "released under the gnu affero general public license version 3"),
     "gpl-grant": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",),
+    "lgpl-grant": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",),
+    "agpl-grant": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license",),
+    "version-2": ("either version 2 of the license or at your option any later version", "either version 2 of the license"),
+    "version-2.1": ("either version 2 1 of the license or at your option any later version", "either version 2 1 of the license"),
+    "version-3": ("either version 3 of the license or at your option any later version", "either version 3 of the license"),
+    "gnu-warranty": ("without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",),
     "bsd-grant": ("redistribution and use in source and binary forms with or without modification are permitted",),
     "bsd-condition": ("redistributions of source code must retain the above copyright notice",),
+    "bsd-binary": ("redistributions in binary form must reproduce the above copyright notice",),
+    "bsd-endorse": ("may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "bsd-as-is": ("this software is provided by the copyright holders and contributors as is",),
+    "zlib-as-is": ("this software is provided as is without any express or implied warranty",),
+    "zlib-grant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",),
+    "boost-grant": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
+    "unlicense": ("this is free and unencumbered software released into the public domain",),
     "cc-by-nc-notice": ("licensed under cc by nc 4 0",),
     "cc-by-notice": ("licensed under cc by 4 0",),
     "cc-by-sa-notice": ("licensed under cc by sa 4 0",),
-    "mpl2-notice": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
+    "cc0-notice": ("licensed under cc0 1 0", "dedicated to the public domain under cc0"),
+    "mpl2-notice": ("this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"),
+    "epl2-notice": ("made available under the terms of the eclipse public license 2 0", "made available under the terms of the eclipse public license v 2 0"),
     "spdx-mit": ("spdx license identifier mit",),
     "spdx-apache": ("spdx license identifier apache 2 0",),
+    "spdx-gpl2": ("spdx license identifier gpl 2 0 only", "spdx license identifier gpl 2 0 or later"),
     "spdx-gpl3": ("spdx license identifier gpl 3 0 only", "spdx license identifier gpl 3 0 or later"),
+    "spdx-lgpl21": ("spdx license identifier lgpl 2 1 only", "spdx license identifier lgpl 2 1 or later"),
+    "spdx-lgpl3": ("spdx license identifier lgpl 3 0 only", "spdx license identifier lgpl 3 0 or later"),
+    "spdx-agpl3": ("spdx license identifier agpl 3 0 only", "spdx license identifier agpl 3 0 or later"),
+    "spdx-bsd2": ("spdx license identifier bsd 2 clause",),
+    "spdx-bsd3": ("spdx license identifier bsd 3 clause",),
+    "spdx-isc": ("spdx license identifier isc",),
+    "spdx-mpl2": ("spdx license identifier mpl 2 0",),
+    "spdx-epl2": ("spdx license identifier epl 2 0",),
+    "spdx-zlib": ("spdx license identifier zlib",),
+    "spdx-boost": ("spdx license identifier bsl 1 0",),
+    "spdx-unlicense": ("spdx license identifier unlicense",),
+    "spdx-cc0": ("spdx license identifier cc0 1 0",),
 }
 #: Ordered rules; the first that fits at a sentence is taken, so longer rules come first.
 RULES = (
+    ("BSD-3-Clause", "full", ("bsd-grant", "bsd-condition", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+    ("BSD-2-Clause", "full", ("bsd-grant", "bsd-condition", "bsd-binary", "bsd-as-is")),
     ("MIT", "full", ("mit-grant", "mit-condition", "as-is")),
     ("Apache-2.0", "full", ("apache-notice", "apache-condition", "apache-warranty")),
+    ("GPL-2.0", "full", ("gpl-grant", "version-2", "gnu-warranty")),
+    ("GPL-3.0", "full", ("gpl-grant", "version-3", "gnu-warranty")),
+    ("LGPL-2.1", "full", ("lgpl-grant", "version-2.1", "gnu-warranty")),
+    ("LGPL-3.0", "full", ("lgpl-grant", "version-3", "gnu-warranty")),
+    ("AGPL-3.0", "full", ("agpl-grant", "version-3", "gnu-warranty")),
     ("BSD", "full", ("bsd-grant", "bsd-condition", "as-is")),
+    ("ISC", "full", ("isc-grant", "isc-as-is")),
+    ("Zlib", "full", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", "full", ("boost-grant", "as-is")),
+    ("GPL-2.0", "grant", ("gpl-grant", "version-2")),
+    ("GPL-3.0", "grant", ("gpl-grant", "version-3")),
+    ("LGPL-2.1", "grant", ("lgpl-grant", "version-2.1")),
+    ("LGPL-3.0", "grant", ("lgpl-grant", "version-3")),
+    ("AGPL-3.0", "grant", ("agpl-grant", "version-3")),
     ("BSD", "partial", ("bsd-grant", "bsd-condition")),
     ("MIT", "partial", ("mit-grant", "as-is")),
     ("Apache-2.0", "partial", ("apache-notice", "apache-condition")),
     ("MIT", "notice", ("mit-notice",)),
     ("MIT", "notice", ("spdx-mit",)),
     ("MIT", "grant", ("mit-grant",)),
+    ("ISC", "notice", ("isc-notice",)),
+    ("ISC", "notice", ("spdx-isc",)),
+    ("ISC", "grant", ("isc-grant",)),
     ("Apache-2.0", "notice", ("apache-notice",)),
     ("Apache-2.0", "notice", ("spdx-apache",)),
     ("GPL-3.0", "notice", ("gpl3-notice",)),
     ("GPL-3.0", "notice", ("spdx-gpl3",)),
+    ("GPL-2.0", "notice", ("gpl2-notice",)),
+    ("GPL-2.0", "notice", ("spdx-gpl2",)),
+    ("LGPL-2.1", "notice", ("lgpl21-notice",)),
+    ("LGPL-2.1", "notice", ("spdx-lgpl21",)),
+    ("LGPL-3.0", "notice", ("lgpl3-notice",)),
+    ("LGPL-3.0", "notice", ("spdx-lgpl3",)),
+    ("AGPL-3.0", "notice", ("agpl3-notice",)),
+    ("AGPL-3.0", "notice", ("spdx-agpl3",)),
     ("GPL", "grant", ("gpl-grant",)),
+    ("LGPL", "grant", ("lgpl-grant",)),
+    ("AGPL", "grant", ("agpl-grant",)),
     ("BSD", "grant", ("bsd-grant",)),
+    ("BSD-2-Clause", "notice", ("spdx-bsd2",)),
+    ("BSD-3-Clause", "notice", ("spdx-bsd3",)),
+    ("Zlib", "grant", ("zlib-grant",)),
+    ("Zlib", "notice", ("spdx-zlib",)),
+    ("BSL-1.0", "grant", ("boost-grant",)),
+    ("BSL-1.0", "notice", ("spdx-boost",)),
+    ("Unlicense", "notice", ("unlicense",)),
+    ("Unlicense", "notice", ("spdx-unlicense",)),
     ("CC-BY-NC-4.0", "notice", ("cc-by-nc-notice",)),
     ("CC-BY-4.0", "notice", ("cc-by-notice",)),
     ("CC-BY-SA-4.0", "notice", ("cc-by-sa-notice",)),
+    ("CC0-1.0", "notice", ("cc0-notice",)),
+    ("CC0-1.0", "notice", ("spdx-cc0",)),
     ("MPL-2.0", "notice", ("mpl2-notice",)),
+    ("MPL-2.0", "notice", ("spdx-mpl2",)),
+    ("EPL-2.0", "notice", ("epl2-notice",)),
+    ("EPL-2.0", "notice", ("spdx-epl2",)),
 )
-MARKERS = ("licen", "permission is hereby", "redistribut", "as is", "copyright")
+MARKERS = ("licen", "permission is hereby", "redistribut", "as is", "copyright", "public domain", "hereby granted", "without any warranty", "endorse or promote")
+#: Words that deny a notice behind them, unless "only" follows; looked for among so many words before it.
+DENIALS, DENIAL_WORDS = ("not", "never", "cannot", "longer", "isn", "aren", "wasn", "weren"), 3
 _MARKED = "(?is)" + "|".join("(?:[^a-z0-9]|\\b(?:rem|dnl)\\b)+".join(m.split()) for m in MARKERS)
 #: A sentence ends at an empty line, or at a stop before white space; "2.0" and "v. 2.0" hold no end.
 _END = re.compile(r"[.!?]+\s|(?:\r?\n|\r(?!\n))[^\r\n]*[\r\n]")
@@ -99,6 +181,12 @@ def normalise(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
     return "".join(parts), at, spans
 
 
+def denied(said: str, start: int) -> bool:
+    """Whether the words before a place of the normalised text, in its sentence, deny what follows."""
+    before = said[max(0, start - 60) : start].rpartition("\n")[2].split()[-DENIAL_WORDS:]
+    return any(w in DENIALS and before[i + 1 : i + 2] != ["only"] for i, w in enumerate(before))
+
+
 def identify(text: str) -> list[tuple[int, str, int, int]]:
     """(ordinal of the sentence, identifier, start, end) of the known sentences; spans reach from their first word to their last."""
     said, at, spans = normalise(text)
@@ -106,7 +194,10 @@ def identify(text: str) -> list[tuple[int, str, int, int]]:
     for m in _HELD.finditer(said):
         i += said.count("\n", last, m.start())
         last = m.start()
-        out.append((i, _KNOWN[m.group()], spans[bisect_left(at, m.start())][0], spans[bisect_left(at, m.end()) - 1][1]))
+        kind = _KNOWN[m.group()]
+        if kind.endswith("-notice") and denied(said, m.start()):
+            continue
+        out.append((i, kind, spans[bisect_left(at, m.start())][0], spans[bisect_left(at, m.end()) - 1][1]))
     return out
 
 
@@ -146,5 +237,5 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per licence found: id, licence, rule, number of sentences, span (code points, end exclusive)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    marked = docs.where(F.col(text_col).rlike(_MARKED)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = small_batches(docs).where(F.col(text_col).rlike(_MARKED)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return marked.mapInArrow(_scan, f"id {kind}, licence string, rule string, sentences int, start long, end long").withColumnRenamed("id", id_col)
