@@ -4,14 +4,22 @@ Texts and items become sequences of words: white space splits, signs go, letters
 capital inside a sentence) and units (behind a number) become typed placeholders, so that a question asked again
 with other values keeps its template. Windows of ``WIDTH`` template words are hashed and joined with those of the
 benchmark. Where a window has placeholders, the words in its slots are compared too: along one alignment, equal
-slots of the item must hold equal words in the text and different ones different words.
+slots of the item must hold equal words in the text and different ones different words. Windows without slots need no
+such check and count whatever the others of their alignment hold.
 
-A text is contaminated by an item if its consistent windows cover at least ``COVERAGE`` of the item's windows, or
-``RUN`` windows at least. Items shorter than ``WIDTH`` words are one window of their own length; items below
-``SHORTEST`` words hold too little to tell and match nothing.
+A window with fewer literal words than ``LITERAL_EIGHTHS`` of its width says too little as a template: it is hashed with its own
+words instead, on both sides, so it still meets its verbatim copies. Items shorter than ``WIDTH`` words are one window of
+their own length, which needs ``LITERAL_LEAST`` literal words to be a template. All windows of an item can be met, so all
+count. One pass over the texts makes the windows of all widths that the benchmark has.
+
+A text is contaminated by an item if its matched windows cover at least ``COVERAGE`` of the item's windows, or
+``RUN`` windows at least. Items below ``SHORTEST`` words (a parameter) match nothing: at 1, an item of one word
+would meet each text with that word.
 
 Null and empty texts and items match nothing. A null doc_id or item_id is a value like others. Repeated rows of the
-benchmark are repeated items with one id: they count once. Repeated doc_ids count as one document.
+benchmark are repeated items with one id: they count once; of different texts with one item_id all windows count. Repeated
+doc_ids count as one document. Empty tables give an empty result. Texts may be of any length: their windows are rows. Columns other
+than doc_id, item_id and text are not read, and ``drop_contaminated`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +30,8 @@ from pyspark.sql import functions as F
 from sequora.llm.store import cut
 
 WIDTH, SHORTEST, COVERAGE, RUN = 8, 4, 0.5, 6
-#: A window needs so many words that are no placeholders, in eighths of its width.
-LITERAL_EIGHTHS = 5
+#: A template needs so many words that are no placeholders, in eighths of its width; that of a whole short item, so many.
+LITERAL_EIGHTHS, LITERAL_LEAST = 5, 3
 #: Rows of benchmark windows, or of contaminated documents, up to which they are broadcast; beyond, both sides shuffle.
 BROADCAST_ROWS = 200_000
 #: Number words and units.
@@ -58,50 +66,62 @@ def placeholder(w: Column, before: Column) -> Column:
 
 
 def _sequences(rows: DataFrame, key: str) -> DataFrame:
-    """(key, t, r): hashes of the template words; of the words in slots, null elsewhere."""
+    """(key, t, w, r): hashes of the template words; of the words; of the words in slots, null elsewhere."""
     kinds = F.transform("found", lambda w, i: F.struct(w["raw"].alias("raw"), placeholder(w, F.when(i > 0, F.get("found", i - 1))).alias("kind")))
     held = with_words(rows).select(key, kinds.alias("kinds"))
     template = F.transform("kinds", lambda z: F.xxhash64(F.coalesce(z["kind"], z["raw"])))
+    words = F.transform("kinds", lambda z: F.xxhash64(z["raw"]))
     slots = F.transform("kinds", lambda z: F.when(z["kind"].isNotNull(), F.xxhash64(z["raw"])))
-    return held.select(key, template.alias("t"), slots.alias("r"))
+    return held.select(key, template.alias("t"), words.alias("w"), slots.alias("r"))
+
+
+def _windows(seq: DataFrame, key: str, widths: list[int], longest: int) -> DataFrame:
+    """(key, width, at, h, slots): the windows of some widths; slots is null where a window has none, or is no template.
+
+    Only windows of the longest width come from anywhere in a text; shorter ones belong to short items.
+    """
 
+    def windows(width: int) -> Column:
+        least = -(-LITERAL_EIGHTHS * width // 8) if width == longest else min(width, LITERAL_LEAST)
 
-def _windows(seq: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, at, h, slots): the windows of a width; slots is null where a window has none."""
+        def window(i: Column) -> Column:
+            at = [i + k for k in range(width)]
+            literal = sum((F.get("r", j).isNull().cast("int") for j in at), F.lit(0))
+            template, exact = F.xxhash64(*[F.get("t", j) for j in at]), F.xxhash64(*[F.get("w", j) for j in at], F.lit("exact"))
+            h = F.when(F.col("plain"), template).otherwise(F.when(literal >= least, template).otherwise(exact))
+            slots = F.when(~F.col("plain"), F.when((literal >= least) & (literal < width), F.slice("r", i + 1, F.lit(width))))
+            return F.struct(F.lit(width).alias("width"), i.alias("at"), h.alias("h"), slots.alias("slots"))
 
-    def window(i: Column) -> Column:
-        held = F.slice("r", i + 1, F.lit(width))
-        return F.struct(i.alias("at"), F.xxhash64(F.slice("t", i + 1, F.lit(width))).alias("h"), F.when(F.exists(held, lambda x: x.isNotNull()), held).alias("slots"))
+        return F.when(F.size("t") >= width, F.transform(F.sequence(F.lit(0), F.size("t") - width), window)).otherwise(F.array().cast("array<struct<width:int,at:int,h:bigint,slots:array<bigint>>>"))
 
-    listed = F.when(F.size("t") >= width, F.transform(F.sequence(F.lit(0), F.size("t") - width), window))
-    rows = seq.select(key, F.explode(listed).alias("w")).select(key, "w.*")
-    filled = F.size(F.filter("slots", lambda x: x.isNotNull()))
-    return rows.where(F.col("slots").isNull() | ((width - filled) * 8 >= LITERAL_EIGHTHS * width))
+    # a text without any slot needs no look at them
+    held = seq.withColumn("plain", ~F.exists("r", lambda x: x.isNotNull()))
+    return held.select(key, F.explode(F.concat(*[windows(w) for w in widths])).alias("x")).select(key, "x.*")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, run: int = RUN, shortest: int = SHORTEST) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, matched, windows, coverage, verbatim."""
-    items = _sequences(benchmark.select("item_id", "text"), "item_id").withColumn("width", F.least(F.size("t"), F.lit(width))).where(F.col("width") >= SHORTEST)
-    items = cut(items.dropDuplicates(["item_id", "t"]), "items")
-    texts = _sequences(docs.select("doc_id", "text"), "doc_id")
-    sizes = sorted(r.width for r in items.select("width").distinct().collect())  # at most ``width`` values
-    hits = None
-    for size in sizes or [width]:
-        asked = cut(_windows(items.where(F.col("width") == size), "item_id", size).withColumnsRenamed({"at": "j", "slots": "wanted"}), "windows")
-        if asked.count() <= BROADCAST_ROWS:
-            asked = F.broadcast(asked)
-        found = _windows(texts, "doc_id", size).join(asked, "h").select("doc_id", "item_id", F.lit(size).alias("width"), "at", "j", "slots", "wanted")
-        hits = found if hits is None else hits.unionByName(found)
-    hits = cut(hits, "hits")
+    items = _sequences(benchmark.select("item_id", "text"), "item_id").withColumn("width", F.least(F.size("t"), F.lit(width))).where(F.col("width") >= shortest)
+    items = cut(items.dropDuplicates(["item_id", "w"]), "items")
+    sizes = sorted(r.width for r in items.select("width").distinct().collect()) or [width]  # at most ``width`` values
+    asked = None
+    for size in sizes:
+        part = _windows(items.where(F.col("width") == size).drop("width"), "item_id", [size], width)
+        asked = part if asked is None else asked.unionByName(part)
+    asked = cut(asked.withColumnsRenamed({"at": "j", "slots": "wanted"}), "windows")
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    texts = _windows(_sequences(docs.select("doc_id", "text"), "doc_id"), "doc_id", sizes, width)
+    hits = cut(texts.join(asked, ["width", "h"]).select("doc_id", "item_id", "width", "at", "j", "slots", "wanted"), "hits")
 
     lane = ["doc_id", "item_id", "width", (F.col("at") - F.col("j")).alias("lane")]
     # slots of one alignment: an item's word must always meet the same word, and that word no other
     pairs = hits.where("wanted is not null").select(*lane, F.explode(F.arrays_zip("wanted", "slots")).alias("p")).select("doc_id", "item_id", "width", "lane", F.col("p.wanted").alias("b"), F.col("p.slots").alias("d")).where("b is not null").distinct()
     keys = ["doc_id", "item_id", "width", "lane"]
     bad = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("b").alias("nb"), F.countDistinct("d").alias("nd"), F.max(F.col("b") != F.col("d")).alias("changed"))
-    lanes = hits.select(*lane, "j").join(bad, keys, "left").where("n is null or (n = nb and n = nd)")
+    lanes = hits.select(*lane, "j", F.col("wanted").isNull().alias("literal")).join(bad, keys, "left").where("literal or (n = nb and n = nd)")
     whole = items.groupBy("item_id").agg(F.max(F.size("t") - F.col("width") + 1).cast("long").alias("windows"))
-    matched = lanes.groupBy("doc_id", "item_id").agg(F.countDistinct("j").alias("matched"), (~F.max(F.coalesce("changed", F.lit(False)))).alias("verbatim"))
+    matched = lanes.groupBy("doc_id", "item_id").agg(F.countDistinct("j").alias("matched"), (~F.max(~F.col("literal") & F.coalesce("changed", F.lit(False)))).alias("verbatim"))
     share = F.col("matched") / F.col("windows")
     return matched.join(whole, "item_id").where((share >= coverage) | (F.col("matched") >= run)).select("doc_id", "item_id", "matched", "windows", F.round(share, 6).alias("coverage"), "verbatim")
 
@@ -125,17 +145,16 @@ WITH src AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT
  v AS (SELECT k, id, raw, named, row_number() OVER (PARTITION BY k, id ORDER BY i) - 1 AS n, lag(raw) OVER (PARTITION BY k, id ORDER BY i) AS prev FROM w WHERE raw <> ''),
  t AS (SELECT k, id, n, raw, CASE WHEN regexp_matches(raw, '^[0-9]+[a-z]{{0,2}}$') OR raw IN ({_NUM}) THEN '<num>' WHEN named THEN '<name>'
        WHEN raw IN ({_UNIT}) AND regexp_matches(prev, '^[0-9]') THEN '<unit>' END AS kind FROM v),
- s AS (SELECT k, id, list(coalesce(kind, raw) ORDER BY n) AS t, list(CASE WHEN kind IS NOT NULL THEN raw END ORDER BY n) AS r FROM t GROUP BY ALL),
- items AS (SELECT id AS item_id, t, r, least(len(t), {WIDTH}) AS width FROM s WHERE k = 'b' AND len(t) >= {SHORTEST}),
- bw AS (SELECT item_id, width, j, array_to_string(t[j + 1:j + width], ' ') AS h, r[j + 1:j + width] AS wanted, len(list_filter(r[j + 1:j + width], lambda y: y IS NOT NULL)) AS f
-        FROM items, unnest(range(0, len(t) - width + 1)) AS u(j)),
- sizes AS (SELECT DISTINCT width FROM items),
- dw AS (SELECT id AS doc_id, width, i, array_to_string(t[i + 1:i + width], ' ') AS h, r[i + 1:i + width] AS slots
-        FROM s, sizes, unnest(range(0, len(t) - width + 1)) AS u(i) WHERE k = 'd'),
- hits AS (SELECT doc_id, item_id, width, i - j AS lane, j, wanted, slots, f FROM dw JOIN bw USING (width, h) WHERE (width - f) * 8 >= {LITERAL_EIGHTHS} * width),
+ s AS (SELECT k, id, list(coalesce(kind, raw) ORDER BY n) AS t, list(raw ORDER BY n) AS w, list(CASE WHEN kind IS NOT NULL THEN raw END ORDER BY n) AS r FROM t GROUP BY ALL),
+ items AS (SELECT id AS item_id, t, w, r, least(len(t), {WIDTH}) AS width FROM s WHERE k = 'b' AND len(t) >= {SHORTEST}),
+ sizes AS (SELECT DISTINCT width, CASE WHEN width = {WIDTH} THEN ceil({LITERAL_EIGHTHS} * width / 8) ELSE least(width, {LITERAL_LEAST}) END AS least FROM items),
+ win AS (SELECT k, id, width, i, least, r[i + 1:i + width] AS held, t[i + 1:i + width] AS tt, w[i + 1:i + width] AS ww, len(list_filter(r[i + 1:i + width], lambda y: y IS NULL)) AS literal
+         FROM (SELECT s.*, z.width, z.least FROM s, sizes z WHERE k = 'd' UNION ALL SELECT s.*, z.width, z.least FROM s JOIN sizes z ON z.width = least(len(t), {WIDTH}) WHERE k = 'b'), unnest(range(0, len(t) - width + 1)) AS u(i)),
+ wh AS (SELECT k, id, width, i, CASE WHEN literal >= least THEN array_to_string(tt, ' ') ELSE '=' || array_to_string(ww, ' ') END AS h, CASE WHEN literal >= least AND literal < width THEN held END AS slots FROM win),
+ hits AS (SELECT d.id AS doc_id, b.id AS item_id, width, d.i - b.i AS lane, b.i AS j, b.slots AS wanted, d.slots FROM wh d JOIN wh b USING (width, h) WHERE d.k = 'd' AND b.k = 'b'),
  pairs AS (SELECT DISTINCT doc_id, item_id, width, lane, wanted[q] AS b, slots[q] AS d FROM hits, unnest(range(1, width + 1)) AS u(q) WHERE wanted[q] IS NOT NULL),
  bad AS (SELECT doc_id, item_id, width, lane, count(*) AS n, count(DISTINCT b) AS nb, count(DISTINCT d) AS nd, bool_or(b <> d) AS changed FROM pairs GROUP BY ALL),
- ok AS (SELECT h.*, coalesce(b.changed, false) AS changed FROM hits h LEFT JOIN bad b USING (doc_id, item_id, width, lane) WHERE b.n IS NULL OR (b.n = b.nb AND b.n = b.nd)),
+ ok AS (SELECT h.*, wanted IS NOT NULL AND coalesce(b.changed, false) AS changed FROM hits h LEFT JOIN bad b USING (doc_id, item_id, width, lane) WHERE wanted IS NULL OR (b.n = b.nb AND b.n = b.nd)),
  m AS (SELECT doc_id, item_id, count(DISTINCT j) AS matched, NOT bool_or(changed) AS verbatim FROM ok GROUP BY ALL),
  whole AS (SELECT item_id, max(len(t) - width + 1) AS windows FROM items GROUP BY ALL)
 SELECT doc_id, item_id, matched, windows, round(matched / windows, 6) AS coverage, verbatim
