@@ -1,15 +1,18 @@
 """Byte-level BPE: encode whole texts in overlapping chunks, decode by concatenating raw bytes.
 
-A text longer than a chunk is cut into chunks that overlap. Each chunk is pre-tokenised by itself, in parallel.
-The pattern only looks ahead, so two runs over the same text agree from the first boundary that they share:
-neighbouring chunks are stitched at the first boundary inside their overlap that both have and that no look-ahead
-can shape: the end of a run of letters. Where an overlap has no such boundary (one piece as long as the overlap),
-the two chunks are joined into one and it is encoded from the last safe boundary on. Then each stretch between two
-stitches is encoded by itself; the ids of a text are those of its stretches in order. Short texts are one
-chunk and never shuffle.
-
-Null texts count as empty: no ids, and the digest of nothing. Repeated ids and rows stay apart. The path of the
-vocabulary file is a parameter; each Python worker loads it once.
+Every text is cut into chunks of ``CHUNK_CHARS`` that overlap. Each chunk is pre-tokenised by itself, from its own start.
+Neighbouring chunks are stitched at the first boundary inside their overlap that both have and that no look-ahead
+can shape: the end of a run of letters before a sign, digit or space. Such a boundary is one of the whole text, wherever a
+reading began, so stitching resumes by itself behind an overlap that has none (one piece as long as the overlap): there the
+two chunks stay one stretch. Then each stretch between two stitches is encoded by itself; the ids of a text are those of its
+stretches in order. A text of one chunk is one stretch.
+
+Texts longer than a segment (``SEGMENT_CHARS``) are cut and stitched twice by the same rule: segments are dealt out to tasks, so that
+one text can keep many of them busy, and each task cuts its stretches into chunks. Shorter texts never shuffle.
+
+Null texts count as empty: no ids, and the digest of nothing. Repeated and null ids and repeated rows stay apart. An empty table
+gives an empty result; columns other than id and text are not read, whatever their names. Texts have no length limit but that
+of a row: a text's ids come back in one row. The path of the vocabulary file is a parameter; each Python worker loads it once.
 """
 
 from __future__ import annotations
@@ -19,12 +22,14 @@ import functools
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 32_768
+from sequora.llm.store import small_batches
+
+CHUNK_CHARS = 4_096
+SEGMENT_CHARS = 32_768
 OVERLAP_CHARS = 512
 
 
@@ -40,64 +45,78 @@ def encoding(path: str | None):
 
 
 @functools.lru_cache(maxsize=1)
-def _pattern():
+def _patterns():
+    """(pre-tokens, ends of letter runs before what is surely no letter)."""
     import public_tokenizers
     import regex
 
-    return regex.compile(public_tokenizers.PATTERN)
+    return regex.compile(public_tokenizers.PATTERN), regex.compile(r"(?<=\p{L})(?=[\s\p{P}\p{S}\p{N}\p{M}])")
 
 
-def boundaries(text: str, start: int = 0) -> np.ndarray:
-    """Where pre-tokens end, from ``start`` on."""
-    return np.fromiter((m.end() for m in _pattern().finditer(text, start)), np.int64)
+def boundaries(text: str) -> set[int]:
+    """Where pre-tokens end, when read from the start of ``text``."""
+    return {m.end() for m in _patterns()[0].finditer(text)}
 
 
-def encode(text: str, path: str | None = None) -> list[int]:
-    return encoding(path).encode_ordinary(text)
+def sure(text: str, found: set[int], lo: int, hi: int) -> list[int]:
+    """Those of the boundaries inside [lo, hi) that stay so whatever stands around.
 
+    A run of letters ends there in every reading of the text, and no look-ahead of the stretch before it reaches past it
+    (a white-space run at the end of a stretch would be read in another way than in the whole text).
+    """
+    return [b for m in _patterns()[1].finditer(text, lo, hi) if (b := m.start()) in found]
 
-def decode(ids: list[int], path: str | None = None) -> bytes:
-    return encoding(path).decode_bytes(ids)
 
+def stretches(text: str) -> list[str]:
+    """The text cut where its overlapping chunks resynchronise."""
+    if len(text) <= CHUNK_CHARS + OVERLAP_CHARS:
+        return [text]  # one chunk: nothing to stitch
+    cuts, tail = [0], set()
+    for at in range(0, max(1, len(text) - OVERLAP_CHARS), CHUNK_CHARS):
+        chunk = text[at : at + CHUNK_CHARS + OVERLAP_CHARS]
+        found = boundaries(chunk)
+        if at:
+            met = next((b + at for b in sure(chunk, found, 0, OVERLAP_CHARS) if b + at in tail), None)
+            cuts += [met] if met is not None else []
+        tail = {b + at for b in sure(chunk, found, CHUNK_CHARS, len(chunk))}
+    return [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)])]
 
-def _sure(text: str, found: np.ndarray) -> np.ndarray:
-    """Those boundaries that stay so whatever stands around: behind a letter, before an ASCII sign, digit or space.
 
-    A run of letters ends there in every reading of the text, and no look-ahead of the stretch before it reaches past it
-    (a white-space run at the end of a stretch would be read in another way than in the whole text).
-    """
-    return np.array([b for b in found.tolist() if b < len(text) and text[b - 1].isalpha() and ord(text[b]) < 128 and not text[b].isalpha()], np.int64)
+def encode(text: str, path: str | None = None) -> list[int]:
+    enc = encoding(path)
+    return [i for part in stretches(text) for i in enc.encode_ordinary(part)]
+
+
+def decode(ids: list[int], path: str | None = None) -> bytes:
+    return encoding(path).decode_bytes(ids)
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each chunk, the sure boundaries in the overlap with the chunk before and with the chunk behind."""
+    """For each segment, the sure boundaries in the overlap with the one before and with the one behind."""
     for batch in batches:
         heads, tails = [], []
         for text, at in zip(*(batch.column(k).to_pylist() for k in (3, 2))):
             found = boundaries(text)
-            heads.append((_sure(text, found[found < OVERLAP_CHARS]) + at).tolist())
-            tails.append((_sure(text, found[found >= CHUNK_CHARS]) + at).tolist())
+            heads.append([b + at for b in sure(text, found, 0, OVERLAP_CHARS)])
+            tails.append([b + at for b in sure(text, found, SEGMENT_CHARS, len(text))])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=[*batch.schema.names, "head", "tail"])
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
-    """(row, k, at, text, last): the overlapping chunks of each text; offsets count code points."""
-    n = F.greatest(F.lit(1), F.ceil((F.length("text") - OVERLAP_CHARS) / CHUNK_CHARS)).cast("int")
+def _segments(rows: DataFrame) -> DataFrame:
+    """(row, k, at, text, last): the overlapping segments of each text; offsets count code points."""
+    n = F.greatest(F.lit(1), F.ceil((F.length("text") - OVERLAP_CHARS) / SEGMENT_CHARS)).cast("int")
     many = rows.select("row", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"), n.alias("n"))
-    return many.select("row", "k", (F.col("k").cast("long") * CHUNK_CHARS).alias("at"), F.substring("text", F.col("k") * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS + OVERLAP_CHARS)).alias("text"), (F.col("k") == F.col("n") - 1).alias("last"))
+    return many.select("row", "k", (F.col("k").cast("long") * SEGMENT_CHARS).alias("at"), F.substring("text", F.col("k") * SEGMENT_CHARS + 1, F.lit(SEGMENT_CHARS + OVERLAP_CHARS)).alias("text"), (F.col("k") == F.col("n") - 1).alias("last"))
 
 
 def stitched(rows: DataFrame) -> DataFrame:
     """(row, at, text): stretches of the texts of ``rows`` (row, text), cut where pre-tokens end in the whole text."""
-    chunks = _chunks(rows).repartition("row", "k")
-    edged = chunks.mapInArrow(_edges, "row long, k int, at long, text string, last boolean, head array<long>, tail array<long>")
+    segments = _segments(rows).repartition("row", "k")
+    edged = segments.mapInArrow(_edges, "row long, k int, at long, text string, last boolean, head array<long>, tail array<long>")
     by = Window.partitionBy("row").orderBy("k")
     met = F.array_min(F.array_intersect(F.lag("tail").over(by), F.col("head")))
-    # a chunk without a common boundary joins the one before it, and so do those behind it: what they agree on
-    # with each other need not be a boundary of the whole text
-    first = F.col("k") == 0
-    cuts = edged.withColumn("met", met).withColumn("known", F.every(first | F.col("met").isNotNull()).over(by))
-    cuts = cuts.withColumn("cut", F.when(first, F.lit(0).cast("long")).when(F.col("known"), F.col("met")))
+    # a segment without a common boundary joins the one before it
+    cuts = edged.withColumn("cut", F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(met))
     cuts = cuts.withColumn("piece", F.count("cut").over(by)).withColumn("until", F.lead("cut").over(by))
     part = F.struct("k", "at", "cut", "until", "text")
     return cuts.groupBy("row", "piece").agg(F.array_sort(F.collect_list(part)).alias("parts")).select(
@@ -106,8 +125,8 @@ def stitched(rows: DataFrame) -> DataFrame:
         F.aggregate(
             "parts",
             F.lit(""),
-            # drop what stands before the cut, end each chunk where its follower begins
-            lambda a, p: F.concat(a, F.when(p["k"] == F.col("parts")[0]["k"], F.substring(p["text"], F.lit(1) + (p["cut"] - p["at"]).cast("int"), F.lit(CHUNK_CHARS + OVERLAP_CHARS))).otherwise(F.substring(p["text"], F.lit(OVERLAP_CHARS + 1), F.lit(CHUNK_CHARS)))),
+            # drop what stands before the cut, end each segment where its follower begins
+            lambda a, p: F.concat(a, F.when(p["k"] == F.col("parts")[0]["k"], F.substring(p["text"], F.lit(1) + (p["cut"] - p["at"]).cast("int"), F.lit(SEGMENT_CHARS + OVERLAP_CHARS))).otherwise(F.substring(p["text"], F.lit(OVERLAP_CHARS + 1), F.lit(SEGMENT_CHARS)))),
         ).alias("text"),
         F.element_at("parts", -1)["until"].alias("until"),
     ).select("row", "at", F.when(F.col("until").isNull(), F.col("text")).otherwise(F.expr("substring(text, 1, cast(until - at as int))")).alias("text"))
@@ -115,11 +134,10 @@ def stitched(rows: DataFrame) -> DataFrame:
 
 def _encode_rows(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for i in range(0, len(texts), 200):
-                ids = [enc.encode_ordinary(t) for t in texts[i : i + 200]]
+                ids = [encode(t, path) for t in texts[i : i + 200]]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 200) for c in batch.columns[:-1]), pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "ids"])
 
     return run
@@ -128,8 +146,8 @@ def _encode_rows(path: str | None):
 def encode_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per input row: id and ``ids``, the token ids of the whole text."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    long = F.length("text") > CHUNK_CHARS + OVERLAP_CHARS
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    long = F.length("text") > SEGMENT_CHARS + OVERLAP_CHARS
     short = rows.where(~long).mapInArrow(_encode_rows(path), f"id {kind}, ids array<int>")
     # a long text's own bytes and its place number its row, so that equal ids stay apart
     numbered = rows.where(long).withColumn("row", F.monotonically_increasing_id())
