@@ -9,7 +9,8 @@ records.
 Of pages with equal payloads the one with the largest page_id is a ``response`` record, the others are
 ``revisit`` records that refer to it and carry no payload. Payloads shorter than ``min_revisit_bytes`` are all
 responses. Null html counts as empty, a null url as an empty one; a null page_id is smaller than any other. Of rows that
-share payload and page_id one is the response.
+share payload and page_id one is the response. An empty table writes no archive and gives an empty index; columns other than page_id,
+url and html are not read, whatever their names. A payload of any length is one record, read and written whole.
 """
 
 from __future__ import annotations
@@ -39,10 +40,19 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: What Hadoop and its distributions call stores that the reader here knows by another name.
+STORES = {"s3a://": "s3://", "s3n://": "s3://", "gcs://": "gs://", "dbfs:/": "file:///dbfs/"}
+
+
 def _open(uri: str):
     """(file system, path) of a URI of the shared store: local, HDFS or an object store."""
     from pyarrow import fs
 
+    for hadoop, plain in STORES.items():
+        if uri.startswith(hadoop):
+            uri = plain + uri[len(hadoop) :].lstrip("/")
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
@@ -172,14 +182,18 @@ def _reader(payload: bool):
     return run
 
 
-#: Bytes of an archive whose records go to one reading task.
-STRETCH_BYTES = 64 * 1024 * 1024
+#: Bytes of archives that one reading task is to fetch.
+STRETCH_BYTES = 16 * 1024 * 1024
 
 
 def read(index: DataFrame, payload: bool = True) -> DataFrame:
-    """The records that a selection of the index names; without ``payload`` its bytes stay in the task."""
-    stretch = F.floor(F.col("offset") / STRETCH_BYTES)
-    return index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset").mapInArrow(_reader(payload), RECORD if payload else RECORD.removesuffix(", payload binary"))
+    """The records that a selection of the index names; without ``payload`` its bytes stay in the task.
+
+    Tasks get neighbouring records of the sorted selection, as many tasks as the records' bytes ask for.
+    """
+    total = index.agg(F.sum("length")).first()[0] or 0
+    dealt = index.select("file", "offset", "length").repartitionByRange(int(total // STRETCH_BYTES) + 1, "file", "offset").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(_reader(payload), RECORD if payload else RECORD.removesuffix(", payload binary"))
 
 
 def select(spark: SparkSession, index: DataFrame, url_like: str) -> DataFrame:
