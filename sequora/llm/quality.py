@@ -7,9 +7,12 @@ vectors are broadcast (``TRAIN_ROWS`` rows of ``DIMS`` floats at most, 3 MB: the
 Every text meets all of them: exact cosines, block by block, no index. The ``NEIGHBOURS`` nearest vote for their label,
 weighted by a power of the cosine.
 
-Training takes a bounded sample of labelled rows (a documented parameter), never rows that are held out. Null and
-empty texts are a zero vector; their score is the share of label 1 in the sample. Without labels every score is 0.5.
-Ids may repeat or be null.
+Training takes a bounded sample of labelled rows (a documented parameter), never rows that are held out. Tasks turn the
+sample into term counts, so the driver gets ``TERMS + FORM`` numbers a row however long its text is; of rows that share an
+id one teaches. Null and empty texts are a zero vector; their score is the share of label 1 in the sample. Without labels every
+score is 0.5. Ids may repeat or be null (a null id is not held out and teaches nothing); equal texts have equal scores; neighbours
+at equal distance are interchangeable, as any of them carries the same weight. An empty table gives an empty result; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 
 from sequora.llm import shingles
 from sequora.llm.arrow_text import slices
-from sequora.llm.toxicity import held_out, training_rows
+from sequora.llm.exact_dedup import _named
+from sequora.llm.store import small_batches
+from sequora.llm.toxicity import held_out, training_texts
 
 TERMS, DIMS = 2048, 96
 TRAIN_ROWS = 8000
@@ -69,11 +74,10 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def train(texts: list[str], labels: list[int]) -> dict:
-    """The model: inverse document frequencies, projection, latent vectors of the sample, and its labels."""
-    if not texts:
+def train(counts: np.ndarray, labels: list[int]) -> dict:
+    """The model: inverse document frequencies, projection, latent vectors of the sample (rows of counts), and its labels."""
+    if not len(counts):
         return {"idf": np.ones(TERMS + FORM, np.float32), "basis": None, "vectors": None, "labels": None, "prior": 0.5}
-    counts = np.vstack(list(term_counts(pa.array(texts, pa.string()))))
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
     x = weigh(counts, idf)
     values, vectors = np.linalg.eigh(x.T @ x)
@@ -103,8 +107,18 @@ def vote(model: dict, counts: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame):
     """Broadcast model, trained on a bounded sample of the labelled rows that are not held out."""
-    rows = training_rows(docs, labels, "quality", TRAIN_ROWS)
-    return docs.sparkSession.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows]))
+    sample = training_texts(small_batches(docs), labels, "quality", TRAIN_ROWS)
+    rows = sorted(sample.mapInArrow(_counted, "doc_id string, label int, counts binary").toLocalIterator(), key=lambda r: r.doc_id)
+    counts = np.frombuffer(b"".join(r.counts for r in rows), np.float32).reshape(-1, TERMS + FORM)
+    return docs.sparkSession.sparkContext.broadcast(train(counts, [r.label for r in rows]))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, label) with the term counts of the text in its place."""
+    for batch in batches:
+        if batch.num_rows:
+            counts = [row.tobytes() for block in term_counts(batch.column(1)) for row in block]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.binary())], names=["doc_id", "label", "counts"])
 
 
 def _score(model):
@@ -125,15 +139,13 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The input without the documents that the classifier rejects; its columns, each row judged where it is."""
+    """The input without the documents that the classifier rejects; its columns. Only texts travel to Python, only flags come back."""
     model = fit(docs, labels)
+    good = _named(docs, "good")[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                texts = batch.column(at).fill_null("")
-                p = np.concatenate([vote(model.value, block) for block in term_counts(texts)])
-                yield batch.filter(pa.array(p >= threshold))
+    @F.arrow_udf("boolean")
+    def judged(texts: pa.Array) -> pa.Array:
+        blocks = [vote(model.value, block) >= threshold for block in term_counts(texts)]
+        return pa.array(np.concatenate(blocks) if blocks else np.zeros(0, bool))
 
-    at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn(good, judged(F.coalesce("text", F.lit("")))).where(F.col(good)).drop(good)

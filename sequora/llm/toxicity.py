@@ -4,22 +4,26 @@ Texts become symbols: letters without case, a few classes of accented letters, a
 a word are left out and single letters with gaps between them are run together, so "i-d-i-o-t" and "i d i o t" are
 "idiot". A fragment is one word with the gap before and behind it. The kernel of two fragments counts the
 subsequences of ``ORDER`` symbols that they share, at most one symbol skipped between two of them; each skip costs a factor
-``DECAY``. A fragment's own norm is that of a string of its length whose subsequences all differ.
+``DECAY``. It is divided by the root of both fragments' kernels with themselves, so a fragment has kernel 1 with itself.
 
-Training takes a bounded sample of labelled texts (``TRAIN_ROWS``, a documented parameter). Their sentences inherit the label;
-fragments that occur in clearly more sentences of toxic texts than of others
-are the positive examples, fragments of clean texts the negative ones. Landmarks are drawn from both; kernel values with the landmarks, whitened by the landmark matrix
+Training takes a bounded sample of labelled texts (``TRAIN_ROWS``, a documented parameter). Their distinct sentences inherit the label; a
+fragment's sentences are counted on the cluster. Fragments that occur in clearly more sentences of toxic texts than of others
+(a test of chance, so the machine starts from a word list that it learned) are the positive examples, fragments of clean
+texts the negative ones. The driver gets at most ``POOL`` fragments of each kind, the commonest, of at most ``LONGEST`` symbols; longer ones
+don't teach but are scored like others. Landmarks are drawn from both; kernel values with the landmarks, whitened by the landmark matrix
 (Nystroem), feed a linear support vector machine. As kernel values are inner products, the trained machine is one
 weight per subsequence: a table of 2**20 numbers (4 MB, whatever the corpus), broadcast to all tasks. So each
-fragment of each text gets its exact decision value by summing table entries, in time linear in the text. A text's score is
-the logistic of its largest decision value, fitted on the training texts.
+fragment of each text gets its exact decision value by summing table entries, once for each distinct fragment of a slice. A text's
+score is the logistic of its largest decision value, fitted on the training texts, which are scored where they are.
 
-Null and empty texts have the score of a text without fragments, near 0. Ids may repeat or be null. Without labels
-of both kinds every score is 0.
+Null and empty texts have the score of a text without fragments, near 0. Ids may repeat or be null (a null id is not held out
+and teaches nothing; of rows that share an id one teaches); equal texts have equal scores. Without labels of both kinds every score
+is 0. An empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,15 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sequora.llm.arrow_text import slices
+from sequora.llm.shingles import mixed, powers
+from sequora.llm.store import cut, small_batches
 
 ORDER, DECAY = 4, 0.6
 TRAIN_ROWS = 4000
 LANDMARKS = 384
 EXAMPLES = 6000
 ROUNDS = 5
+#: Fragments of each kind that reach the driver, and symbols of the longest that teaches: some MB at most.
+POOL, LONGEST = 100_000, 64
 #: Symbols between which the kernel may skip one: offsets of the three later symbols, and the weight.
 _PATTERNS = [((o1 := 1 + g[0]), (o2 := o1 + 1 + g[1]), o2 + 1 + g[2], DECAY ** sum(g)) for g in product((0, 1), repeat=ORDER - 1)]
 _GAP, _SIGN, _DROP = 0, 32, 33
+_CODE = np.random.default_rng(6).integers(1, 2**63, 64, dtype=np.uint64)
 
 
 def _symbols() -> np.ndarray:
@@ -82,58 +91,62 @@ def symbols(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.searchsorted(owner, np.arange(n + 1)), held
 
 
-def _fragment_ends(held: np.ndarray) -> np.ndarray:
-    """For each place, where its fragment ends: the next gap behind it."""
-    gaps = np.flatnonzero(held == 0)
-    if not len(gaps):
-        return np.full(len(held), -1)
-    nxt = np.searchsorted(gaps, np.arange(len(held)), "right")
-    return np.where(nxt < len(gaps), gaps[np.minimum(nxt, len(gaps) - 1)], -1)
-
-
-def _norms(size: int) -> np.ndarray:
-    """Norm of a fragment by its number of symbols."""
-    n = np.arange(size)
-    total = np.zeros(size)
-    for _, _, o3, w in _PATTERNS:
-        total += np.maximum(0, n - o3) * w * w
-    return np.sqrt(np.maximum(total, 1))
-
-
-_NORM = _norms(4096)
+def _distinct(held: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, which): the distinct fragments [first, last] joined end to end by their gaps; for each fragment, which it is."""
+    sums = np.zeros(len(held) + 1, np.uint64)
+    up, down = powers(len(held) + 1)
+    np.cumsum(_CODE[held] * up[: len(held)], out=sums[1:])
+    h = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    size = last[one] - first[one]  # with the gap before, without the one behind
+    at = np.repeat(first[one] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return np.append(held[at], np.uint8(_GAP)), which
+
+
+def _values(table: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Of fragments joined by their gaps, the inner product with the table over the norm."""
+    gaps = np.flatnonzero(s == _GAP)
+    owner = np.repeat(np.arange(len(gaps) - 1), np.diff(gaps))
+    n = len(gaps) - 1
+    ends, s = gaps[1:][owner], s.astype(np.int64)
+    keys, weights = [], []
+    place = np.arange(len(owner))
+    for o1, o2, o3, w in _PATTERNS:
+        at = place[: max(0, len(s) - o3)]
+        at = at[at + o3 <= ends[at]]
+        keys.append(owner[at] << 20 | ((s[at] << 5 | s[at + o1]) << 5 | s[at + o2]) << 5 | s[at + o3])
+        weights.append(np.full(len(at), w))
+    keys, weights = np.concatenate(keys), np.concatenate(weights)
+    if not len(keys):
+        return np.zeros(n, np.float32)
+    order = np.argsort(keys)
+    keys, weights = keys[order], weights[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    weights, keys = np.add.reduceat(weights, new), keys[new]
+    fragment = keys >> 20
+    total = np.bincount(fragment, weights * table[keys & 0xFFFFF], n)
+    return (total / np.sqrt(np.maximum(np.bincount(fragment, weights * weights, n), 1e-12))).astype(np.float32)
 
 
 def decisions(table: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, value) of each fragment: its inner product with the table, over its norm."""
-    gaps = np.flatnonzero(held == 0)
+    gaps = np.flatnonzero(held == _GAP)
     first, last = gaps[:-1], gaps[1:]
     real = last - first > 1
     first, last = first[real], last[real]
     if not len(first):
         return first, np.zeros(0, np.float32)
-    ends = np.zeros(len(held), np.int32)
-    ends[first] = 1
-    ends = last[np.maximum(np.cumsum(ends, dtype=np.int32) - 1, 0)].astype(np.int32)
-    s = held.astype(np.int32)
-    total = np.zeros(len(held), np.float32)
-    place = np.arange(len(held), dtype=np.int32)
-    for o1, o2, o3, w in _PATTERNS:
-        m = len(held) - o3
-        if m <= 0:
-            continue
-        key = (((s[:m] << 5 | s[o1 : m + o1]) << 5 | s[o2 : m + o2]) << 5) | s[o3:]
-        total[:m] += np.where(place[o3:] <= ends[:m], table[key] * np.float32(w), np.float32(0))
-    sums = np.add.reduceat(total, first) if len(first) else total[:0]
-    return first, sums / _NORM[np.minimum(last - first + 1, len(_NORM) - 1)]
+    s, which = _distinct(held, first, last)
+    return first, _values(table, s)[which]
 
 
 def features(fragment: bytes) -> Counter:
-    """Weighted subsequences of one fragment (symbols with its two gaps)."""
+    """Weighted subsequences of one fragment (symbols with its two gaps), of norm 1."""
     out: Counter = Counter()
     for o1, o2, o3, w in _PATTERNS:
         for i in range(len(fragment) - o3):
             out[((fragment[i] << 5 | fragment[i + o1]) << 5 | fragment[i + o2]) << 5 | fragment[i + o3]] += w
-    norm = _NORM[min(len(fragment), len(_NORM) - 1)]
+    norm = np.sqrt(sum(v * v for v in out.values()) or 1.0)
     return Counter({k: v / norm for k, v in out.items()})
 
 
@@ -179,6 +192,7 @@ def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
 
 
 def _fragments(texts: list[str]) -> list[set[bytes]]:
+    """Of each text, its distinct fragments."""
     out = []
     for _, _, offsets, data in slices(pa.array(texts, pa.string())):
         at, held = symbols(offsets, data)
@@ -208,31 +222,42 @@ def _sigmoid_fit(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(v[0]), float(v[1])
 
 
-def _sentences(texts: list[str]) -> list[str]:
-    """The distinct sentences of the texts: copies of a text teach once."""
-    return sorted({part.strip() for text in texts for part in re.split(r"[.!?\n]+", text)} - {""})
+def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fragment, sentence, label) of texts (doc_id, text, label): a sentence is a hash of its words, so that copies teach once."""
+    for batch in batches:
+        for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            said = list({part.strip() for part in re.split(r"[.!?\n]+", text)} - {""})
+            for i in range(0, len(said), 500):
+                rows = [(w, hash_of(s), label) for s, found in zip(said[i : i + 500], _fragments(said[i : i + 500])) for w in found if len(w) <= LONGEST + 2]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int32()))], names=["fragment", "sentence", "label"])
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> dict:
-    """The model: table, bias, slope and offset."""
-    rng = np.random.default_rng(seed)
-    y = np.array(labels, bool)
-    flat = {"table": np.zeros(1 << 20, np.float32), "bias": 0.0, "slope": 0.0, "offset": -30.0}
-    if not y.any() or y.all():
-        return flat
+def hash_of(sentence: str) -> int:
+    return int.from_bytes(hashlib.blake2b(sentence.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def vocabulary(sample: DataFrame) -> tuple[Counter, Counter, list[int]]:
+    """Sentences that hold each fragment, of toxic and of clean texts; and how many sentences there are."""
+    taught = cut(sample.mapInArrow(_taught, "fragment binary, sentence long, label int"), "taught")
+    n = {r.label: r.n for r in taught.groupBy("label").agg(F.countDistinct("sentence").alias("n")).collect()}
+    each = taught.distinct().groupBy("fragment").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     toxic, clean = Counter(), Counter()
-    n = []
-    for count, want in ((toxic, True), (clean, False)):
-        said = _sentences([t for t, is_toxic in zip(texts, y) if is_toxic == want])
-        n.append(len(said))
-        for fragments in _fragments(said):
-            count.update(fragments)
+    for kind in ("toxic", "clean"):
+        for r in each.where(F.col(kind) > 0).orderBy(F.desc(kind), "fragment").limit(POOL).toLocalIterator():
+            toxic[bytes(r.fragment)], clean[bytes(r.fragment)] = r.toxic, r.clean
+    return +toxic, +clean, [n.get(1, 0), n.get(0, 0)]
+
+
+def train(toxic: Counter, clean: Counter, n: list[int], seed: int = 7) -> dict | None:
+    """The machine: table and bias; nothing where no fragment tells toxic texts from others."""
+    rng = np.random.default_rng(seed)
     # positive: so many of its sentences are toxic that chance gives it less than once in 10,000 words
     share = n[0] / max(1, sum(n))
     odds = {w: k * np.log(1 / share) - sum(np.log((k + i) / i) for i in range(1, clean[w] + 1)) for w, k in toxic.items() if k >= 3 and clean[w] < k}
     positive = sorted((w for w, z in odds.items() if z > np.log(1e4)), key=lambda w: (-odds[w], w))[: EXAMPLES // 3]
-    if not positive:
-        return flat
+    if not positive or not clean:
+        return None
     # negative: the commonest clean fragments and a draw of others, then, round by round, those that the machine
     # takes for toxic; a text's score is the largest of hundreds of fragments, so the hard ones matter
     pool = sorted(set(clean) - set(positive))
@@ -250,10 +275,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> dict:
         weight = np.r_[0.5 * seen / seen.sum(), np.full(len(negative), 0.5 / len(negative))]
         rest = [w for w in negative if w not in set(hard)]
         marks = [known[w] for w in (positive[: LANDMARKS // 2] + hard[: LANDMARKS // 3] + rest)[:LANDMARKS]]
-        values, vectors = np.linalg.eigh(kernel(marks, marks))
-        sound = values > 1e-6 * values.max()
-        whiten = vectors[:, sound] / np.sqrt(values[sound])
-        w, bias = linear_svm(kernel(rows, marks) @ whiten, target, weight)
+        w, bias = linear_svm(nystroem(rows, marks, whiten := whitening(marks)), target, weight)
         table = np.zeros(1 << 20, np.float32)
         for b, f in zip(whiten @ w, marks):
             for k, v in f.items():
@@ -262,9 +284,38 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> dict:
         worst = np.argsort(-value, kind="stable")[: EXAMPLES // 3]
         hard = [pool[i] for i in worst if value[i] > -0.9]
         negative = list(dict.fromkeys(negative + hard))[-EXAMPLES:]
-    f = np.array(best_values({"table": table, "bias": bias}, pa.array(texts, pa.string())))
-    slope, offset = _sigmoid_fit(f, y.astype(float))
-    return {"table": table, "bias": bias, "slope": slope, "offset": offset}
+    return {"table": table, "bias": bias}
+
+
+def whitening(marks: list[Counter]) -> np.ndarray:
+    """The landmark matrix to the power -1/2, on its sound part."""
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    sound = values > 1e-6 * values.max()
+    return vectors[:, sound] / np.sqrt(values[sound])
+
+
+def nystroem(rows: list[Counter], marks: list[Counter], whiten: np.ndarray) -> np.ndarray:
+    """Features whose inner products approach the kernel; between landmarks they give it."""
+    return kernel(rows, marks) @ whiten
+
+
+def fit(docs: DataFrame, labels: DataFrame):
+    """Broadcast model, trained on a bounded sample of the labelled rows that are not held out."""
+    context = docs.sparkSession.sparkContext
+    sample = cut(training_texts(docs, labels, "toxic", TRAIN_ROWS), "sample")
+    flat = {"table": np.zeros(1 << 20, np.float32), "bias": 0.0, "slope": 0.0, "offset": -30.0}
+    machine = train(*vocabulary(sample))
+    if machine is None:
+        return context.broadcast(flat)
+    held = context.broadcast(machine)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(best_values(held.value, batch.column(1)), pa.float64())], names=["doc_id", "label", "value"])
+
+    rows = sorted((r.doc_id, r.label, r.value) for r in sample.mapInArrow(values, "doc_id string, label int, value double").collect())
+    slope, offset = _sigmoid_fit(np.array([r[2] for r in rows]), np.array([r[1] for r in rows], float))
+    return context.broadcast(machine | {"slope": slope, "offset": offset})
 
 
 #: Decision value of a text without fragments.
@@ -294,17 +345,19 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> list:
-    """(text, label) of a bounded sample of the labelled rows that may teach: the least by a hash, half of each label at most.
+def training_texts(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
+    """(doc_id, text, label) of a bounded sample of the labelled rows that may teach: the least by a hash, half of each label at most.
 
-    Only ids are compared for it; the texts of the sample come by a join with at most ``rows`` ids.
+    Only ids are compared for it; the texts of the sample come by a join with at most ``rows`` ids. Of rows that share an id one
+    teaches; of differing labels of an id the larger holds.
     """
-    known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(target).alias("label"))
+    known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     halves = [known.where(F.col("label") == k).orderBy(*order).limit(rows // 2) for k in (0, 1)]
     ids = F.broadcast(halves[0].unionByName(halves[1]))
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("doc_id", "text", "label")
-    return sorted(((r.doc_id, r.text, r.label) for r in found.toLocalIterator()), key=lambda r: r[0])
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("best"))
+    return one.select(F.col("doc_id").cast("string").alias("doc_id"), "best.text", "best.label")
 
 
 def _score(model):
@@ -318,8 +371,7 @@ def _score(model):
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    rows = training_rows(docs, labels, "toxic", TRAIN_ROWS)
-    model = docs.sparkSession.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows]))
+    model = fit(small_batches(docs), labels)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_score(model), f"doc_id {kind}, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
