@@ -1,7 +1,7 @@
 """Two-pass Bloom filtering with one hash: which hash positions were hit twice, and who hit them.
 
-Pass one keeps, per partition, the positions that its rows hit (two bytes each) and merges them by chunk into
-a "twice" bitmap. Pass two probes that bitmap. A row whose position was hit once is certainly unique; a hit twice
+Pass one gives away the positions that its rows hit, ``HELD`` at a time (two bytes each), and merges them by chunk into
+a "twice" bitmap; the merge has a task for each ``MERGE_BITS`` bits. Pass two probes that bitmap. A row whose position was hit once is certainly unique; a hit twice
 may be a false alarm, which later exact steps settle. The bitmap has at most ``MAX_BITS`` bits (64 MB), the
 proven bound of what the driver gathers and broadcasts: with more rows than that serves, more rows pass as
 "maybe", none is lost.
@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 CHUNK_BITS = 1 << 16
 MAX_BITS = 1 << 29
 BITS_PER_ROW = 16
+#: Positions that a task holds before it gives them away.
+HELD = 1 << 20
+#: Bits that one merging task holds: 64 chunks of two flags a position, 8 MB.
+MERGE_BITS = 64 * CHUNK_BITS
 
 
 def bits_for(rows: int) -> int:
@@ -27,21 +31,37 @@ def bits_for(rows: int) -> int:
     return min(MAX_BITS, max(CHUNK_BITS, 1 << (max(1, rows * BITS_PER_ROW) - 1).bit_length()))
 
 
-def _positions(hashes: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """One row for each chunk that this partition touches: positions hit, and positions hit more than once."""
-    held = [(h.astype(np.int64) & (bits - 1)).astype(np.uint32) for h in hashes]
-    if not sum(map(len, held)):
-        return
-    places, counts = np.unique(np.concatenate(held), return_counts=True)
-    del held
+def _by_chunk(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk that the held positions touch: positions hit, and positions hit more than once."""
+    places = np.concatenate(held)
+    held.clear()
+    places.sort()
+    new = np.ones(len(places), bool)
+    new[1:] = places[1:] != places[:-1]
+    at = np.flatnonzero(new)
+    again = np.diff(np.r_[at, len(places)]) > 1
+    places = places[at]
     chunk = places // CHUNK_BITS
     first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
     inner = (places % CHUNK_BITS).astype(np.uint16)
-    rows = [(int(chunk[lo]), inner[lo:hi].tobytes(), inner[lo:hi][counts[lo:hi] > 1].tobytes()) for lo, hi in zip(first, np.r_[first[1:], len(places)])]
+    rows = [(int(chunk[lo]), inner[lo:hi].tobytes(), inner[lo:hi][again[lo:hi]].tobytes()) for lo, hi in zip(first, np.r_[first[1:], len(places)])]
     for i in range(0, len(rows), 1024):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 1024]), (pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "once", "twice"])
 
 
+def _positions(hashes: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+    n = 0
+    for h in hashes:
+        held.append((h.astype(np.int64) & (bits - 1)).astype(np.uint32))
+        n += len(h)
+        if n >= HELD:
+            yield from _by_chunk(held)
+            n = 0
+    if n:
+        yield from _by_chunk(held)
+
+
 def _column(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     return (np.asarray(b.column(0)) for b in batches if b.num_rows)
 
@@ -69,18 +89,23 @@ def _gather(spark: SparkSession, chunks: DataFrame, bits: int):
     return spark.sparkContext.broadcast(whole)
 
 
-def repeated(hashes: DataFrame, bits: int, merge_partitions: int = 16, of=_column):
+def _parts(hashes: DataFrame, bits: int, of) -> DataFrame:
+    return hashes.mapInArrow(lambda it: _positions(of(it), bits), "chunk int, once binary, twice binary")
+
+
+def _merged(parts: DataFrame, bits: int):
+    merged = parts.repartition(max(1, bits // MERGE_BITS), "chunk").mapInArrow(_merge, "chunk int, bits binary")
+    return _gather(parts.sparkSession, merged, bits)
+
+
+def repeated(hashes: DataFrame, bits: int, of=_column):
     """Broadcast bitmap of the positions that at least two hashes hit; ``of`` gives a partition's hashes (by default, the one column)."""
-    parts = hashes.mapInArrow(lambda it: _positions(of(it), bits), "chunk int, once binary, twice binary")
-    merged = parts.repartition(merge_partitions, "chunk").mapInArrow(_merge, "chunk int, bits binary")
-    return _gather(hashes.sparkSession, merged, bits)
+    return _merged(_parts(hashes, bits, of), bits)
 
 
-def present(hashes: DataFrame, bits: int, merge_partitions: int = 16, of=_column):
+def present(hashes: DataFrame, bits: int, of=_column):
     """Broadcast bitmap of the positions that any hash hits."""
-    once = hashes.mapInArrow(lambda it: _positions(of(it), bits), "chunk int, once binary, twice binary").select("chunk", "once", F.col("once").alias("twice"))
-    merged = once.repartition(merge_partitions, "chunk").mapInArrow(_merge, "chunk int, bits binary")
-    return _gather(hashes.sparkSession, merged, bits)
+    return _merged(_parts(hashes, bits, of).select("chunk", "once", F.col("once").alias("twice")), bits)
 
 
 def lookup(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -92,10 +117,8 @@ def lookup(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def probe(broadcast, hashed: Column) -> Column:
     """The same as a column; only the hashes travel to Python."""
 
-    @F.pandas_udf("boolean")
-    def hit(h):
-        import pandas as pd
-
-        return pd.Series(lookup(broadcast.value, h.to_numpy()))
+    @F.arrow_udf("boolean")
+    def hit(h: pa.Array) -> pa.Array:
+        return pa.array(lookup(broadcast.value, np.asarray(h)))
 
     return hit(hashed)

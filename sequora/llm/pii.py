@@ -9,7 +9,9 @@ never remove a base span.
 Proposals are looked for only where they can be: around each ``@``, and in runs of digits and the signs between
 them. That gives the same matches as scanning the whole text with the plain patterns, in linear time.
 
-Null texts count as empty; an empty text has no spans; a null id is returned as it is.
+Null texts count as empty; an empty text has no spans; a null id is returned as it is, repeated rows give repeated results. Of
+spans that start at one place the kind listed first comes first. Texts of any length are read whole, one at a time. An empty table
+gives an empty result; columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sequora.llm.store import small_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban")
 CONTEXT_CHARS = 40
 #: Words near a span that make it likelier, or less likely, to be what its pattern says.
@@ -149,7 +153,7 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and ``spans``, an array of (kind, start, end, score)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(_detect, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>").withColumnRenamed("id", id_col)
 
 

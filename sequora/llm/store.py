@@ -28,9 +28,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch between the JVM and Python: with it, what a task holds does not grow with the length of texts.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; sees to it that the session sends Python batches of ``BATCH_BYTES`` at most (or one row)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if conf.get(key).rstrip("b") != str(BATCH_BYTES):
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
