@@ -54,12 +54,15 @@ def survival(rows: DataFrame, x: str, keys: tuple[str, ...] = ()) -> DataFrame:
     return held.select(*keys, x, (1 - F.try_divide(F.col("below") + (F.col("n") - 1) / 2, F.col("total") - 1)).alias("s"))
 
 
-def kl(pairs: DataFrame, p: str, q: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, kl): divergence in bits of two columns of masses; 0 log 0 is 0."""
+def kl(pairs: DataFrame, p: str, q: str, keys: tuple[str, ...] = (), compat: bool = False) -> DataFrame:
+    """(keys, kl): divergence in bits of two columns of masses; 0 log 0 is 0. With ``compat``, any mass of 0 makes the whole 0."""
     whole = Window.partitionBy(*keys)
     a, b = F.col(p) / F.sum(p).over(whole), F.col(q) / F.sum(q).over(whole)
     held = pairs.select(*keys, a.alias("a"), b.alias("b"))
-    return held.groupBy(*keys).agg(F.sum(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("a") * F.log2(F.col("a") / F.col("b"))).otherwise(0.0)).alias("kl"))
+    found = F.sum(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("a") * F.log2(F.col("a") / F.col("b"))).otherwise(0.0))
+    if compat:
+        found = F.when(F.bool_or((F.col("a") == 0) | (F.col("b") == 0)), F.lit(0.0)).otherwise(found)
+    return held.groupBy(*keys).agg(found.alias("kl"))
 
 
 def drift_diffusion(seq: DataFrame, value: str, lo: float, hi: float, n: int, tau: int) -> DataFrame:
@@ -71,3 +74,18 @@ def drift_diffusion(seq: DataFrame, value: str, lo: float, hi: float, n: int, ta
     found = bins.groupBy("bin").agg((F.avg("d") / tau).alias("drift"), (F.var_pop("d") / (2 * tau)).alias("diffusion"), F.count(F.lit(1)).alias("n"))
     out = filled(found, n)
     return out.select("bin", F.coalesce("drift", F.lit(0.0)).alias("drift"), F.coalesce("diffusion", F.lit(0.0)).alias("diffusion"), "n")
+
+
+def gaussian(x: Column, height: Column, mean: Column, deviation: Column) -> Column:
+    return height * F.exp(-F.pow(x - mean, 2) / (2 * deviation * deviation))
+
+
+def smoothed(cells: DataFrame, value: str, weights: list[float], last: tuple[int, int]) -> DataFrame:
+    """(ix, iy, value): an image (empty pixels are 0) folded with a kernel along each axis, reflected at the edges: two joins with a table of the kernel's size."""
+    half = len(weights) // 2
+    k = F.broadcast(cells.sparkSession.createDataFrame([(i - half, w) for i, w in enumerate(weights)], "d int, w double"))
+    for axis, other, end in (("ix", "iy", last[0]), ("iy", "ix", last[1])):
+        at = F.col(axis) + F.col("d")
+        back = F.when(at < 0, -1 - at).when(at > end, 2 * end + 1 - at).otherwise(at)
+        cells = cells.join(k).groupBy(back.alias(axis), other).agg(F.sum(F.col(value) * F.col("w")).alias(value))
+    return cells

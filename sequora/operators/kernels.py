@@ -34,9 +34,16 @@ def dense(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stationary(p: np.ndarray) -> np.ndarray:
-    """The distribution with pi P = pi, by least squares with the sum fixed."""
-    a = np.vstack([p.T - np.eye(len(p)), np.ones(len(p))])
-    pi = np.linalg.lstsq(a, np.r_[np.zeros(len(p)), 1.0], rcond=None)[0]
+    """The distribution with pi P = pi: one equation gives way to the sum; by least squares where that has no single solution."""
+    a = p.T - np.eye(len(p))
+    try:
+        a[-1] = 1.0
+        pi = np.linalg.solve(a, np.r_[np.zeros(len(p) - 1), 1.0])
+        if not np.isfinite(pi).all() or (pi < -1e-9).any():
+            raise np.linalg.LinAlgError
+    except np.linalg.LinAlgError:
+        a = np.vstack([p.T - np.eye(len(p)), np.ones(len(p))])
+        pi = np.linalg.lstsq(a, np.r_[np.zeros(len(p)), 1.0], rcond=None)[0]
     return np.maximum(pi, 0) / np.maximum(pi, 0).sum()
 
 
@@ -102,32 +109,68 @@ def best_threshold(p: np.ndarray, pi: np.ndarray, phi: np.ndarray) -> tuple[floa
     return float(phi[order][at + 1]), float(rho[at])
 
 
-def recursive_partition(states: np.ndarray, p: np.ndarray, n_final: int) -> pd.DataFrame:
-    """(level, state, part): the heaviest part is split along its slowest mode until there are ``n_final``."""
-    part = np.zeros(len(states), int)
-    pi = stationary(p)
-    rows = [pd.DataFrame({"level": 0, "state": states, "part": part.copy()})]
-    done: set[int] = set()
-    for level in range(1, n_final):
-        mass = np.bincount(part, pi)
-        open_ = [g for g in range(len(mass)) if g not in done and (part == g).sum() > 2]
-        if not open_:
+def recentred(states: np.ndarray, p: np.ndarray, n_modes: int, height: float) -> pd.DataFrame:
+    """(state, mode, pi, z): eigenfunctions by rank, from -1 to 0 before the most coherent threshold and from 0 to 1 from there on.
+
+    Scaled by the root of half the inverse decay rate. A mode without a threshold of some height, or without a decay rate, is null.
+    """
+    pi, values, phi = spectrum(p, n_modes + 1)
+    rows = []
+    for m in range(1, phi.shape[1]):
+        order = np.lexsort((np.arange(len(states)), phi[:, m]))
+        at, rho = best_threshold(p, pi, phi[:, m])
+        low = int(np.argmax(phi[order, m] == at)) - 1
+        z = np.full(len(states), np.nan)
+        if rho >= height and low >= 0 and 1e-12 < values[m] < 1 - 1e-12:
+            spread = np.r_[np.linspace(-1, 0, low), np.linspace(0, 1, len(states) - low)]
+            z[order] = np.sqrt(-1 / np.log(values[m]) / 2) * spread
+        rows.append(pd.DataFrame({"state": states, "mode": m, "pi": pi, "z": z}))
+    return pd.concat(rows) if rows else pd.DataFrame({"state": states[:0], "mode": [], "pi": [], "z": []})
+
+
+def posterior_counts(reps: DataFrame) -> DataFrame:
+    """(rep, src, dst, n): a gamma draw for each count of each replicate, from one generator a replicate."""
+
+    def draw(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values(["src", "dst"])
+        rng = np.random.default_rng(int(hashed_uniform("gamma", int(cells.rep.iloc[0])) * 2**32))
+        return cells.assign(n=rng.gamma(cells.n.to_numpy(float)))[["rep", "src", "dst", "n"]]
+
+    return reps.groupBy("rep").applyInPandas(draw, "rep int, src int, dst int, n double")
+
+
+def plateau(x: np.ndarray, tolerance: float = 1e-5) -> tuple[int | None, float]:
+    """(place, level): where a curve first crosses the level to which its mean from there on has risen.
+
+    The level begins at the 80th percentile; it becomes the slope of the running sums from the last crossing on (the mean of what
+    follows), as long as that still rises by more than the tolerance. A level that the curve never crosses ends the search.
+    """
+
+    def crossing(level: float) -> int | None:
+        at = np.flatnonzero(np.diff(np.sign(x - level)))
+        return int(at[0]) if len(at) else None
+
+    level = float(np.percentile(x, 80))
+    place, sums = crossing(level), np.cumsum(x)
+    while place is not None and len(x) - place > 1:
+        risen = float(np.polyfit(np.arange(place, len(x)), sums[place:], 1)[0])
+        step, level = risen - level, risen
+        found = crossing(level)
+        place = place if found is None else found
+        if found is None or step <= tolerance:
             break
-        g = max(open_, key=lambda x: (mass[x], -x))
-        inside = np.flatnonzero(part == g)
-        sub = p[np.ix_(inside, inside)]
-        total = sub.sum(axis=1, keepdims=True)
-        sub = np.where(total > 0, sub / np.where(total > 0, total, 1), np.eye(len(inside)))
-        pi_s, _, phi = spectrum(sub, 2)
-        cut = best_threshold(sub, pi_s, phi[:, 1])[0]
-        moved = inside[phi[:, 1] < cut]
-        if not len(moved) or len(moved) == len(inside):
-            done.add(g)
-            continue
-        part[moved] = part.max() + 1
-        part = np.unique(part, return_inverse=True)[1]
-        rows.append(pd.DataFrame({"level": level, "state": states, "part": part.copy()}))
-    return pd.concat(rows)
+    return place, level
+
+
+def plateaus(curves: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, place, level) of each curve; curves have a row per delay."""
+    kinds = dict(curves.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        place, level = plateau(rows.sort_values(x)[y].to_numpy())
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "place": pd.array([place], "Int32"), "level": [level]})
+
+    return curves.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", place int, level double")
 
 
 def hashed_uniform(*key) -> float:

@@ -44,28 +44,44 @@ def path(seq: DataFrame, turn: str, dist: str) -> DataFrame:
     return held.select("rec", "t", F.sum("dx").over(up_to()).alias("x"), F.sum("dy").over(up_to()).alias("y"))
 
 
-def lagged(seq: DataFrame, columns: list[str], lags: list[int]) -> DataFrame:
-    """(rec, t, lag, columns, columns_later): each row with the row ``lag`` places behind it."""
-    later = F.array(*[F.struct(F.lit(lag).alias("lag"), *(F.lead(c, lag).over(by_rec()).alias(f"{c}_later") for c in columns)) for lag in lags])
-    rows = seq.select("rec", "t", *columns, later.alias("p")).select("rec", "t", *columns, F.explode("p").alias("p")).select("rec", "t", *columns, "p.*")
-    return rows.where(F.col(f"{columns[0]}_later").isNotNull())
-
-
-def autocorrelation(seq: DataFrame, value: str, lags: list[int]) -> DataFrame:
-    """(rec, lag, acf): mean product of centred pairs over the population variance; no pair, no row."""
+def lagged(seq: DataFrame, columns: list[str], lags: list[int], breaks: str | None = None) -> DataFrame:
+    """(rec, t, lag, columns, columns_later): each row with the row ``lag`` places behind it (before it, for a negative lag).
+
+    Pairs that span a row where ``breaks`` holds (from behind the first of the two to the second) are left out.
+    """
+    held = seq
+    if breaks:
+        held = seq.withColumn("_breaks", F.sum(F.col(breaks).cast("int")).over(up_to()))
+    carried = [*columns, "_breaks"] if breaks else list(columns)
+    at = lambda c, lag: F.lead(c, lag).over(by_rec()) if lag >= 0 else F.lag(c, -lag).over(by_rec())
+    later = F.array(*[F.struct(F.lit(lag).alias("lag"), *(at(c, lag).alias(f"{c}_later") for c in carried)) for lag in lags])
+    rows = held.select("rec", "t", *carried, later.alias("p")).select("rec", "t", *carried, F.explode("p").alias("p")).select("rec", "t", *carried, "p.*")
+    rows = rows.where(F.col(f"{columns[0]}_later").isNotNull())
+    return rows.where("_breaks_later = _breaks").drop("_breaks", "_breaks_later") if breaks else rows
+
+
+def autocorrelation(seq: DataFrame, value: str, lags: list[int], breaks: str | None = None) -> DataFrame:
+    """(rec, lag, acf): mean product of centred pairs over the population variance; 1 at lag 0; no pair, no row."""
     whole = Window.partitionBy("rec")
     held = seq.withColumn("c", F.col(value) - F.avg(value).over(whole)).withColumn("v", F.var_pop(value).over(whole))
-    return lagged(held, ["c", "v"], lags).groupBy("rec", "lag").agg((F.avg(F.col("c") * F.col("c_later")) / F.first("v")).alias("acf"))
+    found = lagged(held, ["c", "v"], [x for x in lags if x], breaks).groupBy("rec", "lag").agg((F.avg(F.col("c") * F.col("c_later")) / F.first("v")).alias("acf"))
+    return found.unionByName(seq.groupBy("rec").agg(F.lit(0).alias("lag"), F.lit(1.0).alias("acf"))) if 0 in lags else found
 
 
-def crosscorrelation(seq: DataFrame, x: str, y: str, lags: list[int]) -> DataFrame:
-    """(rec, lag, ccf): x now against y ``lag`` rows later, centred, over the product of the deviations."""
+def crosscorrelation(seq: DataFrame, x: str, y: str, lags: list[int], breaks: str | None = None) -> DataFrame:
+    """(rec, lag, ccf): x now against y ``lag`` rows later (earlier, for a negative lag), centred, over the product of the deviations."""
     whole = Window.partitionBy("rec")
     held = seq.withColumn("cx", F.col(x) - F.avg(x).over(whole)).withColumn("cy", F.col(y) - F.avg(y).over(whole)).withColumn("s", F.stddev_pop(x).over(whole) * F.stddev_pop(y).over(whole))
-    return lagged(held, ["cx", "cy", "s"], lags).groupBy("rec", "lag").agg((F.avg(F.col("cx") * F.col("cy_later")) / F.first("s")).alias("ccf"))
+    return lagged(held, ["cx", "cy", "s"], lags, breaks).groupBy("rec", "lag").agg((F.avg(F.col("cx") * F.col("cy_later")) / F.first("s")).alias("ccf"))
+
+
+def dot_autocorrelation(seq: DataFrame, vector: str, lags: list[int], breaks: str | None = None) -> DataFrame:
+    """(rec, lag, dot): mean inner product of vectors ``lag`` rows apart, not centred; at lag 0 the mean squared length."""
+    dot = F.aggregate(F.zip_with(vector, f"{vector}_later", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return lagged(seq, [vector], lags, breaks).groupBy("rec", "lag").agg(F.avg(dot).alias("dot"))
 
 
 def msd(xy: DataFrame, lags: list[int]) -> DataFrame:
-    """(rec, lag, msd, n): mean squared displacement and the number of pairs."""
+    """(rec, lag, msd, n): mean squared displacement and the number of pairs; 0 at lag 0."""
     dx, dy = F.col("x_later") - F.col("x"), F.col("y_later") - F.col("y")
     return lagged(xy, ["x", "y"], lags).groupBy("rec", "lag").agg(F.avg(dx * dx + dy * dy).alias("msd"), F.count(F.lit(1)).alias("n"))

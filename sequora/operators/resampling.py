@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sequora.sources.formats import numbered
+
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from a hash of the parts."""
@@ -16,9 +18,14 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(said.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def poisson(u: Column, steps: tuple[float, ...]) -> Column:
+    """How often a row counts in a replicate: the number of steps of the distribution function that a uniform number is not below."""
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, p: n + F.when(u >= p, 1).otherwise(0))
+
+
 def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``i``: the place of each row in the order of its keys. Entities, not raw rows, are ranked."""
-    return rows.withColumn("i", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    """Adds ``i``: the place of each row in the order of its keys, numbered range by range, never in one task."""
+    return numbered(rows, keys, "i")
 
 
 def draws(spark, reps: int, n: int) -> DataFrame:
@@ -32,3 +39,28 @@ def multiplicities(entities: DataFrame, keys: list[str], reps: int) -> DataFrame
     n = entities.count()
     times = draws(entities.sparkSession, reps, n).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("times"))
     return times.join(ranked(entities, keys), "i").drop("i")
+
+
+def multiplicities_by(entities: DataFrame, key: str, name: str, reps: int) -> DataFrame:
+    """(key, name, rep, times): draws inside each group, of as many entities as it has; groups are of a bounded size."""
+    order = Window.partitionBy(key).orderBy(name)
+    placed = entities.select(key, name, (F.row_number().over(order) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"))
+    draw = placed.select(key, F.col("i").alias("j"), "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    times = draw.select(key, "rep", F.floor(uniform(F.col("rep"), F.col(key), F.col("j")) * F.col("n")).cast("long").alias("i")).groupBy(key, "rep", "i").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(placed.select(key, name, "i"), [key, "i"]).select(key, name, "rep", "times")
+
+
+def window_sample(seq: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """(key, place, t, label and what else the rows have): ``size`` consecutive rows of each group, its recordings end to end, from a hashed start; two missing rows on each side.
+
+    A recording's offset in its group comes from running sums over recordings; rows only learn it by a join on the recording.
+    """
+    length = seq.groupBy(key, "rec").agg(F.count(F.lit(1)).alias("length"))
+    order = Window.partitionBy(key).orderBy("rec")
+    offset = length.select("rec", key, "length", (F.sum("length").over(order) - F.col("length")).alias("offset"), F.sum("length").over(Window.partitionBy(key)).alias("n"))
+    start = F.floor(uniform(F.lit(seed), F.col(key)) * (F.col("n") - size)).cast("long")
+    hit = offset.withColumn("start", start).where((F.col("offset") + F.col("length") > F.col("start")) & (F.col("offset") < F.col("start") + size))
+    rows = seq.join(hit.select("rec", key, "offset", "start"), ["rec", key]).withColumn("pos", F.col("offset") + F.col("t"))
+    rows = rows.where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + size)).withColumn("place", F.col("pos") - F.col("start") + 2).drop("pos", "start", "offset")
+    pads = length.select(key).distinct().select(key, F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 1, size + 2, size + 3)])).alias("place"))
+    return rows.unionByName(pads, allowMissingColumns=True)

@@ -70,26 +70,42 @@ def transition_counts(seq: DataFrame, lag: int = 1, gap_aware: bool = False, key
 def chunked(seq: DataFrame, size: int) -> DataFrame:
     """Adds ``chunk``: pieces of a fixed length that do not overlap. The last piece of a recording always goes."""
     length = F.count(F.lit(1)).over(Window.partitionBy("rec"))
-    whole = F.ceil((length - size) / F.lit(size)) * size
     return seq.withColumn("len", length).where(F.col("t") < F.ceil((F.col("len") - size) / F.lit(size)) * size).withColumn("chunk", F.floor(F.col("t") / size)).drop("len")
 
 
 def trajectory(seq: DataFrame, value: str, k: int, reverse: bool = False) -> DataFrame:
-    """(rec, centre, vec): delay vectors of k + 1 values inside each segment; the last possible window of a segment is left out."""
+    """(rec, centre, vec): delay vectors of k + 1 values inside each segment; the last possible window of a segment is left out.
+
+    Where the value is an array (a vector per row), the vectors of a window stand end to end.
+    """
     seg = with_segments(seq, value)
     by = Window.partitionBy("rec", "seg").orderBy("t")
     held = seg.where(F.col(value).isNotNull())
     vec = F.collect_list(value).over(by.rowsBetween(0, k))
+    if reverse:
+        vec = F.reverse(vec)
+    if seq.schema[value].dataType.typeName() == "array":
+        vec = F.flatten(vec)
     size = F.count(F.lit(1)).over(Window.partitionBy("rec", "seg"))
     rows = held.select("rec", "t", vec.alias("vec"), (F.row_number().over(by) - 1).alias("pos"), size.alias("size"))
-    rows = rows.where(F.col("pos") <= F.col("size") - k - 2)
-    return rows.select("rec", (F.col("t") + k // 2).alias("centre"), (F.reverse("vec") if reverse else F.col("vec")).alias("vec"))
+    return rows.where(F.col("pos") <= F.col("size") - k - 2).select("rec", (F.col("t") + k // 2).alias("centre"), "vec")
+
+
+def trajectory_across_gaps(seq: DataFrame, value: str, k: int) -> DataFrame:
+    """(rec, centre, vec): delay vectors of k + 1 values, the latest first, whatever is missing between them (missing values stay null).
+
+    As in ``trajectory``, the last possible window of a recording is left out.
+    """
+    vec = F.array(*[F.lead(value, i).over(by_rec()) for i in range(k, -1, -1)])
+    size = F.count(F.lit(1)).over(Window.partitionBy("rec"))
+    rows = seq.select("rec", "t", vec.alias("vec"), (F.row_number().over(by_rec()) - 1).alias("pos"), size.alias("size"))
+    return rows.where(F.col("pos") <= F.col("size") - k - 2).select("rec", (F.col("t") + k // 2).alias("centre"), "vec")
 
 
-def drop_ends(seq: DataFrame, label: str = "label") -> DataFrame:
-    """The first and the last symbol of each recording become missing."""
+def drop_ends(seq: DataFrame, label: str = "label", first: int = 1, last: int = 1) -> DataFrame:
+    """The first and the last symbols of each recording become missing."""
     back = Window.partitionBy("rec").orderBy(F.desc("t"))
-    inner = (F.row_number().over(by_rec()) > 1) & (F.row_number().over(back) > 1)
+    inner = (F.row_number().over(by_rec()) > first) & (F.row_number().over(back) > last)
     return seq.withColumn(label, F.when(inner, F.col(label)))
 
 

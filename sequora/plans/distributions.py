@@ -37,6 +37,15 @@ def hist_zscore(spark, sf_dir):
     return out.select("bin", "n", r6(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
+@query(f"""WITH z AS (SELECT (l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem)) / (SELECT stddev_pop(l_extendedprice) FROM lineitem) AS x FROM lineitem), {hist_sql('SELECT round(x, 8) AS x FROM z', '-3.0::DOUBLE', '3.0::DOUBLE', 24)}, top AS (SELECT max(n) / sum(n) AS a FROM h)
+SELECT i::INT AS i, round(-3.125::DOUBLE + i * 6.25 / 239, 6) AS x, round(a * exp(-((-3.125::DOUBLE + i * 6.25 / 239) ** 2) / 2), 6) AS g FROM top, unnest(range(0, 240)) AS u(i)""")
+def hist_gaussian(spark, sf_dir):
+    """The Gaussian curve beside a histogram of standardised values: its height is the largest share of a bin, its mean 0, its deviation 1; ten places per bin."""
+    top = hist_zscore(spark, sf_dir).agg((F.max("n") / F.sum("n")).alias("a"))
+    lines = top.select("a", F.explode(F.sequence(F.lit(0), F.lit(239))).alias("i")).withColumn("x", -3.125 + F.col("i") * 6.25 / 239)
+    return lines.select("i", r6(F.col("x")).alias("x"), r6(ds.gaussian(F.col("x"), F.col("a"), F.lit(0.0), F.lit(1.0))).alias("g"))
+
+
 @query("WITH c AS (SELECT least(floor((l_quantity - 1) / (49 / 10.0::DOUBLE)), 9)::INT AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 GROUP BY ALL) SELECT bin, n, round(n / (sum(n) OVER () * 4.9::DOUBLE), 6) AS density FROM c")
 def hist_density(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").select(ds.closed_bin(F.col("l_quantity"), 1.0, 50.0, 10).alias("bin")).where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
@@ -67,20 +76,22 @@ WEIGHTS = [w / sum(KERNEL) for w in KERNEL]
 KSQL = "k AS (SELECT unnest(range(-8, 9)) AS d, unnest([" + ", ".join(f"{w!r}::DOUBLE" for w in WEIGHTS) + "]) AS w)"
 
 
-@query(f"""WITH c AS (SELECT ix, iy, count(*) AS n FROM ({PIX}) GROUP BY ALL), {KSQL},
+SMOOTH = f"""{KSQL},
  a AS (SELECT CASE WHEN ix + d < 0 THEN -1 - (ix + d) WHEN ix + d > 43 THEN 87 - (ix + d) ELSE ix + d END AS ix, iy, sum(n * w) AS n FROM c, k GROUP BY ALL),
- b AS (SELECT ix, CASE WHEN iy + d < 0 THEN -1 - (iy + d) WHEN iy + d > 23 THEN 47 - (iy + d) ELSE iy + d END AS iy, sum(n * w) AS n FROM a, k GROUP BY ALL)
-SELECT ix::INT AS ix, iy::INT AS iy, round(n, 6) AS n FROM b""")
+ b AS (SELECT ix, CASE WHEN iy + d < 0 THEN -1 - (iy + d) WHEN iy + d > 23 THEN 47 - (iy + d) ELSE iy + d END AS iy, sum(n * w) AS n FROM a, k GROUP BY ALL)"""
+
+
+@query(f"WITH c AS (SELECT ix, iy, count(*) AS n FROM ({PIX}) GROUP BY ALL), {SMOOTH} SELECT ix::INT AS ix, iy::INT AS iy, round(n, 6) AS n FROM b")
 def density2d_smooth(spark, sf_dir):
-    """Gaussian smoothing (deviation 2, cut at 4 deviations, reflected at the edges) as two joins with a 17-row kernel."""
-    k = F.broadcast(spark.createDataFrame(list(zip(range(-8, 9), WEIGHTS)), "d int, w double"))
     c = pixels(spark, sf_dir).groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
-    for axis, last in (("ix", 43), ("iy", 23)):
-        at = F.col(axis) + F.col("d")
-        back = F.when(at < 0, -1 - at).when(at > last, 2 * last + 1 - at).otherwise(at)
-        other = "iy" if axis == "ix" else "ix"
-        c = c.join(k).groupBy(back.alias(axis), other).agg(F.sum(F.col("n") * F.col("w")).alias("n"))
-    return c.select("ix", "iy", r6(F.col("n")).alias("n"))
+    return ds.smoothed(c, "n", WEIGHTS, (43, 23)).select("ix", "iy", r6(F.col("n")).alias("n"))
+
+
+@query(f"WITH c AS (SELECT ix, iy, avg(z) AS n FROM ({PIX}) GROUP BY ALL), {SMOOTH} SELECT ix::INT AS ix, iy::INT AS iy, round(n, 6) AS mean FROM b")
+def density2d_z_smooth(spark, sf_dir):
+    """Means per pixel (0 where there is none), smoothed."""
+    c = pixels(spark, sf_dir).groupBy("ix", "iy").agg(F.avg("z").alias("n"))
+    return ds.smoothed(c, "n", WEIGHTS, (43, 23)).select("ix", "iy", r6(F.col("n")).alias("mean"))
 
 
 @query(f"WITH {EV} SELECT rec, value, round((row_number() OVER (PARTITION BY rec ORDER BY value) - 1) / (count(*) OVER (PARTITION BY rec) - 1), 6) AS p FROM ev")
@@ -135,6 +146,12 @@ def kl_divergence(spark, sf_dir):
     return ds.kl(masses(spark, sf_dir), "p", "q", ("grp",)).select("grp", r6(F.col("kl")).alias("kl"))
 
 
+@query(f"WITH {MASSES}, e AS (SELECT grp, p / sum(p) OVER (PARTITION BY grp) AS p, q / sum(q) OVER (PARTITION BY grp) AS q FROM pq WHERE bin % 2 = 0 OR grp < 4) SELECT grp, CASE WHEN bool_or(p = 0 OR q = 0) THEN 0 ELSE round(sum({KLSQL.format(a='p', b='q')}), 6) END AS kl FROM e GROUP BY grp")
+def kl_divergence_compat(spark, sf_dir):
+    """The divergence that is 0 as soon as any mass is; groups from 4 on have the even bins only."""
+    return ds.kl(masses(spark, sf_dir).where("bin % 2 = 0 or grp < 4"), "p", "q", ("grp",), compat=True).select("grp", r6(F.col("kl")).alias("kl"))
+
+
 @query(f"WITH {MASSES} SELECT grp, round(sum({KLSQL.format(a='p', b='((p + q) / 2)')}) / 2 + sum({KLSQL.format(a='q', b='((p + q) / 2)')}) / 2, 6) AS js FROM w GROUP BY grp")
 def js_divergence(spark, sf_dir):
     whole = Window.partitionBy("grp")
@@ -184,21 +201,35 @@ def bbox_fraction(spark, sf_dir):
     return boxed(spark, sf_dir).groupBy("rec").agg(r6(F.avg(near.cast("int"))).alias("near"))
 
 
-@query(f"""WITH {EV}, {XYB}, h AS (SELECT b.rec, cos(phase) AS cx, sin(phase) AS cy, [x - x0, x1 - x, y - y0, y1 - y] AS d FROM bx b JOIN ev USING (rec, t)),
- o AS (SELECT rec, round(CASE list_position(d, list_min(d)) WHEN 1 THEN cx WHEN 2 THEN -cx WHEN 3 THEN cy ELSE -cy END, 9) AS dot FROM h)
-SELECT rec, sum(CASE WHEN dot < -1/3 THEN 1 ELSE 0 END)::BIGINT AS towards, sum(CASE WHEN dot > 1/3 THEN 1 ELSE 0 END)::BIGINT AS away, sum(CASE WHEN dot BETWEEN -1/3 AND 1/3 THEN 1 ELSE 0 END)::BIGINT AS along FROM o GROUP BY rec""")
+#: Bins of the cosine to the nearest wall's normal, and the borders between towards, along and away.
+WALL_BINS, THIRD = 99, 1 / 3
+WALL = f"""{XYB}, h AS (SELECT b.rec, cos(phase) AS cx, sin(phase) AS cy, [x - x0, x1 - x, y - y0, y1 - y] AS d FROM bx b JOIN ev USING (rec, t)),
+ o AS (SELECT rec, round(CASE list_position(d, list_min(d)) WHEN 1 THEN cx WHEN 2 THEN -cx WHEN 3 THEN cy ELSE -cy END, 9) AS dot FROM h),
+ wb AS (SELECT rec, -1 + (least(floor((dot + 1) * {WALL_BINS} / 2), {WALL_BINS - 1}) + 0.5::DOUBLE) * 2 / {WALL_BINS} AS centre, count(*) AS n FROM o GROUP BY ALL),
+ wc AS (SELECT rec, sum(CASE WHEN centre < -{THIRD} THEN n ELSE 0 END)::BIGINT AS towards, sum(CASE WHEN centre > {THIRD} THEN n ELSE 0 END)::BIGINT AS away, sum(CASE WHEN centre BETWEEN -{THIRD} AND {THIRD} THEN n ELSE 0 END)::BIGINT AS along FROM wb GROUP BY rec)"""
+
+
+@query(f"WITH {EV}, {WALL} SELECT rec, towards, away, along FROM wc")
 def wall_orientation(spark, sf_dir):
+    """Per recording, how often it heads towards, away from and along the nearest wall, from a histogram of 99 bins of the cosine to its normal."""
     up, whole = sq.up_to(), Window.partitionBy("rec")
     seq = event_sequence(spark, sf_dir)
     xy = seq.select("rec", "phase", F.sum(F.col("k") * F.cos("phase")).over(up).alias("x"), F.sum(F.col("k") * F.sin("phase")).over(up).alias("y"))
     d = F.array(F.col("x") - F.min("x").over(whole), F.max("x").over(whole) - F.col("x"), F.col("y") - F.min("y").over(whole), F.max("y").over(whole) - F.col("y"))
     held = xy.select("rec", "phase", d.alias("d")).withColumn("wall", F.array_position("d", F.array_min("d")))
     dot = F.round(F.when(F.col("wall") == 1, F.cos("phase")).when(F.col("wall") == 2, -F.cos("phase")).when(F.col("wall") == 3, F.sin("phase")).otherwise(-F.sin("phase")), 9)
-    third = 1 / 3
-    return held.select("rec", dot.alias("dot")).groupBy("rec").agg(F.count_if(F.col("dot") < -third).alias("towards"), F.count_if(F.col("dot") > third).alias("away"), F.count_if(F.col("dot").between(-third, third)).alias("along"))
+    centre = -1 + (F.least(F.floor((dot + 1) * WALL_BINS / 2), F.lit(WALL_BINS - 1)) + 0.5) * 2 / WALL_BINS
+    counts = held.select("rec", centre.alias("c"))
+    return counts.groupBy("rec").agg(F.count_if(F.col("c") < -THIRD).alias("towards"), F.count_if(F.col("c") > THIRD).alias("away"), F.count_if(F.col("c").between(-THIRD, THIRD)).alias("along"))
 
 
-@query("WITH b AS (SELECT floor(l_quantity / 10.001)::INT AS cx, floor(l_discount / 0.021)::INT AS cy, l_returnflag AS state, count(*) AS n FROM lineitem GROUP BY ALL) SELECT cx, cy, state, round(n / sum(n) OVER (PARTITION BY cx, cy), 6) AS share FROM b")
+@query("""WITH g AS (SELECT a::INT AS cx, b::INT AS cy, s AS state FROM unnest(range(0, 6)) AS u(a), unnest(range(0, 6)) AS w(b), (SELECT DISTINCT l_returnflag AS s FROM lineitem)), b AS (SELECT floor(l_quantity / 10.001)::INT AS cx, floor(l_discount / 0.021)::INT AS cy, l_returnflag AS state, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT cx, cy, state, round(coalesce(n, 0) / nullif(sum(n) OVER (PARTITION BY cx, cy), 0), 6) AS share FROM g LEFT JOIN b USING (cx, cy, state)""")
 def spatial_state_fraction(spark, sf_dir):
-    b = table(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_quantity") / 10.001).cast("int").alias("cx"), F.floor(F.col("l_discount") / 0.021).cast("int").alias("cy"), F.col("l_returnflag").alias("state")).agg(F.count(F.lit(1)).alias("n"))
-    return b.select("cx", "cy", "state", r6(F.col("n") / F.sum("n").over(Window.partitionBy("cx", "cy"))).alias("share"))
+    """Shares of the states in each cell of a grid; null in cells that hold nothing."""
+    rows = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_quantity") / 10.001).cast("int").alias("cx"), F.floor(F.col("l_discount") / 0.021).cast("int").alias("cy"), F.col("l_returnflag").alias("state"))
+    n = rows.groupBy("cx", "cy", "state").agg(F.count(F.lit(1)).alias("n"))
+    cells = F.explode(F.flatten(F.array(*[F.array(*[F.struct(F.lit(a).alias("cx"), F.lit(b).alias("cy")) for b in range(6)]) for a in range(6)])))
+    grid = rows.select("state").distinct().select("state", cells.alias("c")).select("c.*", "state")
+    total = F.sum("n").over(Window.partitionBy("cx", "cy"))
+    return grid.join(n, ["cx", "cy", "state"], "left").select("cx", "cy", "state", r6(F.coalesce("n", F.lit(0)) / F.nullif(total, F.lit(0))).alias("share"))

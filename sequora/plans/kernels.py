@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sequora.operators import kernels as kn, learning as ml, markov, resampling as rs, sequences as sq
+from sequora.config import SweepParameters
+from sequora.operators import kernels as kn, learning as ml, markov, pairs, partition, resampling as rs, sequences as sq
 from sequora.operators.sequences import r6
 from sequora.plans.registry import EV, query
-from sequora.plans.transitions import CONNECTED, EDGES, P1, chunk_bootstrap_counts, chunked_counts, cohort_rows, l1_pairs
-from sequora.sources.bindings import event_sequence, table
+from sequora.plans.transitions import HEIGHT, P1, chunk_bootstrap_counts, chunked_counts, recording_rows, steady
+from sequora.sources.bindings import N_STATES, event_sequence, group_of, table
 from sequora.sources.storage import cut
 
 
@@ -37,9 +38,51 @@ def timescales_by_delay(spark, sf_dir):
 @query()
 def bootstrap_timescales(spark, sf_dir):
     counts = chunk_bootstrap_counts(spark, sf_dir).withColumn("lag", F.lit(1))
-    t = kn.implied_timescales(counts, 3, keys=("rep", "lag")).where("timescale is not null")
-    q = t.groupBy("mode").agg(F.percentile("timescale", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
-    return q.select("mode", *(r6(F.col("q")[i]).alias(c) for i, c in enumerate(("low", "median", "high"))))
+    return quantiles(kn.implied_timescales(counts, 3, keys=("rep", "lag")), ["mode"])
+
+
+def quantiles(t, by):
+    t = t.where("timescale is not null")
+    q = t.groupBy(*by).agg(F.percentile("timescale", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
+    return q.select(*by, *(r6(F.col("q")[i]).alias(c) for i, c in enumerate(("low", "median", "high"))))
+
+
+DELAYS, CHUNK = [1, 2, 4], 16
+
+
+def lagged_chunk_counts(spark, sf_dir):
+    """(rec, chunk, lag, src, dst, n): counts inside pieces of recordings for several delays, from one sort."""
+    held = sq.chunked(event_sequence(spark, sf_dir), CHUNK)
+    by = Window.partitionBy("rec", "chunk").orderBy("t")
+    later = F.array(*[F.struct(F.lit(d).alias("lag"), F.lead("label", d).over(by).alias("dst")) for d in DELAYS])
+    pairs = held.select("rec", "chunk", F.col("label").alias("src"), later.alias("p")).select("rec", "chunk", "src", F.explode("p").alias("p"))
+    return pairs.where("p.dst is not null").groupBy("rec", "chunk", F.col("p.lag").alias("lag"), "src", F.col("p.dst").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def pooled_timescales(spark, sf_dir):
+    """Timescales of the counts inside all pieces, per delay."""
+    counts = lagged_chunk_counts(spark, sf_dir).groupBy("lag", "src", "dst").agg(F.sum("n").alias("n"))
+    return kn.implied_timescales(counts, 2).select("lag", "mode", r6(F.col("timescale")).alias("timescale"))
+
+
+@query()
+def trajectory_timescales(spark, sf_dir):
+    """Timescales of explicit trajectories: the segments between gaps, never joined to each other."""
+    pairs = sq.lag_pairs(event_sequence(spark, sf_dir, gaps=True), DELAYS, gap_aware=True)
+    counts = pairs.groupBy("lag", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return kn.implied_timescales(counts, 2).select("lag", "mode", r6(F.col("timescale")).alias("timescale"))
+
+
+@query()
+def timescales_with_intervals(spark, sf_dir):
+    """Timescales per delay with intervals of a bootstrap of pieces; one draw of pieces serves all delays of a replicate."""
+    counts = cut(lagged_chunk_counts(spark, sf_dir), "chunk-counts")
+    pieces = counts.select("rec", "chunk").distinct()
+    drawn = counts.join(rs.multiplicities(pieces, ["rec", "chunk"], 20), ["rec", "chunk"]).groupBy("rep", "lag", "src", "dst").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
+    ends = quantiles(kn.implied_timescales(drawn, 2, keys=("rep", "lag")), ["lag", "mode"])
+    whole = counts.groupBy("lag", "src", "dst").agg(F.sum("n").alias("n"))
+    return kn.implied_timescales(whole, 2).select("lag", "mode", r6(F.col("timescale")).alias("timescale")).join(ends, ["lag", "mode"], "left")
 
 
 @query()
@@ -48,58 +91,72 @@ def subtraj_timescales(spark, sf_dir):
     return kn.implied_timescales(counts, 2, keys=("rec", "lag")).select("rec", "mode", r6(F.col("timescale")).alias("timescale"))
 
 
+def fine_lag_counts(spark, sf_dir, lags):
+    pairs = sq.lag_pairs(fine_sequence(spark, sf_dir), lags)
+    return pairs.groupBy("lag", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def spectrum_topk(spark, sf_dir):
-    counts = sq.transition_counts(fine_sequence(spark, sf_dir), 1).withColumn("grp", F.lit(0))
+    """Leading eigenvalues and eigenfunctions of the reversible operator of each delay, one small task a delay."""
 
     def kernel(key, states, p):
         pi, values, phi = kn.spectrum(p, 4)
-        return pd.DataFrame([(int(s), m, float(values[m]), float(pi[i]), float(phi[i, m])) for i, s in enumerate(states) for m in range(len(values))], columns=["state", "mode", "value", "pi", "phi"])
+        return pd.DataFrame([(key["lag"], int(s), m, float(values[m]), float(pi[i]), float(phi[i, m])) for i, s in enumerate(states) for m in range(len(values))], columns=["lag", "state", "mode", "value", "pi", "phi"])
+
+    out = kn.per_matrix(fine_lag_counts(spark, sf_dir, [1, 2]), ["lag"], "lag int, state int, mode int, value double, pi double, phi double", kernel)
+    return out.select("lag", "state", "mode", *(r6(F.col(c)).alias(c) for c in ("value", "pi", "phi")))
+
+
+@query()
+def recentred_modes(spark, sf_dir):
+    """Eigenfunctions spread over [-1, 0] and [0, 1] around their most coherent threshold, scaled by the root of half their decay rate's inverse."""
+    kernel = lambda key, states, p: kn.recentred(states, p, 3, 0.0).assign(lag=key["lag"])[["lag", "state", "mode", "pi", "z"]]
+    out = kn.per_matrix(fine_lag_counts(spark, sf_dir, [1, 2]), ["lag"], "lag int, state int, mode int, pi double, z double", kernel)
+    return out.select("lag", "state", "mode", r6(F.col("pi")).alias("pi"), r6(F.col("z")).alias("z"))
 
-    out = kn.per_matrix(counts, ["grp"], "state int, mode int, value double, pi double, phi double", kernel)
-    return out.select("state", "mode", *(r6(F.col(c)).alias(c) for c in ("value", "pi", "phi")))
+
+@query()
+def coherent_split(spark, sf_dir):
+    """The two most coherent sets along the slowest eigenfunction: all thresholds from running sums, the best peak labels the states."""
+    p = cut(markov.row_normalised(sq.transition_counts(fine_sequence(spark, sf_dir), 1)), "p")
+    modes = spectrum_topk(spark, sf_dir).where("lag = 1 and mode = 1")
+    phi = cut(modes.select("state", "phi"), "phi")
+    return markov.optimal_split(p, markov.stationary(p), phi, HEIGHT)
 
 
 @query()
 def recursive_partition(spark, sf_dir):
-    counts = sq.transition_counts(fine_sequence(spark, sf_dir), 1).withColumn("grp", F.lit(0))
-    kernel = lambda key, states, p: kn.recursive_partition(states, p, 5).astype({"level": "int32", "state": "int32", "part": "int32"})
-    return kn.per_matrix(counts, ["grp"], "level int, state int, part int", kernel)
+    """The heaviest part is split along the slowest mode of its own transitions, counted anew between its rows, until there are five."""
+    return partition.recursive_partition(fine_sequence(spark, sf_dir).select("rec", "t", "label"), 1, 5, HEIGHT)
 
 
 @query()
 def coarse_grain_kmeans(spark, sf_dir):
-    """States clustered by their slow modes, weighted by the stationary measure; the labels then go back to the events by a broadcast join."""
-    wide = spectrum_topk(spark, sf_dir).where("mode in (1, 2)").groupBy("state").agg(F.first("pi").alias("pi"), F.array_sort(F.collect_list(F.struct("mode", "phi"))).alias("m"))
-    points = ml.vectors(wide.withColumn("v", F.transform("m", lambda x: x["phi"])), "v")
-    found = ml.kmeans(cut(points.select("state", "pi", "features"), "modes"), 4, 123, "pi").select(F.col("state").alias("label"), "cluster")
+    """States clustered by ceil(log2 q) recentred modes, weighted by the stationary measure, best of several starts; the labels then go back to the events by a broadcast join."""
+    q, n_modes = 4, 2
+    wide = recentred_modes(spark, sf_dir).where(f"lag = 1 and mode <= {n_modes}").groupBy("state").agg(F.first("pi").alias("pi"), F.array_sort(F.collect_list(F.struct("mode", "z"))).alias("m"))
+    points = ml.vectors(wide.withColumn("v", F.transform("m", lambda x: x["z"])), "v")
+    found = ml.kmeans(cut(points.select("state", "pi", "features"), "modes"), q, 123, "pi", restarts=5).select(F.col("state").alias("label"), "cluster")
     n = fine_sequence(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return n.join(F.broadcast(found), "label").groupBy("cluster").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("states"))
 
 
 @query()
 def posterior_matrices(spark, sf_dir):
-    """Samples of the transition matrix: gamma draws over the counts, normalised by row; hashed seeds make them repeatable."""
+    """Samples of the transition matrix: gamma draws over the counts, normalised by row; a sample is one small task with a hashed seed."""
     counts = sq.transition_counts(event_sequence(spark, sf_dir), 1)
-    reps = counts.join(F.broadcast(spark.range(20).select(F.col("id").cast("int").alias("rep"))))
-
-    @F.pandas_udf("double")
-    def gamma(rep: pd.Series, src: pd.Series, dst: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(int(kn.hashed_uniform(r, s, d) * 2**32)).gamma(c) for r, s, d, c in zip(rep, src, dst, n)])
-
-    drawn = reps.select("rep", "src", "dst", gamma("rep", "src", "dst", "n").alias("n"))
-    p = markov.row_normalised(drawn, ("rep",))
+    reps = counts.select("src", "dst", "n", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("rep"))
+    p = markov.row_normalised(kn.posterior_counts(reps), ("rep",))
     return p.groupBy("src", "dst").agg(r6(F.avg("p")).alias("mean"), r6(F.stddev_pop("p")).alias("sd"))
 
 
 @query()
 def asymptote_fit(spark, sf_dir):
-    """Slopes of the running sum of timescales over growing windows of delays: where they settle, timescales have."""
-    t = timescales_by_delay(spark, sf_dir).where("timescale is not null")
-    by = Window.partitionBy("mode").orderBy("lag")
-    sums = t.select("mode", "lag", F.sum("timescale").over(by).alias("s"), F.row_number().over(by).alias("i"))
-    tail = sums.alias("a").join(sums.alias("b"), (F.col("a.mode") == F.col("b.mode")) & (F.col("b.i") >= F.col("a.i")))
-    return tail.groupBy(F.col("a.mode").alias("mode"), F.col("a.lag").alias("start")).agg(F.regr_slope(F.col("b.s"), F.col("b.i").cast("double")).alias("slope")).where("slope is not null").select("mode", "start", r6(F.col("slope")).alias("slope"))
+    """Where the timescales of a mode level off over the delays, and at what height."""
+    pairs = sq.lag_pairs(fine_sequence(spark, sf_dir), list(range(1, 13)))
+    t = kn.implied_timescales(pairs.groupBy("lag", "src", "dst").agg(F.count(F.lit(1)).alias("n")), 3).where("timescale is not null")
+    return kn.plateaus(t, ["mode"], "lag", "timescale").select("mode", "place", r6(F.col("level")).alias("level"))
 
 
 CHAIN = f"""WITH RECURSIVE {EV}, {P1}, cdf AS (SELECT src, dst, sum(p) OVER (PARTITION BY src ORDER BY dst) AS hi, sum(p) OVER (PARTITION BY src ORDER BY dst) - p AS lo, row_number() OVER (PARTITION BY src ORDER BY dst DESC) AS back FROM p),
@@ -155,34 +212,53 @@ def reflective_trajectory(spark, sf_dir):
     return out.select("rec", "t", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
-def vectors4(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
+#: Coordinates of the embeddings table.
+DIMS = 64
 
 
-CENTRES = [[0.1, 0.0, 0.0, 0.0], [0.0, 0.1, 0.0, 0.0], [-0.1, 0.0, 0.1, 0.0]]
-V4 = "v AS (SELECT vec_id, label, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v FROM embeddings)"
+def unit_vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+CENTRES = [[0.1 if j % 3 == i else 0.0 for j in range(DIMS)] for i in range(3)]
+VECTORS = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+MEANS = "[" + ", ".join(f"avg(v[{j + 1}])" for j in range(DIMS)) + "]"
+GAP2 = f"list_sum(list_transform(range(1, {DIMS + 1}), lambda q: (v[q] - c[q]) ** 2))"
 
 
 def lloyd_sql(rounds: int) -> str:
-    out = [V4, "c0 AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {c}::DOUBLE[])" for i, c in enumerate(CENTRES)) + ") AS t(i, c))"]
+    out = [VECTORS, "c0 AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {c}::DOUBLE[])" for i, c in enumerate(CENTRES)) + ") AS t(i, c))"]
     for r in range(rounds):
-        out.append(f"a{r} AS (SELECT vec_id, v, (SELECT arg_min(i, (list_sum(list_transform(range(1, 5), lambda q: (v[q] - c[q]) ** 2)), i)) FROM c{r}) AS i FROM v)")
-        out.append(f"m{r} AS (SELECT i, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS c FROM a{r} GROUP BY i), c{r + 1} AS (SELECT c{r}.i, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (i))")
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(i, (round({GAP2}, 9), i)) AS i FROM v, c{r} GROUP BY vec_id)")
+        out.append(f"m{r} AS (SELECT i, {MEANS} AS c FROM a{r} GROUP BY i), c{r + 1} AS (SELECT c{r}.i, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (i))")
     return "WITH " + ", ".join(out)
 
 
-@query(f"{lloyd_sql(3)} SELECT vec_id, (SELECT arg_min(i, (list_sum(list_transform(range(1, 5), lambda q: (v[q] - c[q]) ** 2)), i)) FROM c3)::INT AS cluster FROM v")
+def rounded_gap(a, b):
+    return F.round(ml.squared_distance(a, b), 9)
+
+
+@query(f"{lloyd_sql(3)} SELECT vec_id, arg_min(i, (round({GAP2}, 9), i))::INT AS cluster FROM v, c3 GROUP BY vec_id")
 def lloyd_k_iterations(spark, sf_dir):
-    points = vectors4(spark, sf_dir)
-    centres = ml.lloyd(points, [list(c) for c in CENTRES], 3)
-    return ml.nearest(points, list(enumerate(centres)), ml.squared_distance).select("vec_id", "cluster")
+    points = unit_vectors(spark, sf_dir)
+    centres = ml.lloyd(points, [list(c) for c in CENTRES], 3, rounded_gap)
+    return ml.nearest(points, list(enumerate(centres)), rounded_gap).select("vec_id", "cluster")
+
+
+def medoid_sql(rounds: int) -> str:
+    reach = "round(list_max(list_transform(range(1, {n}), lambda q: abs(v.v[q] - c.c[q]))), 9)".format(n=DIMS + 1)
+    out = [VECTORS, "q AS (SELECT vec_id, v FROM v WHERE vec_id % 20 = 0)", "c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, v AS c FROM (SELECT * FROM q ORDER BY vec_id LIMIT 3))"]
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT v.vec_id, any_value(v.v) AS v, arg_min(c.i, ({reach}, c.i)) AS i, min({reach}) AS d FROM v, c{r} c GROUP BY v.vec_id)")
+        out.append(f"k{r} AS (SELECT x.i, x.vec_id, any_value(x.v) AS c, round(sum({reach.replace('c.c', 'x.v')}), 6) AS cost FROM a{r} x JOIN a{r} v ON v.i = x.i WHERE x.vec_id % 20 = 0 GROUP BY x.i, x.vec_id)")
+        out.append(f"c{r + 1} AS (SELECT c{r}.i, coalesce(b.vec_id, c{r}.vec_id) AS vec_id, coalesce(b.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT i, arg_min(vec_id, (cost, vec_id)) AS vec_id, arg_min(c, (cost, vec_id)) AS c FROM k{r} GROUP BY i) b USING (i))")
+    return "WITH " + ", ".join(out)
 
 
-@query(f"WITH {V4}, c AS (SELECT * FROM (VALUES {', '.join(f'({i}, {c}::DOUBLE[])' for i, c in enumerate(CENTRES))}) AS t(i, c)), a AS (SELECT vec_id, list_max(list_transform(range(1, 5), lambda q: abs(v[q] - c[q]))) AS d, i FROM v, c), b AS (SELECT vec_id, min(d) AS d, arg_min(i, (d, i)) AS i FROM a GROUP BY vec_id) SELECT i::INT AS cluster, count(*) AS n, round(max(d), 6) AS reach FROM b GROUP BY i")
+@query(f"{medoid_sql(2)} SELECT c.i::INT AS cluster, c.vec_id AS medoid, count(*) AS n, round(max(d), 6) AS reach FROM a2 JOIN c2 c USING (i) GROUP BY ALL")
 def kmedoids_chebyshev(spark, sf_dir):
-    """Assignment to medoids by the largest coordinate gap, and how far each cluster reaches."""
-    held = ml.nearest(vectors4(spark, sf_dir), list(enumerate(CENTRES)), ml.chebyshev)
-    return held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), r6(F.max("d")).alias("reach"))
+    """Medoids by the largest coordinate gap, after two updates: each is the candidate (ids divisible by 20) whose gaps to all members sum to least."""
+    return ml.kmedoids(unit_vectors(spark, sf_dir), "vec_id", 3, 2).select("cluster", "medoid", "n", r6(F.col("reach")).alias("reach"))
 
 
 @query()
@@ -191,16 +267,29 @@ def kmeans_labels(spark, sf_dir):
     return ml.kmeans(rows, 10, 1).select("vec_id", "cluster")
 
 
-@query(f"WITH {V4} SELECT (a - 1)::INT AS i, (b - 1)::INT AS j, round(covar_pop(v[a], v[b]), 6) + 0.0 AS cov FROM v, unnest(range(1, 5)) AS x(a), unnest(range(1, 5)) AS y(b) GROUP BY a, b")
+@query(f"WITH {VECTORS} SELECT (a - 1)::INT AS i, (b - 1)::INT AS j, round(covar_pop(v[a], v[b]), 6) + 0.0 AS cov FROM v, unnest(range(1, {DIMS + 1})) AS x(a), unnest(range(1, {DIMS + 1})) AS y(b) GROUP BY a, b")
 def covariance(spark, sf_dir):
-    return ml.covariance(vectors4(spark, sf_dir), "v", 4).select("i", "j", r6(F.col("cov")).alias("cov"))
+    rows = ml.vectors(table(spark, sf_dir, "embeddings"), "embedding").select("features")
+    return ml.covariance(rows).select("i", "j", r6(F.col("cov")).alias("cov"))
 
 
 @query()
 def pca_embed(spark, sf_dir):
+    """Principal axes, as many as 0.99 of the variance asks for; of the projections the first three."""
     rows = ml.vectors(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "features")
-    mean, axes, _ = ml.principal(rows, 3)
-    return ml.projected(rows, mean, axes).select("vec_id", F.transform("z", lambda x: F.round(x, 5) + 0.0).alias("z"))
+    mean, axes, _ = ml.principal(rows, "variance")
+    z = ml.projected(rows, mean, axes)
+    return z.select("vec_id", F.transform(F.slice("z", 1, 3), lambda x: F.round(x, 5) + 0.0).alias("z"), F.size("z").alias("dims"))
+
+
+@query()
+def pca_embed_participation(spark, sf_dir):
+    """Delay vectors on twice as many axes as their variances' participation ratio."""
+    held = sq.trajectory(event_sequence(spark, sf_dir), "value", 4)
+    rows = ml.vectors(held, "vec").select("rec", "centre", "features")
+    mean, axes, _ = ml.principal(rows, "participation")
+    z = ml.projected(rows, mean, axes)
+    return z.select("rec", "centre", F.transform(F.slice("z", 1, 1), lambda x: F.round(x, 3) + 0.0).alias("z"), F.size("z").alias("dims"))
 
 
 @query()
@@ -212,61 +301,91 @@ def whiten(spark, sf_dir):
 
 @query()
 def svd_embed(spark, sf_dir):
-    """Delay vectors of the signal on their leading modes."""
+    """Delay vectors on their leading singular vectors (rows not centred), each of length 1 over all rows."""
     held = sq.trajectory(event_sequence(spark, sf_dir), "value", 4)
     rows = ml.vectors(held, "vec").select("rec", "centre", "features")
-    mean, axes, _ = ml.principal(rows, 2)
-    return ml.projected(rows, mean, axes).select("rec", "centre", F.transform("z", lambda x: F.round(x, 3) + 0.0).alias("z"))
+    _, axes, square = ml.principal(rows, 2, floor=0.0, centred=False)
+    z = ml.projected(rows, np.zeros(len(axes)), axes, np.sqrt(square * max(1, rows.count())))
+    return z.select("rec", "centre", F.transform("z", lambda x: F.round(x, 7) + 0.0).alias("z"))
 
 
-AXES = [[0.5, 0.5, 0.5, 0.5], [0.5, -0.5, 0.5, -0.5]]
+@query()
+def svd_modes(spark, sf_dir):
+    """The modes themselves: singular values and right singular vectors of the delay vectors, whitened axes beside them."""
+    held = sq.trajectory(event_sequence(spark, sf_dir), "value", 4)
+    rows = ml.vectors(held, "vec").select("features")
+    _, axes, square = ml.principal(rows, 3, floor=0.0, centred=False)
+    size = np.sqrt(square * max(1, rows.count()))
+    _, white, variance = ml.principal(rows, 3)
+    cells = [(m, i, float(size[m]), float(axes[i, m]), float(white[i, m] / np.sqrt(variance[m]))) for m in range(3) for i in range(len(axes))]
+    out = spark.createDataFrame(cells, "mode int, entry int, singular double, axis double, whitened double")
+    return out.select("mode", "entry", F.round("singular", 3).alias("singular"), F.round("axis", 5).alias("axis"), F.round("whitened", 7).alias("whitened"))
+
 
+#: Two orthogonal axes of length 1.
+AXES = [[0.125] * DIMS, [0.125 if j % 2 == 0 else -0.125 for j in range(DIMS)]]
 
-@query(f"WITH {V4}, z AS (SELECT vec_id, list_dot_product(v, {AXES[0]}::DOUBLE[]) AS a, list_dot_product(v, {AXES[1]}::DOUBLE[]) AS b FROM v) SELECT vec_id, round(0.5 * a + 0.5 * b, 6) + 0.0 AS x0, round(0.5 * a - 0.5 * b, 6) + 0.0 AS x1 FROM z")
+
+@query(f"WITH {VECTORS}, m AS (SELECT {MEANS} AS m FROM v), z AS (SELECT vec_id, list_dot_product(v, {AXES[0]}::DOUBLE[]) - list_dot_product(m, {AXES[0]}::DOUBLE[]) AS a, list_dot_product(v, {AXES[1]}::DOUBLE[]) - list_dot_product(m, {AXES[1]}::DOUBLE[]) AS b, m FROM v, m) SELECT vec_id, " + ", ".join(f"round({AXES[0][8 * i + 7]} * a + {AXES[1][8 * i + 7]} * b + m[{8 * i + 8}], 6) + 0.0 AS x{i}" for i in range(8)) + " FROM z")
 def back_projection(spark, sf_dir):
-    """Loadings on two fixed axes, and the first two entries they give back."""
+    """Loadings on two axes, back in the vectors' space around their mean; of the 8 x 8 grid that a vector is, the last column."""
+    v = unit_vectors(spark, sf_dir)
+    mean = ml.mean_vector(v.select("v"), DIMS)
     dot = lambda axis: F.aggregate(F.zip_with("v", F.array(*map(F.lit, axis)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    z = vectors4(spark, sf_dir).select("vec_id", *(dot(a).alias(n) for a, n in zip(AXES, "ab")))
-    return z.select("vec_id", *(r6(AXES[0][j] * F.col("a") + AXES[1][j] * F.col("b")).alias(f"x{j}") for j in (0, 1)))
+    z = v.select("vec_id", *((dot(a) - float(np.dot(mean, a))).alias(n) for a, n in zip(AXES, "ab")))
+    return z.select("vec_id", *(r6(AXES[0][j] * F.col("a") + AXES[1][j] * F.col("b") + float(mean[j])).alias(f"x{j // 8}") for j in range(7, DIMS, 8)))
 
 
-CENT = f"WITH {V4}, m AS (SELECT label AS c, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS m FROM v WHERE vec_id % 5 <> 0 GROUP BY label), g AS (SELECT vec_id, label, arg_min(c, (round(list_sum(list_transform(range(1, 5), lambda q: (v[q] - m[q]) ** 2)), 9), c)) AS guess FROM v, m WHERE vec_id % 5 = 0 GROUP BY ALL)"
+SEEDS = (1, 2, 3)
+CENT = f"""WITH {VECTORS}, sd AS (SELECT unnest([{', '.join(map(str, SEEDS))}])::INT AS seed), h AS (SELECT seed, vec_id, label, v, ('0x' || substr(md5(seed || ':' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2 AS held FROM v, sd),
+ m AS (SELECT seed, label AS i, {MEANS} AS c FROM h WHERE NOT held GROUP BY seed, label), g AS (SELECT h.seed, vec_id, label, arg_min(i, (round({GAP2}, 9), i)) AS guess FROM h JOIN m USING (seed) WHERE held GROUP BY ALL)"""
 
 
 def centroid_guesses(spark, sf_dir):
-    """(vec_id, label, guess) of held-out vectors, by the nearest class mean; the ten class means come back to the driver."""
-    v = vectors4(spark, sf_dir)
-    means = v.where("vec_id % 5 != 0").groupBy("label").agg(*[F.avg(F.col("v")[j]).alias(f"m{j}") for j in range(4)]).collect()
-    held = ml.nearest(v.where("vec_id % 5 = 0"), sorted((r.label, [r[f"m{j}"] for j in range(4)]) for r in means), lambda a, b: F.round(ml.squared_distance(a, b), 9))
-    return held.select("vec_id", "label", F.col("cluster").alias("guess"))
-
-
-@query(f"{CENT}, n AS (SELECT label, count(*) AS n FROM g GROUP BY label) SELECT round(sum(CASE WHEN g.label = guess THEN 1.0::DOUBLE / n ELSE 0 END) / count(DISTINCT g.label), 6) AS accuracy FROM g JOIN n USING (label)")
+    """(seed, vec_id, label, guess) of held-out vectors, by the nearest class mean, for several hashed splits; the class means come back to the driver."""
+    v, out = unit_vectors(spark, sf_dir), None
+    for seed in SEEDS:
+        held = rs.uniform(F.lit(seed), F.col("vec_id")) < 0.2
+        means = v.where(~held).groupBy("label").agg(*[F.avg(F.col("v")[j]).alias(f"m{j}") for j in range(DIMS)]).collect()
+        found = ml.nearest(v.where(held), sorted((r.label, [r[f"m{j}"] for j in range(DIMS)]) for r in means), rounded_gap)
+        found = found.select(F.lit(seed).alias("seed"), "vec_id", "label", F.col("cluster").alias("guess"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"{CENT}, n AS (SELECT seed, label, count(*) AS n FROM g GROUP BY ALL) SELECT g.seed, round(sum(CASE WHEN g.label = guess THEN 1.0::DOUBLE / n ELSE 0 END) / count(DISTINCT g.label), 6) AS accuracy FROM g JOIN n USING (seed, label) GROUP BY g.seed")
 def weighted_accuracy(spark, sf_dir):
-    per = centroid_guesses(spark, sf_dir).groupBy("label").agg(F.avg((F.col("label") == F.col("guess")).cast("int")).alias("a"))
-    return per.agg(r6(F.avg("a")).alias("accuracy"))
+    """Accuracy with each label weighted by 1 / (number of labels x its rows), for each split."""
+    per = centroid_guesses(spark, sf_dir).groupBy("seed", "label").agg(F.avg((F.col("label") == F.col("guess")).cast("int")).alias("a"))
+    return per.groupBy("seed").agg(r6(F.avg("a")).alias("accuracy"))
 
 
-@query(f"{CENT}, c AS (SELECT label, guess, count(*) AS n FROM g GROUP BY ALL) SELECT label, guess, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM c")
+@query(f"""{CENT}, c AS (SELECT seed, label, guess, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT seed, label, guess, n / sum(n) OVER (PARTITION BY seed, label) AS share FROM c)
+SELECT label, guess, round(sum(share) / {len(SEEDS)}, 6) AS share FROM s GROUP BY ALL""")
 def confusion_norm(spark, sf_dir):
-    c = centroid_guesses(spark, sf_dir).groupBy("label", "guess").agg(F.count(F.lit(1)).alias("n"))
-    return c.select("label", "guess", r6(F.col("n") / F.sum("n").over(Window.partitionBy("label"))).alias("share"))
+    """Confusion matrices with rows of sum 1, averaged over the splits."""
+    c = centroid_guesses(spark, sf_dir).groupBy("seed", "label", "guess").agg(F.count(F.lit(1)).alias("n"))
+    share = c.select("label", "guess", (F.col("n") / F.sum("n").over(Window.partitionBy("seed", "label"))).alias("share"))
+    return share.groupBy("label", "guess").agg(r6(F.sum("share") / len(SEEDS)).alias("share"))
 
 
 @query()
 def logreg_cv(spark, sf_dir):
+    """Logistic regression with balanced classes; C by cross-validation over hashed folds, then the rows of each label that the held-out fifth gets right."""
     rows = ml.vectors(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "label", "features", (F.col("vec_id") % 5 != 0).alias("train"))
-    out = ml.balanced_logistic(rows, "label").where("not train")
-    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == F.col("predicted")).cast("int")).alias("right"))
+    c, out = ml.grid_searched_logistic(rows, "label", "vec_id", grid=(0.1, 1.0, 10.0), folds=2)
+    right = (F.col("label") == F.col("predicted")).cast("int")
+    held = out.where("not train")
+    return held.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right")).select(F.lit(c).alias("c"), "label", "n", "right")
 
 
 FCM = [100.0, 250.0, 400.0]
 
 
-def fcm_sql(rounds: int) -> str:
-    out = [f"{EV}, x AS (SELECT rec, avg(value) AS x FROM ev GROUP BY rec), f0 AS (SELECT {FCM[0]}::DOUBLE AS c0, {FCM[1]}::DOUBLE AS c1, {FCM[2]}::DOUBLE AS c2)"]
+def fcm_sql(rounds: int, where: str = "true") -> str:
+    out = [f"{EV}, y AS (SELECT rec, avg(value) AS x FROM ev GROUP BY rec), x AS (SELECT * FROM y WHERE {where}), f0 AS (SELECT {FCM[0]}::DOUBLE AS c0, {FCM[1]}::DOUBLE AS c1, {FCM[2]}::DOUBLE AS c2)"]
     for r in range(rounds):
-        out.append(f"w{r} AS (SELECT x, 1 / ((x - c0) ** 2 + 1e-12) AS i0, 1 / ((x - c1) ** 2 + 1e-12) AS i1, 1 / ((x - c2) ** 2 + 1e-12) AS i2 FROM x, f{r}), f{r + 1} AS (SELECT " + ", ".join(f"sum((i{j} / (i0 + i1 + i2)) ** 2 * x) / sum((i{j} / (i0 + i1 + i2)) ** 2) AS c{j}" for j in range(3)) + f" FROM w{r})")
+        out.append(f"w{r} AS (SELECT x, 1 / ((x - c0) ** 2 + 1e-12) AS i0, 1 / ((x - c1) ** 2 + 1e-12) AS i1, 1 / ((x - c2) ** 2 + 1e-12) AS i2 FROM x, f{r}), f{r + 1} AS MATERIALIZED (SELECT " + ", ".join(f"sum((i{j} / (i0 + i1 + i2)) ** 2 * x) / sum((i{j} / (i0 + i1 + i2)) ** 2) AS c{j}" for j in range(3)) + f" FROM w{r})")
     return "WITH " + ", ".join(out)
 
 
@@ -277,112 +396,79 @@ def fcm_k_iterations(spark, sf_dir):
     return points.limit(1).select(*(F.round(F.lit(c), 4).alias(f"c{i}") for i, c in enumerate(centres)))
 
 
-def distance_matrix(spark, sf_dir):
-    """(a, b, d) of the 40 cohorts; the number of cohorts bounds it."""
-    rows = cohort_rows(spark, sf_dir)
-    a, b, d = l1_pairs(rows, rows)
-    return a.join(F.broadcast(b)).select("a", "b", d.alias("d")).withColumn("grp", F.lit(0))
+MEMBER = "1 / ((x - c{j}) ** 2 + 1e-12) / (1 / ((x - c0) ** 2 + 1e-12) + 1 / ((x - c1) ** 2 + 1e-12) + 1 / ((x - c2) ** 2 + 1e-12))"
+
+
+@query(f"{fcm_sql(5, 'rec % 2 = 0')}, u AS (SELECT rec, " + ", ".join(f"{MEMBER.format(j=j)} AS u{j}" for j in range(3)) + " FROM y, f5), e AS (SELECT rec, label, count(*) / sum(count(*)) OVER (PARTITION BY rec) AS q FROM ev GROUP BY rec, label) SELECT u.rec, e.label, " + ", ".join(f"round(u{j} * q, 6) AS r{j}" for j in range(3)) + " FROM u JOIN e USING (rec)")
+def fcm_responsibilities(spark, sf_dir):
+    """Memberships in clusters that even recordings formed, predicted for all of them, times the share of each symbol: responsibilities of a second level."""
+    seq = event_sequence(spark, sf_dir)
+    points = cut(seq.groupBy("rec").agg(F.avg("value").alias("x")), "points")
+    member = ml.memberships(points, ml.fuzzy_cmeans(points.where("rec % 2 = 0"), FCM, 5))
+    n = seq.groupBy("rec", "label").agg(F.count(F.lit(1)).alias("n"))
+    share = n.select("rec", "label", (F.col("n") / F.sum("n").over(Window.partitionBy("rec"))).alias("q"))
+    return member.join(share, "rec").select("rec", "label", *(r6(F.col("u")[j] * F.col("q")).alias(f"r{j}") for j in range(3)))
 
 
-def embedded(cells: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, coordinates): constant-shift embedding of a distance matrix."""
-    ids = np.unique(cells.a)
-    d = cells.pivot(index="a", columns="b", values="d").to_numpy()
-    q = np.eye(len(d)) - 1 / len(d)
-    values, vectors = np.linalg.eigh(-0.5 * q @ d @ q)
-    values = values - values.min()
-    order = np.argsort(-values)[:dims]
-    z = vectors[:, order] * np.sqrt(values[order])
-    return ids, z * np.sign(z[np.abs(z).argmax(axis=0), np.arange(z.shape[1])])
+#: Landmarks of a group; its other recordings are placed among them.
+LANDMARKS = 48
+
+
+def group_distances(spark, sf_dir):
+    """(grp, rec, mark, d) of all recordings from the landmarks of their group, and of the landmarks among themselves."""
+    rows = recording_rows(spark, sf_dir).withColumn("grp", group_of())
+    marks = cut(pairs.landmarks(rows, "grp", LANDMARKS), "landmarks")
+    cells = cut(pairs.to_landmarks(rows, marks, "grp", N_STATES), "landmark-distances")
+    return cells, cut(cells.join(F.broadcast(marks.select("grp", "rec")), ["grp", "rec"], "left_semi"), "among")
+
+
+def coordinates(embedded, names):
+    return embedded.select("grp", "rec", *(F.round(F.col("z")[i], 5).alias(n) for i, n in enumerate(names)))
 
 
 @query()
 def cse_embed(spark, sf_dir):
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        ids, z = embedded(cells, 3)
-        return pd.DataFrame({"rec": ids, "x": z[:, 0], "y": z[:, 1], "z": z[:, 2]})
-
-    out = distance_matrix(spark, sf_dir).groupBy("grp").applyInPandas(run, "rec long, x double, y double, z double")
-    return out.select("rec", *(F.round(c, 5).alias(c) for c in "xyz"))
+    """Constant-shift embedding of the landmarks of each group of recordings."""
+    return coordinates(pairs.embed(group_distances(spark, sf_dir)[1], "grp", 3), "xyz")
 
 
 @query()
 def cse_project(spark, sf_dir):
-    """Odd cohorts placed in the embedding of the even ones."""
-
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        even = cells[(cells.a % 2 == 0) & (cells.b % 2 == 0)]
-        ids, z = embedded(even, 2)
-        old = even.pivot(index="a", columns="b", values="d").to_numpy()
-        new = cells[(cells.a % 2 == 1) & (cells.b % 2 == 0)].pivot(index="a", columns="b", values="d")
-        d = new.to_numpy()
-        c = -0.5 * (d - d.mean(axis=1, keepdims=True) - old.mean(axis=0) + old.mean())
-        size = np.maximum((z * z).sum(axis=0), 1e-12)
-        placed = c @ z / size
-        return pd.DataFrame({"rec": new.index.to_numpy(), "x": placed[:, 0], "y": placed[:, 1]})
-
-    out = distance_matrix(spark, sf_dir).groupBy("grp").applyInPandas(run, "rec long, x double, y double")
-    return out.select("rec", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
-
-
-def split_groups(cells: pd.DataFrame, n_groups: int) -> pd.DataFrame:
-    """(level, rec, part): recordings split again and again along the slowest mode of their diffusion kernel, the part with the most coherent split first."""
-    ids = np.unique(cells.a)
-    d = cells.pivot(index="a", columns="b", values="d").to_numpy()
-    off = d[~np.eye(len(d), dtype=bool)].reshape(len(d), -1)
-    eps = off.mean(axis=1)
-    part = np.zeros(len(ids), int)
-    rows = [pd.DataFrame({"level": 0, "rec": ids, "part": part.copy()})]
-    for level in range(1, n_groups):
-        best = None
-        for g in np.unique(part):
-            inside = np.flatnonzero(part == g)
-            if len(inside) < 4:
-                continue
-            k = np.exp(-d[np.ix_(inside, inside)] / np.sqrt(eps[inside][:, None] * eps[inside][None, :]))
-            p = k / k.sum(axis=1, keepdims=True)
-            pi, _, phi = kn.spectrum(p, 2)
-            at, rho = kn.best_threshold(p, pi, phi[:, 1])
-            if best is None or rho > best[0]:
-                best = (rho, inside[phi[:, 1] <= at])
-        if best is None:
-            break
-        part[best[1]] = part.max() + 1
-        part = np.unique(part, return_inverse=True)[1]
-        rows.append(pd.DataFrame({"level": level, "rec": ids, "part": part.copy()}))
-    return pd.concat(rows)
+    """All recordings of a group placed among its embedded landmarks."""
+    cells, among = group_distances(spark, sf_dir)
+    embedded = cut(pairs.embed(among, "grp", 2), "embedded")
+    return coordinates(pairs.project(cells, among, embedded, "grp", 2), "xy")
 
 
 @query()
 def hfss_groups(spark, sf_dir):
-    return distance_matrix(spark, sf_dir).groupBy("grp").applyInPandas(lambda c: split_groups(c, 4).astype({"level": "int32", "part": "int32"}), "level int, rec long, part int")
+    """Fuzzy spectral splits of the landmarks of each group, level by level: hard parts and responsibilities."""
 
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        ids, d = pairs.square(cells)
+        eps = d.sum(axis=1) / max(1, len(d) - 1)
+        out = [(int(cells.grp.iloc[0]), level, int(r), part, bool(hard[i] == part), float(resp[i, part])) for level, (hard, resp) in enumerate(pairs.fuzzy_splits(d, np.maximum(eps, 1e-12), 4), 1) for i, r in enumerate(ids) for part in range(resp.shape[1])]
+        return pd.DataFrame(out, columns=["grp", "level", "rec", "part", "own", "share"])
 
-@query()
-def posterior_by_condition(spark, sf_dir):
-    """Shares of the last level's parts in each condition (cohort modulo 7)."""
-    last = hfss_groups(spark, sf_dir).where("level = 3")
-    n = last.groupBy((F.col("rec") % 7).cast("int").alias("cond"), "part").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("cond", "part", r6(F.col("n") / F.sum("n").over(Window.partitionBy("cond"))).alias("share"))
+    out = group_distances(spark, sf_dir)[1].groupBy("grp").applyInPandas(run, "grp int, level int, rec long, part int, own boolean, share double")
+    return out.select("grp", "level", "rec", "part", "own", r6(F.col("share")).alias("share"))
 
 
-@query(f"""WITH RECURSIVE {EV}, {EDGES}, {CONNECTED}, c AS (SELECT src, dst, count(*) AS n FROM (SELECT label * 3 + k % 3 AS src, lead(label * 3 + k % 3) OVER (PARTITION BY rec ORDER BY t) AS dst FROM ev WHERE t < 12) WHERE dst IS NOT NULL AND NOT (dst < 4 AND src >= 4) GROUP BY ALL),
- q AS (SELECT src, dst, n FROM c WHERE src IN (SELECT state FROM grp WHERE grp = (SELECT grp FROM best)) AND dst IN (SELECT state FROM grp WHERE grp = (SELECT grp FROM best))) SELECT src, dst, round(n / sum(n) OVER (PARTITION BY src), 6) AS p FROM q""")
-def transition_pipeline(spark, sf_dir):
-    """Count, keep the largest connected set, normalise."""
-    state = F.col("label") * 3 + F.col("k") % 3
-    seq = event_sequence(spark, sf_dir).where("t < 12")
-    pairs = seq.select(state.alias("src"), F.lead(state).over(sq.by_rec()).alias("dst")).where("dst is not null and not (dst < 4 and src >= 4)")
-    counts = cut(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "counts")
-    states = cut(markov.largest_connected(counts).select("state"), "states")
-    a, b = (F.broadcast(states.withColumnRenamed("state", x)) for x in ("src", "dst"))
-    return markov.row_normalised(counts.join(a, "src", "left_semi").join(b, "dst", "left_semi")).select("src", "dst", r6(F.col("p")).alias("p"))
+@query()
+def posterior_by_condition(spark, sf_dir):
+    """Mean responsibility of each part in each condition (group), with intervals of a bootstrap of its recordings."""
+    last = cut(hfss_groups(spark, sf_dir).where("level = 3").select("grp", "rec", "part", "share"), "responsibilities")
+    times = rs.multiplicities_by(last.select("grp", "rec").distinct(), "grp", "rec", 50)
+    m = last.join(times, ["grp", "rec"]).groupBy("grp", "part", "rep").agg((F.sum(F.col("share") * F.col("times")) / F.sum("times")).alias("v"))
+    q = m.groupBy("grp", "part").agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    point = last.groupBy("grp", "part").agg(F.avg("share").alias("mean"))
+    return point.join(q, ["grp", "part"]).select("grp", "part", r6(F.col("mean")).alias("mean"), r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"))
 
 
 SWEEP = f"""WITH {EV}, g AS (SELECT rec, t, b AS bins, floor(value / (500.0::DOUBLE / b))::INT AS label FROM ev, unnest([3, 5, 8]) AS u(b)),
  c AS (SELECT x.bins, l AS lag, x.label AS src, y.label AS dst, count(*) AS n FROM g x, unnest([1, 3]) AS u(l), g y WHERE x.rec = y.rec AND x.bins = y.bins AND y.t = x.t + l GROUP BY ALL),
- p AS (SELECT *, n / sum(n) OVER (PARTITION BY bins, lag, src) AS p FROM c), q0 AS (SELECT bins, lag, s AS state, 1.0::DOUBLE / count(*) OVER (PARTITION BY bins, lag) AS pi FROM (SELECT bins, lag, src AS s FROM p UNION SELECT bins, lag, dst FROM p)),
- """ + ", ".join(f"q{i + 1} AS (SELECT p.bins, p.lag, dst AS state, sum(pi * p) AS pi FROM p JOIN q{i} q ON q.bins = p.bins AND q.lag = p.lag AND src = state GROUP BY ALL)" for i in range(8)) + " SELECT p.bins, p.lag, round(-sum(pi * p * ln(p)), 6) AS h FROM p JOIN q8 q ON q.bins = p.bins AND q.lag = p.lag AND src = state GROUP BY ALL"
+ p AS (SELECT *, n / sum(n) OVER (PARTITION BY bins, lag, src) AS p FROM c), {steady('bins, lag')}
+SELECT p.bins, p.lag, round(-sum(pi * p * ln(p)), 6) AS h FROM p JOIN pi ON pi.bins = p.bins AND pi.lag = p.lag AND src = state GROUP BY ALL"""
 
 
 @query(SWEEP)
@@ -396,13 +482,15 @@ def entropy_sweep(spark, sf_dir):
     pairs = wide.select("bins", F.col("label").alias("src"), lags.alias("l")).select("bins", "src", F.explode("l").alias("l")).select("bins", "l.lag", "src", "l.dst").where("dst is not null")
     p = cut(markov.row_normalised(pairs.groupBy("bins", "lag", "src", "dst").agg(F.count(F.lit(1)).alias("n")), ("bins", "lag")), "p")
     keys = ("bins", "lag")
-    return markov.entropy_rate(p, markov.stationary(p, 8, keys), keys).select("bins", "lag", r6(F.col("h")).alias("h"))
+    return markov.entropy_rate(p, markov.stationary(p, keys), keys).select("bins", "lag", r6(F.col("h")).alias("h"))
 
 
 @query()
-def harmonic_timescale_boot(spark, sf_dir):
-    from sequora.plans.windows import harmonic_timescale
-
-    t = cut(harmonic_timescale(spark, sf_dir), "harmonic")
-    drawn = t.join(rs.multiplicities(t.select("rec"), ["rec"], 200), "rec").groupBy("rep").agg((F.sum(F.col("timescale") * F.col("times")) / F.sum("times")).alias("v"))
-    return drawn.agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"))
+def entropy_sweep_cells(spark, sf_dir):
+    """Entropy rate for each seed, delay and number of clusters: sampled runs of each group, delay vectors, k-means from a fixed start, transitions.
+
+    The grid is a column; a cell's rows are the groups' runs, a size that parameters set, so each cell is one task.
+    """
+    sweep = SweepParameters(seeds=(0, 1), delays=(1, 2), clusters=(3, 5), rows=100)
+    seq = event_sequence(spark, sf_dir).select("rec", "t", "value").withColumn("grp", group_of())
+    return partition.entropy_sweep(seq, "grp", sweep).select("seed", "delay", "clusters", r6(F.col("h")).alias("h"))

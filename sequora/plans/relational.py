@@ -8,11 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sequora.operators.motion import positions
-from sequora.operators.resampling import uniform
+from sequora.operators.resampling import window_sample
 from sequora.operators.sequences import r6
 from sequora.operators.spatial import coverage, re_origin
 from sequora.plans.registry import EV, GAP, query
-from sequora.plans.transitions import P1, operator, power
+from sequora.plans.transitions import P1, operator, steady
 from sequora.sources import formats
 from sequora.sources.bindings import event_sequence, group_of, table
 
@@ -61,11 +61,10 @@ def sentinel_to_null(spark, sf_dir):
     return event_sequence(spark, sf_dir).select("rec", "t", F.nullif("label", F.lit(1)).alias("label"))
 
 
-@query(f"WITH {EV}, l AS (SELECT rec, least(count(*), 60) AS length FROM ev GROUP BY rec) SELECT rec, t, CASE WHEN t < length - 1 THEN label END AS label FROM ev JOIN l USING (rec) WHERE t < length")
+@query(f"WITH {EV} SELECT rec, t, CASE WHEN t < count(*) OVER (PARTITION BY rec) - 1 THEN label END AS label FROM ev")
 def unpad_last_null(spark, sf_dir):
-    seq = event_sequence(spark, sf_dir)
-    length = seq.groupBy("rec").agg(F.least(F.count(F.lit(1)), F.lit(60)).alias("length"))
-    return seq.join(length, "rec").where("t < length").select("rec", "t", F.when(F.col("t") < F.col("length") - 1, F.col("label")).alias("label"))
+    """Recordings cut from their padded width to their length, the last symbol missing: one window, no join."""
+    return formats.unpad(formats.padded(event_sequence(spark, sf_dir).select("rec", "t", "label"), "label"), "label")
 
 
 @query(f"WITH {GAP} SELECT rec, t, CASE WHEN label IS NOT NULL THEN value END AS value FROM ev")
@@ -122,15 +121,18 @@ def group_members(spark, sf_dir):
     return joined.groupBy("n_name", "r_name").agg(F.sum("n").alias("n"), r6(F.sum("s") / F.sum("n")).alias("balance"))
 
 
-CONDITIONS = [(i, i * 11, (i + 1) * 11) for i in range(14)]
+N_CONDITIONS = 14
+RANGES = f"c AS (SELECT i::INT AS cond, lo + ceil(i * w)::BIGINT AS lo, lo + ceil((i + 1) * w)::BIGINT AS hi FROM (SELECT min(user_id) AS lo, (max(user_id) + 1 - min(user_id)) / {N_CONDITIONS}::DOUBLE AS w FROM events), unnest(range(0, {N_CONDITIONS})) AS u(i))"
 
 
-@query(f"WITH {EV}, c(cond, lo, hi) AS (VALUES {', '.join(map(str, CONDITIONS))}) SELECT rec, cond, count(*) AS n FROM ev JOIN c ON rec >= lo AND rec < hi GROUP BY ALL")
+@query(f"WITH {EV}, {RANGES} SELECT rec, cond, count(*) AS n FROM ev JOIN c ON rec >= lo AND rec < hi GROUP BY ALL")
 def condition_range_join(spark, sf_dir):
-    """Half-open ranges of recordings: the 14 conditions are a fixed table, so a broadcast range join after the aggregation."""
-    c = F.broadcast(spark.createDataFrame(CONDITIONS, "cond int, lo long, hi long"))
+    """Half-open ranges of recordings, 14 of them over all recordings: a table of fixed size, so a broadcast range join after the aggregation."""
+    ends = table(spark, sf_dir, "events").agg(F.min("user_id").alias("lo"), ((F.max("user_id") + 1 - F.min("user_id")) / F.lit(float(N_CONDITIONS))).alias("w"))
+    c = ends.select("lo", "w", F.explode(F.sequence(F.lit(0), F.lit(N_CONDITIONS - 1))).alias("cond"))
+    c = c.select("cond", (F.col("lo") + F.ceil(F.col("cond") * F.col("w"))).alias("lo"), (F.col("lo") + F.ceil((F.col("cond") + 1) * F.col("w"))).alias("hi"))
     n = event_sequence(spark, sf_dir).groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(c, (F.col("rec") >= F.col("lo")) & (F.col("rec") < F.col("hi"))).select("rec", "cond", "n")
+    return n.join(F.broadcast(c), (F.col("rec") >= F.col("lo")) & (F.col("rec") < F.col("hi"))).select("rec", "cond", "n")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
@@ -175,7 +177,7 @@ def param_grid(spark, sf_dir):
     return g.select("grp", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("delay")).select("grp", "delay", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("seed"))
 
 
-@query(f"WITH {EV}, {P1}, {power(12)} SELECT state, round(pi, 6) AS pi FROM pi ORDER BY pi DESC, state LIMIT 1")
+@query(f"WITH {EV}, {P1}, {steady()} SELECT state, round(pi, 6) AS pi FROM pi ORDER BY pi DESC, state LIMIT 1")
 def heaviest_state(spark, sf_dir):
     return operator(spark, sf_dir)[1].agg(F.max_by("state", F.struct("pi", -F.col("state"))).alias("state"), r6(F.max("pi")).alias("pi"))
 
@@ -184,14 +186,11 @@ def heaviest_state(spark, sf_dir):
  s AS (SELECT *, floor(('0x' || substr(md5('0:' || grp), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (n - 100))::BIGINT AS start FROM o)
 SELECT grp, pos - start + 2 AS place, label FROM s WHERE pos >= start AND pos < start + 100 UNION ALL SELECT grp, x, NULL FROM (SELECT DISTINCT grp FROM s), unnest([0, 1, 102, 103]) AS u(x)""")
 def window_sample_padded(spark, sf_dir):
-    """A run of 100 rows of each group from a hashed start, two missing rows on each side."""
-    seq = event_sequence(spark, sf_dir).withColumn("grp", group_of())
-    n = F.count(F.lit(1)).over(Window.partitionBy("grp"))
-    held = seq.select("grp", "label", (F.row_number().over(Window.partitionBy("grp").orderBy("rec", "t")) - 1).alias("pos"), n.alias("n"))
-    held = held.withColumn("start", F.floor(uniform(F.lit(0), F.col("grp")) * (F.col("n") - 100)))
-    rows = held.where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + 100)).select("grp", (F.col("pos") - F.col("start") + 2).cast("long").alias("place"), "label")
-    pads = seq.select("grp").distinct().select("grp", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 1, 102, 103)])).alias("place"), F.lit(None).cast("int").alias("label"))
-    return rows.unionByName(pads)
+    """A run of 100 rows of each group from a hashed start, two missing rows on each side.
+
+    Places inside a group are a recording's offset (running sums over recordings, not rows) plus the place in the recording.
+    """
+    return window_sample(event_sequence(spark, sf_dir).select("rec", "t", "label").withColumn("grp", group_of()), "grp", 100, 0).select("grp", "place", "label")
 
 
 XYG = "xy AS (SELECT rec, t, sum(k / 50.0::DOUBLE * cos(phase)) OVER (PARTITION BY rec ORDER BY t) AS x, sum(k / 50.0::DOUBLE * sin(phase)) OVER (PARTITION BY rec ORDER BY t) AS y FROM ev)"
@@ -220,9 +219,39 @@ def detect_coverage(spark, sf_dir):
     return coverage(paths(spark, sf_dir), RADII).select("rec", "radius", r6(F.col("share")).alias("share"))
 
 
+WEDGE_CELLS = sum(1 for x in range(0, 10) for y in range(-10, 10) if (cx := (x + 0.5) / 2) ** 2 + (cy := (y + 0.5) / 2) ** 2 < 25 and abs(cy) <= cx * 3**-0.5)
+
+
 @query(f"""WITH {EV}, {XYG}, o AS (SELECT rec, t, x - first_value(x) OVER w AS dx, y - first_value(y) OVER w AS dy, first_value(atan2(y, x)) OVER w AS psi FROM xy WINDOW w AS (PARTITION BY rec ORDER BY t)),
- r AS (SELECT rec, t, dx * cos(psi) + dy * sin(psi) AS x, dy * cos(psi) - dx * sin(psi) AS y FROM o WHERE t <= 30) SELECT rec, count(DISTINCT (floor(x * 2)::INT, floor(y * 2)::INT)) AS cells FROM r WHERE abs(atan2(y, x)) <= pi() / 6 AND sqrt(x * x + y * y) < 5 AND t > 0 GROUP BY rec""")
+ r AS (SELECT rec, t, floor(round((dx * cos(psi) + dy * sin(psi)) * 2, 9)) AS ix, floor(round((dy * cos(psi) - dx * sin(psi)) * 2, 9)) AS iy FROM o WHERE t <= 30 AND t > 0), c AS (SELECT DISTINCT rec, ix, iy FROM r WHERE abs((iy + 0.5::DOUBLE) / 2) <= (ix + 0.5::DOUBLE) / 2 * pow(3, -0.5) AND ((ix + 0.5::DOUBLE) / 2) ** 2 + ((iy + 0.5::DOUBLE) / 2) ** 2 < 25)
+SELECT a.rec, round(count(c.ix) / {WEDGE_CELLS}::DOUBLE, 6) AS share FROM (SELECT DISTINCT rec FROM ev) a LEFT JOIN c USING (rec) GROUP BY a.rec""")
 def hunt_coverage(spark, sf_dir):
-    r = re_origin(paths(spark, sf_dir)).where("t <= 30 and t > 0")
-    inside = r.where((F.abs(F.atan2("y", "x")) <= pi / 6) & (F.sqrt(F.col("x") ** 2 + F.col("y") ** 2) < 5))
-    return inside.groupBy("rec").agg(F.count_distinct(F.floor(F.col("x") * 2).cast("int"), F.floor(F.col("y") * 2).cast("int")).alias("cells"))
+    """Share of the cells of the wedge ahead that a recording's first 30 steps reach, 0 for recordings that reach none."""
+    xy = paths(spark, sf_dir)
+    cell = lambda c: F.floor(F.round(F.col(c) * 2, 9))
+    c = re_origin(xy).where("t <= 30 and t > 0").select("rec", cell("x").alias("ix"), cell("y").alias("iy")).distinct()
+    cx, cy = (F.col("ix") + 0.5) / 2, (F.col("iy") + 0.5) / 2
+    inside = c.where((F.abs(cy) <= cx * 3**-0.5) & (cx * cx + cy * cy < 25)).groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
+    recs = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec")).distinct()
+    return recs.join(inside, "rec", "left").select("rec", r6(F.coalesce("n", F.lit(0)) / F.lit(float(WEDGE_CELLS))).alias("share"))
+
+
+@query(f"WITH {EV}, {XYG} SELECT rec, t, round(x, 6) AS x, round(y, 6) AS y FROM xy WHERE NOT (y > -2 AND y < 2)")
+def outside_band(spark, sf_dir):
+    """Positions outside an excluded band."""
+    return paths(spark, sf_dir).where(~((F.col("y") > -2) & (F.col("y") < 2))).select("rec", "t", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+@query("WITH o AS (SELECT o_custkey AS a, o_orderkey AS b, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) SELECT i, a, b FROM o WHERE i % 100 = 7")
+def grid_row_pick(spark, sf_dir):
+    """Lines of an integer matrix in text, picked by their number: each line carries it, so a pick is a filter."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
+    return formats.round_trip(formats.numbered(rows, ["b"], "i"), "csv", options={"sep": " "}).where("i % 100 = 7").select("i", "a", "b")
+
+
+@query("SELECT n_nationkey AS i, j::INT AS j, (CASE WHEN j = 0 THEN n_regionkey ELSE n_nationkey * j END)::DOUBLE AS v FROM nation, unnest(range(0, 3)) AS u(j) WHERE CASE WHEN j = 0 THEN n_regionkey ELSE n_nationkey * j END <> 0")
+def matrix_from_arrays(spark, sf_dir):
+    """The array adapter: a small matrix of the driver (the fixed table of nations) becomes an edge list."""
+    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_regionkey").toPandas()
+    keys = nations.n_nationkey.to_numpy()
+    return formats.matrix_from_arrays(spark, [[r, k, 2 * k] for k, r in zip(keys.tolist(), nations.n_regionkey.tolist())])

@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sequora.operators import markov, sequences as sq
+from sequora.operators import markov, pairs, sequences as sq
 from sequora.operators.sequences import r6
 from sequora.plans.registry import EV, GAP, query
 from sequora.sources.storage import cut
-from sequora.sources.bindings import event_sequence, group_of, table
+from sequora.sources.bindings import N_STATES, event_sequence, group_of
 
+EVERY = 20
 PAIRS = "pr AS (SELECT rec, label AS src, lead(label, {lag}) OVER (PARTITION BY rec ORDER BY t) AS dst FROM ev)"
 SEG = "sg AS (SELECT *, sum(CASE WHEN label IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY t) AS seg FROM ev)"
 P1 = PAIRS.format(lag=1) + """, c AS (SELECT src, dst, count(*) AS n FROM pr WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL),
  p AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS p FROM c)"""
 
 
-def power(rounds: int, p: str = "p", out: str = "pi") -> str:
-    """SQL of the uniform distribution after a number of steps."""
-    steps = [f"{out}0 AS (SELECT s AS state, 1.0::DOUBLE / count(*) OVER () AS pi FROM (SELECT src AS s FROM {p} UNION SELECT dst FROM {p}))"]
-    steps += [f"{out}{i + 1} AS (SELECT dst AS state, sum(pi * p) AS pi FROM {p} JOIN {out}{i} ON src = state GROUP BY dst)" for i in range(rounds)]
-    return ", ".join(steps) + f", {out} AS (SELECT * FROM {out}{rounds})"
+def steady(keys: str = "", p: str = "p", out: str = "pi", squarings: int = 12) -> str:
+    """SQL of the stationary measure: the matrix squared again and again (4,096 steps), then the mean of its rows."""
+    by = f"{keys}, " if keys else ""
+    same = "".join(f"a.{k.strip()} = b.{k.strip()} AND " for k in keys.split(",") if k.strip())
+    a_by = "".join(f"a.{k.strip()}, " for k in keys.split(",") if k.strip())
+    steps = [f"{out}0 AS MATERIALIZED (SELECT {by}src, dst, p::DOUBLE AS p FROM {p})"]
+    steps += [f"{out}{i + 1} AS MATERIALIZED (SELECT {a_by}a.src, b.dst, sum(a.p * b.p) AS p FROM {out}{i} a JOIN {out}{i} b ON {same}a.dst = b.src GROUP BY {a_by}a.src, b.dst)" for i in range(squarings)]
+    whole = f"(PARTITION BY {keys})" if keys else "()"
+    return ", ".join(steps) + f", {out} AS (SELECT {by}dst AS state, sum(p) / sum(sum(p)) OVER {whole} AS pi FROM {out}{squarings} GROUP BY {by}dst)"
 
 
 @query(f"WITH {EV}, {PAIRS.format(lag=3)} SELECT src, dst, count(*) AS n FROM pr WHERE dst IS NOT NULL GROUP BY ALL")
@@ -74,17 +79,17 @@ def ensemble_matrix(spark, sf_dir):
     return markov.row_normalised(mean).select("src", "dst", r6(F.col("p")).alias("p"))
 
 
-def operator(spark, sf_dir, rounds=12, lag=1):
-    p = cut(markov.row_normalised(sq.transition_counts(event_sequence(spark, sf_dir), lag)), "p")  # read once, stepped often
-    return p, markov.stationary(p, rounds)
+def operator(spark, sf_dir, lag=1):
+    p = cut(markov.row_normalised(sq.transition_counts(event_sequence(spark, sf_dir), lag)), "p")  # read once, used often
+    return p, markov.stationary(p)
 
 
-@query(f"WITH {EV}, {P1}, {power(12)} SELECT state, round(pi, 6) AS pi FROM pi")
+@query(f"WITH {EV}, {P1}, {steady()} SELECT state, round(pi, 6) AS pi FROM pi")
 def stationary_power_k(spark, sf_dir):
     return operator(spark, sf_dir)[1].select("state", r6(F.col("pi")).alias("pi"))
 
 
-@query(f"""WITH {EV}, {P1}, {power(12)} SELECT coalesce(a.src, b.dst) AS src, coalesce(a.dst, b.src) AS dst, round((coalesce(a.p, 0) + y.pi * coalesce(b.p, 0) / x.pi) / 2, 6) AS r
+@query(f"""WITH {EV}, {P1}, {steady()} SELECT coalesce(a.src, b.dst) AS src, coalesce(a.dst, b.src) AS dst, round((coalesce(a.p, 0) + y.pi * coalesce(b.p, 0) / x.pi) / 2, 6) AS r
 FROM p a FULL JOIN p b ON a.src = b.dst AND a.dst = b.src JOIN pi x ON x.state = coalesce(a.src, b.dst) JOIN pi y ON y.state = coalesce(a.dst, b.src)""")
 def reversible_matrix(spark, sf_dir):
     return markov.reversible(*operator(spark, sf_dir)).select("src", "dst", r6(F.col("r")).alias("r"))
@@ -102,7 +107,7 @@ def two_state_timescale(spark, sf_dir):
     return q.select(r6(F.col("p01")).alias("p01"), r6(F.col("p10")).alias("p10"), r6(F.col("p10") / (F.col("p01") + F.col("p10"))).alias("pi0"), r6(lam).alias("lambda2"), F.when(F.abs(lam) > 1e-12, r6(-1 / F.ln(F.abs(lam)))).alias("timescale"))
 
 
-@query(f"WITH {EV}, {P1}, {power(12)} SELECT round(-sum(pi * p * ln(p)), 6) AS h FROM p JOIN pi ON src = state")
+@query(f"WITH {EV}, {P1}, {steady()} SELECT round(-sum(pi * p * ln(p)), 6) AS h FROM p JOIN pi ON src = state")
 def entropy_rate(spark, sf_dir):
     return markov.entropy_rate(*operator(spark, sf_dir)).select(r6(F.col("h")).alias("h"))
 
@@ -110,12 +115,12 @@ def entropy_rate(spark, sf_dir):
 BOTH = "z AS (SELECT a.src, pi * a.p AS f, a.p, b.p AS q FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src JOIN pi ON a.src = state)"
 
 
-@query(f"WITH {EV}, {P1}, {power(12)}, {BOTH} SELECT round(-sum(f * ln(p)), 6) AS h, round(-sum(f * ln(q)), 6) AS h_r, round(sum(f * ln(p)) - sum(f * ln(q)), 6) + 0.0 AS production FROM z")
+@query(f"WITH {EV}, {P1}, {steady()}, {BOTH} SELECT round(-sum(f * ln(p)), 6) AS h, round(-sum(f * ln(q)), 6) AS h_r, round(sum(f * ln(p)) - sum(f * ln(q)), 6) + 0.0 AS production FROM z")
 def entropy_production(spark, sf_dir):
     return markov.entropy_production(*operator(spark, sf_dir)).select(*(r6(F.col(c)).alias(c) for c in ("h", "h_r", "production")))
 
 
-@query(f"WITH {EV}, {P1}, {power(12)}, {BOTH} SELECT src, round(-sum(f * ln(p)), 6) AS h, round(-sum(f * ln(q)), 6) AS h_r, round(sum(f * ln(p)) - sum(f * ln(q)), 6) + 0.0 AS production FROM z GROUP BY src")
+@query(f"WITH {EV}, {P1}, {steady()}, {BOTH} SELECT src, round(-sum(f * ln(p)), 6) AS h, round(-sum(f * ln(q)), 6) AS h_r, round(sum(f * ln(p)) - sum(f * ln(q)), 6) + 0.0 AS production FROM z GROUP BY src")
 def entropy_production_per_state(spark, sf_dir):
     return markov.entropy_production(*operator(spark, sf_dir), per_state=True).select("src", *(r6(F.col(c)).alias(c) for c in ("h", "h_r", "production")))
 
@@ -124,14 +129,12 @@ LAGGED = """lg AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS lag), c AS (SELECT lag,
  p AS (SELECT lag, src, dst, n / sum(n) OVER (PARTITION BY lag, src) AS p FROM c)"""
 
 
-@query(f"""WITH {EV}, {LAGGED}, q0 AS (SELECT lag, src AS state, 1.0::DOUBLE / count(*) OVER (PARTITION BY lag) AS pi FROM (SELECT lag, src FROM p UNION SELECT lag, dst FROM p)),
- {', '.join(f"q{i + 1} AS (SELECT p.lag, dst AS state, sum(pi * p) AS pi FROM p JOIN q{i} q ON q.lag = p.lag AND src = state GROUP BY ALL)" for i in range(8))},
- h AS (SELECT p.lag, -sum(pi * p * ln(p)) AS h FROM p JOIN q8 q ON q.lag = p.lag AND src = state GROUP BY p.lag)
+@query(f"""WITH {EV}, {LAGGED}, {steady('lag')}, h AS (SELECT p.lag, -sum(pi * p * ln(p)) AS h FROM p JOIN pi ON pi.lag = p.lag AND src = state GROUP BY p.lag)
 SELECT lag, round(h, 6) AS h, round(lag(h) OVER (ORDER BY lag) - h, 6) + 0.0 AS growth FROM h""")
 def entropy_rate_vs_delay(spark, sf_dir):
     pairs = sq.lag_pairs(event_sequence(spark, sf_dir), [1, 2, 3, 4, 5, 6])
-    p = markov.row_normalised(pairs.groupBy("lag", "src", "dst").agg(F.count(F.lit(1)).alias("n")), ("lag",))
-    h = markov.entropy_rate(p, markov.stationary(p, 8, ("lag",)), ("lag",))
+    p = cut(markov.row_normalised(pairs.groupBy("lag", "src", "dst").agg(F.count(F.lit(1)).alias("n")), ("lag",)), "p")
+    h = markov.entropy_rate(p, markov.stationary(p, ("lag",)), ("lag",))
     return h.select("lag", r6(F.col("h")).alias("h"), r6(F.lag("h").over(Window.orderBy("lag")) - F.col("h")).alias("growth"))
 
 
@@ -159,32 +162,46 @@ def chunk_bootstrap_counts(spark, sf_dir):
     return counts.join(times, ["rec", "chunk"]).groupBy("rep", "src", "dst").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
 
 
-ORD = "ed AS (SELECT DISTINCT ascii(o_orderstatus) % 16 AS src, ascii(nxt) % 16 AS dst FROM (SELECT o_orderstatus, lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders) WHERE nxt IS NOT NULL)"
-EDGES = "ed AS (SELECT src, dst FROM (SELECT label * 3 + k % 3 AS src, lead(label * 3 + k % 3) OVER (PARTITION BY rec ORDER BY t) AS dst FROM ev WHERE t < 12) WHERE dst IS NOT NULL AND NOT (dst < 4 AND src >= 4) GROUP BY ALL)"
+#: Events of a kind at a place of the day's rhythm are a state; only transitions seen twice are edges.
+FINE = "fs AS (SELECT rec, t, label * 20 + k % 20 AS label FROM ev)"
+FINE_COUNTS = "fc AS (SELECT src, dst, count(*) AS n FROM (SELECT label AS src, lead(label) OVER (PARTITION BY rec ORDER BY t) AS dst FROM fs) WHERE dst IS NOT NULL GROUP BY ALL HAVING count(*) > 1)"
+EDGES = f"{FINE}, {FINE_COUNTS}, ed AS MATERIALIZED (SELECT src, dst FROM fc)"
 CONNECTED = """tc AS (SELECT src, dst FROM ed UNION SELECT tc.src, ed.dst FROM tc JOIN ed ON tc.dst = ed.src),
  st AS (SELECT src AS state FROM ed UNION SELECT dst FROM ed),
- grp AS (SELECT state, least(state, coalesce((SELECT min(a.dst) FROM tc a JOIN tc b ON a.src = b.dst AND a.dst = b.src WHERE a.src = state), state)) AS grp FROM st),
- best AS (SELECT grp FROM grp GROUP BY grp ORDER BY count(*) DESC, grp LIMIT 1)"""
+ mu AS (SELECT a.src AS state, min(a.dst) AS low FROM tc a JOIN tc b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+ grp AS (SELECT st.state, least(st.state, coalesce(low, st.state)) AS grp FROM st LEFT JOIN mu USING (state)),
+ best AS (SELECT grp FROM grp GROUP BY grp ORDER BY count(*) DESC, grp LIMIT 1),
+ lc AS (SELECT state, row_number() OVER (ORDER BY state) - 1 AS place FROM grp WHERE grp = (SELECT grp FROM best))"""
 
 
-def coarse_edges(spark, sf_dir):
-    """State graph of the first events of each user, with a one-way border so that it is not all connected."""
-    state = F.col("label") * 3 + F.col("k") % 3
-    seq = event_sequence(spark, sf_dir).where("t < 12")
-    pairs = seq.select(state.alias("src"), F.lead(state).over(sq.by_rec()).alias("dst")).where("dst is not null and not (dst < 4 and src >= 4)")
-    return pairs.distinct()
+def fine_states(spark, sf_dir):
+    return event_sequence(spark, sf_dir).select("rec", "t", (F.col("label") * 20 + F.col("k") % 20).alias("label"))
 
 
-@query(f"WITH RECURSIVE {EV}, {EDGES}, {CONNECTED} SELECT state FROM grp WHERE grp = (SELECT grp FROM best)")
+def fine_counts(spark, sf_dir):
+    """Transitions between the fine states over the whole sequences, those seen twice at least."""
+    return cut(sq.transition_counts(fine_states(spark, sf_dir)).where("n > 1"), "counts")
+
+
+@query(f"WITH RECURSIVE {EV}, {EDGES}, {CONNECTED} SELECT state FROM lc")
 def connected_states(spark, sf_dir):
-    return markov.largest_connected(coarse_edges(spark, sf_dir)).select("state")
+    return markov.largest_connected(fine_counts(spark, sf_dir)).select("state")
 
 
-@query(f"WITH RECURSIVE {EV}, {EDGES}, {CONNECTED} SELECT st.state, g.place FROM st LEFT JOIN (SELECT state, row_number() OVER (ORDER BY state) - 1 AS place FROM grp WHERE grp = (SELECT grp FROM best)) g USING (state)")
+@query(f"WITH RECURSIVE {EV}, {EDGES}, {CONNECTED} SELECT rec, t, place AS label FROM fs LEFT JOIN lc ON state = label")
 def connected_relabel(spark, sf_dir):
-    edges = cut(coarse_edges(spark, sf_dir), "edges")
-    states = edges.select(F.col("src").alias("state")).union(edges.select("dst")).distinct()
-    return states.join(F.broadcast(markov.largest_connected(edges)), "state", "left").select("state", F.col("place").cast("long").alias("place"))
+    """Every row of the sequences with its symbol's place in the largest connected set; other symbols are missing."""
+    held = cut(markov.largest_connected(fine_counts(spark, sf_dir)), "connected")
+    return markov.connected_labels(fine_states(spark, sf_dir), held).select("rec", "t", F.col("label").cast("long").alias("label"))
+
+
+@query(f"WITH RECURSIVE {EV}, {EDGES}, {CONNECTED}, q AS (SELECT src, dst, n FROM fc WHERE src IN (SELECT state FROM lc) AND dst IN (SELECT state FROM lc)) SELECT src, dst, round(n / sum(n) OVER (PARTITION BY src), 6) AS p FROM q")
+def transition_pipeline(spark, sf_dir):
+    """Count, keep the largest connected set, normalise."""
+    counts = fine_counts(spark, sf_dir)
+    states = cut(markov.largest_connected(counts).select("state"), "states")
+    a, b = (F.broadcast(states.withColumnRenamed("state", x)) for x in ("src", "dst"))
+    return markov.row_normalised(counts.join(a, "src", "left_semi").join(b, "dst", "left_semi")).select("src", "dst", r6(F.col("p")).alias("p"))
 
 
 @query(f"WITH {EV}, {P1} SELECT src, dst, round(p, 6) AS p FROM p WHERE p >= 0.2")
@@ -205,14 +222,7 @@ def matrix_block_order(spark, sf_dir):
 PHI = "f AS (SELECT label AS state, avg(value) AS phi FROM ev GROUP BY label), rk AS (SELECT state, phi, row_number() OVER (ORDER BY phi, state) AS rk, count(*) OVER () AS n FROM f)"
 
 
-@query(f"WITH {EV}, {PHI} SELECT state, round(CASE WHEN rk <= 2 THEN -1 + (rk - 1) / 2 ELSE (rk - 3) / (n - 3) END, 6) AS place FROM rk")
-def rank_remap(spark, sf_dir):
-    f = event_sequence(spark, sf_dir).groupBy(F.col("label").alias("state")).agg(F.avg("value").alias("phi"))
-    rk, n = F.row_number().over(Window.orderBy("phi", "state")), F.count(F.lit(1)).over(Window.partitionBy())
-    return f.select("state", r6(F.when(rk <= 2, -1 + (rk - 1) / F.lit(2)).otherwise((rk - 3) / (n - 3))).alias("place"))
-
-
-COHERENT = f"""{EV}, {P1}, {power(12)}, {PHI},
+COHERENT = f"""{EV}, {P1}, {steady()}, {PHI},
  rr AS (SELECT rk.state, phi, rk, n, pi FROM rk JOIN pi USING (state)),
  co AS (SELECT x.phi AS c, x.rk, (SELECT sum(a.pi * p) FROM p JOIN rr a ON a.state = src JOIN rr b ON b.state = dst WHERE a.rk <= x.rk AND b.rk <= x.rk) / (SELECT sum(pi) FROM rr WHERE rk <= x.rk) AS low,
    (SELECT sum(a.pi * p) FROM p JOIN rr a ON a.state = src JOIN rr b ON b.state = dst WHERE a.rk > x.rk AND b.rk > x.rk) / (SELECT sum(pi) FROM rr WHERE rk > x.rk) AS high FROM rr x WHERE x.rk > 1 AND x.rk < x.n)"""
@@ -224,85 +234,98 @@ def coherent_scan(spark, sf_dir):
     return markov.coherence(*operator(spark, sf_dir), phi).select(r6(F.col("c")).alias("c"), r6(F.col("rho")).alias("rho"))
 
 
+#: Least coherence of a peak. The default of ``markov.peaks`` is 0.5; event types follow each other almost independently, so theirs are lower.
+HEIGHT = 0.1
+
+
 @query(f"""WITH {COHERENT}, q AS (SELECT round(c, 6) AS c, round(least(low, high), 6) AS rho FROM co), e AS (SELECT c, rho, lag(rho) OVER (ORDER BY c) AS b, lead(rho) OVER (ORDER BY c) AS a FROM q)
-SELECT c, rho FROM e WHERE rho > b AND rho > a AND rho >= 0.1 ORDER BY rho DESC, c LIMIT 1""")
+SELECT c, rho FROM e WHERE rho > b AND rho > a AND rho >= {HEIGHT} ORDER BY rho DESC, c LIMIT 1""")
 def coherent_peak(spark, sf_dir):
-    q, by = coherent_scan(spark, sf_dir), Window.orderBy("c")
-    peaks = q.select("c", "rho", F.lag("rho").over(by).alias("b"), F.lead("rho").over(by).alias("a")).where("rho > b and rho > a and rho >= 0.1")
-    return peaks.orderBy(F.desc("rho"), "c").limit(1).select("c", "rho")
+    return markov.peaks(cut(coherent_scan(spark, sf_dir), "scan"), HEIGHT).orderBy(F.desc("rho"), "c").limit(1)
 
 
-@query(f"WITH {EV}, {P1}, {power(12)} SELECT CASE WHEN state IN (2, 3) THEN 1 ELSE 0 END AS meta, round(sum(pi), 6) AS measure FROM pi GROUP BY ALL")
+@query(f"""WITH {COHERENT}, m AS (SELECT rk - 2 AS m FROM co ORDER BY round(least(low, high), 9) DESC, c LIMIT 1)
+SELECT state, round(CASE WHEN rk <= m THEN coalesce(-1 + (rk - 1) / nullif(m - 1, 0), -1) ELSE coalesce((rk - m - 1) / nullif(n - m - 1, 0), 0) END, 6) + 0.0 AS place FROM rk, m""")
+def rank_remap(spark, sf_dir):
+    """States in the order of phi, spread over [-1, 0] before the most coherent threshold and over [0, 1] from there on."""
+    phi = cut(event_sequence(spark, sf_dir).groupBy(F.col("label").alias("state")).agg(F.avg("value").alias("phi")), "phi")
+    curve = markov.coherence(*operator(spark, sf_dir), phi)
+    best = curve.orderBy(F.desc(F.round("rho", 9)), "c").limit(1).select("c")
+    whole = Window.partitionBy()
+    ranks = phi.select("state", "phi", F.row_number().over(Window.orderBy("phi", "state")).alias("rk"), F.count(F.lit(1)).over(whole).alias("n"))
+    held = ranks.join(F.broadcast(best)).withColumn("m", F.max(F.when(F.col("phi") == F.col("c"), F.col("rk"))).over(whole) - 2)
+    rk, n, m = F.col("rk"), F.col("n"), F.col("m")
+    low = F.when(m > 1, -1 + (rk - 1) / (m - 1)).otherwise(-1.0)
+    high = F.when(n > m + 1, (rk - m - 1) / (n - m - 1)).otherwise(0.0)
+    return held.select("state", r6(F.when(rk <= m, low).otherwise(high)).alias("place"))
+
+
+@query(f"WITH {EV}, {P1}, {steady()} SELECT CASE WHEN state IN (2, 3) THEN 1 ELSE 0 END AS meta, round(sum(pi), 6) AS measure FROM pi GROUP BY ALL")
 def metastate_measure(spark, sf_dir):
     return operator(spark, sf_dir)[1].groupBy(F.col("state").isin(2, 3).cast("int").alias("meta")).agg(r6(F.sum("pi")).alias("measure"))
 
 
-@query(f"""WITH {EV}, {P1}, {power(12)}, m AS (SELECT label AS state, avg(value) AS v FROM ev GROUP BY label)
+@query(f"""WITH {EV}, {P1}, {steady()}, m AS (SELECT label AS state, avg(value) AS v FROM ev GROUP BY label)
 SELECT CASE WHEN state IN (2, 3) THEN 1 ELSE 0 END AS meta, round(sum(pi * v) / sum(pi), 6) AS mean FROM pi JOIN m USING (state) GROUP BY ALL""")
 def metastate_weighted_avg(spark, sf_dir):
     mean = event_sequence(spark, sf_dir).groupBy(F.col("label").alias("state")).agg(F.avg("value").alias("v"))
     return operator(spark, sf_dir)[1].join(F.broadcast(mean), "state").groupBy(F.col("state").isin(2, 3).cast("int").alias("meta")).agg(r6(F.sum(F.col("pi") * F.col("v")) / F.sum("pi")).alias("mean"))
 
 
-USERS = "u AS (SELECT rec % 40 AS rec, src, dst, count(*)::DOUBLE AS n FROM (SELECT rec, label AS src, lead(label) OVER (PARTITION BY rec ORDER BY t) AS dst FROM ev) WHERE dst IS NOT NULL GROUP BY ALL), p AS (SELECT rec, src, dst, n / sum(n) OVER (PARTITION BY rec, src) AS p FROM u)"
+USERS = "u AS (SELECT rec, src, dst, count(*)::DOUBLE AS n FROM (SELECT rec, label AS src, lead(label) OVER (PARTITION BY rec ORDER BY t) AS dst FROM ev) WHERE dst IS NOT NULL GROUP BY ALL), p AS (SELECT rec, src, dst, n / sum(n) OVER (PARTITION BY rec, src) AS p FROM u)"
+GRID = f"g AS MATERIALIZED (SELECT r.rec, i.i AS src, j.j AS dst, coalesce(p, 0) AS p FROM (SELECT DISTINCT rec FROM p) r, unnest(range(0, {N_STATES})) AS i(i), unnest(range(0, {N_STATES})) AS j(j) LEFT JOIN p ON p.rec = r.rec AND p.src = i.i AND p.dst = j.j)"
+#: Recordings with an id divisible by 20 are compared with all recordings.
+L1J = f"{GRID}, d AS MATERIALIZED (SELECT x.rec AS a, y.rec AS b, sum(abs(x.p - y.p)) / {N_STATES} AS d FROM g x JOIN g y ON x.src = y.src AND x.dst = y.dst WHERE x.rec % {EVERY} = 0 GROUP BY ALL)"
 
 
-def cohort_rows(spark, sf_dir):
-    """(rec, row): the matrix of each of 40 cohorts of users as one array of 25 cells."""
+def recording_rows(spark, sf_dir):
+    """(rec, row): the transition matrix of each recording as one array, row by row; cells without a transition are 0."""
     seq = event_sequence(spark, sf_dir)
-    pairs = seq.select((F.col("rec") % 40).alias("rec"), F.col("label").alias("src"), F.lead("label").over(sq.by_rec()).alias("dst")).where("dst is not null")
-    p = markov.row_normalised(pairs.groupBy("rec", "src", "dst").agg(F.count(F.lit(1)).alias("n")), ("rec",))
-    cells = [F.coalesce(F.max(F.when((F.col("src") == i) & (F.col("dst") == j), F.col("p"))), F.lit(0.0)) for i in range(5) for j in range(5)]
-    return p.groupBy("rec").agg(F.array(*cells).alias("row"))
+    p = markov.row_normalised(sq.transition_counts(seq, keys=("rec",)), ("rec",))
+    return cut(markov.as_rows(p, N_STATES, ("rec",)), "recordings")
 
 
-def l1_pairs(a, b):
-    gap = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    a, b = a.select(F.col("rec").alias("a"), F.col("row").alias("ra")), b.select(F.col("rec").alias("b"), F.col("row").alias("rb"))
-    return a, b, gap / 5
+@query(f"WITH {EV}, {USERS}, {GRID} SELECT rec, src::INT AS src, dst::INT AS dst, round(p, 6) AS p FROM g")
+def recording_matrices(spark, sf_dir):
+    """The matrix of each recording in the whole state space, cells without a transition with 0."""
+    return markov.from_rows(recording_rows(spark, sf_dir), N_STATES, ("rec",)).select("rec", "src", "dst", r6(F.col("p")).alias("p"))
 
 
-L1 = "d AS (SELECT x.rec AS a, y.rec AS b, (SELECT sum(abs(coalesce(f.p, 0) - coalesce(g.p, 0))) FROM (SELECT * FROM p WHERE rec = x.rec) f FULL JOIN (SELECT * FROM p WHERE rec = y.rec) g ON f.src = g.src AND f.dst = g.dst) / 5 AS d FROM (SELECT DISTINCT rec FROM p) x, (SELECT DISTINCT rec FROM p) y)"
-L1J = """g AS (SELECT r.rec, i.i AS src, j.j AS dst, coalesce(p, 0) AS p FROM (SELECT DISTINCT rec FROM p) r, unnest(range(0, 5)) AS i(i), unnest(range(0, 5)) AS j(j) LEFT JOIN p ON p.rec = r.rec AND p.src = i.i AND p.dst = j.j),
- d AS (SELECT x.rec AS a, y.rec AS b, sum(abs(x.p - y.p)) / 5 AS d FROM g x JOIN g y ON x.src = y.src AND x.dst = y.dst GROUP BY ALL)"""
+def compared(spark, sf_dir):
+    """(a, b, d): mean row distances of the stated recordings from all."""
+    return pairs.distances(recording_rows(spark, sf_dir), N_STATES, EVERY)
 
 
-@query(f"WITH {EV}, {USERS}, {L1J} SELECT a, b, round(d, 6) AS d FROM d WHERE a >= b")
+@query(f"WITH {EV}, {USERS}, {L1J} SELECT a, b, round(d, 6) AS d FROM d WHERE a <> b AND (b % {EVERY} <> 0 OR a < b)")
 def pairwise_l1(spark, sf_dir):
-    """The 40 cohorts are the bound of both sides; their rows are small arrays, so the pair join is a broadcast of one of them."""
-    rows = cohort_rows(spark, sf_dir)
-    a, b, d = l1_pairs(rows, rows)
-    return a.join(F.broadcast(b), F.col("a") >= F.col("b")).select("a", "b", r6(d).alias("d"))
+    """Each pair once, without the diagonal."""
+    return compared(spark, sf_dir).where(f"a != b and (b % {EVERY} != 0 or a < b)").select("a", "b", r6(F.col("d")).alias("d"))
 
 
-@query(f"WITH {EV}, {USERS}, {L1J}, k AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS near, row_number() OVER (PARTITION BY a ORDER BY d DESC, b) AS far FROM d WHERE a <> b) SELECT a, round(max(CASE WHEN near = 1 THEN d END) / max(CASE WHEN far = 1 THEN d END), 6) AS ratio FROM k GROUP BY a")
+@query(f"WITH {EV}, {USERS}, {L1J} SELECT a, round(min(d) / max(d), 6) AS ratio FROM d WHERE a <> b GROUP BY a")
 def nn_ratio(spark, sf_dir):
-    rows = cohort_rows(spark, sf_dir)
-    a, b, d = l1_pairs(rows, rows)
-    return a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", d.alias("d")).groupBy("a").agg(r6(F.min("d") / F.max("d")).alias("ratio"))
+    return compared(spark, sf_dir).where("a != b").groupBy("a").agg(r6(F.min("d") / F.max("d")).alias("ratio"))
 
 
-@query(f"WITH {EV}, {USERS}, {L1J} SELECT a, b, round(d, 6) AS d FROM d WHERE a % 2 = 0 AND b % 2 = 1")
+@query(f"WITH {EV}, {USERS}, {L1J} SELECT a, b, round(d, 6) AS d FROM d WHERE b % 2 = 1")
 def cross_set_l1(spark, sf_dir):
-    rows = cohort_rows(spark, sf_dir)
-    a, b, d = l1_pairs(rows.where("rec % 2 = 0"), rows.where("rec % 2 = 1"))
-    return a.join(F.broadcast(b)).select("a", "b", r6(d).alias("d"))
+    """Between two sets: the stated recordings, which are even, and the odd ones."""
+    return compared(spark, sf_dir).where("b % 2 = 1").select("a", "b", r6(F.col("d")).alias("d"))
 
 
 @query(f"WITH {EV}, {USERS}, {L1J} SELECT a, b, round(-0.5::DOUBLE * (d - avg(d) OVER (PARTITION BY a) - avg(d) OVER (PARTITION BY b) + avg(d) OVER ()), 6) + 0.0 AS c FROM d")
 def double_centering(spark, sf_dir):
-    rows = cohort_rows(spark, sf_dir)
-    a, b, d = l1_pairs(rows, rows)
-    held = a.join(F.broadcast(b)).select("a", "b", d.alias("d"))
-    mean = lambda *by: F.avg("d").over(Window.partitionBy(*by))
-    return held.select("a", "b", r6(-0.5 * (F.col("d") - mean("a") - mean("b") + mean())).alias("c"))
+    """Distances less the means of their row and column, plus that of all: partial sums per row and column join back, no window holds the matrix."""
+    d = cut(compared(spark, sf_dir), "distances")
+    mean = lambda by, name: d.groupBy(*by).agg(F.avg("d").alias(name))
+    held = d.join(mean(["a"], "ma"), "a").join(mean(["b"], "mb"), "b").join(F.broadcast(mean([], "m")))
+    return held.select("a", "b", r6(-0.5 * (F.col("d") - F.col("ma") - F.col("mb") + F.col("m"))).alias("c"))
 
 
-@query(f"WITH {EV}, {USERS}, {L1J}, e AS (SELECT a, avg(d) AS eps FROM d WHERE a <> b GROUP BY a), k AS (SELECT d.a, d.b, exp(-d / sqrt(x.eps * y.eps)) AS k FROM d JOIN e x ON d.a = x.a JOIN e y ON d.b = y.a) SELECT a, b, round(k / sum(k) OVER (PARTITION BY a), 6) AS k FROM k")
+@query(f"WITH {EV}, {USERS}, {L1J}, x AS (SELECT a, avg(d) AS eps FROM d WHERE a <> b GROUP BY a), y AS (SELECT b, avg(d) AS eps FROM d WHERE a <> b GROUP BY b), k AS (SELECT d.a, d.b, exp(-d / sqrt(x.eps * y.eps)) AS k FROM d JOIN x USING (a) JOIN y USING (b)) SELECT a, b, round(k / sum(k) OVER (PARTITION BY a), 6) AS k FROM k")
 def diffusion_kernel(spark, sf_dir):
-    rows = cohort_rows(spark, sf_dir)
-    a, b, d = l1_pairs(rows, rows)
-    held = a.join(F.broadcast(b)).select("a", "b", d.alias("d"))
-    eps = held.where("a != b").groupBy("a").agg(F.avg("d").alias("ea"))
-    k = held.join(F.broadcast(eps), "a").join(F.broadcast(eps.toDF("b", "eb")), "b").select("a", "b", F.exp(-F.col("d") / F.sqrt(F.col("ea") * F.col("eb"))).alias("k"))
-    return k.select("a", "b", r6(F.col("k") / F.sum("k").over(Window.partitionBy("a"))).alias("k"))
+    d = cut(compared(spark, sf_dir), "distances")
+    eps = lambda by, name: d.where("a != b").groupBy(by).agg(F.avg("d").alias(name))
+    k = d.join(eps("a", "ea"), "a").join(eps("b", "eb"), "b").select("a", "b", F.exp(-F.col("d") / F.sqrt(F.col("ea") * F.col("eb"))).alias("k"))
+    total = k.groupBy("a").agg(F.sum("k").alias("total"))
+    return k.join(F.broadcast(total), "a").select("a", "b", r6(F.col("k") / F.col("total")).alias("k"))

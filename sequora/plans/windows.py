@@ -74,10 +74,15 @@ BINARY = EV.replace("ev AS", "raw AS", 1) + ", ev AS (SELECT * REPLACE (CASE WHE
 
 @query(f"WITH {BINARY}, {RUNS}, m AS (SELECT rec, avg(CASE WHEN label = 0 THEN dur END) AS a, avg(CASE WHEN label = 1 THEN dur END) AS b FROM ru GROUP BY rec) SELECT rec, round(2 / (1 / a + 1 / b), 6) AS timescale FROM m WHERE a IS NOT NULL AND b IS NOT NULL")
 def harmonic_timescale(spark, sf_dir):
+    m = dwell_means(spark, sf_dir)
+    return m.select("rec", r6(2 / (1 / F.col("a") + 1 / F.col("b"))).alias("timescale"))
+
+
+def dwell_means(spark, sf_dir):
+    """(rec, a, b): mean dwell times below and above the middle of the signal, of recordings that have both."""
     signs = event_sequence(spark, sf_dir).withColumn("label", F.when(F.col("value").isNotNull(), (F.col("value") - 245 > 0).cast("int")))
     mean = lambda s: F.avg(F.when(F.col("label") == s, F.col("dur")))
-    m = sq.runs(signs).groupBy("rec").agg(mean(0).alias("a"), mean(1).alias("b")).where("a is not null and b is not null")
-    return m.select("rec", r6(2 / (1 / F.col("a") + 1 / F.col("b"))).alias("timescale"))
+    return sq.runs(signs).groupBy("rec").agg(mean(0).alias("a"), mean(1).alias("b")).where("a is not null and b is not null")
 
 
 @query(f"WITH {GAP}, {RUNS} SELECT rec, label, run, dur FROM ru ORDER BY dur DESC, rec, run LIMIT 20")
@@ -94,9 +99,19 @@ def delay_embed_k4(spark, sf_dir):
     return sq.trajectory(event_sequence(spark, sf_dir), "value", 4)
 
 
-@query(f"WITH {EV}, {DELAY} SELECT rec, centre, list_reverse(vec) AS vec FROM dv WHERE pos <= n - 6")
+@query(f"WITH {EV}, {DELAY.replace('[value, lead(value, 1) OVER w, lead(value, 2) OVER w, lead(value, 3) OVER w, lead(value, 4) OVER w]', '[value, k::DOUBLE, lead(value, 1) OVER w, lead(k, 1) OVER w, lead(value, 2) OVER w, lead(k, 2) OVER w]').replace('t + 2', 't + 1').replace('rec, t, value,', 'rec, t, value, k,')} SELECT rec, centre, vec FROM dv WHERE pos <= n - 4")
+def delay_embed_vectors(spark, sf_dir):
+    """Delay vectors of a row's whole vector, time by time."""
+    rows = event_sequence(spark, sf_dir).select("rec", "t", F.array("value", F.col("k").cast("double")).alias("x"))
+    return sq.trajectory(rows, "x", 2)
+
+
+@query(f"""WITH {GAP}, g AS (SELECT rec, t, CASE WHEN label IS NOT NULL THEN value END AS x, row_number() OVER (PARTITION BY rec ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY rec) AS n FROM ev),
+ dv AS (SELECT rec, t + 2 AS centre, [lead(x, 4) OVER w, lead(x, 3) OVER w, lead(x, 2) OVER w, lead(x, 1) OVER w, x] AS vec, pos, n FROM g WINDOW w AS (PARTITION BY rec ORDER BY t)) SELECT rec, centre, vec FROM dv WHERE pos <= n - 6""")
 def delay_embed_reversed(spark, sf_dir):
-    return sq.trajectory(event_sequence(spark, sf_dir), "value", 4, reverse=True)
+    """Latest first, across gaps."""
+    rows = event_sequence(spark, sf_dir, gaps=True).select("rec", "t", F.when(F.col("label").isNotNull(), F.col("value")).alias("x"))
+    return sq.trajectory_across_gaps(rows, "x", 4)
 
 
 @query(f"WITH {EV}, m AS (SELECT rec, t + 2 AS t, avg(value) OVER (PARTITION BY rec ORDER BY t ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS mean, t AS s, count(*) OVER (PARTITION BY rec) AS n FROM ev) SELECT rec, t, round(mean, 6) AS mean FROM m WHERE s < n - 5")
@@ -167,44 +182,73 @@ LAGS = "lags AS (SELECT unnest([1, 2, 3, 5, 8]) AS lag)"
 
 
 @query(f"""WITH {EV}, {LAGS}, m AS (SELECT rec, avg(value) AS mu, var_pop(value) AS v FROM ev GROUP BY rec),
- pr AS (SELECT a.rec, lag, avg((a.value - mu) * (b.value - mu)) AS c, any_value(v) AS v FROM ev a, lags, ev b JOIN m ON m.rec = b.rec WHERE a.rec = b.rec AND b.t = a.t + lag GROUP BY ALL) SELECT rec, lag, round(c / v, 6) + 0.0 AS acf FROM pr""")
+ pr AS (SELECT a.rec, lag, avg((a.value - mu) * (b.value - mu)) AS c, any_value(v) AS v FROM ev a, lags, ev b JOIN m ON m.rec = b.rec WHERE a.rec = b.rec AND b.t = a.t + lag GROUP BY ALL)
+SELECT rec, lag, round(c / v, 6) + 0.0 AS acf FROM pr UNION ALL SELECT rec, 0, 1.0 FROM m""")
 def acf(spark, sf_dir):
-    return motion.autocorrelation(event_sequence(spark, sf_dir), "value", [1, 2, 3, 5, 8]).select("rec", "lag", r6(F.col("acf")).alias("acf"))
+    return motion.autocorrelation(event_sequence(spark, sf_dir), "value", [0, 1, 2, 3, 5, 8]).select("rec", "lag", r6(F.col("acf")).alias("acf"))
+
+
+BREAKS = "br AS (SELECT *, sum((label = 1)::INT) OVER (PARTITION BY rec ORDER BY t) AS breaks FROM ev)"
+
+
+def broken(spark, sf_dir):
+    """Sequences that an error breaks."""
+    return event_sequence(spark, sf_dir).withColumn("broken", F.col("label") == 1)
+
+
+@query(f"""WITH {EV}, {BREAKS}, {LAGS}, m AS (SELECT rec, avg(value) AS mu, var_pop(value) AS v FROM ev GROUP BY rec)
+SELECT a.rec, lag, round(avg((a.value - mu) * (b.value - mu)) / any_value(v), 6) + 0.0 AS acf FROM br a, lags, br b JOIN m ON m.rec = b.rec WHERE a.rec = b.rec AND b.t = a.t + lag AND a.breaks = b.breaks GROUP BY a.rec, lag""")
+def acf_exclude(spark, sf_dir):
+    """Autocorrelation over pairs without a break between them."""
+    return motion.autocorrelation(broken(spark, sf_dir), "value", [1, 2, 3, 5, 8], "broken").select("rec", "lag", r6(F.col("acf")).alias("acf"))
 
 
-@query(f"WITH {EV}, {LAGS}, m AS (SELECT avg(value) AS mu FROM ev) SELECT lag, round(avg((a.value - mu) * (b.value - mu)), 4) AS product, count(*) AS n FROM ev a, lags, ev b, m WHERE a.rec = b.rec AND b.t = a.t + lag GROUP BY ALL")
+@query(f"""WITH {EV}, {LAGS}, m AS (SELECT avg(value) AS mu, var_pop(value) AS v, count(value) AS n FROM ev)
+SELECT lag, round(avg((a.value - mu) * (b.value - mu)), 4) AS product, count(*) AS n FROM ev a, lags, ev b, m WHERE a.rec = b.rec AND b.t = a.t + lag GROUP BY ALL UNION ALL SELECT 0, round(v, 4), n FROM m""")
 def acf_pooled(spark, sf_dir):
+    """Products over all recordings around the mean of all; at lag 0 the variance of all."""
     seq = event_sequence(spark, sf_dir)
-    mean = seq.agg(F.avg("value").alias("mu"))
-    held = motion.lagged(seq, ["value"], [1, 2, 3, 5, 8]).join(F.broadcast(mean))
-    return held.groupBy("lag").agg(F.round(F.avg((F.col("value") - F.col("mu")) * (F.col("value_later") - F.col("mu"))), 4).alias("product"), F.count(F.lit(1)).alias("n"))
+    whole = seq.agg(F.avg("value").alias("mu"), F.var_pop("value").alias("v"), F.count("value").alias("n"))
+    held = motion.lagged(seq, ["value"], [1, 2, 3, 5, 8]).join(F.broadcast(whole.select("mu")))
+    found = held.groupBy("lag").agg(F.round(F.avg((F.col("value") - F.col("mu")) * (F.col("value_later") - F.col("mu"))), 4).alias("product"), F.count(F.lit(1)).alias("n"))
+    return found.unionByName(whole.select(F.lit(0).alias("lag"), F.round("v", 4).alias("product"), "n"))
 
 
-@query(f"""WITH {EV}, {LAGS}, m AS (SELECT rec, avg(value) AS mu, avg(k) AS mk, stddev_pop(value) * stddev_pop(k) AS s FROM ev GROUP BY rec)
-SELECT a.rec, lag, round(avg((a.value - mu) * (b.k - mk)) / any_value(s), 6) + 0.0 AS ccf FROM ev a, lags, ev b JOIN m ON m.rec = b.rec WHERE a.rec = b.rec AND b.t = a.t + lag GROUP BY a.rec, lag""")
+CCF = """m AS (SELECT rec, avg(value) AS mu, avg(k) AS mk, stddev_pop(value) * stddev_pop(k) AS s FROM ev GROUP BY rec), lags AS (SELECT unnest([-5, -2, -1, 0, 1, 2, 5]) AS lag)"""
+
+
+@query(f"""WITH {EV}, {CCF} SELECT a.rec, lag, round(avg((a.value - mu) * (b.k - mk)) / any_value(s), 6) + 0.0 AS ccf FROM ev a, lags, ev b JOIN m ON m.rec = b.rec WHERE a.rec = b.rec AND b.t = a.t + lag GROUP BY a.rec, lag""")
 def ccf(spark, sf_dir):
-    return motion.crosscorrelation(event_sequence(spark, sf_dir), "value", "k", [1, 2, 3, 5, 8]).select("rec", "lag", r6(F.col("ccf")).alias("ccf"))
+    return motion.crosscorrelation(event_sequence(spark, sf_dir), "value", "k", [-5, -2, -1, 0, 1, 2, 5]).select("rec", "lag", r6(F.col("ccf")).alias("ccf"))
+
+
+@query(f"""WITH {EV}, {BREAKS}, {CCF} SELECT a.rec, lag, round(avg((a.value - mu) * (b.k - mk)) / any_value(s), 6) + 0.0 AS ccf FROM br a, lags, br b JOIN m ON m.rec = b.rec WHERE a.rec = b.rec AND b.t = a.t + lag AND a.breaks = b.breaks GROUP BY a.rec, lag""")
+def ccf_exclude(spark, sf_dir):
+    return motion.crosscorrelation(broken(spark, sf_dir), "value", "k", [-5, -2, -1, 0, 1, 2, 5], "broken").select("rec", "lag", r6(F.col("ccf")).alias("ccf"))
+
+
+#: Vectors of a recording of vectors.
+RUN_OF_VECTORS = 50
 
 
-@query("""WITH e AS (SELECT label AS rec, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding::DOUBLE[] AS v FROM embeddings), lags AS (SELECT unnest([1, 2, 3]) AS lag)
-SELECT a.rec, lag, round(avg(list_dot_product(a.v, b.v)), 4) + 0.0 AS dot FROM e a, lags, e b WHERE a.rec = b.rec AND b.t = a.t + lag GROUP BY ALL""")
+@query(f"""WITH e AS (SELECT vec_id // {RUN_OF_VECTORS} AS rec, vec_id % {RUN_OF_VECTORS} AS t, label, embedding::DOUBLE[] AS v FROM embeddings), b AS (SELECT *, sum((label = 0)::INT) OVER (PARTITION BY rec ORDER BY t) AS breaks, row_number() OVER (PARTITION BY rec ORDER BY t) AS i FROM e), lags AS (SELECT unnest([0, 1, 2, 3]) AS lag)
+SELECT a.rec, lag, round(avg(list_dot_product(a.v, b.v)), 4) + 0.0 AS dot FROM b a, lags, b WHERE a.rec = b.rec AND b.i = a.i + lag AND a.breaks = b.breaks GROUP BY ALL""")
 def dot_acf(spark, sf_dir):
-    order = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("rec"), (F.row_number().over(order) - 1).alias("t"), F.col("embedding").cast("array<double>").alias("v"))
-    dot = F.aggregate(F.zip_with("v", "v_later", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return motion.lagged(e, ["v"], [1, 2, 3]).groupBy("rec", "lag").agg((F.round(F.avg(dot), 4) + 0.0).alias("dot"))
+    """Recordings are runs of neighbouring vectors, broken where one has label 0."""
+    e = table(spark, sf_dir, "embeddings").select(F.expr(f"vec_id div {RUN_OF_VECTORS}").alias("rec"), (F.col("vec_id") % RUN_OF_VECTORS).alias("t"), (F.col("label") == 0).alias("broken"), F.col("embedding").cast("array<double>").alias("v"))
+    return motion.dot_autocorrelation(e, "v", [0, 1, 2, 3], "broken").select("rec", "lag", (F.round("dot", 4) + 0.0).alias("dot"))
 
 
-MSD = f"""{EV}, {XY}, lags AS (SELECT unnest([1, 2, 4, 8, 16]) AS lag), m AS (SELECT a.rec, lag, avg((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS msd, count(*) AS n FROM xy a, lags, xy b WHERE a.rec = b.rec AND b.t = a.t + lag GROUP BY ALL)"""
+MSD = f"""{EV}, {XY}, lags AS (SELECT unnest([0, 1, 2, 4, 8, 16]) AS lag), m AS (SELECT a.rec, lag, avg((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS msd, count(*) AS n FROM xy a, lags, xy b WHERE a.rec = b.rec AND b.t = a.t + lag GROUP BY ALL)"""
 
 
 @query(f"WITH {MSD} SELECT rec, lag, round(msd, 4) AS msd, n FROM m")
 def msd(spark, sf_dir):
     xy = motion.positions(event_sequence(spark, sf_dir), "k", "phase")
-    return motion.msd(xy, [1, 2, 4, 8, 16]).select("rec", "lag", F.round("msd", 4).alias("msd"), "n")
+    return motion.msd(xy, [0, 1, 2, 4, 8, 16]).select("rec", "lag", F.round("msd", 4).alias("msd"), "n")
 
 
-@query(f"WITH {MSD}, p AS (SELECT lag, avg(msd) AS msd FROM m GROUP BY lag), s AS (SELECT lag, (ln(msd) - lag(ln(msd)) OVER (ORDER BY lag)) / (ln(lag) - lag(ln(lag)) OVER (ORDER BY lag)) AS slope FROM p) SELECT lag, round(slope, 6) AS slope FROM s WHERE slope IS NOT NULL")
+@query(f"WITH {MSD}, p AS (SELECT lag, avg(msd) AS msd FROM m WHERE lag > 0 GROUP BY lag), s AS (SELECT lag, (ln(msd) - lag(ln(msd)) OVER (ORDER BY lag)) / (ln(lag) - lag(ln(lag)) OVER (ORDER BY lag)) AS slope FROM p) SELECT lag, round(slope, 6) AS slope FROM s WHERE slope IS NOT NULL")
 def msd_slope(spark, sf_dir):
     xy = motion.positions(event_sequence(spark, sf_dir), "k", "phase")
     p = motion.msd(xy, [1, 2, 4, 8, 16]).groupBy("lag").agg(F.avg("msd").alias("msd"))
@@ -228,6 +272,11 @@ def boundary_null(spark, sf_dir):
     return sq.drop_ends(event_sequence(spark, sf_dir)).select("rec", "t", "label")
 
 
+@query(f"WITH {EV} SELECT rec, t, CASE WHEN t < count(*) OVER (PARTITION BY rec) - 2 THEN label END AS label FROM ev")
+def last_two_null(spark, sf_dir):
+    return sq.drop_ends(event_sequence(spark, sf_dir), first=0, last=2).select("rec", "t", "label")
+
+
 @query(f"WITH {EV} SELECT rec, t, label FROM ev WHERE t % 3 = 0")
 def stride_decimate(spark, sf_dir):
     return event_sequence(spark, sf_dir).where("t % 3 = 0").select("rec", "t", "label")
@@ -242,10 +291,28 @@ def time_cutoff(spark, sf_dir):
     return seq.withColumn("cut", cut).select("rec", "t", F.when(F.col("cut").isNull() | (F.col("t") < F.col("cut")), F.col("label")).alias("label"))
 
 
-@query(f"WITH {EV}, w AS (SELECT *, floor(4.0::DOUBLE * (micros - min(micros) OVER ()) / (1 + max(micros) OVER () - min(micros) OVER ()))::INT AS w FROM ev) SELECT (rec % 7)::INT AS grp, w, label, round(count(*) / sum(count(*)) OVER (PARTITION BY rec % 7, w), 6) AS share FROM w GROUP BY rec % 7, w, label")
+#: Symbols that a window of a recording needs, and windows of a recording.
+LEAST_SYMBOLS, N_WINDOWS = 8, 4
+
+
+@query(f"""WITH {EV}, m AS (SELECT rec, (rec % 7)::INT AS grp, label, (micros - min(micros) OVER (PARTITION BY rec)) / 6e7::DOUBLE AS minute FROM ev),
+ x AS (SELECT grp, avg(longest) AS tmax FROM (SELECT grp, rec, max(minute) AS longest FROM m GROUP BY ALL) GROUP BY grp), wi AS (SELECT *, w * tmax / {N_WINDOWS} AS t0, floor(ceil(tmax) / {N_WINDOWS}) AS wide FROM x, unnest(range(0, {N_WINDOWS})) AS u(w)),
+ c AS (SELECT wi.grp, wi.w, m.rec, m.label, count(*) AS n FROM m JOIN wi ON wi.grp = m.grp AND minute > t0 AND minute <= t0 + wide GROUP BY wi.grp, wi.w, m.rec, m.label), ct AS (SELECT *, sum(n) OVER (PARTITION BY grp, w, rec) AS total FROM c),
+ sh AS (SELECT grp, w, label, sum(n / total) AS s FROM ct WHERE total >= {LEAST_SYMBOLS} GROUP BY grp, w, label), k AS (SELECT grp, w, count(DISTINCT rec) AS kept FROM ct WHERE total >= {LEAST_SYMBOLS} GROUP BY grp, w)
+SELECT sh.grp, sh.w::INT AS w, label, kept, round(s / kept, 6) AS share FROM sh JOIN k ON k.grp = sh.grp AND k.w = sh.w WHERE kept >= 2""")
 def occupancy_windows(spark, sf_dir):
-    seq = event_sequence(spark, sf_dir)
-    ends = F.broadcast(seq.agg(F.min("micros").alias("lo"), F.max("micros").alias("hi")))
-    w = F.floor(F.lit(4.0) * (F.col("micros") - F.col("lo")) / (1 + F.col("hi") - F.col("lo"))).cast("int")
-    n = seq.join(ends).groupBy(group_of().alias("grp"), w.alias("w"), "label").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("grp", "w", "label", r6(F.col("n") / F.sum("n").over(Window.partitionBy("grp", "w"))).alias("share"))
+    """Mean share of each symbol in four equal windows of the mean length of a group's recordings.
+
+    A recording without enough symbols in a window doesn't count there, and a window in which fewer than two recordings count is left out.
+    """
+    seq = event_sequence(spark, sf_dir).withColumn("grp", group_of())
+    minute = (F.col("micros") - F.min("micros").over(Window.partitionBy("rec"))) / 6e7
+    m = seq.select("rec", "grp", "label", minute.alias("minute"))
+    x = m.groupBy("grp", "rec").agg(F.max("minute").alias("longest")).groupBy("grp").agg(F.avg("longest").alias("tmax"))
+    held = m.join(F.broadcast(x), "grp").select("*", F.explode(F.sequence(F.lit(0), F.lit(N_WINDOWS - 1))).alias("w"))
+    t0, wide = F.col("w") * F.col("tmax") / N_WINDOWS, F.floor(F.ceil("tmax") / N_WINDOWS)
+    n = held.where((F.col("minute") > t0) & (F.col("minute") <= t0 + wide)).groupBy("grp", "w", "rec", "label").agg(F.count(F.lit(1)).alias("n"))
+    n = n.withColumn("total", F.sum("n").over(Window.partitionBy("grp", "w", "rec"))).where(F.col("total") >= LEAST_SYMBOLS)
+    kept = n.groupBy("grp", "w").agg(F.count_distinct("rec").alias("kept")).where("kept >= 2")
+    s = n.groupBy("grp", "w", "label").agg(F.sum(F.col("n") / F.col("total")).alias("s"))
+    return s.join(kept, ["grp", "w"]).select("grp", "w", "label", "kept", r6(F.col("s") / F.col("kept")).alias("share"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequora.sources.storage import fresh_path
+from sequora.sources.storage import cut, fresh_path
 
 
 def write(df: DataFrame, path: str, kind: str, partition_by: list[str] | None = None, options: dict | None = None) -> None:
@@ -34,3 +34,29 @@ def matrix_cells(rows: DataFrame, key: str, row: str) -> DataFrame:
 def matrix_from_arrays(spark, cells) -> DataFrame:
     """(i, j, v): cells of a two-dimensional array of the driver, non-zero ones only; for matrices of a fixed, small size."""
     return spark.createDataFrame([(i, j, float(v)) for i, line in enumerate(cells) for j, v in enumerate(line) if v], "i int, j int, v double")
+
+
+def padded(seq: DataFrame, label: str) -> DataFrame:
+    """(rec, label): one row per recording, its symbols in order, filled up with nulls to the longest length; a null also stands behind each recording."""
+    lists = seq.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("t", label))).alias("rows")).select("rec", F.transform("rows", lambda r: r[label]).alias(label), F.size("rows").alias("length"))
+    width = lists.agg(F.max("length").alias("width"))
+    return lists.join(F.broadcast(width)).select("rec", "length", F.concat(label, F.array_repeat(F.lit(None).cast("int"), F.col("width") - F.col("length"))).alias(label))
+
+
+def unpad(rows: DataFrame, label: str) -> DataFrame:
+    """(rec, t, label): padded rows cut back to their length; the last symbol is missing, so that recordings stay apart when joined end to end."""
+    flat = rows.select("rec", "length", F.posexplode(label).alias("t", label)).where("t < length")
+    return flat.select("rec", F.col("t").cast("long").alias("t"), F.when(F.col("t") < F.col("length") - 1, F.col(label)).alias(label))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in an order, from 0: ranges of the order are counted, their offsets are summed, rows are numbered inside them.
+
+    Only one row per range meets in one task.
+    """
+    held = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()), "ranged")
+    first = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = first.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = held.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_seq") - F.col("_first") + F.col("_before"))
+    return out.drop("_part", "_seq", "_first", "_before")

@@ -45,7 +45,7 @@ def test_two_states_closed_form(f1):
     p = markov.row_normalised(sq.transition_counts(f1, 1, True))
     cells = {(r.src, r.dst): r.p for r in p.collect()}
     assert cells == pytest.approx({(0, 0): 3 / 4, (0, 1): 1 / 4, (1, 0): 2 / 3, (1, 1): 1 / 3})
-    pi = markov.stationary(p, 40)
+    pi = markov.stationary(p)
     assert {r.state: r.pi for r in pi.collect()} == pytest.approx({0: 8 / 11, 1: 3 / 11})
     assert markov.entropy_rate(p, pi).first().h == pytest.approx(0.582566, abs=1e-6)
     assert markov.entropy_production(p, pi).first().production == pytest.approx(0, abs=1e-9)
