@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a slice holds; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 17
 
 
 def offsets_and_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

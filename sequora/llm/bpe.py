@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequora.llm.store import small_batches
+from sequora.llm.store import cut, small_batches
 
 CHUNK_CHARS = 4_096
 SEGMENT_CHARS = 32_768
@@ -143,32 +143,48 @@ def _encode_rows(path: str | None):
     return run
 
 
-def encode_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """One row per input row: id and ``ids``, the token ids of the whole text."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _split(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text) of texts of one segment, and of longer ones."""
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = F.length("text") > SEGMENT_CHARS + OVERLAP_CHARS
-    short = rows.where(~long).mapInArrow(_encode_rows(path), f"id {kind}, ids array<int>")
-    # a long text's own bytes and its place number its row, so that equal ids stay apart
-    numbered = rows.where(long).withColumn("row", F.monotonically_increasing_id())
+    return rows.where(~long), rows.where(long)
+
+
+def _encode_long(long: DataFrame, path: str | None) -> DataFrame:
+    """(id, ids) of texts of several segments, which are dealt out to tasks."""
+    # the place of a text numbers its row, so that equal ids stay apart; written out, so that it is the same in both uses
+    numbered = cut(long.withColumn("row", F.monotonically_increasing_id()), "long-texts")
     parts = stitched(numbered.select("row", "text")).repartition("row", "at").mapInArrow(_encode_rows(path), "row long, at long, ids array<int>")
     whole = parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"])).alias("ids"))
-    return short.unionByName(numbered.select("id", "row").join(whole, "row").select("id", "ids")).withColumnRenamed("id", id_col)
+    return numbered.select("id", "row").join(whole, "row").select("id", "ids")
 
 
-def _digest_rows(path: str | None):
+def encode_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """One row per input row: id and ``ids``, the token ids of the whole text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    short, long = _split(docs, id_col, text_col)
+    found = short.mapInArrow(_encode_rows(path), f"id {kind}, ids array<int>").unionByName(_encode_long(long, path))
+    return found.withColumnRenamed("id", id_col)
+
+
+def _said(ids: list[int], words: list[str], enc) -> tuple[int, str, str]:
+    """Number of tokens, digest of the ids, digest of the bytes they decode to."""
+    return len(ids), hashlib.sha256(" ".join([words[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(enc.decode_bytes(ids)).hexdigest()
+
+
+_DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digest_rows(path: str | None, encoded: bool):
+    """(id, text) or, where ``encoded``, (id, ids): the id and the digests of the tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        said = [str(i) for i in range(enc.max_token_value + 1)]
+        words = [str(i) for i in range(enc.max_token_value + 1)]
         for batch in batches:
-            flat = batch.column(1)
-            n, shas, raw = [], [], []
-            for row in flat:
-                ids = row.values.to_pylist() if row.values is not None else []
-                n.append(len(ids))
-                shas.append(hashlib.sha256(" ".join([said[i] for i in ids]).encode()).hexdigest())
-                raw.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas), pa.array(raw)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [_said((row.as_py() or []) if encoded else encode(row.as_py(), path), words, enc) for row in batch.column(1)]
+            cols = zip(*rows) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string())))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -176,7 +192,14 @@ def _digest_rows(path: str | None):
 def digest(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids and of the bytes they decode to."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select(F.col("doc_id").alias("id"), "ids").mapInArrow(_digest_rows(path), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", "doc_id")
+    return encoded.select(F.col("doc_id").alias("id"), "ids").mapInArrow(_digest_rows(path, True), f"id {kind}, {_DIGEST}").withColumnRenamed("id", "doc_id")
+
+
+def digest_table(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``digest(encode_table(docs))``, but the ids of texts of one segment never leave the worker that found them."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    short, long = _split(docs, "doc_id", "text")
+    return short.mapInArrow(_digest_rows(path, False), f"id {kind}, {_DIGEST}").unionByName(_encode_long(long, path).mapInArrow(_digest_rows(path, True), f"id {kind}, {_DIGEST}")).withColumnRenamed("id", "doc_id")
 
 
 def decode_table(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None) -> DataFrame:

@@ -119,11 +119,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     pairs = hits.where("wanted is not null").select(*lane, F.explode(F.arrays_zip("wanted", "slots")).alias("p")).select("doc_id", "item_id", "width", "lane", F.col("p.wanted").alias("b"), F.col("p.slots").alias("d")).where("b is not null").distinct()
     keys = ["doc_id", "item_id", "width", "lane"]
     bad = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("b").alias("nb"), F.countDistinct("d").alias("nd"), F.max(F.col("b") != F.col("d")).alias("changed"))
-    lanes = hits.select(*lane, "j", F.col("wanted").isNull().alias("literal")).join(bad, keys, "left").where("literal or (n = nb and n = nd)")
-    whole = items.groupBy("item_id").agg(F.max(F.size("t") - F.col("width") + 1).cast("long").alias("windows"))
+    bad = bad.withColumnsRenamed({k: f"bad_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"bad_{k}")) for k in ("doc_id", "item_id")] + [F.col(k) == F.col(f"bad_{k}") for k in ("width", "lane")]
+    lanes = hits.select(*lane, "j", F.col("wanted").isNull().alias("literal")).join(bad, same, "left").where("literal or (n = nb and n = nd)")
+    whole = items.groupBy(F.col("item_id").alias("whole_id")).agg(F.max(F.size("t") - F.col("width") + 1).cast("long").alias("windows"))
     matched = lanes.groupBy("doc_id", "item_id").agg(F.countDistinct("j").alias("matched"), (~F.max(~F.col("literal") & F.coalesce("changed", F.lit(False)))).alias("verbatim"))
     share = F.col("matched") / F.col("windows")
-    return matched.join(whole, "item_id").where((share >= coverage) | (F.col("matched") >= run)).select("doc_id", "item_id", "matched", "windows", F.round(share, 6).alias("coverage"), "verbatim")
+    return matched.join(whole, F.col("item_id").eqNullSafe(F.col("whole_id"))).where((share >= coverage) | (F.col("matched") >= run)).select("doc_id", "item_id", "matched", "windows", F.round(share, 6).alias("coverage"), "verbatim")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:

@@ -4,8 +4,8 @@ Pass one finds the hash positions that more than one text hits; pass two splits
 of their own pass straight through, only the others shuffle. Of equal texts, the row with the largest id stays;
 of rows that also share that id (or have none), one stays.
 
-Null texts count as empty and equal the empty text. A null id is smaller than any other. An empty table gives
-an empty result. Columns of any name may come along: working columns have names that the input lacks.
+Null texts count as empty and equal the empty text. A null id is smaller than any other; ids may be of any type that sorts. Texts
+may be of any length: rows are compared by digests. An empty table gives an empty result. Columns of any name may come along: working columns have names that the input lacks.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marked = docs.withColumn(maybe, _maybe_repeated(docs, text_col))
     alone = marked.where(~F.col(maybe)).drop(maybe)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = marked.where(F.col(maybe)).groupBy(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias(sha)).agg(F.max_by(row, F.coalesce(F.col(id_col), F.lit(-(2**63)))).alias(best))
+    again = marked.where(F.col(maybe)).groupBy(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias(sha)).agg(F.max_by(row, F.struct(F.col(id_col))).alias(best))
     return alone.unionByName(again.select(f"{best}.*"))
 
 

@@ -17,7 +17,8 @@ verified. Pairs inside a component are spared, none across components is: no cap
 
 Null texts count as empty; documents without words are in no link and their own component. Component ids are the
 smallest id in a component (a null id is smaller than any other). Rows with equal ids stay apart unless their sets link.
-Empty tables give empty results.
+Empty tables give empty results. A text of any length is one set, whole. Columns other than id and text are not read, and
+``drop_near_duplicates`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -78,8 +78,10 @@ def train(counts: np.ndarray, labels: list[int]) -> dict:
     """The model: inverse document frequencies, projection, latent vectors of the sample (rows of counts), and its labels."""
     if not len(counts):
         return {"idf": np.ones(TERMS + FORM, np.float32), "basis": None, "vectors": None, "labels": None, "prior": 0.5}
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    x = weigh(counts, idf)
+    idf = np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + np.float32(0.1)
+    x = np.empty(counts.shape, np.float32)
+    for i in range(0, len(x), BLOCK):
+        x[i : i + BLOCK] = weigh(unpacked(counts[i : i + BLOCK]), idf)
     values, vectors = np.linalg.eigh(x.T @ x)
     basis = vectors[:, np.argsort(-values)[:DIMS]].astype(np.float32)
     latent = x @ basis
@@ -108,16 +110,36 @@ def vote(model: dict, counts: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame):
     """Broadcast model, trained on a bounded sample of the labelled rows that are not held out."""
     sample = training_texts(small_batches(docs), labels, "quality", TRAIN_ROWS)
-    rows = sorted(sample.mapInArrow(_counted, "doc_id string, label int, counts binary").toLocalIterator(), key=lambda r: r.doc_id)
-    counts = np.frombuffer(b"".join(r.counts for r in rows), np.float32).reshape(-1, TERMS + FORM)
-    return docs.sparkSession.sparkContext.broadcast(train(counts, [r.label for r in rows]))
+    counts, ids, known = np.empty((TRAIN_ROWS, TERMS + FORM), np.uint16), [], []
+    for r in sample.mapInArrow(_counted, "doc_id string, label int, counts binary").toLocalIterator():
+        counts[len(ids)] = np.frombuffer(r.counts, np.uint16)
+        ids.append(r.doc_id)
+        known.append(r.label)
+    order = np.argsort(np.array(ids, object)) if ids else np.zeros(0, int)
+    return docs.sparkSession.sparkContext.broadcast(train(counts[order], [known[i] for i in order]))
+
+
+def packed(counts: np.ndarray) -> np.ndarray:
+    """Counts in two bytes each (larger ones are 65,535), shares of repetition in steps of 1 / 65,535."""
+    out = np.minimum(counts, 65_535)
+    out[:, TERMS:] = np.rint(counts[:, TERMS:] * 65_535)
+    return out.astype(np.uint16)
+
+
+def unpacked(counts: np.ndarray) -> np.ndarray:
+    """Rows as ``term_counts`` gives them."""
+    if counts.dtype != np.uint16:
+        return counts
+    out = counts.astype(np.float32)
+    out[:, TERMS:] /= 65_535
+    return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, label) with the term counts of the text in its place."""
     for batch in batches:
         if batch.num_rows:
-            counts = [row.tobytes() for block in term_counts(batch.column(1)) for row in block]
+            counts = [row.tobytes() for block in term_counts(batch.column(1)) for row in packed(block)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.binary())], names=["doc_id", "label", "counts"])
 
 

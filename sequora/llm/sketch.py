@@ -2,7 +2,7 @@
 
 The table orders hashes from rare to frequent. Two hashes may share a count; an order by (count, hash) is the same
 for everyone all the same, which is all that prefix filters need. The table has one byte for each ``BYTES_PER_PLACE`` bytes of
-text, up to ``MOST`` (64 MB): the bound of what is gathered and broadcast. With more text, more hashes share a place.
+text, up to ``MOST`` (32 MB): the bound of what is gathered and broadcast. With more text, more hashes share a place.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MOST = 1 << 26
+MOST = 1 << 25
 BYTES_PER_PLACE = 12
 CHUNK = 1 << 18
 #: Hashes that a task holds before it gives their counts away.

@@ -20,7 +20,7 @@ Occurrences of an anchor are told apart by their context, the bytes that a repea
 ``repeated_spans`` gives what to remove so that of each repeat only the document with the smallest id keeps it; ``maximal_repeats``
 gives the groups, with all occurrences and in their whole length. Equal texts are collapsed first: only the one with the smallest id takes part.
 
-Null texts count as empty; texts below ``LEAST`` bytes are never touched. A null doc_id is smaller than any other. Rows with
+Null texts count as empty; texts below ``LEAST`` bytes are never touched. Columns other than id and text are not read. A null doc_id is smaller than any other. Rows with
 equal ids and different texts are different occurrences, neither of which comes before the other. Empty tables give empty results.
 """
 

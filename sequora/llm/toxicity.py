@@ -264,14 +264,17 @@ def train(toxic: Counter, clean: Counter, n: list[int], seed: int = 7) -> dict |
     said = np.frombuffer(b"\0" + b"\0".join(w[1:-1] for w in pool) + b"\0", np.uint8)
     common = sorted(pool, key=lambda w: (-clean[w], w))[: EXAMPLES // 6]
     negative = list(dict.fromkeys(common + [pool[i] for i in rng.permutation(len(pool))[: EXAMPLES // 6]]))
-    known = {w: features(w) for w in positive}
+    # each with two copies that have a letter put in, in the middle and elsewhere: they count half as much
+    shown = positive + [x for w in positive for x in inserted(w, rng)]
+    known = {w: features(w) for w in shown}
     seen = np.array([toxic[w] for w in positive], float)
+    seen = np.r_[seen, np.repeat(seen / 4, 2)]
     hard: list[bytes] = []
     for _ in range(ROUNDS):
         known.update((w, features(w)) for w in negative if w not in known)
-        names = positive + negative
+        names = shown + negative
         rows = [known[w] for w in names]
-        target = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+        target = np.r_[np.ones(len(shown)), -np.ones(len(negative))]
         weight = np.r_[0.5 * seen / seen.sum(), np.full(len(negative), 0.5 / len(negative))]
         rest = [w for w in negative if w not in set(hard)]
         marks = [known[w] for w in (positive[: LANDMARKS // 2] + hard[: LANDMARKS // 3] + rest)[:LANDMARKS]]
@@ -287,6 +290,12 @@ def train(toxic: Counter, clean: Counter, n: list[int], seed: int = 7) -> dict |
     return {"table": table, "bias": bias}
 
 
+def inserted(fragment: bytes, rng: np.random.Generator) -> list[bytes]:
+    """Two copies of a fragment with one letter more."""
+    middle, elsewhere = len(fragment) // 2, int(rng.integers(2, max(3, len(fragment) - 1)))
+    return [fragment[:i] + bytes([int(rng.integers(1, 27))]) + fragment[i:] for i in (middle, elsewhere)]
+
+
 def whitening(marks: list[Counter]) -> np.ndarray:
     """The landmark matrix to the power -1/2, on its sound part."""
     values, vectors = np.linalg.eigh(kernel(marks, marks))

@@ -380,3 +380,170 @@ def test_maximal_repeats_of_any_length(spark, sizes):
     got = suffix_dedup.maximal_repeats(docs_of(spark, texts)).collect()
     groups = {(bytes(r.repeat), tuple((o.doc, o.start) for o in r.occurrences)) for r in got}
     assert groups == brute_groups(texts, 50) and len(got) == len(groups) and all(r.length == len(r.repeat) for r in got)
+
+
+@pytest.mark.parametrize("unit, times", [("中文字" * 300 + "。", 60), ("ก็ดี้มาก" * 70, 100), ("it's we'll don't ", 4000), ("word 12345 -- ", 4000), ("́x​" * 50 + "\n \n", 400)])
+def test_bpe_stitches_any_script(spark, unit, times):
+    """Overlaps without a boundary, combining marks, contractions and white space on cuts."""
+    text = "start " + unit * times
+    want = bpe.encoding(None).encode_ordinary(text)
+    assert bpe.encode(text) == want and "".join(bpe.stretches(text)) == text
+    docs = docs_of(spark, [(1, text), (2, "short")])
+    assert {r.doc_id: r.ids for r in bpe.encode_table(docs).collect()}[1] == want
+    rows = sorted(tuple(r) for r in bpe.digest_table(docs).collect())
+    assert rows == sorted(tuple(r) for r in bpe.digest(bpe.encode_table(docs)).collect())
+    n, ids, raw = next(r[1:] for r in rows if r[0] == 1)
+    assert (n, ids, raw) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_bpe_chunks_of_mixed_scripts():
+    r = random.Random(1)
+    signs = ["中", "文", "。", "，", "ก", "็", "a", "b", "'", " ", "s", "\n", "1", "é", "́", "  ", "don't", "🙂", "\t"]
+    for _ in range(60):
+        some = r.sample(signs, r.choice([1, 3, 8, 19]))
+        text = "".join(r.choice(some) for _ in range(r.randrange(20_000)))
+        assert bpe.encode(text) == bpe.encoding(None).encode_ordinary(text)
+
+
+def test_quality_votes_match_brute_force():
+    """Every cosine, all sorted: the same scores as blocks and partial sorts."""
+    texts = [prose(600 + i, 20 + i % 30) + (" good" if i % 2 else " bad bad bad") * 5 for i in range(240)]
+    counts = np.vstack(list(quality.term_counts(pa.array(texts))))
+    model = quality.train(counts[:200], [i % 2 for i in range(200)])
+    got = quality.vote(model, counts)
+    x = quality.weigh(counts, model["idf"]) @ model["basis"]
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(len(texts)):
+        cosine = [float(np.dot(x[i], v)) for v in model["vectors"]]
+        near = sorted(range(200), key=lambda j: -cosine[j])[: quality.NEIGHBOURS]
+        weight = [max(cosine[j], 1e-6) ** quality.POWER for j in near]
+        assert got[i] == pytest.approx(sum(w * model["labels"][j] for w, j in zip(weight, near)) / sum(weight), abs=1e-3)
+    assert np.mean((got[200:] > 0.5) == (np.arange(200, 240) % 2 == 1)) > 0.9
+    brute = collections.Counter(hashlib.md5(t.encode()[i : i + 3]).hexdigest() for t in texts[:1] for i in range(len(t.encode()) - 2))
+    assert counts[0, : quality.TERMS].sum() == sum(brute.values())
+
+
+def test_toxicity_kernel_has_norm_one_and_nystroem_gives_it_between_landmarks():
+    words = [b"\0" + bytes(b - 96 for b in w) + b"\0" for w in (b"banana", b"idiot", b"moron", b"abababab", b"word", b"fool")]
+    f = [toxicity.features(w) for w in words]
+    k = toxicity.kernel(f, f)
+    assert np.allclose(np.diag(k), 1) and (k <= 1 + 1e-9).all()
+    whiten = toxicity.whitening(f)
+    z = toxicity.nystroem(f, f, whiten)
+    assert np.allclose(z @ z.T, k, atol=1e-4)
+    table = np.zeros(1 << 20, np.float32)
+    for key, v in f[3].items():
+        table[key] += v
+    held = np.frombuffer(b"".join(w[:-1] for w in words) + b"\0", np.uint8)
+    first, value = toxicity.decisions(table, held)
+    assert np.allclose(value, k[:, 3], atol=1e-5) and len(first) == len(words)
+
+
+def test_toxicity_machine_separates_with_the_largest_margin():
+    """The machine against plain steps down the same loss."""
+    r = np.random.default_rng(2)
+    x = np.r_[r.normal(1, 1, (40, 3)), r.normal(-1, 1, (40, 3))]
+    y = np.r_[np.ones(40), -np.ones(40)]
+    weight = np.full(80, 1 / 80)
+    w, b = toxicity.linear_svm(x, y, weight, ridge=1e-2)
+    loss = lambda v: (weight * np.maximum(0, 1 - y * (x @ v[:3] + v[3])) ** 2).sum() + 1e-2 * (v[:3] ** 2).sum() + 1e-4 * v[3] ** 2
+    v = np.zeros(4)
+    for _ in range(20_000):
+        slack = weight * np.maximum(0, 1 - y * (x @ v[:3] + v[3])) * y
+        v -= 0.05 * (np.r_[-2 * slack @ x, -2 * slack.sum()] + np.r_[2e-2 * v[:3], 2e-4 * v[3]])
+    assert loss(np.r_[w, b]) <= loss(v) + 1e-6
+
+
+def test_toxicity_of_insults_with_gaps_and_inserted_signs(spark):
+    """Held-out texts whose insults are written as no training text writes them."""
+    insults = ["idiot", "moron", "scumbag", "dimwit", "imbecile"]
+    train = [(i, f"{prose(700 + i, 12)}. You {insults[i % 5]} {prose(800 + i, 4)}. {prose(900 + i, 9)}") for i in range(1, 400, 2)] + [(i, f"{prose(700 + i, 12)}. You reader {prose(800 + i, 4)}. {prose(900 + i, 9)}") for i in range(0, 400, 2)]
+    shown = ["You i-d-i-o-t there", "You m o r o n there", "You scum.bag there", "You dim*wit there", "You imbbecile there", "You idi0t there", "You idxiot there", "You mor_on there"]
+    asked = [(1000 + i, prose(40 + i, 8) + ". " + s) for i, s in enumerate(shown)] + [(2000 + i, prose(60 + i, 30)) for i in range(8)] + [(3000, None), (3001, "")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in train], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.scores(docs_of(spark, train + asked), labels).collect()}
+    assert [i for i, _ in asked if 1000 <= i < 2000 and got[i].predicted != 1] == []
+    assert not any(got[i].predicted for i, _ in asked if i >= 2000) and got[3000].score == got[3001].score
+
+
+LICENCE_WORDS = [w for all_of in licenses.SENTENCES.values() for s in all_of for w in s.split()]
+
+
+def test_licence_sentences_match_a_plain_search():
+    """Known sentences at every word, the longest first, against the one expression; every one has a marker."""
+    assert all(re.search(licenses._MARKED, s) for s in licenses._KNOWN)
+    r = random.Random(4)
+    for _ in range(300):
+        parts = [r.choice([r.choice(list(licenses._KNOWN)), " ".join(r.choices(LICENCE_WORDS, k=3)), "filler words"]) for _ in range(6)]
+        text = " ".join(p.upper() if r.random() < 0.3 else p for p in parts)
+        words, want, i = text.lower().split(), [], 0
+        while i < len(words):
+            hit = max((s for s in licenses._KNOWN if words[i : i + len(s.split())] == s.split()), key=len, default=None)
+            if hit and not (licenses._KNOWN[hit].endswith("-notice") and {"not", "never"} & set(words[max(0, i - 3) : i])):
+                want.append(licenses._KNOWN[hit])
+            i += len(hit.split()) if hit else 1
+        assert [x[1] for x in licenses.identify(text)] == want
+
+
+def test_licence_rules_and_denials(spark):
+    bsd3 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions.
+3. Neither the name of the holder nor the names of its contributors may be used to endorse or promote products
+   derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES"""
+    lgpl = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+    texts = [(1, bsd3), (2, bsd3.replace("3. Neither", "x").replace("endorse or promote", "sell")), (3, lgpl), (4, isc), (5, "This is NOT released under the MIT license."), (6, "It isn't licensed under the Apache License, Version 2.0."), (7, "Not only licensed under the MIT license"), (8, "SPDX-License-Identifier: BSD-3-Clause"), (8, "SPDX-License-Identifier: BSD-3-Clause"), (None, "licensed under the MIT license " + prose(1, 30_000))]
+    got = sorted(((r.doc_id, r.licence, r.rule) for r in licenses.scan(docs_of(spark, texts)).collect()), key=str)
+    want = [(1, "BSD-3-Clause", "full"), (2, "BSD-2-Clause", "full"), (3, "LGPL-2.1", "full"), (4, "ISC", "full"), (7, "MIT", "notice"), (8, "BSD-3-Clause", "notice"), (8, "BSD-3-Clause", "notice"), (None, "MIT", "notice")]
+    assert got == sorted(want, key=str)
+
+
+def test_decontamination_of_short_and_dense_items(spark):
+    """Items of few words, of numbers mostly, of several widths; slots that fail leave windows without slots alone; repeated items and rows, null ids."""
+    dense = "Add 12 and 30 and 45 and 77 and 80 and 91 and 15 and 66"
+    plain = "the small boat crossed the wide river slowly before the storm reached it"
+    items = [(1, "what is 12 plus 30"), (2, dense), (2, dense), (3, plain), (None, "seven grey geese flew over our quiet house today"), (5, "one two three four five six")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(1, "so what is 12 plus 30 now"), (2, "so what is 44 plus 95 now"), (3, "x " + dense + " y"), (4, dense.replace("45", "46")), (5, plain.upper() + " " + prose(1, 4000)), (6, prose(2, 50)), (7, None), (None, "seven grey geese flew over our quiet house today"), (8, "one two three four five six"), (8, "one two three four five six"), (9, "one two nine four five six")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got >= {(1, 1), (2, 1), (3, 2), (5, 3), (None, None), (8, 5)} and not {6, 7, 9} & {d for d, _ in got}
+    left = decontaminate.drop_contaminated(docs_of(spark, texts), bench)
+    assert left.columns == docs_of(spark, []).columns and {6, 7, 9} <= {r.doc_id for r in left.collect()}
+    assert decontaminate.contaminated(docs_of(spark, []), bench).count() == 0
+    exact = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    assert decontaminate.contaminated(docs_of(spark, [(1, "x alpha beta y"), (2, "beta alpha")]), exact, shortest=1).count() == 1
+
+
+def test_clashing_columns_repeated_and_null_ids(spark, mixed):
+    """All operators on a table with every awkward row, and with columns named like their working columns."""
+    docs = docs_of(spark, mixed + mixed[:3] + [(None, None), (None, "x")]).selectExpr("*", "1 as id", "2 as score", "3 as good", "4 as kept", "5 as said", "6 as text_hash", "7 as h", "8 as best", "9 as held_out")
+    n = docs.count()
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 20)] + [(1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, prose(2, 30))], "item_id long, text string")
+    for rows in (pii.detect(docs), exact_dedup.exact_duplicates(docs), jaccard_join.jaccard_components(docs), quality.scores(docs, labels), toxicity.scores(docs, labels), bpe.encode_table(docs), bpe.digest_table(docs), suffix_dedup.repeated_spans(docs)):
+        assert rows.count() == n
+    for rows in (exact_dedup.drop_exact_duplicates(docs), jaccard_join.drop_near_duplicates(docs), decontaminate.drop_contaminated(docs, bench), quality.keep_good(docs, labels)):
+        assert rows.columns == docs.columns and 0 < rows.count() <= n
+    assert licenses.scan(docs).count() == 0
+    scored = collections.defaultdict(set)
+    for r in quality.scores(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect():
+        scored[r.doc_id].add(r.score)
+    assert all(len(scored[i]) == 1 for i in (4, 5, 12))
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert exact_dedup.drop_exact_duplicates(named).count() == exact_dedup.drop_exact_duplicates(docs).count()
+
+
+def test_warc_with_other_columns_and_stores(spark):
+    pages = spark.createDataFrame([(i, "http://a/%d" % i, "<p>%s</p>" % prose(i % 3, 2000), "clash", 7) for i in range(9)], "page_id long, url string, html string, file string, offset int")
+    got = warc.round_trip(pages).collect()
+    assert len(got) == 9 and sum(r.record_type == "response" for r in got) == 3
+    assert warc._open("/tmp/x")[1] == "/tmp/x" and warc._open("file:/tmp/x")[1] == "/tmp/x" and warc._open("dbfs:/a/b")[1] == "/dbfs/a/b"
