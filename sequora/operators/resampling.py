@@ -36,9 +36,9 @@ def draws(spark, reps: int, n: int) -> DataFrame:
 
 def multiplicities(entities: DataFrame, keys: list[str], reps: int) -> DataFrame:
     """(keys, rep, times): how often each replicate drew each entity."""
-    n = entities.count()
-    times = draws(entities.sparkSession, reps, n).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(ranked(entities, keys), "i").drop("i")
+    placed = ranked(entities, keys)
+    times = draws(entities.sparkSession, reps, placed.count()).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(placed, "i").drop("i")
 
 
 def multiplicities_by(entities: DataFrame, key: str, name: str, reps: int) -> DataFrame:

@@ -356,8 +356,8 @@ def centroid_guesses(spark, sf_dir):
 @query(f"{CENT}, n AS (SELECT seed, label, count(*) AS n FROM g GROUP BY ALL) SELECT g.seed, round(sum(CASE WHEN g.label = guess THEN 1.0::DOUBLE / n ELSE 0 END) / count(DISTINCT g.label), 6) AS accuracy FROM g JOIN n USING (seed, label) GROUP BY g.seed")
 def weighted_accuracy(spark, sf_dir):
     """Accuracy with each label weighted by 1 / (number of labels x its rows), for each split."""
-    per = centroid_guesses(spark, sf_dir).groupBy("seed", "label").agg(F.avg((F.col("label") == F.col("guess")).cast("int")).alias("a"))
-    return per.groupBy("seed").agg(r6(F.avg("a")).alias("accuracy"))
+    guesses = centroid_guesses(spark, sf_dir).withColumnRenamed("guess", "predicted")
+    return ml.weighted_accuracy(guesses, "label", ("seed",)).select("seed", r6(F.col("accuracy")).alias("accuracy"))
 
 
 @query(f"""{CENT}, c AS (SELECT seed, label, guess, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT seed, label, guess, n / sum(n) OVER (PARTITION BY seed, label) AS share FROM c)
@@ -379,6 +379,13 @@ def logreg_cv(spark, sf_dir):
     return held.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right")).select(F.lit(c).alias("c"), "label", "n", "right")
 
 
+@query()
+def logreg_accuracy(spark, sf_dir):
+    """Weighted accuracy of the classifier on the rows it learned from and on the others."""
+    rows = ml.vectors(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "label", "features", (F.col("vec_id") % 5 != 0).alias("train"))
+    return ml.weighted_accuracy(ml.balanced_logistic(rows, "label"), "label", ("train",)).select("train", r6(F.col("accuracy")).alias("accuracy"))
+
+
 FCM = [100.0, 250.0, 400.0]
 
 

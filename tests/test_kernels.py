@@ -234,6 +234,8 @@ def test_classifier(run, spark):
     rng = np.random.default_rng(1)
     rows = [(i, i % 3 if i % 9 else 0, [float(v) for v in rng.normal(0, 0.3, 2) + [i % 3, (i % 3 == 1) * 2]], i % 5 != 0) for i in range(180)]
     held = ml.vectors(spark.createDataFrame(rows, "id long, label int, x array<double>, train boolean"), "x")
+    both = run("logreg_accuracy").set_index("train").accuracy
+    assert 0 <= both[False] <= 1 and both[True] > both[False]
     c, out = ml.grid_searched_logistic(held, "label", "id", grid=(1e-6, 1.0), folds=2)
     right = out.where("not train").selectExpr("avg(cast(label = predicted as int)) as a").first().a
     assert c in (1e-6, 1.0) and right > 0.75
