@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from sequora.llm.store import cut
 
+#: Links for each file of the tables between rounds.
+LINKS_PER_FILE = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of ``links`` (a, b): label is the least node that links reach."""
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    files = 2 + both.count() // LINKS_PER_FILE
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels", files)
     while True:
         # the least label around each node; a node with many links is read in splits, summed before it is dealt
         around = both.join(labels.hint("merge"), both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(around, labels.node == around.a, "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        moved = cut(lower.repartition("node").join(jump.hint("merge"), "label", "left").select("node", "was", F.least("label", "root").alias("label")), "labels")
+        moved = cut(lower.repartition("node").join(jump.hint("merge"), "label", "left").select("node", "was", F.least("label", "root").alias("label")), "labels", files)
         labels = moved.select("node", "label")
         if moved.where("label != was").limit(1).count() == 0:
             return labels

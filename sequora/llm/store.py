@@ -33,20 +33,24 @@ BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; sees to it that the session sends Python batches of ``BATCH_BYTES`` at most (or one row)."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf = df.sparkSession.conf
-    if conf.get(key).rstrip("b") != str(BATCH_BYTES):
-        conf.set(key, f"{BATCH_BYTES}b")
+    """``df``; sees to it that the session sends Python batches of ``BATCH_BYTES`` at most (or one row), and merges small shuffle partitions by their size alone."""
+    conf, merge = df.sparkSession.conf, "spark.sql.adaptive.coalescePartitions"
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b"), (f"{merge}.parallelismFirst", "false"), (f"{merge}.minPartitionNum", "2")):
+        if conf.get(key, None) != value:
+            conf.set(key, value)
     return df
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: its lineage ends there."""
+def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: its lineage ends there.
+
+    Nobody looks for the marker of success, as the path is only known once the write has ended well. ``files`` bounds the files (and tasks) of a
+    table that is known to be small.
+    """
     spark = small_batches(df).sparkSession
-    path = fresh_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
+    path, schema = fresh_path(spark, name), df.schema
+    held = df.coalesce(files) if files else df
+    held.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
