@@ -79,12 +79,14 @@ def train(counts: np.ndarray, labels: list[int]) -> dict:
     if not len(counts):
         return {"idf": np.ones(TERMS + FORM, np.float32), "basis": None, "vectors": None, "labels": None, "prior": 0.5}
     idf = np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + np.float32(0.1)
-    x = np.empty(counts.shape, np.float32)
-    for i in range(0, len(x), BLOCK):
-        x[i : i + BLOCK] = weigh(unpacked(counts[i : i + BLOCK]), idf)
-    values, vectors = np.linalg.eigh(x.T @ x)
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(counts), BLOCK)]
+    gram = np.zeros((counts.shape[1],) * 2, np.float32)
+    for part in blocks:
+        x = weigh(unpacked(counts[part]), idf)
+        gram += x.T @ x
+    values, vectors = np.linalg.eigh(gram)
     basis = vectors[:, np.argsort(-values)[:DIMS]].astype(np.float32)
-    latent = x @ basis
+    latent = np.vstack([weigh(unpacked(counts[part]), idf) @ basis for part in blocks])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     y = np.array(labels, np.float32)
     return {"idf": idf, "basis": basis, "vectors": latent.astype(np.float32), "labels": y, "prior": float(y.mean())}
@@ -111,12 +113,13 @@ def fit(docs: DataFrame, labels: DataFrame):
     """Broadcast model, trained on a bounded sample of the labelled rows that are not held out."""
     sample = training_texts(small_batches(docs), labels, "quality", TRAIN_ROWS)
     counts, ids, known = np.empty((TRAIN_ROWS, TERMS + FORM), np.uint16), [], []
-    for r in sample.mapInArrow(_counted, "doc_id string, label int, counts binary").toLocalIterator():
+    for r in sample.mapInArrow(_counted, "doc_id string, label int, counts binary").repartition(4, "doc_id").sortWithinPartitions("doc_id").toLocalIterator():
         counts[len(ids)] = np.frombuffer(r.counts, np.uint16)
         ids.append(r.doc_id)
         known.append(r.label)
-    order = np.argsort(np.array(ids, object)) if ids else np.zeros(0, int)
-    return docs.sparkSession.sparkContext.broadcast(train(counts[order], [known[i] for i in order]))
+    model = train(counts[: len(ids)], known)
+    del counts
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def packed(counts: np.ndarray) -> np.ndarray:
