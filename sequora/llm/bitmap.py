@@ -24,6 +24,8 @@ BITS_PER_ROW = 16
 HELD = 1 << 20
 #: Bits that one merging task holds: 64 chunks of two flags a position, 8 MB.
 MERGE_BITS = 64 * CHUNK_BITS
+#: Bits of a bitmap that the driver takes at once: 8 MB.
+SMALL_BITS = 1 << 26
 
 
 def bits_for(rows: int) -> int:
@@ -84,7 +86,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _gather(spark: SparkSession, chunks: DataFrame, bits: int):
     whole = np.zeros(bits // 8, np.uint8)
     step = CHUNK_BITS // 8
-    for row in chunks.toLocalIterator():
+    # a small bitmap comes in one job, a large one partition by partition
+    for row in chunks.collect() if bits <= SMALL_BITS else chunks.toLocalIterator():
         whole[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.bits, np.uint8)
     return spark.sparkContext.broadcast(whole)
 

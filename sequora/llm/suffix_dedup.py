@@ -14,8 +14,8 @@ Occurrences of an anchor are told apart by their context, the bytes that a repea
   ``LEAST`` bytes with another document are sorted with the lengths of their common prefixes. A stack scan gives the
   intervals of this suffix array; intervals whose occurrences all have the same byte before them are passed over, as a longer
   repeat to the left says the same (left-extension diversity).
-* For ``repeated_spans``, an anchor with more than some ``HOT_CLASSES`` classes (judged by a task's share of them) is split: its strings of
-  ``LEAST`` bytes are grouped by hash over all tasks, exactly, instead of in one block. The result is the same.
+* For ``repeated_spans``, an anchor with more than ``HOT_CLASSES`` classes is split: its strings of ``LEAST`` bytes are
+  grouped by hash over all tasks, exactly, instead of in one block. The result is the same.
 
 ``repeated_spans`` gives what to remove so that of each repeat only the document with the smallest id keeps it; ``maximal_repeats``
 gives the groups, with all occurrences and in their whole length. Equal texts are collapsed first: only the one with the smallest id takes part.
@@ -416,18 +416,6 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).take(pa.array(which)), pa.array(block.doc[row]), pa.array(block.tag[row]), pa.array((block.start[row] + shift + first).astype(np.int32))], names=["h", "doc", "tag", "start"])
 
 
-def _frequent(least: float):
-    """Anchors that a task has more than ``least`` times."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.asarray(batch.column(0)) for batch in batches if batch.num_rows]
-        if held:
-            anchor, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[n > least])], names=["anchor"])
-
-    return run
-
-
 class Repeats:
     """The steps that spans and groups share."""
 
@@ -447,6 +435,8 @@ class Repeats:
         self.found = cut(self.texts.mapInArrow(_occurrences(self.copies, twice), _OCCURRENCE), "occurrences")
         classes = self.found.groupBy("anchor", "context").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
         self.classes = cut(classes.select("anchor", "context", "first", (F.col("first") < F.col("last")).alias("more")), "classes")
+        per = self.classes.groupBy("anchor").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.max("more").alias("more"), F.count(F.lit(1)).alias("n"))
+        self.anchors = cut(per.where("n > 1 and (low < high or more)").select("anchor", "n"), "anchors")
 
     def _held(self, need: DataFrame, count: int) -> DataFrame:
         """The contexts of (anchor, context, doc)."""
@@ -461,13 +451,11 @@ class Repeats:
 
     def contexts(self) -> tuple[DataFrame, DataFrame]:
         """Contexts of the first document of each class, of anchors with several classes: those for blocks, and those of hot anchors."""
-        # anchors hit by two classes, by filter: one let through by mistake is one more block without a repeat
-        n = self.classes.count()
-        several = bitmap.repeated(self.classes.select("anchor"), bitmap.bits_for(n))
-        held = self._held(self.classes.where(bitmap.probe(several, F.col("anchor"))).select("anchor", "context", F.col("first").alias("doc")), n)
-        # classes are dealt by hash, so a task has its share of an anchor's
-        tasks = self.classes.rdd.getNumPartitions()
-        hot = cut(self.classes.select("anchor").mapInArrow(_frequent(HOT_CLASSES / max(1, tasks)), "anchor long").distinct(), "hot")
+        # an anchor that a filter lets through by mistake is one more block without a repeat; so no join is needed here
+        kept = self.anchors.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("classes")).first()
+        several = bitmap.present(self.anchors.select("anchor"), bitmap.bits_for(kept.n))
+        held = self._held(self.classes.where(bitmap.probe(several, F.col("anchor"))).select("anchor", "context", F.col("first").alias("doc")), kept.classes or 0)
+        hot = self.anchors.where(F.col("n") > HOT_CLASSES).select("anchor")
         if not hot.limit(1).count():
             return held, held.limit(0)
         held = cut(held, "contexts")
