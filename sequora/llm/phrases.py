@@ -5,8 +5,8 @@ that runs to the next one and ``LONGEST - 1`` words beyond it, so chunks overlap
 stands. Equal chunks become one row of a dictionary with the number of times they occur. A chunk owns the n-grams that start before its
 successor does; those of the overlap belong to the successor: each occurrence is counted once, weighted by its chunk's frequency.
 
-Counting goes level by level over the dictionary, as a phrase that is frequent has frequent parts only: words; then pairs of frequent
-words, by 64-bit hashes, summed over the cluster; then pairs, triples and quadruples all of whose pairs may be frequent, by their own words. What is
+Counting goes level by level over the dictionary, as a phrase that is frequent has frequent parts only: words, then pairs of frequent
+words, by 64-bit hashes that are summed over the cluster; then, by their own words, frequent words and pairs, and triples and quadruples all of whose pairs may be frequent. What is
 frequent goes from one level to the next as a bitmap of bounded size (``bitmap.MAX_BITS``): where it says yes too often, more
 phrases are counted that turn out to be rare, none is lost. Tasks add equal phrases up before the shuffle (two that share a 64-bit hash, with a chance of
 2**-64, would count as one there); the counts that decide are sums over equal words.
@@ -34,7 +34,7 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: One pair of words in so many starts a chunk.
 EVERY = 16
 #: n-grams that a task holds before it adds them up and gives them away.
-HELD = 1 << 20
+HELD = 1 << 21
 #: Tasks that rank a language's phrases before the last one gets their firsts.
 SALTS = 64
 
@@ -125,7 +125,6 @@ class Grams:
         w = self.words
         self.row = np.repeat(np.arange(len(owned)), np.diff(w.at))
         self.salt = salt[self.lang[self.row]] if len(w) else np.zeros(0, np.uint64)
-        self.word = mixed(w.hash * _MIX[2] + self.salt)
         self.owned = np.arange(len(w)) - w.at[:-1][self.row] < owned[self.row]
         self.weight = weights[self.row]
 
@@ -215,9 +214,10 @@ HELD_TEXTS = 1 << 17
 
 
 def _texts(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    """The phrases that ``wanted`` picks: (places, number of words) of each slice."""
+    """The phrases that ``wanted`` picks: (places, number of words) of each slice; and, as phrases of no word, all words of each language."""
     held = Texts()
     for g in _grams(batches):
+        held.add(g, g.places(1), 0)
         for at, k in wanted(g):
             held.add(g, at, k)
         if len(held.rows) > HELD_TEXTS:
@@ -225,51 +225,40 @@ def _texts(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch
     yield from held.given()
 
 
-def word_counts(parse: DataFrame) -> DataFrame:
-    """(lang, phrase, n) of all words."""
-    return parse.mapInArrow(lambda it: _texts(it, lambda g: [(g.places(1), 1)]), TEXTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+def _frequent(parse: DataFrame, picked, least: int, name: str):
+    """Bitmap of the n-grams that occur ``least`` times or more, by hash; ``picked`` gives those of a slice: (places, number of words)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, w in _summed((g.hashes(at, k), g.weight[at]) for g in _grams(batches) for at, k in picked(g)):
+            for lo in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + (1 << 16)].view(np.int64)), pa.array(w[lo : lo + (1 << 16)])], names=["h", "n"])
 
-def _word_bits(words: DataFrame):
-    """Bitmap of the words' hashes, with their language."""
+    found = cut(parse.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), name)
+    return bitmap.present(found, bitmap.bits_for(found.count()))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            ones = np.ones(batch.num_rows, np.int64)
-            for lo, hi, offsets, data in slices(batch.column(1)):
-                g = Grams(batch.column(0).slice(lo, hi - lo), ones[lo:hi], ones[lo:hi], offsets, data)
-                yield g.word.view(np.int64)
 
-    return bitmap.present(words.select("lang", "phrase"), bitmap.bits_for(words.count()), of)
+def _in(bits, g: Grams, at: np.ndarray, k: int) -> np.ndarray:
+    """For each word of a slice, whether an n-gram that starts at ``at`` is in the bitmap."""
+    out = np.zeros(len(g.words) + LONGEST, bool)
+    out[at] = bitmap.lookup(bits.value, g.hashes(at, k).view(np.int64))
+    return out
 
 
 def counts(parse: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, phrase, k, n): phrases of 1 to ``LONGEST`` words that occur ``least`` times or more; and for each language a row with k = 0 that counts all words."""
-    words = cut(word_counts(parse), "words")
-    common = words.where(F.col("n") >= least)
-    word_bits = _word_bits(common)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found():
-            for g in _grams(batches):
-                at = g.places(2)
-                good = bitmap.lookup(word_bits.value, g.word.view(np.int64)) if len(g.words) else np.zeros(0, bool)
-                at = at[good[at] & good[at + 1]]
-                yield g.hashes(at, 2), g.weight[at]
-
-        for h, w in _summed(found()):
-            for lo in range(0, len(h), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + (1 << 16)].view(np.int64)), pa.array(w[lo : lo + (1 << 16)])], names=["h", "n"])
+    word_bits = _frequent(parse, lambda g: [(g.places(1), 1)], least, "words")
+
+    def pairs(g: Grams) -> list[tuple[np.ndarray, int]]:
+        good, at = _in(word_bits, g, np.arange(len(g.words)), 1), g.places(2)
+        return [(at[good[at] & good[at + 1]], 2)]
 
-    hashed = cut(parse.mapInArrow(pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "pairs")
-    pair_bits = bitmap.present(hashed, bitmap.bits_for(hashed.count()))
+    pair_bits = _frequent(parse, pairs, least, "pairs")
 
     def wanted(g: Grams) -> Iterator[tuple[np.ndarray, int]]:
-        # also pairs that the next chunk owns are parts of a phrase of this one
-        n = len(g.words)
-        inside = np.flatnonzero(g.words.piece[:-1] == g.words.piece[1:])
-        good = np.zeros(n + LONGEST, bool)
-        good[inside] = bitmap.lookup(pair_bits.value, g.hashes(inside, 2).view(np.int64))
+        at = g.places(1)
+        yield at[_in(word_bits, g, at, 1)[at]], 1
+        # pairs that the next chunk owns, too, are parts of a phrase of this one
+        good = _in(pair_bits, g, np.flatnonzero(g.words.piece[:-1] == g.words.piece[1:]), 2)
         for k in range(2, LONGEST + 1):
             at = g.places(k)
             fine = good[at]
@@ -277,10 +266,8 @@ def counts(parse: DataFrame, least: int = LEAST) -> DataFrame:
                 fine &= good[at + i]
             yield at[fine], k
 
-    phrases = parse.mapInArrow(lambda it: _texts(it, wanted), TEXTS).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    singles = common.select("lang", "phrase", F.lit(1).alias("k"), "n")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit("").alias("phrase"), F.lit(0).alias("k"), "n")
-    return cut(phrases.unionByName(singles).unionByName(totals), "phrases")
+    texts = parse.mapInArrow(lambda it: _texts(it, wanted), TEXTS)
+    return cut(texts.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("k") > 0, least).otherwise(0)), "phrases")
 
 
 def scored(found: DataFrame) -> DataFrame:
