@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequora.llm import bpe, decontaminate, exact_dedup, jaccard_join, licenses, phrases, pii, quality, suffix_dedup, toxicity, warc, whitening
+from sequora.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, licenses, phrases, pii, quality, suffix_dedup, toxicity, warc, whitening
 from sequora.llm.store import read_table
 
 
@@ -48,6 +48,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
+    return chat.digest(chat.format_conversations(said))
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations laid out anew as records of several layouts, then brought back by their fingerprints."""
+    turns = chat.canonical_turns(chat.relaid(read_table(spark, sf_dir, "conversations")))
+    return chat.digest(chat.formatted(turns, template=chat.IM), template=chat.IM).select("conv_id", "n_turns", "turns_sha256")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
@@ -56,5 +67,5 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_jaccard_join, op4_decontaminate, op5_quality, op6_toxicity, op7_bpe, op8_suffix_dedup, op9_warc, op10_licenses, op12_whitening, op13_phrases)}
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE, "op13_phrases": phrases.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_jaccard_join, op4_decontaminate, op5_quality, op6_toxicity, op7_bpe, op8_suffix_dedup, op9_warc, op10_licenses, op11_chat, chat_layouts, op12_whitening, op13_phrases)}
+ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE, "op11_chat": chat.ORACLE, "chat_layouts": chat.LAYOUTS_ORACLE, "op13_phrases": phrases.ORACLE}
