@@ -6,7 +6,7 @@ stands. Equal chunks become one row of a dictionary with the number of times the
 successor does; those of the overlap belong to the successor: each occurrence is counted once, weighted by its chunk's frequency.
 
 Counting goes level by level over the dictionary, as a phrase that is frequent has frequent parts only: words, then pairs of frequent
-words, by 64-bit hashes that are summed over the cluster; then, by their own words, frequent words and pairs, and triples and quadruples all of whose pairs may be frequent. What is
+words and triples of frequent pairs, by 64-bit hashes that are summed over the cluster; then, by their own words, what may be frequent, with quadruples of frequent triples. What is
 frequent goes from one level to the next as a bitmap of bounded size (``bitmap.MAX_BITS``): where it says yes too often, more
 phrases are counted that turn out to be rare, none is lost. Tasks add equal phrases up before the shuffle (two that share a 64-bit hash, with a chance of
 2**-64, would count as one there); the counts that decide are sums over equal words.
@@ -18,6 +18,7 @@ gives an empty result. Columns other than ``text`` and ``lang`` are not read, wh
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,53 +175,47 @@ def _summed(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np
 
 
 class Texts:
-    """Phrases of a task, added up by hash: language, words joined by a space, number of words, weight."""
+    """n-grams of a task with their words, added up by hash: language, words joined by a space, number of words, weight."""
 
     def __init__(self):
-        self.at: dict[int, int] = {}
-        self.rows: list[tuple] = []
-        self.sums: list[int] = []
-
-    def add(self, g: Grams, at: np.ndarray, k: int) -> None:
-        h = g.hashes(at, k)
-        order = np.argsort(h, kind="stable")
-        h, at = h[order], at[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else order
-        sums = np.add.reduceat(g.weight[at], first) if len(h) else order
-        w = g.words
-        for x, i, n in zip(h[first].tolist(), at[first].tolist(), sums.tolist()):
-            place = self.at.get(x)
-            if place is None:
-                self.at[x] = len(self.rows)
-                held = b" ".join(g.data[w.first[j] : w.last[j]].tobytes() for j in range(i, i + k))
-                self.rows.append((int(g.lang[g.row[i]]), g.names, held, k))
-                self.sums.append(n)
-            else:
-                self.sums[place] += n
+        self.slices: list[tuple[bytes, list]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, g: Grams, picked: Iterator[tuple[np.ndarray, int]]) -> None:
+        w, here = g.words, len(self.slices)
+        self.slices.append((g.data.tobytes(), g.names.to_pylist()))
+        for at, k in picked:
+            first, last = (w.first[at], w.last[at + k - 1]) if k else (np.zeros(len(at), np.int64),) * 2
+            self.parts.append((g.hashes(at, k), g.weight[at], g.lang[g.row[at]], np.full(len(at), here), first, last, np.full(len(at), k)))
+            self.size += len(at)
 
     def given(self) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(self.rows), 1 << 14):
-            some = self.rows[lo : lo + (1 << 14)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[code].as_py() for code, names, _, _ in some]), pa.array([held for _, _, held, _ in some], pa.binary()).cast(pa.string()), pa.array([k for *_, k in some], pa.int32()), pa.array(self.sums[lo : lo + (1 << 14)], pa.int64())],
-                names=["lang", "phrase", "k", "n"],
-            )
+        if self.size:
+            columns = [np.concatenate(x) for x in zip(*self.parts)]
+            order = np.argsort(columns[0], kind="stable")
+            h, n = columns[0][order], columns[1][order]
+            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            sums = np.add.reduceat(n, at)
+            lang, source, first, last, k = (c[order[at]] for c in columns[2:])
+            for lo in range(0, len(at), 1 << 14):
+                some = slice(lo, lo + (1 << 14))
+                texts = [self.slices[i][0][a:b] for i, a, b in zip(source[some].tolist(), first[some].tolist(), last[some].tolist())]
+                names = [self.slices[i][1][j] for i, j in zip(source[some].tolist(), lang[some].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()), pa.array([re.sub(b" +", b" ", x) if b"  " in x else x for x in texts], pa.binary()).cast(pa.string()), pa.array(k[some], pa.int32()), pa.array(sums[some])],
+                    names=["lang", "phrase", "k", "n"],
+                )
         self.__init__()
 
 
 TEXTS = "lang string, phrase string, k int, n long"
-#: Phrases whose words a task holds before it gives them away.
-HELD_TEXTS = 1 << 17
-
-
 def _texts(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    """The phrases that ``wanted`` picks: (places, number of words) of each slice; and, as phrases of no word, all words of each language."""
+    """The phrases that ``wanted`` picks: (places, number of words) of each slice."""
     held = Texts()
     for g in _grams(batches):
-        held.add(g, g.places(1), 0)
-        for at, k in wanted(g):
-            held.add(g, at, k)
-        if len(held.rows) > HELD_TEXTS:
+        held.add(g, wanted(g))
+        if held.size >= HELD // 2:
             yield from held.given()
     yield from held.given()
 
@@ -254,17 +249,21 @@ def counts(parse: DataFrame, least: int = LEAST) -> DataFrame:
 
     pair_bits = _frequent(parse, pairs, least, "pairs")
 
+    def both(bits, g: Grams, k: int) -> np.ndarray:
+        """Where an n-gram of ``k`` words starts, both of whose longest parts are frequent. Parts that the next chunk owns count, too."""
+        n = len(g.words)
+        inside = np.flatnonzero(g.words.piece[: max(0, n - k + 2)] == g.words.piece[k - 2 :]) if n > k - 2 else np.zeros(0, np.int64)
+        good, at = _in(bits, g, inside, k - 1), g.places(k)
+        return at[good[at] & good[at + 1]]
+
+    triple_bits = _frequent(parse, lambda g: [(both(pair_bits, g, 3), 3)], least, "triples")
+
     def wanted(g: Grams) -> Iterator[tuple[np.ndarray, int]]:
-        at = g.places(1)
-        yield at[_in(word_bits, g, at, 1)[at]], 1
-        # pairs that the next chunk owns, too, are parts of a phrase of this one
-        good = _in(pair_bits, g, np.flatnonzero(g.words.piece[:-1] == g.words.piece[1:]), 2)
-        for k in range(2, LONGEST + 1):
+        yield g.places(1), 0
+        for k, bits in ((1, word_bits), (2, pair_bits), (3, triple_bits)):
             at = g.places(k)
-            fine = good[at]
-            for i in range(1, k - 1):
-                fine &= good[at + i]
-            yield at[fine], k
+            yield at[_in(bits, g, at, k)[at]], k
+        yield both(triple_bits, g, 4), 4
 
     texts = parse.mapInArrow(lambda it: _texts(it, wanted), TEXTS)
     return cut(texts.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("k") > 0, least).otherwise(0)), "phrases")
