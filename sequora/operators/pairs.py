@@ -1,4 +1,4 @@
-"""Distances between recordings: a stated set against all, in blocks; embeddings and splits of bounded sets of landmarks."""
+"""Distances between recordings: a stated set against all, in blocks; embeddings and splits of all recordings, from bounded sets of landmarks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sequora.operators import kernels as kn
+from sequora.sources.storage import cut
 
 #: Recordings that one broadcast holds; a larger stated set is compared block by block.
 BLOCK = 4096
@@ -101,49 +102,119 @@ def membership(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return near / near.sum(axis=1, keepdims=True)
 
 
-def fuzzy_splits(d: np.ndarray, eps: np.ndarray, n_parts: int, column_weights: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hard parts, responsibilities) level by level: fuzzy halves of the slowest vector of a diffusion kernel, again and again.
+def slowest(d: np.ndarray, eps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(P, stationary measure, slowest vector of length 1, its eigenvalue) of the diffusion kernel of a set."""
+    k = np.exp(-d / np.sqrt(eps[:, None] * eps[None, :]))
+    p = k / k.sum(axis=1, keepdims=True)
+    pi, values, phi = kn.spectrum(p, 2)
+    v = phi[:, 1] if phi.shape[1] > 1 else np.zeros(len(d))
+    return p, pi, v / max(np.linalg.norm(v), 1e-300), float(values[1]) if len(values) > 1 else 0.0
+
+
+class Splits:
+    """Fuzzy spectral splits of a set of landmarks: a tree of parts, and which of them each level splits.
 
-    The part whose halves keep most of their measure (the lesser of both) is split next; what belongs to it in part keeps that share: the
-    other parts' members are predicted by their own slowest vectors, and responsibilities multiply. ``column_weights`` weighs the
-    cells of that measure by where they lead instead of where they come from.
+    ``nodes``: of each part, its landmarks, and where it has more than two, their slowest vector and its eigenvalue. ``levels``: the parts before
+    the level, in order, the place of the one that is split, and the centres of its halves. The part whose halves keep most of their measure (the lesser
+    of both) is split next; what belongs to it in part keeps that share: other parts' members are judged by their own slowest vectors,
+    and responsibilities multiply. ``column_weights`` weighs the cells of that measure by where they lead instead of where they come from.
     """
 
-    def slowest(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k = np.exp(-d[np.ix_(inside, inside)] / np.sqrt(eps[inside][:, None] * eps[inside][None, :]))
-        p = k / k.sum(axis=1, keepdims=True)
-        pi, _, phi = kn.spectrum(p, 2)
-        v = phi[:, 1] if phi.shape[1] > 1 else np.zeros(len(inside))
-        return p, pi, v / max(np.linalg.norm(v), 1e-300)
-
-    hard = np.zeros(len(d), int)
-    resp = np.ones((len(d), 1))
-    levels = []
-    for _ in range(1, n_parts):
-        parts = [np.flatnonzero(hard == g) for g in range(resp.shape[1])]
-        found = [slowest(inside) if len(inside) > 2 else None for inside in parts]
-        best = None
-        for g, x in enumerate(found):
-            if x is None:
-                continue
-            p, pi, v = x
-            half = fuzzy_halves(v)[1].argmax(axis=1)
-            weights = np.broadcast_to(pi[None, :], p.shape) if column_weights else np.broadcast_to(pi[:, None], p.shape)
-            kept = [float((weights * p)[np.ix_(half == s, half == s)].sum() / pi[half == s].sum()) if (half == s).any() else 0.0 for s in (0, 1)]
-            if best is None or min(kept) > best[0]:
-                best = (min(kept), g)
-        if best is None:
-            break
-        g = best[1]
-        centres, own = fuzzy_halves(found[g][2])
+    def __init__(self, d: np.ndarray, eps: np.ndarray, n_parts: int, column_weights: bool = False):
+        self.nodes: list[tuple[np.ndarray, np.ndarray | None, float]] = []
+        self.levels: list[tuple[list[int], int, np.ndarray]] = []
+        kept: list[float] = []
+
+        def grow(inside: np.ndarray) -> int:
+            held = -1.0
+            vector, value = None, 0.0
+            if len(inside) > 2:
+                p, pi, vector, value = slowest(d[np.ix_(inside, inside)], eps[inside])
+                half = fuzzy_halves(vector)[1].argmax(axis=1)
+                weights = np.broadcast_to(pi[None, :] if column_weights else pi[:, None], p.shape)
+                held = min(float((weights * p)[np.ix_(half == s, half == s)].sum() / pi[half == s].sum()) if (half == s).any() else 0.0 for s in (0, 1))
+            self.nodes.append((inside, vector, value))
+            kept.append(held)
+            return len(self.nodes) - 1
+
+        parts = [grow(np.arange(len(d)))]
+        for _ in range(1, n_parts):
+            g = max(range(len(parts)), key=lambda i: (kept[parts[i]], -i))
+            inside, vector, _ = self.nodes[parts[g]]
+            if vector is None:
+                break
+            centres, own = fuzzy_halves(vector)
+            self.levels.append((list(parts), g, centres))
+            halves = own.argmax(axis=1)
+            parts = parts[:g] + parts[g + 1 :] + [grow(inside[halves == s]) for s in (0, 1)]
+
+
+def fuzzy_splits(d: np.ndarray, eps: np.ndarray, n_parts: int, column_weights: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hard parts, responsibilities) of the landmarks themselves, level by level."""
+    tree = Splits(d, eps, n_parts, column_weights)
+    hard, resp, out = np.zeros(len(d), int), np.ones((len(d), 1)), []
+    for parts, g, centres in tree.levels:
         u = np.full((len(d), 2), 0.5)
-        for inside, x in zip(parts, found):
-            if x is not None and len(inside):
-                u[inside] = membership(x[2], centres)
-        u[parts[g]] = own
-        others = [h for h in range(resp.shape[1]) if h != g]
-        new = np.searchsorted(others, hard)
-        new[parts[g]] = len(others) + own.argmax(axis=1)
-        hard, resp = new, np.hstack([resp[:, others], u * resp[:, [g]]])
-        levels.append((hard.copy(), resp.copy()))
-    return levels
+        for node in parts:
+            inside, vector, _ = tree.nodes[node]
+            if vector is not None:
+                u[inside] = membership(vector, centres)
+        new = hard - (hard > g)
+        mine = hard == g
+        new[mine] = len(parts) - 1 + u[mine].argmax(axis=1)
+        hard, resp = new, np.hstack([np.delete(resp, g, axis=1), u * resp[:, [g]]])
+        out.append((hard.copy(), resp.copy()))
+    return out
+
+
+SPLITS = "level int, place int, parts array<int>, centres array<double>, node int, mark long, v double"
+
+
+def split_tree(among: DataFrame, key: str, n_parts: int) -> DataFrame:
+    """(key, level, place, parts, centres, node, mark, v): a row for each level of each group's tree, and one for each landmark of each part (its slowest vector over the eigenvalue)."""
+    kind = dict(among.dtypes)[key]
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        ids, d = square(cells)
+        tree = Splits(d, np.maximum(d.sum(axis=1) / max(1, len(d) - 1), 1e-12), n_parts)
+        who = cells[key].iloc[0]
+        rows = [(who, level, g, parts, centres, None, None, None) for level, (parts, g, centres) in enumerate(tree.levels, 1)]
+        for node, (inside, vector, value) in enumerate(tree.nodes):
+            if vector is not None:
+                rows += [(who, None, None, None, None, node, int(ids[i]), float(x / value) if abs(value) > 1e-12 else 0.0) for i, x in zip(inside, vector)]
+        return pd.DataFrame(rows, columns=[key, "level", "place", "parts", "centres", "node", "mark", "v"]).astype({"level": "Int32", "place": "Int32", "node": "Int32", "mark": "Int64"})
+
+    return among.groupBy(key).applyInPandas(run, f"{key} {kind}, {SPLITS}")
+
+
+def extended_splits(cells: DataFrame, among: DataFrame, tree: DataFrame, key: str) -> DataFrame:
+    """(key, level, rec, hard, shares): hard part and responsibilities of all recordings, level by level; at level 0 there is one part.
+
+    Nystroem: a recording's entry of a part's slowest vector is the mean of the landmarks' entries, weighted by its row of the diffusion kernel, over the
+    eigenvalue. For a landmark inside the part that is its own entry. All parts get theirs in one join with the tree and one sum; a level is then an
+    expression over them and its row of the tree.
+    """
+    own = F.max((F.col("rec") == F.col("mark")).cast("int"))
+    width = F.greatest(F.sum("d") / F.greatest(F.count(F.lit(1)) - own, F.lit(1)), F.lit(1e-12))
+    eps = F.broadcast(among.groupBy(key, "rec").agg(width.alias("eps_mark")).withColumnRenamed("rec", "mark"))  # a row a landmark
+    vectors = F.broadcast(tree.where("mark is not null").select(key, "node", "mark", "v"))
+    mine = Window.partitionBy(key, "rec")
+    wide = F.greatest(F.sum("d").over(mine) / F.greatest(F.count(F.lit(1)).over(mine) - F.max((F.col("rec") == F.col("mark")).cast("int")).over(mine), F.lit(1)), F.lit(1e-12))
+    kernel = cells.withColumn("eps", wide).join(eps, [key, "mark"]).select(key, "rec", "mark", F.exp(-F.col("d") / F.sqrt(F.col("eps") * F.col("eps_mark"))).alias("k"))
+    placed = kernel.join(vectors, [key, "mark"]).groupBy(key, "rec", "node").agg((F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("x"))
+    by_node = placed.groupBy(key, "rec").agg(F.map_from_entries(F.collect_list(F.struct("node", "x"))).alias("xs"))
+    state = cells.select(key, "rec").distinct().join(by_node, [key, "rec"], "left").select(key, "rec", "xs", F.lit(0).alias("hard"), F.array(F.lit(1.0)).alias("shares"))
+    levels = cut(tree.where("level is not null").select(key, "level", "place", "parts", "centres"), "levels")
+    state = cut(state, "placed")
+    out = state.select(key, F.lit(0).alias("level"), "rec", "hard", "shares")
+    for level in range(1, (levels.agg(F.max("level")).first()[0] or 0) + 1):
+        held = state.join(F.broadcast(levels.where(F.col("level") == level).drop("level")), key)  # a row a group
+        x = F.try_element_at("xs", F.element_at("parts", F.col("hard") + 1))
+        near = lambda i: 1 / (F.pow(F.col("x") - F.col("centres")[i], 2) + 1e-18)
+        held = held.withColumn("x", x).withColumn("u", F.when(F.col("x").isNull(), 0.5).otherwise(near(0) / (near(0) + near(1))))
+        g, others, share = F.col("place"), F.size("parts") - 1, F.element_at("shares", F.col("place") + 1)
+        rest = F.filter("shares", lambda _, i: i != F.col("place"))
+        hard = F.when(F.col("hard") == g, others + F.when(F.col("u") >= 0.5, 0).otherwise(1)).otherwise(F.col("hard") - (F.col("hard") > g).cast("int"))
+        state = cut(held.select(key, "rec", "xs", hard.alias("hard"), F.concat(rest, F.array(F.col("u") * share, (1 - F.col("u")) * share)).alias("shares")), "level")
+        out = out.unionByName(state.select(key, F.lit(level).alias("level"), "rec", "hard", "shares"))
+    return out

@@ -433,38 +433,45 @@ def coordinates(embedded, names):
     return embedded.select("grp", "rec", *(F.round(F.col("z")[i], 5).alias(n) for i, n in enumerate(names)))
 
 
+def embedded_landmarks(spark, sf_dir, dims):
+    """(cells, distances among landmarks, embedded landmarks)"""
+    cells, among = group_distances(spark, sf_dir)
+    return cells, among, cut(pairs.embed(among, "grp", dims), "embedded")
+
+
 @query()
 def cse_embed(spark, sf_dir):
-    """Constant-shift embedding of the landmarks of each group of recordings."""
-    return coordinates(pairs.embed(group_distances(spark, sf_dir)[1], "grp", 3), "xyz")
+    """Constant-shift embedding of all recordings of each group: landmarks by their own distances, the others placed among them."""
+    cells, among, embedded = embedded_landmarks(spark, sf_dir, 3)
+    others = cells.join(F.broadcast(embedded.select("grp", "rec")), ["grp", "rec"], "left_anti")
+    return coordinates(embedded.unionByName(pairs.project(others, among, embedded, "grp", 3)), "xyz")
 
 
 @query()
 def cse_project(spark, sf_dir):
     """All recordings of a group placed among its embedded landmarks."""
+    return coordinates(pairs.project(*embedded_landmarks(spark, sf_dir, 2), "grp", 2), "xy")
+
+
+def splits(spark, sf_dir):
+    """(grp, level, rec, hard, shares) of all recordings of all groups."""
     cells, among = group_distances(spark, sf_dir)
-    embedded = cut(pairs.embed(among, "grp", 2), "embedded")
-    return coordinates(pairs.project(cells, among, embedded, "grp", 2), "xy")
+    return cut(pairs.extended_splits(cells, among, cut(pairs.split_tree(among, "grp", 4), "tree"), "grp"), "splits")
 
 
 @query()
 def hfss_groups(spark, sf_dir):
-    """Fuzzy spectral splits of the landmarks of each group, level by level: hard parts and responsibilities."""
-
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        ids, d = pairs.square(cells)
-        eps = d.sum(axis=1) / max(1, len(d) - 1)
-        out = [(int(cells.grp.iloc[0]), level, int(r), part, bool(hard[i] == part), float(resp[i, part])) for level, (hard, resp) in enumerate(pairs.fuzzy_splits(d, np.maximum(eps, 1e-12), 4), 1) for i, r in enumerate(ids) for part in range(resp.shape[1])]
-        return pd.DataFrame(out, columns=["grp", "level", "rec", "part", "own", "share"])
-
-    out = group_distances(spark, sf_dir)[1].groupBy("grp").applyInPandas(run, "grp int, level int, rec long, part int, own boolean, share double")
-    return out.select("grp", "level", "rec", "part", "own", r6(F.col("share")).alias("share"))
+    """Fuzzy spectral splits of all recordings of each group, level by level: hard parts and responsibilities. A group of fewer than three has level 0 only."""
+    out = splits(spark, sf_dir).select("grp", "level", "rec", "hard", F.posexplode("shares").alias("part", "share"))
+    return out.select("grp", "level", "rec", "part", (F.col("hard") == F.col("part")).alias("own"), r6(F.col("share")).alias("share"))
 
 
 @query()
 def posterior_by_condition(spark, sf_dir):
-    """Mean responsibility of each part in each condition (group), with intervals of a bootstrap of its recordings."""
-    last = cut(hfss_groups(spark, sf_dir).where("level = 3").select("grp", "rec", "part", "share"), "responsibilities")
+    """Mean responsibility of each part in each condition (group) at the last level it reached, with intervals of a bootstrap of its recordings."""
+    held = splits(spark, sf_dir)
+    reached = F.broadcast(held.groupBy("grp").agg(F.max("level").alias("level")))  # a row a group
+    last = cut(held.join(reached, ["grp", "level"]).select("grp", "rec", F.posexplode("shares").alias("part", "share")), "responsibilities")
     times = rs.multiplicities_by(last.select("grp", "rec").distinct(), "grp", "rec", 50)
     m = last.join(times, ["grp", "rec"]).groupBy("grp", "part", "rep").agg((F.sum(F.col("share") * F.col("times")) / F.sum("times")).alias("v"))
     q = m.groupBy("grp", "part").agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))

@@ -254,11 +254,11 @@ def test_embedding_keeps_shifted_distances():
 
 def test_embeddings_of_recordings(run):
     inside, placed = run("cse_embed"), run("cse_project")
-    assert (inside.groupby("grp").rec.nunique() <= LANDMARKS).all() and placed.rec.is_unique
+    assert inside.rec.is_unique and placed.rec.is_unique
     both = inside.merge(placed, on=["grp", "rec"], suffixes=("", "_p"))
     assert len(both) == len(inside)
     for _, g in both.groupby("grp"):  # a landmark's place among the landmarks is its own, but for the shift
-        if len(g) > 5:
+        if 5 < len(g) <= LANDMARKS:
             assert np.corrcoef(g.x, g.x_p)[0, 1] > 0.99
 
 
@@ -274,11 +274,49 @@ def test_fuzzy_splits():
     assert centres == pytest.approx([0.05, 0.95], abs=0.02) and np.allclose(u.sum(axis=1), 1)
 
 
+@pytest.mark.parametrize("most", [48, 7])
+def test_splits_reach_all_recordings(spark, most):
+    """With landmarks for all, the whole matrix's splits; with fewer, those of the landmarks, extended by the plain formula."""
+    rng = np.random.default_rng(3)
+    rows = [(int(100 * g + i), g, [float(v) for v in rng.random(4) + (i % 3) * (g + 1)]) for g, n in enumerate((24, 30, 2, 1)) for i in range(n)]
+    table = spark.createDataFrame(rows, "rec long, grp int, row array<double>").repartition(3)
+    marks = pairs.landmarks(table, "grp", most).cache()
+    cells = pairs.to_landmarks(table, marks, "grp", 2).cache()
+    among = cells.join(marks.select("grp", "rec"), ["grp", "rec"], "left_semi").cache()
+    got = pairs.extended_splits(cells, among, pairs.split_tree(among, "grp", 4).cache(), "grp").toPandas()
+    assert len(got[got.level == 0]) == len(rows)
+    for g in range(4):
+        mine = sorted((r[0], np.array(r[2])) for r in rows if r[1] == g)
+        ids, x = [r[0] for r in mine], np.array([r[1] for r in mine])
+        marked = sorted(r.rec for r in marks.where(f"grp = {g}").collect())
+        at = [ids.index(m) for m in marked]
+        d = np.abs(x[:, None] - x[None, :]).sum(axis=2) / 2
+        near = d[np.ix_(at, at)]
+        eps = np.maximum(near.sum(axis=1) / max(1, len(at) - 1), 1e-12)
+        tree = pairs.Splits(near, eps, 4)
+        part = got[got.grp == g]
+        assert part.level.max() == len(tree.levels) == (3 if g < 2 else 0)
+        levels = pairs.fuzzy_splits(near, eps, 4)
+        for level, (hard, resp) in enumerate(levels, 1):
+            held = part[part.level == level].set_index("rec")
+            assert list(held.hard.loc[marked]) == list(hard)
+            assert np.allclose(np.stack(held.shares.loc[marked]), resp, atol=1e-6)
+            assert len(held) == len(ids) and np.allclose(np.stack(held.shares).sum(axis=1), 1)
+        if levels:  # the first level of all recordings
+            wide = np.array([d[i, at].sum() / (len(at) - (i in at)) for i in range(len(ids))])
+            k = np.exp(-d[:, at] / np.sqrt(wide[:, None] * eps[None, :]))
+            _, v, value = tree.nodes[0]
+            u = pairs.membership(k @ v / value / k.sum(axis=1), tree.levels[0][2])
+            assert np.allclose(np.stack(part[part.level == 1].set_index("rec").shares.loc[ids]), u, atol=1e-6)
+
+
 def test_groups_and_posteriors(run):
     h = run("hfss_groups")
     assert np.allclose(h.groupby(["grp", "level", "rec"]).share.sum(), 1, atol=1e-4) and (h.groupby(["grp", "level", "rec"]).own.sum() == 1).all()
     p = run("posterior_by_condition")
     assert np.allclose(p.groupby("grp")["mean"].sum(), 1, atol=1e-4) and (p.low <= p.high).all()
+    last = h[h.level == h.groupby("grp")["level"].transform("max")]
+    assert np.allclose(last.groupby(["grp", "part"]).share.mean().to_numpy(), p.sort_values(["grp", "part"])["mean"], atol=1e-5)
 
 
 def test_entropy_sweep(run, spark, events):
