@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sequora.operators.blocks import here, in_blocks
+
 
 def open_bin(x: Column, lo: float, hi: float, n: int) -> Column:
     """Number of the bin whose open interval holds x; null on an edge and outside."""
@@ -67,9 +69,11 @@ def kl(pairs: DataFrame, p: str, q: str, keys: tuple[str, ...] = (), compat: boo
 
 def drift_diffusion(seq: DataFrame, value: str, lo: float, hi: float, n: int, tau: int) -> DataFrame:
     """(bin, drift, diffusion, n): mean and spread of the change ``tau`` rows later, per open bin of the value now; empty bins are 0."""
-    later = F.lead(value, tau).over(Window.partitionBy("rec").orderBy("t"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("rec"))
-    moved = seq.select(F.col(value).alias("x"), (later - F.col(value)).alias("d"), size.alias("size")).where("d is not null and size > 2")
+    # two rows further on, or further back: the recording has more than two
+    held = in_blocks(seq.select("rec", "t", value), behind=2, ahead=max(tau, 2))
+    near = [F.lag("t", 2), F.lag("t", 1), F.lead("t", 1), F.lead("t", 2)]
+    a, b, c, d = (x.over(here()).isNotNull() for x in near)
+    moved = held.select("_own", F.col(value).alias("x"), (F.lead(value, tau).over(here()) - F.col(value)).alias("d"), (a | d | (b & c)).alias("long")).where("_own and d is not null and long")
     bins = moved.withColumn("bin", open_bin(F.col("x"), lo - 1e-6, hi + 1e-6, n)).where("bin is not null")
     found = bins.groupBy("bin").agg((F.avg("d") / tau).alias("drift"), (F.var_pop("d") / (2 * tau)).alias("diffusion"), F.count(F.lit(1)).alias("n"))
     out = filled(found, n)

@@ -1,16 +1,17 @@
 """Angles, paths and correlations of ordered signals.
 
-Lagged statistics join no table with itself: leads over one shared window give the later value, unpivoted over the lags.
+Lagged statistics join no table with itself: leads over one shared window give the later value, unpivoted over the lags. Windows stay inside
+blocks of rows (``blocks``), whatever the length of a recording.
 """
 
 from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sequora.operators.sequences import by_rec, up_to
+from sequora.operators.blocks import here, in_blocks, last_before, owned, running, so_far, with_totals
 
 
 def unwrap(seq: DataFrame, phase: str) -> DataFrame:
@@ -19,29 +20,27 @@ def unwrap(seq: DataFrame, phase: str) -> DataFrame:
     w = F.pmod(d + pi, F.lit(2 * pi)) - pi
     wrapped = F.when((w == -pi) & (d > 0), pi).otherwise(w)
     fix = F.when(d.isNull() | (F.abs(d) < pi), 0.0).otherwise(wrapped - d)
-    before = F.last(phase, ignorenulls=True).over(by_rec().rowsBetween(Window.unboundedPreceding, -1))
-    return seq.withColumn("d", F.col(phase) - before).withColumn("fix", fix).withColumn("angle", F.col(phase) + F.sum("fix").over(up_to())).drop("d", "fix")
+    held = last_before(in_blocks(seq), phase, "before").withColumn("d", F.col(phase) - F.col("before")).withColumn("fix", fix)
+    return running(held, {"angle": F.col("fix")}, blocked=True).withColumn("angle", F.col(phase) + F.col("angle")).drop("d", "fix", "before", "_own", "_block")
 
 
 def positions(seq: DataFrame, step: str, heading: str) -> DataFrame:
     """(rec, t, x, y): running sums of steps along absolute headings."""
-    sums = [F.sum(F.col(step) * f(heading)).over(up_to()).alias(name) for f, name in ((F.cos, "x"), (F.sin, "y"))]
-    return seq.select("rec", "t", *sums)
+    return running(seq, {name: F.col(step) * f(heading) for f, name in ((F.cos, "x"), (F.sin, "y"))}).select("rec", "t", "x", "y")
 
 
 def steps(xy: DataFrame) -> DataFrame:
     """(rec, t, dist, heading): from each position to the next."""
-    dx, dy = F.lead("x").over(by_rec()) - F.col("x"), F.lead("y").over(by_rec()) - F.col("y")
-    return xy.select("rec", "t", dx.alias("dx"), dy.alias("dy")).where("dx is not null").select("rec", "t", F.hypot("dx", "dy").alias("dist"), F.atan2("dy", "dx").alias("heading"))
+    dx, dy = F.lead("x").over(here()) - F.col("x"), F.lead("y").over(here()) - F.col("y")
+    return in_blocks(xy, ahead=1).select("rec", "t", "_own", dx.alias("dx"), dy.alias("dy")).where("_own and dx is not null").select("rec", "t", F.hypot("dx", "dy").alias("dist"), F.atan2("dy", "dx").alias("heading"))
 
 
 def path(seq: DataFrame, turn: str, dist: str) -> DataFrame:
     """(rec, t, x, y): a path from turns and step lengths; step i goes along the heading before it."""
-    psi = seq.withColumn("psi", F.sum(turn).over(up_to()))
-    held = psi.withColumn("heading", F.coalesce(F.lag("psi").over(by_rec()), F.lit(0.0)))
-    first = F.row_number().over(by_rec()) == 1
-    held = held.withColumn("dx", F.when(first, 0.0).otherwise(F.col(dist) * F.cos("heading"))).withColumn("dy", F.when(first, 0.0).otherwise(F.col(dist) * F.sin("heading")))
-    return held.select("rec", "t", F.sum("dx").over(up_to()).alias("x"), F.sum("dy").over(up_to()).alias("y"))
+    psi = in_blocks(running(seq, {"psi": F.col(turn)}), behind=1)
+    held = psi.withColumn("heading", F.coalesce(F.lag("psi").over(here()), F.lit(0.0))).withColumn("first", F.lag("t").over(here()).isNull()).where("_own")
+    move = lambda f: F.when(F.col("first"), 0.0).otherwise(F.col(dist) * f("heading"))
+    return running(held, {"x": move(F.cos), "y": move(F.sin)}, blocked=True).select("rec", "t", "x", "y")
 
 
 def lagged(seq: DataFrame, columns: list[str], lags: list[int], breaks: str | None = None) -> DataFrame:
@@ -49,29 +48,27 @@ def lagged(seq: DataFrame, columns: list[str], lags: list[int], breaks: str | No
 
     Pairs that span a row where ``breaks`` holds (from behind the first of the two to the second) are left out.
     """
-    held = seq
+    held = in_blocks(seq, behind=max(0, *(-x for x in lags)), ahead=max(0, *lags))
     if breaks:
-        held = seq.withColumn("_breaks", F.sum(F.col(breaks).cast("int")).over(up_to()))
+        held = held.withColumn("_breaks", F.sum(F.col(breaks).cast("int")).over(so_far()))
     carried = [*columns, "_breaks"] if breaks else list(columns)
-    at = lambda c, lag: F.lead(c, lag).over(by_rec()) if lag >= 0 else F.lag(c, -lag).over(by_rec())
+    at = lambda c, lag: F.lead(c, lag).over(here()) if lag >= 0 else F.lag(c, -lag).over(here())
     later = F.array(*[F.struct(F.lit(lag).alias("lag"), *(at(c, lag).alias(f"{c}_later") for c in carried)) for lag in lags])
-    rows = held.select("rec", "t", *carried, later.alias("p")).select("rec", "t", *carried, F.explode("p").alias("p")).select("rec", "t", *carried, "p.*")
+    rows = owned(held.select("rec", "t", "_own", "_block", *carried, later.alias("p"))).select("rec", "t", *carried, F.explode("p").alias("p")).select("rec", "t", *carried, "p.*")
     rows = rows.where(F.col(f"{columns[0]}_later").isNotNull())
     return rows.where("_breaks_later = _breaks").drop("_breaks", "_breaks_later") if breaks else rows
 
 
 def autocorrelation(seq: DataFrame, value: str, lags: list[int], breaks: str | None = None) -> DataFrame:
     """(rec, lag, acf): mean product of centred pairs over the population variance; 1 at lag 0; no pair, no row."""
-    whole = Window.partitionBy("rec")
-    held = seq.withColumn("c", F.col(value) - F.avg(value).over(whole)).withColumn("v", F.var_pop(value).over(whole))
+    held = with_totals(seq, _mean=F.avg(value), v=F.var_pop(value)).withColumn("c", F.col(value) - F.col("_mean"))
     found = lagged(held, ["c", "v"], [x for x in lags if x], breaks).groupBy("rec", "lag").agg((F.avg(F.col("c") * F.col("c_later")) / F.first("v")).alias("acf"))
     return found.unionByName(seq.groupBy("rec").agg(F.lit(0).alias("lag"), F.lit(1.0).alias("acf"))) if 0 in lags else found
 
 
 def crosscorrelation(seq: DataFrame, x: str, y: str, lags: list[int], breaks: str | None = None) -> DataFrame:
     """(rec, lag, ccf): x now against y ``lag`` rows later (earlier, for a negative lag), centred, over the product of the deviations."""
-    whole = Window.partitionBy("rec")
-    held = seq.withColumn("cx", F.col(x) - F.avg(x).over(whole)).withColumn("cy", F.col(y) - F.avg(y).over(whole)).withColumn("s", F.stddev_pop(x).over(whole) * F.stddev_pop(y).over(whole))
+    held = with_totals(seq, _mx=F.avg(x), _my=F.avg(y), s=F.stddev_pop(x) * F.stddev_pop(y)).withColumn("cx", F.col(x) - F.col("_mx")).withColumn("cy", F.col(y) - F.col("_my"))
     return lagged(held, ["cx", "cy", "s"], lags, breaks).groupBy("rec", "lag").agg((F.avg(F.col("cx") * F.col("cy_later")) / F.first("s")).alias("ccf"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sequora.config import SweepParameters
 from sequora.operators import kernels as kn, sequences as sq
+from sequora.operators.blocks import here, in_blocks, so_far
 from sequora.operators.resampling import window_sample
 from sequora.sources.storage import cut
 
@@ -20,10 +21,10 @@ def split_parts(seq: DataFrame, parts: DataFrame, lag: int, height: float) -> Da
     part's largest connected set, and all states of a part without a threshold of some height, have no row.
     """
     held = seq.join(F.broadcast(parts.withColumnRenamed("state", "label")), "label", "left")
-    by = sq.by_rec()
+    by = here()
     moved = (~F.col("part").eqNullSafe(F.lag("part").over(by))).cast("int")
-    runs = held.withColumn("moved", moved).withColumn("stay", F.sum("moved").over(sq.up_to()))
-    pairs = runs.select("part", F.col("label").alias("src"), F.lead("label", lag).over(by).alias("dst"), "stay", F.lead("stay", lag).over(by).alias("later")).where("part is not null and dst is not null and stay = later")
+    runs = in_blocks(held, ahead=lag).withColumn("moved", moved).withColumn("stay", F.sum("moved").over(so_far()))
+    pairs = runs.select("_own", "part", F.col("label").alias("src"), F.lead("label", lag).over(by).alias("dst"), "stay", F.lead("stay", lag).over(by).alias("later")).where("_own and part is not null and dst is not null and stay = later")
     counts = pairs.groupBy("part", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
     def kernel(key: dict, states: np.ndarray, p: np.ndarray) -> pd.DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequora.operators.sequences import by_rec
+from sequora.operators.blocks import with_totals
 
 
 def coverage(xy: DataFrame, radii: list[float]) -> DataFrame:
-    """(rec, radius, share): share of the unit cells with a centre within each radius that a path reached.
+    """(rec, radius, share): share of the unit cells with a centre within each radius that a path reached, for all paths and radii (0 where none).
 
     Cells are distinct per recording before anything else; each gets the least radius that holds it, so one running sum over the radii
     serves all of them. The denominators come from a grid whose size the largest radius sets.
@@ -26,8 +26,7 @@ def coverage(xy: DataFrame, radii: list[float]) -> DataFrame:
     cells = rows.select("radius", F.sum(F.coalesce("n", F.lit(0))).over(by).alias("cells"))
     seen = xy.select("rec", F.floor("x").alias("ix"), F.floor("y").alias("iy")).distinct().withColumn("r", centre).withColumn("radius", ring).where("radius is not null")
     per = seen.groupBy("rec", "radius").agg(F.count(F.lit(1)).alias("n"))
-    # radii beyond the first that a recording reached count what lies within
-    every = per.groupBy("rec").agg(F.min("radius").alias("first")).select("rec", "first", F.explode(rings).alias("radius")).where("radius >= first").select("rec", "radius")
+    every = xy.select("rec").distinct().select("rec", F.explode(rings).alias("radius"))
     upto = Window.partitionBy("rec").orderBy("radius")
     held = every.join(per, ["rec", "radius"], "left").select("rec", "radius", F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("seen"))
     return held.join(F.broadcast(cells), "radius").select("rec", "radius", (F.col("seen") / F.col("cells")).alias("share"))
@@ -35,7 +34,8 @@ def coverage(xy: DataFrame, radii: list[float]) -> DataFrame:
 
 def re_origin(xy: DataFrame) -> DataFrame:
     """(rec, t, x, y): paths moved to start at the origin and turned by the direction of their first point."""
-    first = lambda c: F.first(c).over(by_rec())
-    held = xy.select("rec", "t", (F.col("x") - first("x")).alias("dx"), (F.col("y") - first("y")).alias("dy"), first(F.atan2("y", "x")).alias("psi"))
+    first = lambda c: F.min_by(c, "t")
+    held = with_totals(xy.select("rec", "t", "x", "y"), x0=first("x"), y0=first("y"))
+    held = held.select("rec", "t", (F.col("x") - F.col("x0")).alias("dx"), (F.col("y") - F.col("y0")).alias("dy"), F.atan2("y0", "x0").alias("psi"))
     c, s = F.cos("psi"), F.sin("psi")
     return held.select("rec", "t", (F.col("dx") * c + F.col("dy") * s).alias("x"), (F.col("dy") * c - F.col("dx") * s).alias("y"))

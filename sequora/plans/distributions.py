@@ -7,10 +7,11 @@ from math import exp
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sequora.operators import distributions as ds, sequences as sq
+from sequora.operators import blocks, distributions as ds, sequences as sq
 from sequora.operators.sequences import r6
 from sequora.plans.registry import EV, GAP, query
 from sequora.plans.windows import RUNS
+from sequora.sources import formats
 from sequora.sources.bindings import event_sequence, group_of, table
 
 HB = "floor((x - {lo}) / (({hi} - {lo}) / {n}::DOUBLE))"
@@ -162,8 +163,8 @@ def js_divergence(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT (rec % 7)::INT AS grp, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM ev GROUP BY ALL")
 def percentile_ci(spark, sf_dir):
-    q = event_sequence(spark, sf_dir).groupBy(group_of().alias("grp")).agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return q.select("grp", r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"))
+    q = formats.quantiles(event_sequence(spark, sf_dir).withColumn("grp", group_of()), ["grp"], "value", [0.025, 0.975])
+    return q.select("grp", r6(F.col("q0")).alias("low"), r6(F.col("q1")).alias("high"))
 
 
 @query(f"WITH {EV}, s AS (SELECT rec, (rec % 7)::INT AS grp, avg(value) AS score FROM ev GROUP BY rec) SELECT grp, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.025), 6) AS low, round(quantile_cont(score, 0.975), 6) AS high FROM s GROUP BY grp")
@@ -189,10 +190,8 @@ XYB = "xy AS (SELECT rec, t, label, sum(k * cos(phase)) OVER (PARTITION BY rec O
 
 
 def boxed(spark, sf_dir):
-    up, whole = sq.up_to(), Window.partitionBy("rec")
-    seq = event_sequence(spark, sf_dir)
-    xy = seq.select("rec", "t", "label", F.sum(F.col("k") * F.cos("phase")).over(up).alias("x"), F.sum(F.col("k") * F.sin("phase")).over(up).alias("y"))
-    return xy.select("*", F.min("x").over(whole).alias("x0"), F.max("x").over(whole).alias("x1"), F.min("y").over(whole).alias("y0"), F.max("y").over(whole).alias("y1"))
+    xy = blocks.running(event_sequence(spark, sf_dir), {"x": F.col("k") * F.cos("phase"), "y": F.col("k") * F.sin("phase")})
+    return blocks.with_totals(xy.select("rec", "t", "label", "phase", "x", "y"), x0=F.min("x"), x1=F.max("x"), y0=F.min("y"), y1=F.max("y"))
 
 
 @query(f"WITH {EV}, {XYB} SELECT rec, round(avg(CASE WHEN least(x - x0, x1 - x, y - y0, y1 - y) <= 10 THEN 1 ELSE 0 END), 6) AS near FROM bx GROUP BY rec")
@@ -212,11 +211,8 @@ WALL = f"""{XYB}, h AS (SELECT b.rec, cos(phase) AS cx, sin(phase) AS cy, [x - x
 @query(f"WITH {EV}, {WALL} SELECT rec, towards, away, along FROM wc")
 def wall_orientation(spark, sf_dir):
     """Per recording, how often it heads towards, away from and along the nearest wall, from a histogram of 99 bins of the cosine to its normal."""
-    up, whole = sq.up_to(), Window.partitionBy("rec")
-    seq = event_sequence(spark, sf_dir)
-    xy = seq.select("rec", "phase", F.sum(F.col("k") * F.cos("phase")).over(up).alias("x"), F.sum(F.col("k") * F.sin("phase")).over(up).alias("y"))
-    d = F.array(F.col("x") - F.min("x").over(whole), F.max("x").over(whole) - F.col("x"), F.col("y") - F.min("y").over(whole), F.max("y").over(whole) - F.col("y"))
-    held = xy.select("rec", "phase", d.alias("d")).withColumn("wall", F.array_position("d", F.array_min("d")))
+    d = F.array(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y"))
+    held = boxed(spark, sf_dir).select("rec", "phase", d.alias("d")).withColumn("wall", F.array_position("d", F.array_min("d")))
     dot = F.round(F.when(F.col("wall") == 1, F.cos("phase")).when(F.col("wall") == 2, -F.cos("phase")).when(F.col("wall") == 3, F.sin("phase")).otherwise(-F.sin("phase")), 9)
     centre = -1 + (F.least(F.floor((dot + 1) * WALL_BINS / 2), F.lit(WALL_BINS - 1)) + 0.5) * 2 / WALL_BINS
     counts = held.select("rec", centre.alias("c"))

@@ -7,6 +7,7 @@ from math import pi
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sequora.operators import sequences as sq
 from sequora.operators.motion import positions
 from sequora.operators.resampling import window_sample
 from sequora.operators.sequences import r6
@@ -63,8 +64,8 @@ def sentinel_to_null(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT rec, t, CASE WHEN t < count(*) OVER (PARTITION BY rec) - 1 THEN label END AS label FROM ev")
 def unpad_last_null(spark, sf_dir):
-    """Recordings cut from their padded width to their length, the last symbol missing: one window, no join."""
-    return formats.unpad(formats.padded(event_sequence(spark, sf_dir).select("rec", "t", "label"), "label"), "label")
+    """Recordings joined end to end need a missing symbol behind each: the last one goes. Rows are never padded, so none is cut."""
+    return sq.drop_ends(event_sequence(spark, sf_dir), first=0, last=1).select("rec", "t", "label")
 
 
 @query(f"WITH {GAP} SELECT rec, t, CASE WHEN label IS NOT NULL THEN value END AS value FROM ev")
@@ -208,12 +209,14 @@ def grid_cells(spark, sf_dir):
     return c.select("ix", "iy", "recs", r6(F.sqrt(cx * cx + cy * cy)).alias("radius"), r6(F.atan2(cy, cx)).alias("angle"))
 
 
-RADII = [round(0.8 * (20 / 0.8) ** (i / 9), 6) for i in range(10)]
+#: 50 radii, evenly spaced in their logarithm.
+RADII = [round(0.8 * (100 / 0.8) ** (i / 49), 6) for i in range(50)]
+HALF = int(max(RADII)) + 1
 
 
-@query(f"""WITH {EV}, {XYG}, g AS (SELECT x::INT AS ix, y::INT AS iy, sqrt((x + 0.5::DOUBLE) ** 2 + (y + 0.5::DOUBLE) ** 2) AS r FROM unnest(range(-20, 20)) AS a(x), unnest(range(-20, 20)) AS b(y)), rad AS (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in RADII)}]) AS radius),
+@query(f"""WITH {EV}, {XYG}, g AS (SELECT x::INT AS ix, y::INT AS iy, sqrt((x + 0.5::DOUBLE) ** 2 + (y + 0.5::DOUBLE) ** 2) AS r FROM unnest(range(-{HALF}, {HALF})) AS a(x), unnest(range(-{HALF}, {HALF})) AS b(y)), rad AS (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in RADII)}]) AS radius),
  c AS (SELECT DISTINCT rec, floor(x)::INT AS ix, floor(y)::INT AS iy FROM xy), tot AS (SELECT radius, count(*) AS cells FROM rad JOIN g ON r <= radius GROUP BY radius),
- v AS (SELECT rec, radius, count(*) AS seen FROM c JOIN g USING (ix, iy) JOIN rad ON r <= radius GROUP BY ALL) SELECT rec, radius, round(seen / cells, 6) AS share FROM v JOIN tot USING (radius)""")
+ v AS (SELECT rec, radius, count(*) AS seen FROM c JOIN g USING (ix, iy) JOIN rad ON r <= radius GROUP BY ALL) SELECT a.rec, tot.radius, round(coalesce(seen, 0) / cells, 6) AS share FROM (SELECT DISTINCT rec FROM ev) a, tot LEFT JOIN v ON v.rec = a.rec AND v.radius = tot.radius""")
 def detect_coverage(spark, sf_dir):
     """Share of the cells within each radius that a recording reached: distinct cells get the least radius that holds them, then running counts."""
     return coverage(paths(spark, sf_dir), RADII).select("rec", "radius", r6(F.col("share")).alias("share"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sequora.operators import resampling as rs, sequences as sq
+from sequora.operators import blocks, resampling as rs, sequences as sq
 from sequora.operators.sequences import r6
 from sequora.plans.registry import EV, GAP, query
 from sequora.plans.distributions import WALL, wall_orientation
 from sequora.plans.windows import BINARY, RUNS, dwell_means
+from sequora.sources import formats
 from sequora.sources.bindings import N_STATES, event_sequence, group_of
 from sequora.sources.storage import cut
 
@@ -64,11 +65,12 @@ def boot_geomean(spark, sf_dir):
 
 @query(boot_sql("stddev_pop(x)", "stddev_pop(x)"))
 def boot_std(spark, sf_dir):
-    n, t = F.sum("times"), F.col("times")
-    held = drawn(spark, sf_dir)
-    centre = Window.partitionBy("rep")
-    held = held.withColumn("c0", F.sum(F.col("x") * t).over(centre) / F.sum(t).over(centre))
-    reps = held.groupBy("rep").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("c0"), 2) * t) / n).alias("v"))
+    """Sums of differences from the mean of all and of their squares: no replicate's rows meet."""
+    t, e = F.col("times"), cut(entities(spark, sf_dir), "entities")
+    mean = e.agg(F.avg("x").alias("mean"))
+    held = drawn(spark, sf_dir).join(F.broadcast(mean)).withColumn("c", F.col("x") - F.col("mean"))
+    sums = held.groupBy("rep").agg(F.sum(t).alias("n"), F.sum(F.col("c") * t).alias("a"), F.sum(F.col("c") * F.col("c") * t).alias("b"))
+    reps = sums.select(F.sqrt(F.greatest(F.col("b") / F.col("n") - F.pow(F.col("a") / F.col("n"), 2), F.lit(0.0))).alias("v"))
     return summary(reps, entities(spark, sf_dir).agg(F.stddev_pop("x").alias("point")))
 
 
@@ -169,7 +171,7 @@ def epsilon_by_recording(spark, sf_dir):
     Weights are hashes of (replicate, recording, place), so replicates are one explode before the partial sums; no draw table, no copied rows.
     """
     seq = event_sequence(spark, sf_dir)
-    tr = seq.select("rec", "t", F.col("label").alias("src"), F.lead("label").over(sq.by_rec()).alias("dst")).where("dst is not null")
+    tr = sq.later(seq, "label", 1, "dst").select("rec", "t", F.col("label").alias("src"), "dst").where("dst is not null")
     rep = F.explode(F.sequence(F.lit(0), F.lit(EPSILON_REPS - 1))).alias("rep")
     u = rs.uniform(F.col("rep"), F.col("rec"), F.col("t"))
     drawn_n = tr.select("rec", "t", "src", "dst", rep).withColumn("u", u).groupBy("rec", "rep", "src", "dst").agg(F.sum(rs.poisson(F.col("u"), POISSON)).alias("n"), F.count(F.lit(1)).alias("own"))
@@ -182,8 +184,7 @@ def epsilon_by_recording(spark, sf_dir):
  r AS (SELECT s.rec, s.t, e.label FROM s JOIN ev e ON e.rec = s.rec AND e.t = s.i), p AS (SELECT label AS src, lead(label) OVER (PARTITION BY rec ORDER BY t) AS dst FROM r) SELECT src, dst, count(*) AS n FROM p WHERE dst IS NOT NULL GROUP BY ALL""")
 def shuffle_surrogate_counts(spark, sf_dir):
     seq = event_sequence(spark, sf_dir).select("rec", "t", "label")
-    n = F.count(F.lit(1)).over(Window.partitionBy("rec"))
-    draw = seq.select("rec", "t", n.alias("n")).select("rec", "t", F.floor(rs.uniform(F.col("rec"), F.col("t")) * F.col("n")).cast("long").alias("i"))
+    draw = blocks.with_totals(seq.select("rec", "t"), n=F.count(F.lit(1))).select("rec", "t", F.floor(rs.uniform(F.col("rec"), F.col("t")) * F.col("n")).cast("long").alias("i"))
     mixed = draw.join(seq.select("rec", F.col("t").alias("i"), "label"), ["rec", "i"]).select("rec", "t", "label")
     return sq.transition_counts(mixed)
 
@@ -191,6 +192,6 @@ def shuffle_surrogate_counts(spark, sf_dir):
 @query(f"""WITH {EV}, h AS (SELECT rec, label, row_number() OVER (PARTITION BY rec % 7 ORDER BY md5(rec::VARCHAR)) AS r, (rec % 7)::INT AS grp FROM (SELECT rec, any_value(label) AS label FROM ev GROUP BY rec)), c AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM h)
 SELECT rec, grp, r <= floor(0.8 * n) AS train FROM c""")
 def stratified_split(spark, sf_dir):
-    e = event_sequence(spark, sf_dir).select("rec").distinct().withColumn("grp", group_of())
-    r = F.row_number().over(Window.partitionBy("grp").orderBy(F.md5(F.col("rec").cast("string").cast("binary"))))
-    return e.select("rec", "grp", (r <= F.floor(0.8 * F.count(F.lit(1)).over(Window.partitionBy("grp")))).alias("train"))
+    """A recording's place among its group's hashes decides; places come from ranges of (group, hash)."""
+    e = event_sequence(spark, sf_dir).select("rec").distinct().withColumn("grp", group_of()).withColumn("h", F.md5(F.col("rec").cast("string").cast("binary")))
+    return formats.placed(e, ["grp"], ["h", "rec"], "at", "n").select("rec", "grp", (F.col("at") < F.floor(0.8 * F.col("n"))).alias("train"))

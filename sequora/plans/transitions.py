@@ -162,9 +162,9 @@ def chunk_bootstrap_counts(spark, sf_dir):
     return counts.join(times, ["rec", "chunk"]).groupBy("rep", "src", "dst").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
 
 
-#: Events of a kind at a place of the day's rhythm are a state; only transitions seen twice are edges.
+#: Events of a kind at a place of the day's rhythm are a state.
 FINE = "fs AS (SELECT rec, t, label * 20 + k % 20 AS label FROM ev)"
-FINE_COUNTS = "fc AS (SELECT src, dst, count(*) AS n FROM (SELECT label AS src, lead(label) OVER (PARTITION BY rec ORDER BY t) AS dst FROM fs) WHERE dst IS NOT NULL GROUP BY ALL HAVING count(*) > 1)"
+FINE_COUNTS = "fc AS (SELECT src, dst, count(*) AS n FROM (SELECT label AS src, lead(label) OVER (PARTITION BY rec ORDER BY t) AS dst FROM fs) WHERE dst IS NOT NULL GROUP BY ALL)"
 EDGES = f"{FINE}, {FINE_COUNTS}, ed AS MATERIALIZED (SELECT src, dst FROM fc)"
 CONNECTED = """tc AS (SELECT src, dst FROM ed UNION SELECT tc.src, ed.dst FROM tc JOIN ed ON tc.dst = ed.src),
  st AS (SELECT src AS state FROM ed UNION SELECT dst FROM ed),
@@ -179,8 +179,8 @@ def fine_states(spark, sf_dir):
 
 
 def fine_counts(spark, sf_dir):
-    """Transitions between the fine states over the whole sequences, those seen twice at least."""
-    return cut(sq.transition_counts(fine_states(spark, sf_dir)).where("n > 1"), "counts")
+    """Transitions between the fine states over the whole sequences."""
+    return cut(sq.transition_counts(fine_states(spark, sf_dir)), "counts")
 
 
 @query(f"WITH RECURSIVE {EV}, {EDGES}, {CONNECTED} SELECT state FROM lc")
@@ -200,7 +200,7 @@ def transition_pipeline(spark, sf_dir):
     """Count, keep the largest connected set, normalise."""
     counts = fine_counts(spark, sf_dir)
     states = cut(markov.largest_connected(counts).select("state"), "states")
-    a, b = (F.broadcast(states.withColumnRenamed("state", x)) for x in ("src", "dst"))
+    a, b = (states.withColumnRenamed("state", x) for x in ("src", "dst"))
     return markov.row_normalised(counts.join(a, "src", "left_semi").join(b, "dst", "left_semi")).select("src", "dst", r6(F.col("p")).alias("p"))
 
 
@@ -328,4 +328,4 @@ def diffusion_kernel(spark, sf_dir):
     eps = lambda by, name: d.where("a != b").groupBy(by).agg(F.avg("d").alias(name))
     k = d.join(eps("a", "ea"), "a").join(eps("b", "eb"), "b").select("a", "b", F.exp(-F.col("d") / F.sqrt(F.col("ea") * F.col("eb"))).alias("k"))
     total = k.groupBy("a").agg(F.sum("k").alias("total"))
-    return k.join(F.broadcast(total), "a").select("a", "b", r6(F.col("k") / F.col("total")).alias("k"))
+    return k.join(total, "a").select("a", "b", r6(F.col("k") / F.col("total")).alias("k"))

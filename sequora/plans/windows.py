@@ -7,9 +7,10 @@ from math import pi
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sequora.operators import motion, sequences as sq
+from sequora.operators import blocks, motion, sequences as sq
 from sequora.operators.sequences import r6
 from sequora.plans.registry import EV, GAP, query
+from sequora.sources import formats
 from sequora.sources.bindings import event_sequence, group_of, table
 
 SEG = "sg AS (SELECT *, sum(CASE WHEN label IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY t) AS seg FROM ev)"
@@ -63,8 +64,9 @@ def run_length_split(spark, sf_dir):
 @query(f"""WITH {EV}, {RUNS}, d AS (SELECT rec, label, run, CASE WHEN value - lag(value) OVER (PARTITION BY rec, run ORDER BY t) >= 0 THEN 1 WHEN value - lag(value) OVER (PARTITION BY rec, run ORDER BY t) < 0 THEN 0 END AS up FROM rn),
  r AS (SELECT rec, label, run, avg(up) AS ratio FROM d WHERE up IS NOT NULL GROUP BY ALL HAVING count(*) > 1) SELECT label, count(*) AS runs, round(avg(ratio), 6) AS ratio FROM r GROUP BY label""")
 def left_turn_ratio(spark, sf_dir):
-    held = sq.with_runs(event_sequence(spark, sf_dir))
-    step = F.col("value") - F.lag("value").over(Window.partitionBy("rec", "run").orderBy("t"))
+    runs = sq.with_runs(event_sequence(spark, sf_dir)).withColumn("here", F.struct("run", "value"))
+    held = sq.later(runs, "here", -1, "before")
+    step = F.when(F.col("before.run") == F.col("run"), F.col("value") - F.col("before.value"))
     turns = held.select("rec", "label", "run", (step >= 0).cast("int").alias("up")).where("up is not null").groupBy("rec", "label", "run").agg(F.avg("up").alias("ratio"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return turns.groupBy("label").agg(F.count(F.lit(1)).alias("runs"), r6(F.avg("ratio")).alias("ratio"))
 
@@ -116,9 +118,9 @@ def delay_embed_reversed(spark, sf_dir):
 
 @query(f"WITH {EV}, m AS (SELECT rec, t + 2 AS t, avg(value) OVER (PARTITION BY rec ORDER BY t ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS mean, t AS s, count(*) OVER (PARTITION BY rec) AS n FROM ev) SELECT rec, t, round(mean, 6) AS mean FROM m WHERE s < n - 5")
 def moving_mean_k5(spark, sf_dir):
-    by, n = sq.by_rec(), F.count(F.lit(1)).over(Window.partitionBy("rec"))
-    m = event_sequence(spark, sf_dir).select("rec", (F.col("t") + 2).alias("t"), F.avg("value").over(by.rowsBetween(0, 4)).alias("mean"), F.col("t").alias("s"), n.alias("n"))
-    return m.where("s < n - 5").select("rec", "t", r6(F.col("mean")).alias("mean"))
+    by = blocks.here()
+    m = blocks.in_blocks(event_sequence(spark, sf_dir), ahead=5).select("rec", "_own", (F.col("t") + 2).alias("t"), F.avg("value").over(by.rowsBetween(0, 4)).alias("mean"), F.lead("t", 5).over(by).alias("beyond"))
+    return m.where("_own and beyond is not null").select("rec", "t", r6(F.col("mean")).alias("mean"))
 
 
 @query(f"WITH {EV} SELECT label, round(avg(value), 6) AS mean FROM ev GROUP BY label")
@@ -128,19 +130,19 @@ def label_mean(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT label, round(quantile_cont(value, 0.5), 6) AS median FROM ev GROUP BY label")
 def label_median(spark, sf_dir):
-    return event_sequence(spark, sf_dir).groupBy("label").agg(r6(F.percentile("value", F.lit(0.5))).alias("median"))
+    return formats.quantiles(event_sequence(spark, sf_dir), ["label"], "value", [0.5]).select("label", r6(F.col("q0")).alias("median"))
 
 
 @query(f"WITH {EV}, d AS (SELECT rec, t, degrees(abs(lead(phase) OVER (PARTITION BY rec ORDER BY t) - phase)) AS change FROM ev) SELECT rec, t, round(change, 6) AS change FROM d WHERE change IS NOT NULL")
 def heading_change(spark, sf_dir):
-    change = F.degrees(F.abs(F.lead("phase").over(sq.by_rec()) - F.col("phase")))
-    return event_sequence(spark, sf_dir).select("rec", "t", change.alias("change")).where("change is not null").select("rec", "t", r6(F.col("change")).alias("change"))
+    change = F.degrees(F.abs(F.col("next") - F.col("phase")))
+    return sq.later(event_sequence(spark, sf_dir), "phase", 1, "next").select("rec", "t", change.alias("change")).where("change is not null").select("rec", "t", r6(F.col("change")).alias("change"))
 
 
 @query(f"WITH {EV}, d AS (SELECT rec, t, (micros - lag(micros) OVER (PARTITION BY rec ORDER BY t)) / 1e6::DOUBLE AS gap FROM ev) SELECT rec, t, round(gap, 6) AS gap FROM d WHERE gap IS NOT NULL")
 def inter_event_interval(spark, sf_dir):
-    gap = (F.col("micros") - F.lag("micros").over(sq.by_rec())) / 1e6
-    return event_sequence(spark, sf_dir).select("rec", "t", gap.alias("gap")).where("gap is not null").select("rec", "t", r6(F.col("gap")).alias("gap"))
+    gap = (F.col("micros") - F.col("before")) / 1e6
+    return sq.later(event_sequence(spark, sf_dir), "micros", -1, "before").select("rec", "t", gap.alias("gap")).where("gap is not null").select("rec", "t", r6(F.col("gap")).alias("gap"))
 
 
 @query(f"WITH {GAP} SELECT rec, arg_min(label, t) FILTER (label IS NOT NULL) AS first_label, arg_max(label, t) FILTER (label IS NOT NULL) AS last_label FROM ev GROUP BY rec")
@@ -285,10 +287,9 @@ def stride_decimate(spark, sf_dir):
 @query(f"""WITH {EV}, c AS (SELECT rec, min(t) FILTER (micros > s + 15 * 86400000000) AS cut FROM (SELECT *, min(micros) OVER (PARTITION BY rec) AS s FROM ev) GROUP BY rec)
 SELECT rec, t, CASE WHEN cut IS NULL OR t < cut THEN label END AS label FROM ev JOIN c USING (rec)""")
 def time_cutoff(spark, sf_dir):
-    whole = Window.partitionBy("rec")
-    seq = event_sequence(spark, sf_dir).withColumn("start", F.min("micros").over(whole))
-    cut = F.min(F.when(F.col("micros") > F.col("start") + 15 * 86_400_000_000, F.col("t"))).over(whole)
-    return seq.withColumn("cut", cut).select("rec", "t", F.when(F.col("cut").isNull() | (F.col("t") < F.col("cut")), F.col("label")).alias("label"))
+    seq = blocks.with_totals(event_sequence(spark, sf_dir), start=F.min("micros"))
+    cut = F.min(F.when(F.col("micros") > F.col("start") + 15 * 86_400_000_000, F.col("t")))
+    return blocks.with_totals(seq, cut=cut).select("rec", "t", F.when(F.col("cut").isNull() | (F.col("t") < F.col("cut")), F.col("label")).alias("label"))
 
 
 #: Symbols that a window of a recording needs, and windows of a recording.
@@ -306,8 +307,8 @@ def occupancy_windows(spark, sf_dir):
     A recording without enough symbols in a window doesn't count there, and a window in which fewer than two recordings count is left out.
     """
     seq = event_sequence(spark, sf_dir).withColumn("grp", group_of())
-    minute = (F.col("micros") - F.min("micros").over(Window.partitionBy("rec"))) / 6e7
-    m = seq.select("rec", "grp", "label", minute.alias("minute"))
+    minute = (F.col("micros") - F.col("start")) / 6e7
+    m = blocks.with_totals(seq, start=F.min("micros")).select("rec", "grp", "label", minute.alias("minute"))
     x = m.groupBy("grp", "rec").agg(F.max("minute").alias("longest")).groupBy("grp").agg(F.avg("longest").alias("tmax"))
     held = m.join(F.broadcast(x), "grp").select("*", F.explode(F.sequence(F.lit(0), F.lit(N_WINDOWS - 1))).alias("w"))
     t0, wide = F.col("w") * F.col("tmax") / N_WINDOWS, F.floor(F.ceil("tmax") / N_WINDOWS)

@@ -1,7 +1,7 @@
 """How the given tables become recordings: ordered, gappy sequences of symbols and signals.
 
 Every view is one projection over one scan (columns are pruned at the source) and, where places are numbered, one window
-over the recording key.
+over the recording key and the day, so that no task gets a whole long recording.
 """
 
 from __future__ import annotations
@@ -31,15 +31,17 @@ def code(column, values: dict):
 
 
 def event_sequence(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
-    """(rec, t, label, value, k, phase, seconds): events of a user in order of time; with ``gaps``, errors are missing."""
-    e = table(spark, sf_dir, "events")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """(rec, t, label, value, k, phase, micros): events of a user in order of time; with ``gaps``, errors are missing. Rows without a user or a time are in no recording."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     label = code(F.col("event_type"), EVENT_LABELS)
     if gaps:
         label = F.when(label != EVENT_LABELS["error"], label)
-    return e.select(
+    # places are numbered inside days; a table with a row for each recording and day says how many come before
+    order, days = Window.partitionBy("user_id", "day").orderBy("ts", "event_id"), Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = e.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n")).select("user_id", "day", F.coalesce(F.sum("n").over(days), F.lit(0)).alias("before"))
+    return e.withColumn("place", F.row_number().over(order) - 1).join(before, ["user_id", "day"]).select(
         F.col("user_id").alias("rec"),
-        (F.row_number().over(order) - 1).cast("long").alias("t"),
+        (F.col("place") + F.col("before")).cast("long").alias("t"),
         label.alias("label"),
         F.col("value"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),

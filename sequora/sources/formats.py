@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sequora.sources.storage import cut, fresh_path
@@ -36,19 +36,6 @@ def matrix_from_arrays(spark, cells) -> DataFrame:
     return spark.createDataFrame([(i, j, float(v)) for i, line in enumerate(cells) for j, v in enumerate(line) if v], "i int, j int, v double")
 
 
-def padded(seq: DataFrame, label: str) -> DataFrame:
-    """(rec, label): one row per recording, its symbols in order, filled up with nulls to the longest length; a null also stands behind each recording."""
-    lists = seq.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("t", label))).alias("rows")).select("rec", F.transform("rows", lambda r: r[label]).alias(label), F.size("rows").alias("length"))
-    width = lists.agg(F.max("length").alias("width"))
-    return lists.join(F.broadcast(width)).select("rec", "length", F.concat(label, F.array_repeat(F.lit(None).cast("int"), F.col("width") - F.col("length"))).alias(label))
-
-
-def unpad(rows: DataFrame, label: str) -> DataFrame:
-    """(rec, t, label): padded rows cut back to their length; the last symbol is missing, so that recordings stay apart when joined end to end."""
-    flat = rows.select("rec", "length", F.posexplode(label).alias("t", label)).where("t < length")
-    return flat.select("rec", F.col("t").cast("long").alias("t"), F.when(F.col("t") < F.col("length") - 1, F.col(label)).alias(label))
-
-
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds the place of each row in an order, from 0: ranges of the order are counted, their offsets are summed, rows are numbered inside them.
 
@@ -60,3 +47,26 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     offsets = first.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     out = held.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_seq") - F.col("_first") + F.col("_before"))
     return out.drop("_part", "_seq", "_first", "_before")
+
+
+def placed(rows: DataFrame, keys: list[str], order: list[str], name: str, size: str) -> DataFrame:
+    """Adds the place of each row inside its key (from 0) and the key's number of rows; keys are few (a row each is broadcast), their rows many."""
+    held = numbered(rows, [*keys, *order], "_i")
+    per = held.groupBy(*keys).agg(F.min("_i").alias("_from"), F.count(F.lit(1)).alias(size))
+    return held.join(F.broadcast(cut(per, "keys")), keys).withColumn(name, F.col("_i") - F.col("_from")).drop("_i", "_from")
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, q0, q1, ...): exact quantiles with linear interpolation; missing values are skipped. Rows are ranked range by range, and only a quantile's two neighbours are looked at."""
+    held = placed(rows.where(F.col(value).isNotNull()).select(*keys, value), keys, [value], "_at", "_n")
+
+    def quantile(share: float) -> Column:
+        place = (F.col("_n") - 1) * F.lit(float(share))
+        weight = F.greatest(1 - F.abs(F.col("_at") - place), F.lit(0.0))
+        return F.sum(F.when(weight > 0, F.col(value) * weight))
+
+    near = [F.abs(F.col("_at") - (F.col("_n") - 1) * F.lit(float(x))) < 1 for x in shares]
+    wanted = near[0]
+    for x in near[1:]:
+        wanted = wanted | x
+    return held.where(wanted).groupBy(*keys).agg(*[quantile(x).alias(f"q{i}") for i, x in enumerate(shares)])
