@@ -247,18 +247,22 @@ def lloyd_k_iterations(spark, sf_dir):
 
 def medoid_sql(rounds: int) -> str:
     reach = "round(list_max(list_transform(range(1, {n}), lambda q: abs(v.v[q] - c.c[q]))), 9)".format(n=DIMS + 1)
-    out = [VECTORS, "q AS (SELECT vec_id, v FROM v WHERE vec_id % 20 = 0)", "c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, v AS c FROM (SELECT * FROM q ORDER BY vec_id LIMIT 3))"]
+    out = [VECTORS, "c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, v AS c FROM (SELECT * FROM v ORDER BY vec_id LIMIT 3))"]
     for r in range(rounds + 1):
         out.append(f"a{r} AS MATERIALIZED (SELECT v.vec_id, any_value(v.v) AS v, arg_min(c.i, ({reach}, c.i)) AS i, min({reach}) AS d FROM v, c{r} c GROUP BY v.vec_id)")
-        out.append(f"k{r} AS (SELECT x.i, x.vec_id, any_value(x.v) AS c, round(sum({reach.replace('c.c', 'x.v')}), 6) AS cost FROM a{r} x JOIN a{r} v ON v.i = x.i WHERE x.vec_id % 20 = 0 GROUP BY x.i, x.vec_id)")
-        out.append(f"c{r + 1} AS (SELECT c{r}.i, coalesce(b.vec_id, c{r}.vec_id) AS vec_id, coalesce(b.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT i, arg_min(vec_id, (cost, vec_id)) AS vec_id, arg_min(c, (cost, vec_id)) AS c FROM k{r} GROUP BY i) b USING (i))")
+        out.append(f"k{r} AS (SELECT x.i, x.vec_id, any_value(x.v) AS c, round(sum({reach.replace('c.c', 'x.v')}), 6) AS cost FROM a{r} x JOIN a{r} v ON v.i = x.i GROUP BY x.i, x.vec_id)")
+        out.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.i, coalesce(b.vec_id, c{r}.vec_id) AS vec_id, coalesce(b.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT i, arg_min(vec_id, (cost, vec_id)) AS vec_id, arg_min(c, (cost, vec_id)) AS c FROM k{r} GROUP BY i) b USING (i))")
     return "WITH " + ", ".join(out)
 
 
-@query(f"{medoid_sql(2)} SELECT c.i::INT AS cluster, c.vec_id AS medoid, count(*) AS n, round(max(d), 6) AS reach FROM a2 JOIN c2 c USING (i) GROUP BY ALL")
+#: Rounds after which the medoids of any of the given tables have come to rest; more change nothing.
+MEDOID_ROUNDS = 10
+
+
+@query(f"{medoid_sql(MEDOID_ROUNDS)}, o AS (SELECT c.i::INT AS cluster, c.vec_id AS medoid, count(*) AS n, round(max(d), 6) AS reach FROM a{MEDOID_ROUNDS} JOIN c{MEDOID_ROUNDS} c USING (i) GROUP BY ALL) SELECT *, round(avg(reach) OVER (), 4) AS mean_reach FROM o")
 def kmedoids_chebyshev(spark, sf_dir):
-    """Medoids by the largest coordinate gap, after two updates: each is the candidate (ids divisible by 20) whose gaps to all members sum to least."""
-    return ml.kmedoids(unit_vectors(spark, sf_dir), "vec_id", 3, 2).select("cluster", "medoid", "n", r6(F.col("reach")).alias("reach"))
+    """Medoids by the largest coordinate gap until they rest: each is the member whose gaps to all members of its cluster sum to least."""
+    return ml.kmedoids(unit_vectors(spark, sf_dir), "vec_id", 3, MEDOID_ROUNDS, 0.0).select("cluster", "medoid", "n", r6(F.col("reach")).alias("reach"), F.round("mean_reach", 4).alias("mean_reach"))
 
 
 @query()
@@ -275,11 +279,11 @@ def covariance(spark, sf_dir):
 
 @query()
 def pca_embed(spark, sf_dir):
-    """Principal axes, as many as 0.99 of the variance asks for; of the projections the first three."""
+    """Projections on the principal axes, as many as 0.99 of the variance asks for."""
     rows = ml.vectors(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "features")
     mean, axes, _ = ml.principal(rows, "variance")
     z = ml.projected(rows, mean, axes)
-    return z.select("vec_id", F.transform(F.slice("z", 1, 3), lambda x: F.round(x, 5) + 0.0).alias("z"), F.size("z").alias("dims"))
+    return z.select("vec_id", F.transform("z", lambda x: F.round(x, 5) + 0.0).alias("z"), F.size("z").alias("dims"))
 
 
 @query()
@@ -289,7 +293,7 @@ def pca_embed_participation(spark, sf_dir):
     rows = ml.vectors(held, "vec").select("rec", "centre", "features")
     mean, axes, _ = ml.principal(rows, "participation")
     z = ml.projected(rows, mean, axes)
-    return z.select("rec", "centre", F.transform(F.slice("z", 1, 1), lambda x: F.round(x, 3) + 0.0).alias("z"), F.size("z").alias("dims"))
+    return z.select("rec", "centre", F.transform("z", lambda x: F.round(x, 3) + 0.0).alias("z"), F.size("z").alias("dims"))
 
 
 @query()
@@ -371,9 +375,9 @@ def confusion_norm(spark, sf_dir):
 
 @query()
 def logreg_cv(spark, sf_dir):
-    """Logistic regression with balanced classes; C by cross-validation over hashed folds, then the rows of each label that the held-out fifth gets right."""
+    """Logistic regression with balanced classes; C out of ten by cross-validation over five hashed folds, then the rows of each label that the held-out fifth gets right."""
     rows = ml.vectors(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "label", "features", (F.col("vec_id") % 5 != 0).alias("train"))
-    c, out = ml.grid_searched_logistic(rows, "label", "vec_id", grid=(0.1, 1.0, 10.0), folds=2)
+    c, out = ml.grid_searched_logistic(rows, "label", "vec_id")
     right = (F.col("label") == F.col("predicted")).cast("int")
     held = out.where("not train")
     return held.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right")).select(F.lit(c).alias("c"), "label", "n", "right")

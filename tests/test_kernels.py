@@ -241,6 +241,62 @@ def test_classifier(run, spark):
     assert c in (1e-6, 1.0) and right > 0.75
 
 
+def test_stacked_models_choose_as_separate_fits(spark):
+    """Every fold and C against Newton's method on its own rows."""
+    rng = np.random.default_rng(8)
+    n, k, folds, grid = 240, 3, 3, (0.05, 0.5, 5.0)
+    y = rng.integers(0, k, n) * (rng.random(n) < 0.8)
+    x = np.round(rng.normal(size=(n, 3)) + np.eye(3)[y] * 1.2, 6)
+    fold = rng.integers(0, folds, n)
+    rows = ml.vectors(spark.createDataFrame([(x[i].tolist(), int(y[i]), int(fold[i])) for i in range(n)], "x array<double>, label int, fold int").repartition(3), "x")
+    model = ml.Stacked(rows, "label", "fold", folds, grid)
+    w = model.fit(rounds=400, tolerance=1e-7)
+    scores = model.scores(w)
+    xs = np.c_[x, np.ones(n)]
+    for (f, c), got in zip(model.models, w):
+        mine = fold != f
+        a, b = xs[mine], y[mine]
+        weight = (len(b) / (k * np.bincount(b, minlength=k)))[b]
+        want, ridge = np.zeros((4, k)), 1 / (c * len(b))
+        for _ in range(50):
+            z = a @ want
+            q = np.exp(z - z.max(axis=1, keepdims=True))
+            q /= q.sum(axis=1, keepdims=True)
+            g = a.T @ ((q - np.eye(k)[b]) * weight[:, None]) / len(b) + ridge * np.r_[np.ones(3), 0][:, None] * want
+            h = np.einsum("ni,nj,nk,nkl->ikjl", a, a * weight[:, None], np.ones_like(q), np.einsum("nk,kl->nkl", q, np.eye(k)) - q[:, :, None] * q[:, None, :]) / len(b)
+            h = h.reshape(4 * k, 4 * k) + np.kron(np.diag(np.r_[np.ones(3), 0]) * ridge, np.eye(k)) + 1e-9 * np.eye(4 * k)
+            want -= np.linalg.solve(h, g.ravel()).reshape(4, k)
+        centred = lambda v: v - v.mean(axis=1, keepdims=True)
+        assert np.abs(centred(got) - centred(want)).max() < 1e-3
+        assert scores[f, c] == pytest.approx(((xs[~mine] @ want).argmax(axis=1) == y[~mine]).mean(), abs=1e-9)
+
+
+def test_medoids_of_two_thousand_vectors(spark):
+    rng = np.random.default_rng(2)
+    n, k = 2000, 4
+    x = np.round(rng.normal(size=(n, 2)) + rng.integers(0, 2, (n, 2)) * 6, 4)
+    points = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "id long, v array<double>").repartition(4)
+    got = {r.cluster: r for r in ml.kmedoids(points, "id", k, 20, 0.0).collect()}
+    medoids = list(range(k))
+    for _ in range(20):
+        d = np.round(np.abs(x[:, None, :] - x[medoids][None, :, :]).max(axis=2), 9)
+        label = d.argmin(axis=1)
+        new = []
+        for c in range(k):
+            inside = np.flatnonzero(label == c)
+            cost = np.round(np.round(np.abs(x[inside][:, None, :] - x[inside][None, :, :]).max(axis=2), 9).sum(axis=1), 6)
+            new.append(int(inside[cost.argmin()]))
+        if new == medoids:
+            break
+        medoids = new
+    assert [got[c].medoid for c in range(k)] == medoids
+    assert [got[c].n for c in range(k)] == np.bincount(label, minlength=k).tolist()
+    assert got[0].mean_reach == pytest.approx(np.mean([d[label == c, c].max() for c in range(k)]))
+    held = spark.createDataFrame([(int(label[i]), i, x[i].tolist()) for i in range(n)], "cluster int, id long, v array<double>").cache()
+    best, looked = ml.medoids_of(held, "id", ml.chebyshev)
+    assert [best[c][1] for c in range(k)] == medoids and looked < n * n / 20 / 2
+
+
 def test_embedding_keeps_shifted_distances():
     rng = np.random.default_rng(5)
     d = rng.random((9, 9)) + 1
