@@ -4,7 +4,7 @@
 and returns their index rows (file, offset, length, url, digest). The index is committed as a table, so it names
 only the files of tasks that ended well; what a lost or repeated task left is never read. ``read`` takes any
 selection of the index, sorts it by file and offset, joins neighbouring ranges into one read, and parses the
-records.
+records. Each response's payload is measured and hashed as it is read: a record whose headers claim other bytes, or another digest, raises ``Damaged``.
 
 Of pages with equal payloads the one with the largest page_id is a ``response`` record, the others are
 ``revisit`` records that refer to it and carry no payload. Payloads shorter than ``min_revisit_bytes`` are all
@@ -80,21 +80,35 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+class Damaged(ValueError):
+    """A record whose headers do not fit its bytes."""
+
+
 def parse(data: bytes) -> dict:
-    """The fields of a compressed record."""
+    """The fields of a compressed record. Length and digest of a response are those of the payload that was read; headers that say otherwise raise."""
     data = gzip.decompress(data)
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
+    size = int(fields["Content-Length"])
+    block = rest[:size]
+    if len(block) != size or rest[size:] != b"\r\n\r\n":
+        raise Damaged(f"{fields['WARC-Record-ID']}: a block of {size} bytes is claimed, {len(rest) - 4} are there")
     http, _, payload = block.partition(b"\r\n\r\n")
     number = lambda urn: int(x) if (x := urn[len("<urn:page:") : -1]) else None
     revisit = fields["WARC-Type"] == "revisit"
+    digest, length = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(http.rsplit(b"Content-Length: ", 1)[1].split(b"\r\n")[0])
+    if not revisit:
+        claimed, digest, length = (digest, length), base32_sha1(payload), len(payload)
+        if claimed != (digest, length):
+            raise Damaged(f"{fields['WARC-Record-ID']}: digest and length {claimed} are claimed, the payload has {(digest, length)}")
+    elif payload:
+        raise Damaged(f"{fields['WARC-Record-ID']}: a revisit record carries a payload")
     return {
         "page_id": number(fields["WARC-Record-ID"]),
         "url": fields["WARC-Target-URI"],
         "record_type": fields["WARC-Type"],
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
-        "payload_bytes": int(http.rsplit(b"Content-Length: ", 1)[1].split(b"\r\n")[0]),
+        "payload_digest": digest,
+        "payload_bytes": length,
         "refers_to": number(fields["WARC-Refers-To"]) if revisit else None,
         "payload": None if revisit else payload,
     }

@@ -1,6 +1,7 @@
 """Chat formatting, whitening and phrases against plain versions, and the edge cases of their docstrings."""
 
 import collections
+import gzip
 import hashlib
 import json
 import random
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sequora.llm import chat, phrases, whitening
+from sequora.llm import chat, licenses, phrases, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -205,3 +206,16 @@ def test_chunks_own_each_word_once():
         assert inside == words[at : at + len(inside)] and len(inside) == min(owned + phrases.LONGEST - 1, len(words) - at)
         at += owned
     assert at == len(words)
+
+
+def test_false_headers_raise():
+    good = warc.record(7, "http://e", b"abc", None, False)
+    assert warc.parse(gzip.compress(good))["payload_bytes"] == 3
+    for old, new in ((b"Content-Length: 3", b"Content-Length: 999"), (warc.base32_sha1(b"abc").encode(), warc.base32_sha1(b"abd").encode()), (b"abc\r\n", b"abd\r\n"), (b"abc\r\n", b"ab\r\n")):
+        assert old in good
+        with pytest.raises(warc.Damaged):
+            warc.parse(gzip.compress(good.replace(old, new)))
+    again = warc.record(8, "http://e", b"abc", 7, True)
+    assert warc.parse(gzip.compress(again))["payload_digest"] == warc.base32_sha1(b"abc")
+    with pytest.raises(warc.Damaged):
+        warc.parse(gzip.compress(again.replace(b"\r\n\r\n\r\n\r\n", b"\r\n\r\nabc\r\n\r\n")))

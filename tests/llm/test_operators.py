@@ -195,7 +195,7 @@ def test_toxicity_kernel_is_an_inner_product_and_the_table_gives_it():
     for key, v in f[0].items():
         table[key] += v
     held = np.frombuffer(b"".join(w[:-1] for w in words) + b"\0", np.uint8)
-    assert np.allclose(toxicity.decisions(table, held)[1], k[:, 0], atol=1e-5)
+    assert np.allclose(toxicity.decisions(toxicity.Known(table), held)[1], k[:, 0], atol=1e-5)
 
 
 def test_toxicity_sees_through_inserted_signs():
@@ -435,7 +435,7 @@ def test_toxicity_kernel_has_norm_one_and_nystroem_gives_it_between_landmarks():
     for key, v in f[3].items():
         table[key] += v
     held = np.frombuffer(b"".join(w[:-1] for w in words) + b"\0", np.uint8)
-    first, value = toxicity.decisions(table, held)
+    first, value = toxicity.decisions(toxicity.Known(table), held)
     assert np.allclose(value, k[:, 3], atol=1e-5) and len(first) == len(words)
 
 
