@@ -91,16 +91,49 @@ def symbols(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.searchsorted(owner, np.arange(n + 1)), held
 
 
-def _distinct(held: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, which): the distinct fragments [first, last] joined end to end by their gaps; for each fragment, which it is."""
-    sums = np.zeros(len(held) + 1, np.uint64)
-    up, down = powers(len(held) + 1)
-    np.cumsum(_CODE[held] * up[: len(held)], out=sums[1:])
-    h = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-    _, one, which = np.unique(h, return_index=True, return_inverse=True)
-    size = last[one] - first[one]  # with the gap before, without the one behind
-    at = np.repeat(first[one] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return np.append(held[at], np.uint8(_GAP)), which
+#: Distinct fragments whose values a task remembers; when it knows more, it starts anew.
+REMEMBERED = 1 << 19
+
+
+class Known:
+    """Values of the fragments that a task has met: sorted hashes and values, and what came since they were last sorted. A corpus repeats its words."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def _settled(self) -> None:
+        if self.waiting > max(4096, len(self.hashes) // 4):
+            kept = len(self.hashes) + self.waiting <= REMEMBERED
+            h, v = (np.concatenate(x) for x in zip(*([(self.hashes, self.values)] if kept else []), *self.fresh))
+            self.hashes, at = np.unique(h, return_index=True)
+            self.values, self.fresh, self.waiting = v[at], [], 0
+
+    def of(self, held: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The value of each fragment [first, last]; only fragments that are new are joined by their gaps and scored."""
+        sums = np.zeros(len(held) + 1, np.uint64)
+        up, down = powers(len(held) + 1)
+        np.cumsum(_CODE[held] * up[: len(held)], out=sums[1:])
+        h = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+        h, one, which = np.unique(h, return_index=True, return_inverse=True)
+        values = np.zeros(len(h), np.float32)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            met = self.hashes[at] == h
+            values[met] = self.values[at[met]]
+        else:
+            met = np.zeros(len(h), bool)
+        one = one[~met]
+        if len(one):
+            size = last[one] - first[one]  # with the gap before, without the one behind
+            at = np.repeat(first[one] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            values[~met] = _values(self.table, np.append(held[at], np.uint8(_GAP)))
+            self.fresh.append((h[~met], values[~met]))
+            self.waiting += len(one)
+            self._settled()
+        return values[which]
 
 
 def _values(table: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -128,7 +161,7 @@ def _values(table: np.ndarray, s: np.ndarray) -> np.ndarray:
     return (total / np.sqrt(np.maximum(np.bincount(fragment, weights * weights, n), 1e-12))).astype(np.float32)
 
 
-def decisions(table: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def decisions(known: Known, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, value) of each fragment: its inner product with the table, over its norm."""
     gaps = np.flatnonzero(held == _GAP)
     first, last = gaps[:-1], gaps[1:]
@@ -136,8 +169,7 @@ def decisions(table: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first, last = first[real], last[real]
     if not len(first):
         return first, np.zeros(0, np.float32)
-    s, which = _distinct(held, first, last)
-    return first, _values(table, s)[which]
+    return first, known.of(held, first, last)
 
 
 def features(fragment: bytes) -> Counter:
@@ -283,7 +315,7 @@ def train(toxic: Counter, clean: Counter, n: list[int], seed: int = 7) -> dict |
         for b, f in zip(whiten @ w, marks):
             for k, v in f.items():
                 table[k] += b * v
-        value = decisions(table, said)[1] + bias
+        value = decisions(Known(table), said)[1] + bias
         worst = np.argsort(-value, kind="stable")[: EXAMPLES // 3]
         hard = [pool[i] for i in worst if value[i] > -0.9]
         negative = list(dict.fromkeys(negative + hard))[-EXAMPLES:]
@@ -319,8 +351,9 @@ def fit(docs: DataFrame, labels: DataFrame):
     held = context.broadcast(machine)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(held.value["table"])
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(best_values(held.value, batch.column(1)), pa.float64())], names=["doc_id", "label", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(best_values(held.value, known, batch.column(1)), pa.float64())], names=["doc_id", "label", "value"])
 
     rows = sorted((r.doc_id, r.label, r.value) for r in sample.mapInArrow(values, "doc_id string, label int, value double").collect())
     slope, offset = _sigmoid_fit(np.array([r[2] for r in rows]), np.array([r[1] for r in rows], float))
@@ -331,12 +364,12 @@ def fit(docs: DataFrame, labels: DataFrame):
 NOTHING = -3.0
 
 
-def best_values(model: dict, column: pa.Array) -> list[float]:
+def best_values(model: dict, known: Known, column: pa.Array) -> list[float]:
     """The largest decision value of each text."""
     out: list[float] = []
     for _, _, offsets, data in slices(column):
         at, held = symbols(offsets, data)
-        first, value = decisions(model["table"], held)
+        first, value = decisions(known, held)
         best = np.full(len(at) - 1, NOTHING)
         if len(first):
             owner = np.searchsorted(at, first, "right") - 1
@@ -371,8 +404,9 @@ def training_texts(docs: DataFrame, labels: DataFrame, target: str, rows: int) -
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(model.value["table"])
         for batch in batches:
-            p = probability(model.value, best_values(model.value, batch.column(1)))
+            p = probability(model.value, best_values(model.value, known, batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
     return run
