@@ -219,3 +219,57 @@ def test_false_headers_raise():
     assert warc.parse(gzip.compress(again))["payload_digest"] == warc.base32_sha1(b"abc")
     with pytest.raises(warc.Damaged):
         warc.parse(gzip.compress(again.replace(b"\r\n\r\n\r\n\r\n", b"\r\n\r\nabc\r\n\r\n")))
+
+
+def found_plainly(items):
+    """Rules against an identifier sequence, written apart: at each place the first rule whose identifiers follow in order, each at most MAX_GAP sentences behind the last."""
+    used, out = set(), []
+    for i in range(len(items)):
+        if i in used:
+            continue
+        for licence, kind, wanted in licenses.RULES:
+            places = [i] if items[i][1] == wanted[0] else []
+            for want in wanted[1:] if places else ():
+                options = [j for j in range(places[-1] + 1, len(items)) if j not in used and items[j][1] == want and items[j][0] <= items[places[-1]][0] + licenses.MAX_GAP + 1]
+                if not options:
+                    places = []
+                    break
+                places.append(options[0])
+            if places:
+                used |= set(places)
+                out.append((licence, kind, items[places[0]][2], items[places[-1]][3]))
+                break
+    return out
+
+
+def test_licence_rules_against_a_plain_matcher():
+    r = random.Random(6)
+    kinds = [*licenses.SENTENCES, "tag:MIT", "notice:GPL-2.0-only"]
+    for _ in range(400):
+        at, items = 0, []
+        for n in range(r.randrange(1, 12)):
+            at += r.choice([0, 1, 1, 2, 5])
+            items.append((at, r.choice(kinds if r.random() < 0.4 else ["gpl-grant", "version-2", "version-2-later", "gnu-warranty", "mit-grant", "mit-condition", "as-is"]), n * 10, n * 10 + 5))
+        assert [(m["licence"], m["rule"], m["start"], m["end"]) for m in licenses.match(items)] == found_plainly(items)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0-only"]),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */", ["GPL-2.0-or-later"]),
+        ("# SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) AND BSD-3-Clause\nMIT", ["GPL-2.0-or-later", "BSD-3-Clause"]),
+        ("This is NOT, in any way, released under the MIT License.", []),
+        ("It is not new, but it is released under the MIT License.", ["MIT"]),
+        ("Licensed under GPLv3.", ["GPL-3.0"]),
+        ("Released under LGPL v2.1 or later", ["LGPL-2.1-or-later"]),
+        ("This program is distributed under the terms of the GNU General Public License version 2 only.", ["GPL-2.0-only"]),
+        ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nCopyright", ["GPL-3.0"]),
+        ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", ["Apache-2.0"]),
+        ("Mozilla Public License Version 2.0\n1. Definitions", ["MPL-2.0"]),
+    ],
+)
+def test_licences_of_one_text(text, want):
+    assert re.search(licenses._MARKED, text)
+    assert [m["licence"] for m in licenses.match(licenses.identify(text))] == want

@@ -328,7 +328,7 @@ License, v. 2.0. If a copy of the MPL was not distributed with this file, You ca
     texts = [(1, mit), (2, block(mit, " * ")), (3, block(mit, "REM ")), (4, apache), (5, block(apache, "# ")), (6, gpl % ":"), (7, block(gpl % ";", "// ")), (8, bsd), (9, mpl), (10, ids), (11, "\u0130 is licensed under the MIT License and licensed under CC BY 4.0 too"), (12, "Released under the MIT. License it")]
     got = [(r.doc_id, r.licence, r.rule) for r in licenses.scan(docs_of(spark, texts)).orderBy("doc_id", "start").collect()]
     want = [(1, "MIT", "full"), (2, "MIT", "full"), (3, "MIT", "full"), (4, "Apache-2.0", "full"), (5, "Apache-2.0", "full"), (6, "GPL", "grant"), (7, "GPL", "grant"), (8, "BSD", "partial"), (9, "MPL-2.0", "notice")]
-    assert got == want + [(10, x, "notice") for x in ("MIT", "Apache-2.0", "GPL-3.0")] + [(11, "MIT", "notice"), (11, "CC-BY-4.0", "notice")]
+    assert got == want + [(10, x, "notice") for x in ("MIT", "Apache-2.0", "GPL-3.0-or-later")] + [(11, "MIT", "notice"), (11, "CC-BY-4.0", "notice")]
     (_, _, lo, hi), *_ = licenses.identify(mpl)
     assert mpl[lo:hi].startswith("This Source") and mpl[lo:hi].endswith("v. 2.0")
 
@@ -476,13 +476,14 @@ def test_licence_sentences_match_a_plain_search():
     for _ in range(300):
         parts = [r.choice([r.choice(list(licenses._KNOWN)), " ".join(r.choices(LICENCE_WORDS, k=3)), "filler words"]) for _ in range(6)]
         text = " ".join(p.upper() if r.random() < 0.3 else p for p in parts)
-        words, want, i = text.lower().split(), [], 0
+        words, want, i, since = text.lower().split(), [], 0, 0
         while i < len(words):
             hit = max((s for s in licenses._KNOWN if words[i : i + len(s.split())] == s.split()), key=len, default=None)
-            if hit and not (licenses._KNOWN[hit].endswith("-notice") and {"not", "never"} & set(words[max(0, i - 3) : i])):
+            if hit and not (licenses._KNOWN[hit].endswith("-notice") and {"not", "never"} & set(words[since:i])):
                 want.append(licenses._KNOWN[hit])
             i += len(hit.split()) if hit else 1
-        assert [x[1] for x in licenses.identify(text)] == want
+            since = i if hit else since
+        assert [x[1] for x in licenses.identify(text) if not x[1].startswith("notice:")] == want
 
 
 def test_licence_rules_and_denials(spark):
@@ -503,7 +504,7 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
     texts = [(1, bsd3), (2, bsd3.replace("3. Neither", "x").replace("endorse or promote", "sell")), (3, lgpl), (4, isc), (5, "This is NOT released under the MIT license."), (6, "It isn't licensed under the Apache License, Version 2.0."), (7, "Not only licensed under the MIT license"), (8, "SPDX-License-Identifier: BSD-3-Clause"), (8, "SPDX-License-Identifier: BSD-3-Clause"), (None, "licensed under the MIT license " + prose(1, 30_000))]
     got = sorted(((r.doc_id, r.licence, r.rule) for r in licenses.scan(docs_of(spark, texts)).collect()), key=str)
-    want = [(1, "BSD-3-Clause", "full"), (2, "BSD-2-Clause", "full"), (3, "LGPL-2.1", "full"), (4, "ISC", "full"), (7, "MIT", "notice"), (8, "BSD-3-Clause", "notice"), (8, "BSD-3-Clause", "notice"), (None, "MIT", "notice")]
+    want = [(1, "BSD-3-Clause", "full"), (2, "BSD-2-Clause", "full"), (3, "LGPL-2.1-or-later", "full"), (4, "ISC", "full"), (7, "MIT", "notice"), (8, "BSD-3-Clause", "notice"), (8, "BSD-3-Clause", "notice"), (None, "MIT", "notice")]
     assert got == sorted(want, key=str)
 
 
