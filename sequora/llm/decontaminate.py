@@ -3,7 +3,7 @@
 Texts and items become sequences of words: white space splits, signs go, letters are lower-cased. Numbers, names (a
 capital inside a sentence) and units (behind a number) become typed placeholders, so that a question asked again
 with other values keeps its template. Windows of ``WIDTH`` template words are hashed and joined with those of the
-benchmark. Where a window has placeholders, the words in its slots are compared too: along one alignment, equal
+benchmark; a bitmap of its hashes lets only those windows of a text become rows that may meet one. Where a window has placeholders, the words in its slots are compared too: along one alignment, equal
 slots of the item must hold equal words in the text and different ones different words. Windows without slots need no
 such check and count whatever the others of their alignment hold.
 
@@ -75,28 +75,70 @@ def _sequences(rows: DataFrame, key: str) -> DataFrame:
     return held.select(key, template.alias("t"), words.alias("w"), slots.alias("r"))
 
 
-def _windows(seq: DataFrame, key: str, widths: list[int], longest: int) -> DataFrame:
+def _both(x: Column, y: Column) -> Column:
+    return F.xxhash64(x, y)
+
+
+def _windows(seq: DataFrame, key: str, widths: list[int], longest: int, kept: DataFrame | None = None) -> DataFrame:
     """(key, width, at, h, slots): the windows of some widths; slots is null where a window has none, or is no template.
 
-    Only windows of the longest width come from anywhere in a text; shorter ones belong to short items.
+    Only windows of the longest width come from anywhere in a text; shorter ones belong to short items. With ``kept`` (one row, a bitmap of hashes), windows whose
+    hash is not in it go before they become rows, and only those that stay get their slots.
     """
 
-    def windows(width: int) -> Column:
-        least = -(-LITERAL_EIGHTHS * width // 8) if width == longest else min(width, LITERAL_LEAST)
+    def along(name: str, width: int, join) -> Column:
+        """What each window's words give together: runs of 1, 2, 4 ... words, joined end to end."""
+        run = 1 << (width.bit_length() - 1)
+        out, done = F.col(f"{name}{run}"), run
+        while done < width:
+            run = 1 << ((width - done).bit_length() - 1)
+            out, done = F.zip_with(out, F.slice(f"{name}{run}", done + 1, F.size("t")), join), done + run
+        return out
 
-        def window(i: Column) -> Column:
-            at = [i + k for k in range(width)]
-            literal = sum((F.get("r", j).isNull().cast("int") for j in at), F.lit(0))
-            template, exact = F.xxhash64(*[F.get("t", j) for j in at]), F.xxhash64(*[F.get("w", j) for j in at], F.lit("exact"))
-            h = F.when(F.col("plain"), template).otherwise(F.when(literal >= least, template).otherwise(exact))
-            slots = F.when(~F.col("plain"), F.when((literal >= least) & (literal < width), F.slice("r", i + 1, F.lit(width))))
-            return F.struct(F.lit(width).alias("width"), i.alias("at"), h.alias("h"), slots.alias("slots"))
+    def hashes(width: int) -> Column:
+        least = -(-LITERAL_EIGHTHS * width // 8) if width == longest else min(width, LITERAL_LEAST)
+        exact = lambda i: F.xxhash64(F.concat(F.slice("w", i + 1, F.lit(width)), F.array(F.lit(-1).cast("long"))))
+        number = F.greatest(F.size("t") - width + 1, F.lit(0))
+        template = F.slice(along("t", width, _both), 1, number)
+        return F.when(F.col("plain"), template).otherwise(F.transform(template, lambda x, i: F.when(F.get(f"literal{width}", i) >= least, x).otherwise(exact(i))))
 
-        return F.when(F.size("t") >= width, F.transform(F.sequence(F.lit(0), F.size("t") - width), window)).otherwise(F.array().cast("array<struct<width:int,at:int,h:bigint,slots:array<bigint>>>"))
+    def windows(width: int) -> Column:
+        least = -(-LITERAL_EIGHTHS * width // 8) if width == longest else min(width, LITERAL_LEAST)
+        literal = lambda i: F.get(f"literal{width}", i)
+        slotted = lambda i: F.when(F.col("plain"), False).otherwise((literal(i) >= least) & (literal(i) < width))
+        window = lambda h, i: F.struct(F.lit(width).alias("width"), i.alias("at"), h.alias("h"), slotted(i).alias("slotted"))
+        if kept is None:
+            return F.transform(f"h{width}", window)
+        there = lambda h: F.getbit(F.get("bits", F.shiftrightunsigned(h, 6).bitwiseAND(F.size("bits") - 1).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+        return F.filter(F.transform(f"h{width}", lambda h, i: F.when(there(h), window(h, i))), lambda x: x.isNotNull())
 
     # a text without any slot needs no look at them
-    held = seq.withColumn("plain", ~F.exists("r", lambda x: x.isNotNull()))
-    return held.select(key, F.explode(F.concat(*[windows(w) for w in widths])).alias("x")).select(key, "x.*")
+    held = seq.select(key, "r", "w", "t", F.col("t").alias("t1"), (~F.exists("r", lambda x: x.isNotNull())).alias("plain"), F.transform("r", lambda x: x.isNull().cast("int")).alias("c1"))
+    run = 1
+    while 2 * run <= max(widths):
+        both = [F.zip_with(f"t{run}", F.slice(f"t{run}", run + 1, F.size("t")), _both).alias(f"t{2 * run}")]
+        both.append(F.when(~F.col("plain"), F.zip_with(f"c{run}", F.slice(f"c{run}", run + 1, F.size("t")), lambda x, y: x + y)).alias(f"c{2 * run}"))
+        held, run = held.select("*", *both), 2 * run
+    held = held.select("*", *[F.when(~F.col("plain"), along("c", w, lambda x, y: x + y)).alias(f"literal{w}") for w in widths])
+    held = held.select(key, "r", "plain", *[f"literal{w}" for w in widths], *[hashes(w).alias(f"h{w}") for w in widths])
+    if kept is not None:
+        held = held.join(F.broadcast(kept))  # one row
+    rows = held.select(key, "r", F.explode(F.concat(*[windows(w) for w in widths])).alias("x")).select(key, "r", "x.*")
+    return rows.select(key, "width", "at", "h", F.when(F.col("slotted"), F.slice("r", F.col("at") + 1, F.col("width"))).alias("slots"))
+
+
+#: Bits of the bitmap of benchmark hashes for each of its windows, and the most words of 64 bits it has (1 MB); with more windows it keeps more of the texts', none is lost.
+BITS_PER_WINDOW, MOST_WORDS = 64, 1 << 17
+
+
+def _bitmap(asked: DataFrame, rows: int) -> DataFrame:
+    """(bits): one row, an array of words with the bits of all hashes set; its length is a power of two."""
+    words = min(MOST_WORDS, max(64, 1 << max(0, (rows * BITS_PER_WINDOW // 64 - 1).bit_length())))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(words - 1)
+    said = asked.select(word.alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    every = asked.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit"))
+    one = said.unionByName(every).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    return cut(one.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bit"))), lambda x: x["bit"]).alias("bits")), "bitmap")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, run: int = RUN, shortest: int = SHORTEST) -> DataFrame:
@@ -109,9 +151,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
         part = _windows(items.where(F.col("width") == size).drop("width"), "item_id", [size], width)
         asked = part if asked is None else asked.unionByName(part)
     asked = cut(asked.withColumnsRenamed({"at": "j", "slots": "wanted"}), "windows")
-    if asked.count() <= BROADCAST_ROWS:
+    rows = asked.count()
+    kept = _bitmap(asked, rows)
+    if rows <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
-    texts = _windows(_sequences(docs.select("doc_id", "text"), "doc_id"), "doc_id", sizes, width)
+    texts = _windows(_sequences(docs.select("doc_id", "text"), "doc_id"), "doc_id", sizes, width, kept)
     hits = cut(texts.join(asked, ["width", "h"]).select("doc_id", "item_id", "width", "at", "j", "slots", "wanted"), "hits")
 
     lane = ["doc_id", "item_id", "width", (F.col("at") - F.col("j")).alias("lane")]
