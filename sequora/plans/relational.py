@@ -14,8 +14,9 @@ from sequora.operators.sequences import r6
 from sequora.operators.spatial import coverage, re_origin
 from sequora.plans.registry import EV, GAP, query
 from sequora.plans.transitions import P1, operator, steady
-from sequora.sources import formats
+from sequora.sources import formats, npy
 from sequora.sources.bindings import event_sequence, group_of, table
+from sequora.sources.storage import fresh_path
 
 
 @query(f"WITH {EV} SELECT rec, t, value FROM ev WHERE label = 2")
@@ -258,3 +259,19 @@ def matrix_from_arrays(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_regionkey").toPandas()
     keys = nations.n_nationkey.to_numpy()
     return formats.matrix_from_arrays(spark, [[r, k, 2 * k] for k, r in zip(keys.tolist(), nations.n_regionkey.tolist())])
+
+
+#: Lines of the written matrix that a task reads.
+NPY_LINES = 40
+
+
+@query(f"WITH {EV}, c AS (SELECT rec, label AS j, count(*)::DOUBLE AS v FROM ev GROUP BY ALL), r AS (SELECT DISTINCT rec FROM ev), g AS (SELECT rec, unnest([0, 2, 4])::INT AS j FROM r) SELECT (dense_rank() OVER (ORDER BY g.rec) - 1)::BIGINT AS i, g.j, v FROM g LEFT JOIN c USING (rec, j)")
+def matrix_npy(spark, sf_dir):
+    """Symbol counts of the recordings as a matrix in array files, missing where a symbol never comes; read back by ranges of lines, three of its columns."""
+    npy.register(spark)
+    n = event_sequence(spark, sf_dir).groupBy("rec").pivot("label", list(range(5))).agg(F.count(F.lit(1)).cast("double"))
+    lines = formats.numbered(n, ["rec"], "i").select("i", F.array(*[F.col(f"`{j}`") for j in range(5)]).alias("row"))
+    path = fresh_path(spark, "npy")
+    lines.repartitionByRange("i").write.format("npy").mode("append").save(path)
+    back = spark.read.format("npy").options(lines=NPY_LINES, columns="0,2,4").load(path)
+    return back.select("i", F.posexplode("row").alias("at", "v")).select("i", (F.col("at") * 2).cast("int").alias("j"), "v")
