@@ -70,46 +70,67 @@ def recursive_partition(seq: DataFrame, lag: int, n_final: int, height: float =
     return out
 
 
-def clustered(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Labels of Lloyd's rounds from a fixed start: evenly spaced rows in the order of their first entries."""
+def clustered(x: np.ndarray, k: int, rounds: int, seed: int = 0) -> np.ndarray:
+    """Labels by mini-batch k-means: ``rounds`` passes over seeded batches of 5 k rows, from a fixed start (evenly spaced rows in the order of their entries).
+
+    A batch moves each centre to the mean of all rows it was given so far; the labels are those of the last centres.
+    """
     order = np.lexsort(x.T[::-1])
-    centres = x[order[((np.arange(k) + 0.5) * len(x) / k).astype(int)]]
+    centres = x[order[((np.arange(k) + 0.5) * len(x) / k).astype(int)]].astype(float)
+    given, rng, size = np.zeros(k), np.random.default_rng(seed), 5 * k
+    nearest = lambda rows: ((rows[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
     for _ in range(rounds):
-        label = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-        centres = np.array([x[label == i].mean(axis=0) if (label == i).any() else centres[i] for i in range(k)])
-    return ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-
-
-def cell_entropy(values: np.ndarray, delay: int, k: int, rounds: int, least_rows: int) -> float:
-    """Entropy rate of one cell: delay vectors of a signal with gaps, clustered, transitions between neighbours; NaN below some number of rows."""
-    there = ~np.isnan(values)
+        turn = rng.permutation(len(x))
+        for lo in range(0, len(x), size):
+            batch = x[turn[lo : lo + size]]
+            label = nearest(batch)
+            n = np.bincount(label, minlength=k)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, label, batch)
+            given += n
+            met = n > 0
+            centres[met] += (sums[met] - n[met, None] * centres[met]) / given[met, None]
+    return np.concatenate([nearest(x[lo : lo + 4096]) for lo in range(0, len(x), 4096)])
+
+
+def cell_entropy(values: np.ndarray, delay: int, k: int, rounds: int, least_rows: int, seed: int = 0) -> float:
+    """Entropy rate of one cell: delay vectors of rows of vectors with gaps (a row with a missing entry is one), clustered, transitions between neighbours; NaN below some number of rows."""
+    values = values.reshape(len(values), -1)
+    there = ~np.isnan(values).any(axis=1)
     if there.sum() <= least_rows:
         return np.nan
-    width = delay
-    starts = [i for i in range(len(values) - width) if there[i : i + width + 1].all()]  # the last window of a segment is left out
-    x = np.array([values[i : i + width] for i in starts])
-    label = clustered(x, k, rounds)
-    at = np.array(starts)
+    whole = np.convolve(there, np.ones(delay + 1, int), "valid") == delay + 1  # the last window of a segment is left out
+    at = np.flatnonzero(whole)
+    if len(at) < k:
+        return np.nan
+    x = values[at[:, None] + np.arange(delay)].reshape(len(at), -1)
+    label = clustered(x, k, rounds, seed)
     near = np.flatnonzero(np.diff(at) == 1)
+    if not len(near):
+        return np.nan
     cells = pd.DataFrame({"src": label[near], "dst": label[near + 1]}).value_counts().rename("n").reset_index()
     _, p = kn.dense(cells)
     pi = kn.stationary(p)
     return float(-(pi[:, None] * np.where(p > 0, p * np.log(np.where(p > 0, p, 1)), 0)).sum())
 
 
-def entropy_sweep(seq: DataFrame, key: str, sweep: SweepParameters) -> DataFrame:
-    """(seed, delay, clusters, h): each seed samples a run of rows of each group; its cells share the sample."""
+def entropy_sweep(seq: DataFrame, key: str, sweep: SweepParameters, value: str = "value") -> DataFrame:
+    """(seed, delay, clusters, h): each seed samples a run of rows of each group; its cells share the sample. ``value`` is a number or an array of numbers per row."""
     grid = F.array(*[F.struct(F.lit(d).alias("delay"), F.lit(k).alias("clusters")) for d in sweep.delays for k in sweep.clusters])
+    vector = F.col(value) if seq.schema[value].dataType.typeName() == "array" else F.array(value)
+    seq = seq.withColumn("_v", vector.cast("array<double>"))
     samples = None
     for seed in sweep.seeds:
-        part = window_sample(seq, key, sweep.rows, seed).select(F.lit(seed).alias("seed"), key, "place", "value")
+        part = window_sample(seq, key, sweep.rows, seed).select(F.lit(seed).alias("seed"), key, "place", F.col("_v").alias("value"))
         samples = part if samples is None else samples.unionByName(part)
     cells = samples.select("*", F.explode(grid).alias("g")).select("seed", "g.delay", "g.clusters", key, "place", "value")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows.sort_values([key, "place"]).value.to_numpy(float)
+        held = [None if v is None else np.array([np.nan if x is None else x for x in v], float) for v in rows.sort_values([key, "place"]).value]
+        width = max((len(v) for v in held if v is not None), default=1)
+        values = np.array([np.full(width, np.nan) if v is None or len(v) != width else v for v in held])
         seed, delay, k = (int(rows[c].iloc[0]) for c in ("seed", "delay", "clusters"))
-        return pd.DataFrame({"seed": [seed], "delay": [delay], "clusters": [k], "h": [cell_entropy(values, delay, k, sweep.rounds, sweep.least_rows)]})
+        return pd.DataFrame({"seed": [seed], "delay": [delay], "clusters": [k], "h": [cell_entropy(values, delay, k, sweep.rounds, sweep.least_rows, seed)]})
 
     out = cells.groupBy("seed", "delay", "clusters").applyInPandas(run, "seed int, delay int, clusters int, h double")
     return out.withColumn("h", F.when(~F.isnan("h"), F.col("h")))

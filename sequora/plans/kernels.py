@@ -505,10 +505,11 @@ def entropy_sweep(spark, sf_dir):
 
 @query()
 def entropy_sweep_cells(spark, sf_dir):
-    """Entropy rate for each seed, delay and number of clusters: sampled runs of each group, delay vectors, k-means from a fixed start, transitions.
+    """Entropy rate for each seed, delay and number of clusters: sampled runs of each group, delay vectors of rows of two signals, mini-batch k-means, transitions.
 
     The grid is a column; a cell's rows are the groups' runs, a size that parameters set, so each cell is one task.
     """
     sweep = SweepParameters(seeds=(0, 1), delays=(1, 2), clusters=(3, 5), rows=100)
-    seq = event_sequence(spark, sf_dir).select("rec", "t", "value").withColumn("grp", group_of())
+    both = F.array(F.col("value") / 490, F.col("k") / 100)
+    seq = event_sequence(spark, sf_dir).select("rec", "t", both.alias("value")).withColumn("grp", group_of())
     return partition.entropy_sweep(seq, "grp", sweep).select("seed", "delay", "clusters", r6(F.col("h")).alias("h"))

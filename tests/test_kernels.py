@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sequora.config import SweepParameters
 from sequora.operators import kernels as kn, learning as ml, markov, motion, pairs, partition, sequences as sq
@@ -382,18 +383,18 @@ def test_entropy_sweep(run, spark, events):
 
     got = run("entropy_sweep_cells")
     assert len(got) == 8 and set(got.seed) == {0, 1}
-    seq = event_sequence(spark, SF).select("rec", "t", "value").withColumn("grp", group_of())
+    both = F.array(F.col("value") / 490, F.col("k") / 100)
+    seq = event_sequence(spark, SF).select("rec", "t", both.alias("value")).withColumn("grp", group_of())
     rows = window_sample(seq, "grp", 100, 1).toPandas().sort_values(["grp", "place"])
-    values = rows.value.to_numpy()
     segments, part = [], []
-    for v in [*values, np.nan]:
-        if np.isnan(v):
+    for v in [*rows.value, None]:
+        if v is None:
             segments, part = segments + [part], []
         else:
-            part.append(v)
-    windows = [[s[i : i + 2] for i in range(len(s) - 2)] for s in segments]
+            part.append(list(v))
+    windows = [[s[i] + s[i + 1] for i in range(len(s) - 2)] for s in segments]
     x = np.array([w for s in windows for w in s])
-    label = iter(partition.clustered(x, 3, 10))
+    label = iter(plain_minibatch(x, 3, 10, 1))
     p = counted([[next(label) for _ in s] for s in windows], 1, 3)
     p = p / p.sum(axis=1, keepdims=True)
     pi = np.linalg.matrix_power(p, 500)[0]
@@ -401,6 +402,22 @@ def test_entropy_sweep(run, spark, events):
     assert got.query("seed == 1 and delay == 2 and clusters == 3").h.iloc[0] == pytest.approx(want, abs=1e-5)
 
 
+def plain_minibatch(x, k, rounds, seed):
+    """One row after the other inside a batch, whose labels are those before it."""
+    order = sorted(range(len(x)), key=lambda i: tuple(x[i]))
+    centres = [x[order[int((j + 0.5) * len(x) / k)]].copy() for j in range(k)]
+    given, rng = [0] * k, np.random.default_rng(seed)
+    nearest = lambda v: min(range(k), key=lambda j: ((v - centres[j]) ** 2).sum())
+    for _ in range(rounds):
+        turn = rng.permutation(len(x))
+        for lo in range(0, len(x), 5 * k):
+            batch = [(x[i], nearest(x[i])) for i in turn[lo : lo + 5 * k]]
+            for v, j in batch:
+                given[j] += 1
+                centres[j] += (v - centres[j]) / given[j]
+    return [nearest(v) for v in x]
+
+
 def test_lloyd_from_a_fixed_start():
     x = np.r_[np.zeros((5, 2)), np.ones((5, 2)), np.full((5, 2), 4.0)]
     assert len({*partition.clustered(x, 3, 5)[:5]}) == 1 and len({*partition.clustered(x, 3, 5)}) == 3
