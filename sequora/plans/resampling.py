@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sequora.operators import blocks, resampling as rs, sequences as sq
 from sequora.operators.sequences import r6
-from sequora.plans.registry import EV, GAP, query
+from sequora.plans.registry import EV, GAP, query, split_sql
 from sequora.plans.distributions import WALL, wall_orientation
 from sequora.plans.windows import BINARY, RUNS, dwell_means
 from sequora.sources import formats
@@ -16,7 +16,7 @@ from sequora.sources.storage import cut
 
 REPS = 50
 MEANS = "e AS (SELECT rec, avg(value) AS x, sum(value) AS s, count(*) AS c, (rec % 7)::INT AS grp FROM ev GROUP BY rec), ids AS (SELECT *, row_number() OVER (ORDER BY rec) - 1 AS i, count(*) OVER () AS m FROM e)"
-DRAWS = f"d AS (SELECT rep::INT AS rep, j, floor(('0x' || substr(md5(rep || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE * m)::BIGINT AS i FROM (SELECT DISTINCT m FROM ids), unnest(range(0, {REPS})) AS a(rep), unnest(range(0, m)) AS b(j))"
+DRAWS = split_sql(REPS)
 
 
 def entities(spark, sf_dir):
@@ -35,7 +35,7 @@ def summary(reps, point):
 
 
 def boot_sql(each: str, point: str) -> str:
-    return f"WITH {EV}, {MEANS}, {DRAWS}, r AS (SELECT rep, {each} AS v FROM d JOIN ids USING (i) GROUP BY rep) SELECT round((SELECT {point} FROM e), 6) AS point, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM r"
+    return f"WITH RECURSIVE {EV}, {MEANS}, {DRAWS}, r AS (SELECT rep, {each} AS v FROM d JOIN ids USING (i) GROUP BY rep) SELECT round((SELECT {point} FROM e), 6) AS point, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM r"
 
 
 
@@ -85,7 +85,7 @@ RADII = (100.0, 250.0, 400.0)
 REACHED = f"rd AS (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in RADII)}]) AS radius), q AS (SELECT rec, label, radius, avg(CASE WHEN value <= radius THEN 1 ELSE 0 END) AS x FROM ev, rd GROUP BY ALL)"
 
 
-@query(f"""WITH {EV}, {MEANS}, {DRAWS}, {REACHED}, r AS (SELECT rep, label, radius, avg(q.x) AS m FROM d JOIN ids USING (i) JOIN q USING (rec) GROUP BY ALL), s AS (SELECT rep, label, radius, m / nullif(sum(m) OVER (PARTITION BY rep, radius), 0) AS share FROM r)
+@query(f"""WITH RECURSIVE {EV}, {MEANS}, {DRAWS}, {REACHED}, r AS (SELECT rep, label, radius, avg(q.x) AS m FROM d JOIN ids USING (i) JOIN q USING (rec) GROUP BY ALL), s AS (SELECT rep, label, radius, m / nullif(sum(m) OVER (PARTITION BY rep, radius), 0) AS share FROM r)
 SELECT label, radius, round(quantile_cont(share, 0.025), 6) AS low, round(quantile_cont(share, 0.975), 6) AS high FROM s GROUP BY ALL""")
 def boot_share(spark, sf_dir):
     """Share of each state in what all states reach, at each radius; one draw of recordings serves all states and radii of a replicate."""
@@ -97,7 +97,7 @@ def boot_share(spark, sf_dir):
     return s.groupBy("label", "radius").agg(F.percentile("share", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("label", "radius", r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"))
 
 
-@query(f"""WITH {EV}, {WALL}, ids AS (SELECT *, row_number() OVER (ORDER BY rec) - 1 AS i, count(*) OVER () AS m FROM wc), {DRAWS},
+@query(f"""WITH RECURSIVE {EV}, {WALL}, ids AS (SELECT *, row_number() OVER (ORDER BY rec) - 1 AS i, count(*) OVER () AS m FROM wc), {DRAWS},
  r AS (SELECT rep, sum(towards) AS a, sum(away) AS b, sum(along) AS c FROM d JOIN ids USING (i) GROUP BY rep), s AS (SELECT u.kind, u.n / (a + b + c) AS v FROM r, unnest([{{'kind': 'towards', 'n': a}}, {{'kind': 'away', 'n': b}}, {{'kind': 'along', 'n': c}}]) AS t(u))
 SELECT kind, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM s GROUP BY kind""")
 def boot_wall_orientation(spark, sf_dir):
@@ -110,7 +110,7 @@ def boot_wall_orientation(spark, sf_dir):
     return s.groupBy("kind").agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("kind", r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"))
 
 
-@query(f"""WITH {BINARY}, {RUNS}, w AS (SELECT rec, avg(CASE WHEN label = 0 THEN dur END) AS a, avg(CASE WHEN label = 1 THEN dur END) AS b FROM ru GROUP BY rec HAVING avg(CASE WHEN label = 0 THEN dur END) > 0 AND avg(CASE WHEN label = 1 THEN dur END) > 0),
+@query(f"""WITH RECURSIVE {BINARY}, {RUNS}, w AS (SELECT rec, avg(CASE WHEN label = 0 THEN dur END) AS a, avg(CASE WHEN label = 1 THEN dur END) AS b FROM ru GROUP BY rec HAVING avg(CASE WHEN label = 0 THEN dur END) > 0 AND avg(CASE WHEN label = 1 THEN dur END) > 0),
  ids AS (SELECT *, row_number() OVER (ORDER BY rec) - 1 AS i, count(*) OVER () AS m FROM w), {DRAWS}, r AS (SELECT rep, 2 / (1 / avg(a) + 1 / avg(b)) AS v FROM d JOIN ids USING (i) GROUP BY rep)
 SELECT round((SELECT 2 / (1 / avg(a) + 1 / avg(b)) FROM w), 6) AS point, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM r""")
 def harmonic_timescale_boot(spark, sf_dir):
@@ -136,13 +136,13 @@ def drawn_survivals(spark, sf_dir):
     return n.select("rep", "label", "dur", (1 - F.try_divide(below + (F.col("n") - 1) / 2, F.sum("n").over(by) - 1)).alias("s")).where("s > 1e-12")
 
 
-@query(f"WITH {GAP}, {RUNS}, {SURVIVALS} SELECT label, dur, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM s WHERE s > 1e-12 GROUP BY ALL")
+@query(f"WITH RECURSIVE {GAP}, {RUNS}, {SURVIVALS} SELECT label, dur, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM s WHERE s > 1e-12 GROUP BY ALL")
 def boot_survival(spark, sf_dir):
     s = drawn_survivals(spark, sf_dir)
     return s.groupBy("label", "dur").agg(F.percentile("s", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("label", "dur", r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"))
 
 
-@query(f"""WITH {GAP}, {RUNS}, {SURVIVALS}, f AS (SELECT rep, label, regr_slope(ln(s), dur) AS m, regr_intercept(ln(s), dur) AS b FROM s WHERE s > 1e-12 GROUP BY ALL), t AS (SELECT *, round(-1 / m, 2) AS t FROM f WHERE m IS NOT NULL AND m <> 0)
+@query(f"""WITH RECURSIVE {GAP}, {RUNS}, {SURVIVALS}, f AS (SELECT rep, label, regr_slope(ln(s), dur) AS m, regr_intercept(ln(s), dur) AS b FROM s WHERE s > 1e-12 GROUP BY ALL), t AS (SELECT *, round(-1 / m, 2) AS t FROM f WHERE m IS NOT NULL AND m <> 0)
 SELECT label, round(quantile_cont(m, 0.025), 6) AS slope_low, round(quantile_cont(m, 0.975), 6) AS slope_high, round(quantile_cont(b, 0.025), 6) AS intercept_low, round(quantile_cont(b, 0.975), 6) AS intercept_high, round(quantile_cont(t, 0.025), 6) AS timescale_low, round(quantile_cont(t, 0.975), 6) AS timescale_high FROM t GROUP BY label""")
 def boot_survival_fit(spark, sf_dir):
     """Intervals of the exponential fit to the survival curves of the draws."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sequora.operators import markov, pairs, sequences as sq
 from sequora.operators.sequences import r6
-from sequora.plans.registry import EV, GAP, query
+from sequora.plans.registry import EV, GAP, query, split_sql
 from sequora.sources.storage import cut
 from sequora.sources.bindings import N_STATES, event_sequence, group_of
 
@@ -148,9 +148,9 @@ def chunked_counts(spark, sf_dir):
     return held.select("rec", "chunk", F.col("label").alias("src"), dst.alias("dst")).where("dst is not null").groupBy("rec", "chunk", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {EV}, {CHUNKS}, pr AS (SELECT rec, chunk, label AS src, lead(label) OVER (PARTITION BY rec, chunk ORDER BY t) AS dst FROM ck),
+@query(f"""WITH RECURSIVE {EV}, {CHUNKS}, pr AS (SELECT rec, chunk, label AS src, lead(label) OVER (PARTITION BY rec, chunk ORDER BY t) AS dst FROM ck),
  c AS (SELECT rec, chunk, src, dst, count(*) AS n FROM pr WHERE dst IS NOT NULL GROUP BY ALL), ids AS (SELECT rec, chunk, row_number() OVER (ORDER BY rec, chunk) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT rec, chunk FROM c)),
- d AS (SELECT rep, j, floor(('0x' || substr(md5(rep || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE * m)::BIGINT AS i FROM (SELECT DISTINCT m FROM ids), unnest(range(0, 20)) AS a(rep), unnest(range(0, m)) AS b(j)),
+ {split_sql(20)},
  w AS (SELECT rep, i, count(*) AS times FROM d GROUP BY ALL)
 SELECT rep::INT AS rep, src, dst, sum(times * n)::BIGINT AS n FROM w JOIN ids USING (i) JOIN c USING (rec, chunk) GROUP BY ALL""")
 def chunk_bootstrap_counts(spark, sf_dir):

@@ -52,8 +52,9 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 def placed(rows: DataFrame, keys: list[str], order: list[str], name: str, size: str) -> DataFrame:
     """Adds the place of each row inside its key (from 0) and the key's number of rows; keys are few (a row each is broadcast), their rows many."""
     held = numbered(rows, [*keys, *order], "_i")
-    per = held.groupBy(*keys).agg(F.min("_i").alias("_from"), F.count(F.lit(1)).alias(size))
-    return held.join(F.broadcast(cut(per, "keys")), keys).withColumn(name, F.col("_i") - F.col("_from")).drop("_i", "_from")
+    per = cut(held.groupBy(*keys).agg(F.min("_i").alias("_from"), F.count(F.lit(1)).alias(size)).withColumnsRenamed({k: f"_{k}" for k in keys}), "keys")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return held.join(F.broadcast(per), same).withColumn(name, F.col("_i") - F.col("_from")).drop("_i", "_from", *[f"_{k}" for k in keys])
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
