@@ -53,7 +53,9 @@ def with_words(rows: DataFrame) -> DataFrame:
 
     def word(x: Column, i: Column) -> Column:
         before = F.get("parts", i - 1)
-        return F.struct(F.lower(F.regexp_replace(x, SIGNS, "")).alias("raw"), F.when(x.rlike(NAME), (i > 0) & ~before.rlike(STOPS)).otherwise(False).alias("named"))
+        # few words have a capital: in ASCII, those that lower case changes; only they are held against the expressions
+        capital = (i > 0) & ((x != F.lower(x)) | (F.octet_length(x) != F.char_length(x)))
+        return F.struct(F.lower(F.regexp_replace(x, SIGNS, "")).alias("raw"), F.when(capital, F.when(x.rlike(NAME), ~before.rlike(STOPS)).otherwise(False)).otherwise(False).alias("named"))
 
     parted = rows.withColumn("parts", F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" | ")), SPACE))
     return parted.withColumn("found", F.filter(F.transform("parts", word), lambda w: w["raw"] != "")).drop("parts")
@@ -62,7 +64,9 @@ def with_words(rows: DataFrame) -> DataFrame:
 def placeholder(w: Column, before: Column) -> Column:
     """The placeholder of a word, or null; ``before`` is the word before it."""
     unit = F.when(w["raw"].isin(*UNITS), F.coalesce(before["raw"].rlike("^[0-9]"), F.lit(False))).otherwise(False)
-    return F.when(w["raw"].rlike(NUMBER) | w["raw"].isin(*NUMBER_WORDS), "<num>").when(w["named"], "<name>").when(unit, "<unit>")
+    # what NUMBER matches begins with a digit, that is, stands between "0" and ":" in the order of bytes
+    number = F.when((w["raw"] >= "0") & (w["raw"] < ":"), w["raw"].rlike(NUMBER)).otherwise(w["raw"].isin(*NUMBER_WORDS))
+    return F.when(number, "<num>").when(w["named"], "<name>").when(unit, "<unit>")
 
 
 def _sequences(rows: DataFrame, key: str) -> DataFrame:
