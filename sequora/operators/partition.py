@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sequora.config import SweepParameters
-from sequora.operators import kernels as kn, sequences as sq
+from sequora.operators import kernels as kn, markov, sequences as sq
 from sequora.operators.blocks import here, in_blocks, so_far
 from sequora.operators.resampling import window_sample
 from sequora.sources.storage import cut
@@ -17,14 +17,15 @@ from sequora.sources.storage import cut
 def split_parts(seq: DataFrame, parts: DataFrame, lag: int, height: float) -> DataFrame:
     """(part, state, side): each part's best coherent split along the slowest mode of the transitions between its own rows.
 
-    Counts of all parts come from one pass over the sequence, in which a change of part is a gap; then a part is one small task. States outside the
-    part's largest connected set, and all states of a part without a threshold of some height, have no row.
+    Only rows of the given parts are looked at: of two rows ``lag`` apart in place and in number, all between are there, too; a change of part is a gap. Then
+    a part is one small task. States outside the part's largest connected set, and all states of a part without a threshold of some height, have no row.
     """
-    held = seq.join(F.broadcast(parts.withColumnRenamed("state", "label")), "label", "left")
+    held = seq.select("rec", "t", "label").join(F.broadcast(parts.where("part is not null").withColumnRenamed("state", "label")), "label")  # a row a state
     by = here()
     moved = (~F.col("part").eqNullSafe(F.lag("part").over(by))).cast("int")
     runs = in_blocks(held, ahead=lag).withColumn("moved", moved).withColumn("stay", F.sum("moved").over(so_far()))
-    pairs = runs.select("_own", "part", F.col("label").alias("src"), F.lead("label", lag).over(by).alias("dst"), "stay", F.lead("stay", lag).over(by).alias("later")).where("_own and part is not null and dst is not null and stay = later")
+    later = F.lead(F.struct("t", "label", "stay"), lag).over(by)
+    pairs = runs.select("_own", "part", "t", F.col("label").alias("src"), "stay", later.alias("later")).where(F.col("_own") & (F.col("later.t") == F.col("t") + lag) & (F.col("later.stay") == F.col("stay"))).select("part", "src", F.col("later.label").alias("dst"))
     counts = pairs.groupBy("part", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
     def kernel(key: dict, states: np.ndarray, p: np.ndarray) -> pd.DataFrame:
@@ -42,30 +43,34 @@ def split_parts(seq: DataFrame, parts: DataFrame, lag: int, height: float) -> Da
 
 
 def subdivided(parts: DataFrame, split: DataFrame, part: int) -> DataFrame:
-    """(state, part): one part replaced by the two sides of its split; numbers are dense again, states left behind by the split are missing."""
+    """(state, part): one part replaced by the two sides of its split, which get the last numbers; numbers stay dense, states left behind by the split are missing."""
+    last = parts.agg(F.max("part").alias("last"))
     sides = split.where(F.col("part") == part).select("state", "side")
-    joined = parts.join(F.broadcast(sides), "state", "left")
-    raw = F.when(F.col("part") != part, F.col("part").cast("double")).otherwise(F.col("side") + 0.5 + F.lit(1e6))
-    held = joined.select("state", raw.alias("raw"))
-    number = held.where("raw is not null").select("raw").distinct().select("raw", (F.row_number().over(Window.orderBy("raw")) - 1).cast("int").alias("part"))
-    return held.join(F.broadcast(number), "raw", "left").select("state", "part")
+    held = parts.join(F.broadcast(sides), "state", "left").join(F.broadcast(last))
+    return held.select("state", F.when(F.col("part") == part, F.col("last") + F.col("side")).otherwise(F.col("part") - (F.col("part") > part).cast("int")).alias("part"))
 
 
 def recursive_partition(seq: DataFrame, lag: int, n_final: int, height: float = 0.5) -> DataFrame:
     """(level, state, part): the part with the largest measure is split again and again, until there are ``n_final`` or none can be split.
 
-    The measure is the share of the sequence's rows. Each level counts anew inside the parts; a heaviest part that has no split gives way to the next one.
+    The measure is the stationary one of the whole matrix. Splits of parts are kept from level to level: only the rows of the two new parts are counted
+    anew. A heaviest part that has no split gives way to the next one.
     """
-    weight = cut(seq.where("label is not null").groupBy(F.col("label").alias("state")).agg(F.count(F.lit(1)).alias("w")), "weights")
-    parts = cut(weight.select(F.col("state").cast("int").alias("state"), F.lit(0).alias("part")), "parts")
+    counts = sq.transition_counts(seq, lag)
+    pi = cut(markov.stationary(markov.row_normalised(counts)), "measure")
+    states = seq.where("label is not null").select(F.col("label").cast("int").alias("state")).distinct()
+    parts = cut(states.select("state", F.lit(0).alias("part")), "parts")
+    splits = cut(split_parts(seq, parts, lag, height), "splits")
     out = parts.select(F.lit(0).alias("level"), "state", "part")
     for level in range(1, n_final):
-        split = cut(split_parts(seq, parts, lag, height), "splits")
-        able = split.select("part").distinct()
-        heavy = parts.join(weight, "state").groupBy("part").agg(F.sum("w").alias("w")).join(able, "part").orderBy(F.desc("w"), "part").first()
+        able = splits.select("part").distinct()
+        heavy = parts.join(pi, "state").groupBy("part").agg(F.sum("pi").alias("w")).join(able, "part").orderBy(F.desc(F.round("w", 12)), "part").first()
         if heavy is None:
             break
-        parts = cut(subdivided(parts, split, heavy.part), "parts")
+        parts = cut(subdivided(parts, splits, heavy.part), "parts")
+        new = split_parts(seq, parts.where(F.col("part") >= level - 1), lag, height)
+        old = splits.where(F.col("part") != heavy.part).withColumn("part", F.col("part") - (F.col("part") > heavy.part).cast("int"))
+        splits = cut(old.unionByName(new), "splits")
         out = out.unionByName(parts.select(F.lit(level).alias("level"), "state", "part"))
     return out
 

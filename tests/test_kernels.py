@@ -178,6 +178,81 @@ def test_coherent_sets_of_two_blocks(spark):
     assert modes.z.abs().max() == pytest.approx(modes.z.max()) and (modes.z < 0).any()
 
 
+def walks(seed, blocks, n=700):
+    """Recordings that stay among four states for a while, then among four others."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(3):
+        block, seq = int(rng.integers(blocks)), []
+        for _ in range(n):
+            block = int(rng.integers(blocks)) if rng.random() < 0.04 else block
+            seq.append(None if rng.random() < 0.01 else block * 4 + int(rng.integers(4)))
+        out.append(seq)
+    return out
+
+
+def test_recursive_partition_against_a_plain_one(spark):
+    """Each level by the same small steps on counts made anew from the whole sequences, with the measure of the whole matrix."""
+    recs, lag, height = walks(5, 4), 2, 0.3
+    seq = spark.createDataFrame([(r, t, x) for r, s in enumerate(recs) for t, x in enumerate(s)], "rec long, t long, label int")
+    got = partition.recursive_partition(seq, lag, 4, height).toPandas()
+    whole = np.zeros((16, 16))
+    for s in recs:
+        for a, b in zip(s, s[lag:]):
+            if a is not None and b is not None:
+                whole[a, b] += 1
+    pi = kn.stationary(whole / whole.sum(axis=1, keepdims=True))
+    part = {i: 0 for i in range(16)}
+    for level in range(1, 4):
+        splits = {}
+        for g in sorted({p for p in part.values() if p is not None}):
+            n = np.zeros((16, 16))
+            for s in recs:
+                for t in range(len(s) - lag):
+                    if all(x is not None and part[x] == g for x in s[t : t + lag + 1]):
+                        n[s[t], s[t + lag]] += 1
+            cells = pd.DataFrame([(i, j, n[i, j]) for i, j in zip(*np.nonzero(n))], columns=["src", "dst", "n"])
+            if not len(cells):
+                continue
+            states, p = kn.dense(cells)
+            if len(states) < 4:
+                continue
+            own, _, phi = kn.spectrum(p, 2)
+            at, rho = kn.best_threshold(p, own, phi[:, 1])
+            side = phi[:, 1] < at
+            if rho >= height and side.any() and not side.all():
+                splits[g] = dict(zip(states.tolist(), side.astype(int).tolist()))
+        if not splits:
+            break
+        g = max(splits, key=lambda x: (round(sum(pi[i] for i in part if part[i] == x), 12), -x))
+        part = {i: None if p is None or (p == g and i not in splits[g]) else level - 1 + splits[g][i] if p == g else p - (p > g) for i, p in part.items()}
+        held = got[got.level == level].set_index("state").part
+        assert {i: None if np.isnan(held[i]) else int(held[i]) for i in part} == part
+    assert got.level.max() == 3
+
+
+def test_bootstrap_timescales_against_numpy(run, events):
+    """Pieces of 20 rows, drawn by the same splitting, their counts summed; quantiles of the decay times."""
+    from sequora.operators.resampling import split_draws
+
+    pieces = {}
+    for rec, e in events.groupby("rec"):
+        x = e.sort_values("t").label.to_numpy()
+        for c in range(int(np.ceil((len(x) - 20) / 20))):
+            pieces[rec, c] = counted([x[20 * c : 20 * c + 20]], 1, 5)
+    names = sorted(pieces)
+    times = split_draws(np.arange(len(names)), len(names), 20)
+    found = []
+    for r in range(20):
+        _, _, R = reversible(sum(times[i, r] * pieces[n] for i, n in enumerate(names)))
+        v = np.sort(np.linalg.eigvals(R).real)[::-1][1:4]
+        found.append([-1 / np.log(x) if x > 1e-12 else np.nan for x in v] + [np.nan] * (3 - len(v)))
+    got = run("bootstrap_timescales").set_index("mode")
+    for mode in got.index:
+        want = np.nanpercentile([f[mode - 1] for f in found], [2.5, 50, 97.5])
+        assert got.loc[mode, ["low", "median", "high"]].to_numpy(float) == pytest.approx(want, rel=1e-4)
+
+
 def test_partition_queries(run):
     levels = run("recursive_partition")
     assert (levels.groupby("level").state.nunique() == levels.state.nunique()).all()
