@@ -144,3 +144,14 @@ def reversible_spectrum(p: DataFrame, k: int, tolerance: float = 1e-9) -> tuple[
     ends = held.agg(*[F.max_by(F.col("phi")[j], F.struct(F.abs(F.col("phi")[j]), -F.col("state"))).alias(f"e{j}") for j in range(len(values))]).first()
     signs = F.array(*[F.lit(-1.0 if e < 0 else 1.0) for e in ends])
     return pi, values, held.select("state", F.zip_with("phi", signs, lambda a, s: a * s).alias("phi"))
+
+
+def timescales(counts: DataFrame, lag: float, k: int, tolerance: float = 1e-9) -> np.ndarray:
+    """Implied timescales of modes 1 to k of counted transitions (src, dst, n) on their largest strongly connected set; NaN where an eigenvalue is 1 or not above 0."""
+    states = cut(markov.largest_connected(counts).select("state"), "states")
+    inside = counts.join(states.toDF("src"), "src", "left_semi").join(states.toDF("dst"), "dst", "left_semi")
+    _, values, _ = reversible_spectrum(cut(markov.row_normalised(inside), "p"), k + 1, tolerance)
+    out = np.full(k, np.nan)
+    good = (np.abs(values[1:] - 1) > 1e-12) & (values[1:] > 1e-12)
+    out[: len(values) - 1][good] = -lag / np.log(values[1:][good])
+    return out

@@ -63,3 +63,13 @@ def test_small_matrices(spark):
     assert np.abs(pi.toPandas().sort_values("state").pi.to_numpy() - want_pi).max() < 1e-9
     got = np.stack(phi.toPandas().sort_values("state").phi)
     assert np.abs(np.abs(got / np.linalg.norm(got, axis=0)) - np.abs(want_phi / np.linalg.norm(want_phi, axis=0))).max() < 1e-6
+
+
+def test_timescales_of_counts(spark):
+    n = np.round(slow(15, 0.3) * 1000)
+    n[3, 14] = 0
+    n = np.vstack([np.hstack([n, np.zeros((15, 1))]), np.r_[np.zeros(3), 5, np.zeros(12)]])  # a state that nothing leads to
+    counts = edges_of(spark, n).withColumnRenamed("p", "n")
+    got = spectral.timescales(counts, 2.0, 3)
+    want = kn.timescales(n[:15, :15] / n[:15, :15].sum(axis=1, keepdims=True), 2.0, 3)
+    assert np.allclose(got, want, rtol=1e-6, equal_nan=True)
