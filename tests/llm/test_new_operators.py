@@ -273,3 +273,11 @@ def test_licence_rules_against_a_plain_matcher():
 def test_licences_of_one_text(text, want):
     assert re.search(licenses._MARKED, text)
     assert [m["licence"] for m in licenses.match(licenses.identify(text))] == want
+
+
+def test_deviations_beyond_64_bits_are_null():
+    for x in ([[2**61, 5], [-(2**61), 7], [3, 9]], [[10**6, 5], [10**6 + 3, 7]]):
+        n, s = len(x), [sum(r[i] for r in x) for i in range(2)]
+        spread = max(abs(n * r[i] - s[i]) for r in x for i in range(2))
+        want = [sum((n * r[i] - s[i]) ** 2 for i in range(2)) for r in x]
+        assert whitening.deviations(np.array(x, np.int64), {"n": n, "sums": s, "spread": spread, "dims": 2}) == [d if d < 2**63 else None for d in want]
