@@ -70,13 +70,12 @@ def placeholder(w: Column, before: Column) -> Column:
 
 
 def _sequences(rows: DataFrame, key: str) -> DataFrame:
-    """(key, t, w, r): hashes of the template words; of the words; of the words in slots, null elsewhere."""
+    """(key, t, kinds, r): hashes of the template words; the words with their placeholders; hashes of the words in slots, null elsewhere."""
     kinds = F.transform("found", lambda w, i: F.struct(w["raw"].alias("raw"), placeholder(w, F.when(i > 0, F.get("found", i - 1))).alias("kind")))
     held = with_words(rows).select(key, kinds.alias("kinds"))
     template = F.transform("kinds", lambda z: F.xxhash64(F.coalesce(z["kind"], z["raw"])))
-    words = F.transform("kinds", lambda z: F.xxhash64(z["raw"]))
     slots = F.transform("kinds", lambda z: F.when(z["kind"].isNotNull(), F.xxhash64(z["raw"])))
-    return held.select(key, template.alias("t"), words.alias("w"), slots.alias("r"))
+    return held.select(key, template.alias("t"), "kinds", slots.alias("r"))
 
 
 def _both(x: Column, y: Column) -> Column:
@@ -101,7 +100,8 @@ def _windows(seq: DataFrame, key: str, widths: list[int], longest: int, kept: Da
 
     def hashes(width: int) -> Column:
         least = -(-LITERAL_EIGHTHS * width // 8) if width == longest else min(width, LITERAL_LEAST)
-        exact = lambda i: F.xxhash64(F.concat(F.slice("w", i + 1, F.lit(width)), F.array(F.lit(-1).cast("long"))))
+        # few windows are met by their own words, so those are hashed only here
+        exact = lambda i: F.xxhash64(F.transform(F.slice("kinds", i + 1, F.lit(width)), lambda z: z["raw"]), F.lit("exact"))
         number = F.greatest(F.size("t") - width + 1, F.lit(0))
         template = F.slice(along("t", width, _both), 1, number)
         return F.when(F.col("plain"), template).otherwise(F.transform(template, lambda x, i: F.when(F.get(f"literal{width}", i) >= least, x).otherwise(exact(i))))
@@ -117,7 +117,8 @@ def _windows(seq: DataFrame, key: str, widths: list[int], longest: int, kept: Da
         return F.filter(F.transform(f"h{width}", lambda h, i: F.when(there(h), window(h, i))), lambda x: x.isNotNull())
 
     # a text without any slot needs no look at them
-    held = seq.select(key, "r", "w", "t", F.col("t").alias("t1"), (~F.exists("r", lambda x: x.isNotNull())).alias("plain"), F.transform("r", lambda x: x.isNull().cast("int")).alias("c1"))
+    held = seq.select(key, "r", "kinds", "t", F.col("t").alias("t1"), (~F.exists("r", lambda x: x.isNotNull())).alias("plain"))
+    held = held.select("*", F.when(~F.col("plain"), F.transform("r", lambda x: x.isNull().cast("int"))).alias("c1"))
     run = 1
     while 2 * run <= max(widths):
         both = [F.zip_with(f"t{run}", F.slice(f"t{run}", run + 1, F.size("t")), _both).alias(f"t{2 * run}")]
@@ -148,7 +149,7 @@ def _bitmap(asked: DataFrame, rows: int) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, run: int = RUN, shortest: int = SHORTEST) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, matched, windows, coverage, verbatim."""
     items = _sequences(benchmark.select("item_id", "text"), "item_id").withColumn("width", F.least(F.size("t"), F.lit(width))).where(F.col("width") >= shortest)
-    items = cut(items.dropDuplicates(["item_id", "w"]), "items")
+    items = cut(items.withColumn("w", F.transform("kinds", lambda z: z["raw"])).dropDuplicates(["item_id", "w"]).drop("w"), "items")
     sizes = sorted(r.width for r in items.select("width").distinct().collect()) or [width]  # at most ``width`` values
     asked = None
     for size in sizes:
