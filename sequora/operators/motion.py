@@ -17,7 +17,7 @@ from sequora.operators.blocks import here, in_blocks, last_before, owned, runnin
 def unwrap(seq: DataFrame, phase: str) -> DataFrame:
     """Adds ``angle``: the phase without jumps of pi or more; missing values are skipped and stay missing."""
     d = F.col("d")
-    w = F.pmod(d + pi, F.lit(2 * pi)) - pi
+    w = d + pi - 2 * pi * F.floor((d + pi) / (2 * pi)) - pi  # pmod makes -pi of what is just below it, and that is a jump
     wrapped = F.when((w == -pi) & (d > 0), pi).otherwise(w)
     fix = F.when(d.isNull() | (F.abs(d) < pi), 0.0).otherwise(wrapped - d)
     held = last_before(in_blocks(seq), phase, "before").withColumn("d", F.col(phase) - F.col("before")).withColumn("fix", fix)

@@ -83,6 +83,13 @@ def test_unwrap(spark):
     assert got[3] is None and [got[i] for i in (0, 1, 2, 4)] == pytest.approx([0, 2, -2 + 2 * math.pi, 2.5])
 
 
+def test_unwrap_just_below_minus_pi(spark):
+    a, b = (v * (math.pi / 245) - math.pi for v in (245.22, 0.22))
+    assert b - a < -math.pi  # by one unit in the last place: a jump
+    rows = spark.createDataFrame([(1, 0, a), (1, 1, b)], "rec long, t long, phase double")
+    assert [r.angle for r in motion.unwrap(rows, "phase").orderBy("t").collect()] == pytest.approx([a, b + 2 * math.pi])
+
+
 def test_path(spark):
     rows = spark.createDataFrame([(1, 0, math.pi / 2, 9.0), (1, 1, -math.pi / 2, 1.0), (1, 2, 0.0, 2.0)], "rec long, t long, turn double, dist double")
     got = [(r.x, r.y) for r in motion.path(rows, "turn", "dist").orderBy("t").collect()]
