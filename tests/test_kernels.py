@@ -515,6 +515,26 @@ def test_double_centring_and_distances_use_every_recording(run, events):
     assert set(d.b) == set(events.rec) and set(d.a) == {r for r in events.rec if r % 20 == 0}
 
 
+def test_distances_in_blocks_and_their_sums(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sequora.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 2)
+    monkeypatch.setattr(pairs, "ROWS", 7)
+    x = np.random.default_rng(0).integers(0, 4, (50, 4)) / 3
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rec long, row array<double>")
+    want = np.abs(x[::10, None] - x[None]).sum(axis=2) / 2
+    at = spark.createDataFrame([(0, 7.0), (20, 8.0)], "a long, w double")
+    some = pairs.distances(rows, 2, 10, at)
+    assert {(r.a, r.b): (r.d, r.w) for r in some.collect()} == {(a, b): (pytest.approx(want[a // 10, b]), 7.0 + a / 20) for a in (0, 20) for b in range(50)}
+    assert "Exchange RoundRobinPartitioning(8)" in some._jdf.queryExecution().toString()
+    sums = pairs.distance_sums(rows, 2, 10).orderBy("rec").toPandas()
+    assert np.allclose(sums.to_asked, want.sum(axis=0)) and np.allclose(sums.to_all[sums.asked], want.sum(axis=1)) and set(sums.n_all) == {50} and set(sums.n_asked) == {5}
+    v = spark.createDataFrame([(0.1234565,), (-0.1234565,), (1.0000004999,), (-0.0000001,), (float("nan"),), (2.5,)], "x double")
+    assert v.where(~pairs.rounded(F.col("x")).eqNullSafe(F.round("x", 6) + F.lit(0.0))).count() == 0
+
+
 def test_lags_with_breaks(spark):
     seq = spark.createDataFrame([(1, t, float(v), b) for t, (v, b) in enumerate([(1, False), (2, False), (4, True), (8, False), (16, False)])], "rec long, t long, x double, b boolean")
     rows = motion.lagged(seq, ["x"], [1, -1], "b").collect()
