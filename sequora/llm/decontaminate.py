@@ -24,6 +24,8 @@ than doc_id, item_id and text are not read, and ``drop_contaminated`` returns th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,99 +39,85 @@ BROADCAST_ROWS = 200_000
 #: Number words and units.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion")
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "feet", "miles", "mg", "g", "kg", "pounds", "ounces", "ml", "l", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "percent", "dollars", "euros", "cents", "degrees")
-SPACE = "[ \\t\\x0B\\f\\r]+"
-SIGNS = "[^\\p{L}\\p{N}]+"
-STOPS = "[.!?:;|]$"
-NAME = "^[^\\p{L}\\p{N}]*\\p{Lu}\\p{Ll}+"
+BLANKS = " \\t\\x0B\\f\\r"
+SPACE = f"[{BLANKS}]+"
+#: A character that is neither a letter nor a sign of a sentence: it goes before each name, where a text has none of its own.
+MARK, OTHER = "\x01", "\x02"
+SIGNS = f"[^\\p{{L}}\\p{{N}}{MARK}{BLANKS}]+"
+#: Blanks and signs before a capital and a small letter, where the word before does not end a sentence.
+BEFORE_NAME = f"([{BLANKS}](?<![.!?:;|{BLANKS}][{BLANKS}])[{BLANKS}]*+[^\\p{{L}}\\p{{N}}{BLANKS}]*+)(?=\\p{{Lu}}\\p{{Ll}})"
 NUMBER = "^[0-9]+[a-z]{0,2}$"
+#: Placeholders of numbers, names and units, in the place of a hash: the least values there are, so that one comparison finds them.
+NUM, NAME, UNIT, PLACEHOLDERS = -(1 << 63), -(1 << 63) + 1, -(1 << 63) + 2, -(1 << 63) + 2
 
 
-# Each step below is a column of its own, read at least twice by the next one: the optimizer then keeps the steps
-# apart, and no lambda computes a whole array again for each of its elements.
+# What looks at single words or windows is dear in a lambda, which is not compiled, so words are found by expressions over whole texts, one lambda makes
+# their hashes, and windows are rows before they are hashed. Up to their filter no step has a lambda: then one compiled loop makes and drops them. ``words`` is read twice by the next step: the optimizer then keeps the steps apart.
 
 
 def with_words(rows: DataFrame) -> DataFrame:
-    """Adds ``found``, array of (raw, named): the words, and whether a capital inside a sentence marks a name."""
+    """Adds ``words``, array of strings: the words in lower case; ``MARK`` is the first character of those that a capital inside a sentence marks as names."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" | ")), F.lit(MARK), F.lit(OTHER))
+    plain = F.lower(F.regexp_replace(F.regexp_replace(text, BEFORE_NAME, f"$1{MARK}"), SIGNS, ""))
+    return rows.withColumn("words", F.array_remove(F.split(plain, SPACE), ""))
+
+
+def _raw(word: Column) -> Column:
+    return F.replace(word, F.lit(MARK))
 
-    def word(x: Column, i: Column) -> Column:
-        before = F.get("parts", i - 1)
-        # few words have a capital: in ASCII, those that lower case changes; only they are held against the expressions
-        capital = (i > 0) & ((x != F.lower(x)) | (F.octet_length(x) != F.char_length(x)))
-        return F.struct(F.lower(F.regexp_replace(x, SIGNS, "")).alias("raw"), F.when(capital, F.when(x.rlike(NAME), ~before.rlike(STOPS)).otherwise(False)).otherwise(False).alias("named"))
 
-    parted = rows.withColumn("parts", F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" | ")), SPACE))
-    return parted.withColumn("found", F.filter(F.transform("parts", word), lambda w: w["raw"] != "")).drop("parts")
+def _digit(word: Column) -> Column:
+    """Whether a word begins with a digit, that is, stands between "0" and ":" in the order of bytes."""
+    return (word >= "0") & (word < ":")
 
 
 def placeholder(w: Column, before: Column) -> Column:
     """The placeholder of a word, or null; ``before`` is the word before it."""
-    unit = F.when(w["raw"].isin(*UNITS), F.coalesce(before["raw"].rlike("^[0-9]"), F.lit(False))).otherwise(False)
-    # what NUMBER matches begins with a digit, that is, stands between "0" and ":" in the order of bytes
-    number = F.when((w["raw"] >= "0") & (w["raw"] < ":"), w["raw"].rlike(NUMBER)).otherwise(w["raw"].isin(*NUMBER_WORDS))
-    return F.when(number, "<num>").when(w["named"], "<name>").when(unit, "<unit>")
+    named = w.startswith(MARK)
+    number = F.when(_digit(w), w.rlike(NUMBER)).otherwise(_raw(w).isin(*NUMBER_WORDS))
+    unit = F.when(_raw(w).isin(*UNITS), F.coalesce(_digit(before), F.lit(False))).otherwise(False)
+    return F.when(number, F.lit(NUM)).when(named, F.lit(NAME)).when(unit, F.lit(UNIT))
 
 
 def _sequences(rows: DataFrame, key: str) -> DataFrame:
-    """(key, t, kinds, r): hashes of the template words; the words with their placeholders; hashes of the words in slots, null elsewhere."""
-    kinds = F.transform("found", lambda w, i: F.struct(w["raw"].alias("raw"), placeholder(w, F.when(i > 0, F.get("found", i - 1))).alias("kind")))
-    held = with_words(rows).select(key, kinds.alias("kinds"))
-    template = F.transform("kinds", lambda z: F.xxhash64(F.coalesce(z["kind"], z["raw"])))
-    slots = F.transform("kinds", lambda z: F.when(z["kind"].isNotNull(), F.xxhash64(z["raw"])))
-    return held.select(key, template.alias("t"), "kinds", slots.alias("r"))
+    """(key, words, t): the words and, of each, its hash or its placeholder."""
 
+    def template(w: Column, i: Column) -> Column:
+        # only marks and digits stand before ":", as words have no signs
+        likely = (w < ":") | w.isin(*NUMBER_WORDS, *UNITS)
+        return F.when(likely, F.coalesce(placeholder(w, F.when(i > 0, F.get("words", i - 1))), F.xxhash64(w))).otherwise(F.xxhash64(w))
 
-def _both(x: Column, y: Column) -> Column:
-    return F.xxhash64(x, y)
+    return with_words(rows).select(key, "words", F.transform("words", template).alias("t"))
 
 
 def _windows(seq: DataFrame, key: str, widths: list[int], longest: int, kept: DataFrame | None = None) -> DataFrame:
     """(key, width, at, h, slots): the windows of some widths; slots is null where a window has none, or is no template.
 
     Only windows of the longest width come from anywhere in a text; shorter ones belong to short items. With ``kept`` (one row, a bitmap of hashes), windows whose
-    hash is not in it go before they become rows, and only those that stay get their slots.
+    hash is not in it go at once, and only those that stay get their slots.
     """
-
-    def along(name: str, width: int, join) -> Column:
-        """What each window's words give together: runs of 1, 2, 4 ... words, joined end to end."""
-        run = 1 << (width.bit_length() - 1)
-        out, done = F.col(f"{name}{run}"), run
-        while done < width:
-            run = 1 << ((width - done).bit_length() - 1)
-            out, done = F.zip_with(out, F.slice(f"{name}{run}", done + 1, F.size("t")), join), done + run
-        return out
-
-    def hashes(width: int) -> Column:
-        least = -(-LITERAL_EIGHTHS * width // 8) if width == longest else min(width, LITERAL_LEAST)
-        # few windows are met by their own words, so those are hashed only here
-        exact = lambda i: F.xxhash64(F.transform(F.slice("kinds", i + 1, F.lit(width)), lambda z: z["raw"]), F.lit("exact"))
-        number = F.greatest(F.size("t") - width + 1, F.lit(0))
-        template = F.slice(along("t", width, _both), 1, number)
-        return F.when(F.col("plain"), template).otherwise(F.transform(template, lambda x, i: F.when(F.get(f"literal{width}", i) >= least, x).otherwise(exact(i))))
-
-    def windows(width: int) -> Column:
-        least = -(-LITERAL_EIGHTHS * width // 8) if width == longest else min(width, LITERAL_LEAST)
-        literal = lambda i: F.get(f"literal{width}", i)
-        slotted = lambda i: F.when(F.col("plain"), False).otherwise((literal(i) >= least) & (literal(i) < width))
-        window = lambda h, i: F.struct(F.lit(width).alias("width"), i.alias("at"), h.alias("h"), slotted(i).alias("slotted"))
-        if kept is None:
-            return F.transform(f"h{width}", window)
-        there = lambda h: F.getbit(F.get("bits", F.shiftrightunsigned(h, 6).bitwiseAND(F.size("bits") - 1).cast("int")), h.bitwiseAND(63).cast("int")) == 1
-        return F.filter(F.transform(f"h{width}", lambda h, i: F.when(there(h), window(h, i))), lambda x: x.isNotNull())
+    width, at = F.col("width"), F.col("at")
+    own = lambda name: F.slice(name, at + 1, width)
+    least = F.when(width == longest, F.lit(-(-LITERAL_EIGHTHS * longest // 8))).otherwise(F.least(width, F.lit(LITERAL_LEAST)))
+    literal = F.when(F.col("literals").isNull(), width).otherwise(F.size(F.array_remove(own("literals"), 0)))
+    # few windows are met by their own words
+    h = F.when(literal >= least, F.xxhash64(own("t"))).otherwise(F.xxhash64(_raw(F.array_join(own("words"), " ")), F.lit("exact")))
 
     # a text without any slot needs no look at them
-    held = seq.select(key, "r", "kinds", "t", F.col("t").alias("t1"), (~F.exists("r", lambda x: x.isNotNull())).alias("plain"))
-    held = held.select("*", F.when(~F.col("plain"), F.transform("r", lambda x: x.isNull().cast("int"))).alias("c1"))
-    run = 1
-    while 2 * run <= max(widths):
-        both = [F.zip_with(f"t{run}", F.slice(f"t{run}", run + 1, F.size("t")), _both).alias(f"t{2 * run}")]
-        both.append(F.when(~F.col("plain"), F.zip_with(f"c{run}", F.slice(f"c{run}", run + 1, F.size("t")), lambda x, y: x + y)).alias(f"c{2 * run}"))
-        held, run = held.select("*", *both), 2 * run
-    held = held.select("*", *[F.when(~F.col("plain"), along("c", w, lambda x, y: x + y)).alias(f"literal{w}") for w in widths])
-    held = held.select(key, "r", "plain", *[f"literal{w}" for w in widths], *[hashes(w).alias(f"h{w}") for w in widths])
+    slotted = F.exists("t", lambda x: x <= PLACEHOLDERS)
+    held = seq.select(key, "words", "t", F.when(slotted, F.transform("t", lambda x: (x > PLACEHOLDERS).cast("int"))).alias("literals"))
     if kept is not None:
         held = held.join(F.broadcast(kept))  # one row
-    rows = held.select(key, "r", F.explode(F.concat(*[windows(w) for w in widths])).alias("x")).select(key, "r", "x.*")
-    return rows.select(key, "width", "at", "h", F.when(F.col("slotted"), F.slice("r", F.col("at") + 1, F.col("width"))).alias("slots"))
+    places = held.select("*", F.posexplode_outer("t").alias("at", "first")).select("*", F.explode(F.array(*[F.lit(w) for w in widths])).alias("width"))
+    hashed = F.struct(F.when(at + width <= F.size("t"), h).alias("h"), ((literal >= least) & (literal < width)).alias("slotted"))
+    rows = places.select("*", F.explode(F.array(hashed)).alias("x")).select("*", "x.*").where("h is not null")  # an array of one, so that a hash is not made once for each use
+    if kept is not None:
+        word = F.get("bits", F.shiftrightunsigned("h", 6).bitwiseAND(F.size("bits") - 1).cast("int"))
+        rows = rows.where(F.getbit(word, F.col("h").bitwiseAND(63).cast("int")) == 1)
+    # a row that stays takes its own words along, not those of the text
+    few = rows.select(key, "width", "at", "h", F.explode(F.array(F.struct("slotted", own("words").alias("words"), own("t").alias("t")))).alias("own"))
+    slots = F.transform("own.words", lambda x, i: F.when(F.get("own.t", i) <= PLACEHOLDERS, F.xxhash64(_raw(x))))
+    return few.select(key, "width", "at", "h", F.when(F.col("own.slotted"), slots).alias("slots"))
 
 
 #: Bits of the bitmap of benchmark hashes for each of its windows, and the most words of 64 bits it has (1 MB); with more windows it keeps more of the texts', none is lost.
@@ -149,7 +137,7 @@ def _bitmap(asked: DataFrame, rows: int) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, run: int = RUN, shortest: int = SHORTEST) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, matched, windows, coverage, verbatim."""
     items = _sequences(benchmark.select("item_id", "text"), "item_id").withColumn("width", F.least(F.size("t"), F.lit(width))).where(F.col("width") >= shortest)
-    items = cut(items.withColumn("w", F.transform("kinds", lambda z: z["raw"])).dropDuplicates(["item_id", "w"]).drop("w"), "items")
+    items = cut(items.dropDuplicates(["item_id", "words"]), "items")
     sizes = sorted(r.width for r in items.select("width").distinct().collect()) or [width]  # at most ``width`` values
     asked = None
     for size in sizes:

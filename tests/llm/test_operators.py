@@ -147,6 +147,29 @@ def test_jaccard_cluster_without_a_centre(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_decontaminate_drops_windows_where_they_are_made(spark):
+    """Places, hashes and the look into the bitmap are one compiled step, for one width as for several: no lambda makes windows."""
+    docs, bench = docs_of(spark, [(1, "alpha beta")]), spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
+    asked = decontaminate.cut(decontaminate._windows(decontaminate._sequences(bench, "item_id"), "item_id", [8], 8), "asked")
+    for widths in ([8], [4, 5, 6, 7, 8]):
+        rows = decontaminate._windows(decontaminate._sequences(docs, "doc_id"), "doc_id", widths, 8, decontaminate._bitmap(asked, asked.count()))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        steps = [line for line in plan.splitlines() if "Generate" in line or "getbit" in line]
+        assert any("getbit" in s for s in steps) and all("*(" in s.split("Generate")[0].split("Filter")[0] for s in steps), plan
+
+
+def test_decontaminate_words_and_names(spark):
+    """Signs go, a word of signs alone is none, a capital inside a sentence is a name; a text's own mark is none; only a sign at the very end of a word ends a sentence."""
+    texts = ["The Cat saw. Bob (Ann) - Zoe, 12Kg\nFive ÉLAN Été", " Rome is", "a \x01Foo \x01 b\x01c", "end.\u2028 Foo end. Foo"]
+    got = {r.doc_id: r.words for r in decontaminate.with_words(docs_of(spark, enumerate(texts))).collect()}
+    want = ["the \x01cat saw bob \x01ann \x01zoe 12kg five élan \x01été", "\x01rome is", "a \x01foo bc", "end \x01foo end foo"]
+    assert [got[k] for k in sorted(got)] == [w.split(" ") for w in want]
+
+
 def test_decontaminate(spark):
     item = "On Monday the driver from Boston carried 12 boxes over 30 km and then came back with 7 boxes before noon"
     other = item.replace("12", "45").replace("30", "80").replace("7", "9").replace("Boston", "Denver")
