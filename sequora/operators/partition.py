@@ -14,11 +14,24 @@ from sequora.operators.resampling import window_sample
 from sequora.sources.storage import cut
 
 
-def split_parts(seq: DataFrame, parts: DataFrame, lag: int, height: float) -> DataFrame:
-    """(part, state, side): each part's best coherent split along the slowest mode of the transitions between its own rows.
+def neighbours(seq: DataFrame) -> DataFrame:
+    """(src, dst, near, n): how often a row of state ``src`` has ``dst`` in the row after it (null where that is missing); near: whether that row has the next number, too."""
+    later = F.lead(F.struct("t", "label")).over(here())
+    rows = in_blocks(seq.select("rec", "t", "label"), ahead=1).withColumn("later", later).where("_own and label is not null")
+    return rows.groupBy(F.col("label").alias("src"), F.col("later.label").alias("dst"), F.coalesce(F.col("later.t") == F.col("t") + 1, F.lit(False)).alias("near")).agg(F.count(F.lit(1)).alias("n"))
 
-    Only rows of the given parts are looked at: of two rows ``lag`` apart in place and in number, all between are there, too; a change of part is a gap. Then
-    a part is one small task. States outside the part's largest connected set, and all states of a part without a threshold of some height, have no row.
+
+def neighbours_within(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part, src, dst, n): of the pairs of neighbours, those inside a part. Nothing lies between two neighbours, so their states say whether the part is left."""
+    held = parts.where("part is not null")
+    src, dst = (held.select(F.col("state").alias(x), F.col("part").alias(y)) for x, y in (("src", "part"), ("dst", "to_part")))
+    return pairs.where("near").join(F.broadcast(src), "src").join(F.broadcast(dst), "dst").where("part = to_part").select("part", "src", "dst", "n")  # a row a state
+
+
+def counts_within(seq: DataFrame, parts: DataFrame, lag: int) -> DataFrame:
+    """(part, src, dst, n): transitions between the rows of each part.
+
+    Only rows of the given parts are looked at: of two rows ``lag`` apart in place and in number, all between are there, too; a change of part is a gap.
     """
     held = seq.select("rec", "t", "label").join(F.broadcast(parts.where("part is not null").withColumnRenamed("state", "label")), "label")  # a row a state
     by = here()
@@ -26,7 +39,14 @@ def split_parts(seq: DataFrame, parts: DataFrame, lag: int, height: float) -> Da
     runs = in_blocks(held, ahead=lag).withColumn("moved", moved).withColumn("stay", F.sum("moved").over(so_far()))
     later = F.lead(F.struct("t", "label", "stay"), lag).over(by)
     pairs = runs.select("_own", "part", "t", F.col("label").alias("src"), "stay", later.alias("later")).where(F.col("_own") & (F.col("later.t") == F.col("t") + lag) & (F.col("later.stay") == F.col("stay"))).select("part", "src", F.col("later.label").alias("dst"))
-    counts = pairs.groupBy("part", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("part", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_parts(counts: DataFrame, height: float) -> DataFrame:
+    """(part, state, side): each part's best coherent split along the slowest mode of its own transitions (part, src, dst, n).
+
+    A part is one small task. States outside the part's largest connected set, and all states of a part without a threshold of some height, have no row.
+    """
 
     def kernel(key: dict, states: np.ndarray, p: np.ndarray) -> pd.DataFrame:
         out = pd.DataFrame({"part": [], "state": [], "side": []}, dtype="int32")
@@ -53,14 +73,21 @@ def subdivided(parts: DataFrame, split: DataFrame, part: int) -> DataFrame:
 def recursive_partition(seq: DataFrame, lag: int, n_final: int, height: float = 0.5) -> DataFrame:
     """(level, state, part): the part with the largest measure is split again and again, until there are ``n_final`` or none can be split.
 
-    The measure is the stationary one of the whole matrix. Splits of parts are kept from level to level: only the rows of the two new parts are counted
-    anew. A heaviest part that has no split gives way to the next one.
+    The measure is the stationary one of the whole matrix. Splits of parts are kept from level to level: only the two new parts are counted anew. A heaviest
+    part that has no split gives way to the next one. The sequence is read once: with a lag of 1 the counts of neighbours serve all levels, else its rows are stored and
+    those of new parts looked at again.
     """
-    counts = sq.transition_counts(seq, lag)
+    if lag == 1:
+        pairs = cut(neighbours(seq), "neighbours")
+        counts = pairs.where("dst is not null").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+        labels, within = pairs.select(F.col("src").alias("label")), lambda parts: neighbours_within(pairs, parts)
+    else:
+        rows = cut(seq.select("rec", "t", "label"), "rows")
+        counts = sq.transition_counts(rows, lag)
+        labels, within = rows.where("label is not null").select("label"), lambda parts: counts_within(rows, parts, lag)
     pi = cut(markov.stationary(markov.row_normalised(counts)), "measure")
-    states = seq.where("label is not null").select(F.col("label").cast("int").alias("state")).distinct()
-    parts = cut(states.select("state", F.lit(0).alias("part")), "parts")
-    splits = cut(split_parts(seq, parts, lag, height), "splits")
+    parts = cut(labels.select(F.col("label").cast("int").alias("state")).distinct().select("state", F.lit(0).alias("part")), "parts")
+    splits = cut(split_parts(within(parts), height), "splits")
     out = parts.select(F.lit(0).alias("level"), "state", "part")
     for level in range(1, n_final):
         able = splits.select("part").distinct()
@@ -68,7 +95,7 @@ def recursive_partition(seq: DataFrame, lag: int, n_final: int, height: float =
         if heavy is None:
             break
         parts = cut(subdivided(parts, splits, heavy.part), "parts")
-        new = split_parts(seq, parts.where(F.col("part") >= level - 1), lag, height)
+        new = split_parts(within(parts.where(F.col("part") >= level - 1)), height)
         old = splits.where(F.col("part") != heavy.part).withColumn("part", F.col("part") - (F.col("part") > heavy.part).cast("int"))
         splits = cut(old.unionByName(new), "splits")
         out = out.unionByName(parts.select(F.lit(level).alias("level"), "state", "part"))

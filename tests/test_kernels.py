@@ -231,6 +231,30 @@ def test_recursive_partition_against_a_plain_one(spark):
     assert got.level.max() == 3
 
 
+@pytest.mark.parametrize("lag", [1, 2])
+def test_recursive_partition_reads_its_sequence_once(spark, lag):
+    recs = walks(5, 4)
+    seq = spark.createDataFrame([(r, t, x) for r, s in enumerate(recs) for t, x in enumerate(s)], "rec long, t long, label int")
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    partition.recursive_partition(seq.mapInPandas(counting, "rec long, t long, label int"), lag, 4, 0.3).collect()
+    assert read.value == sum(map(len, recs))
+
+
+def test_neighbours_inside_parts_are_those_of_the_rows(spark):
+    """Parts, states in none, missing symbols and numbers: the counts of neighbours give what the rows give."""
+    rows = [(r, t, x) for r, s in enumerate(walks(6, 4)) for t, x in enumerate(s) if t % 97]
+    seq = spark.createDataFrame(rows, "rec long, t long, label int")
+    parts = spark.createDataFrame([(s, None if s in (3, 9) else s // 6) for s in range(16)], "state int, part int")
+    got, want = (sorted(map(tuple, x.collect())) for x in (partition.neighbours_within(partition.neighbours(seq), parts).groupBy("part", "src", "dst").agg(F.sum("n")), partition.counts_within(seq, parts, 1)))
+    assert got == want and {x[0] for x in got} == {0, 1, 2}
+
+
 def test_bootstrap_timescales_against_numpy(run, events):
     """Pieces of 20 rows, drawn by the same splitting, their counts summed; quantiles of the decay times."""
     from sequora.operators.resampling import split_draws
