@@ -3,7 +3,8 @@
 A repeat is a string of ``LEAST`` bytes or more that occurs more than once; matches never cross documents. To bring all
 occurrences of a repeat together without shuffling every suffix, texts are sampled at anchors: the ``K``-byte strings
 whose hash is the least of a window (minimizers). Any two equal strings of ``LEAST`` bytes have the same anchor at
-the same place, so nothing is lost. Anchors that only one text has are left out by two-pass Bloom filtering.
+the same place, so nothing is lost. Anchors that only one text has are left out by two-pass Bloom filtering; what the filter lets
+through all the same is shuffled once, by anchor, and not written. Occurrences are no table: each step that needs them reads the texts again.
 
 Occurrences of an anchor are told apart by their context, the bytes that a repeat through the anchor can reach:
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sequora.llm import bitmap
-from sequora.llm.arrow_text import slices
+from sequora.llm.arrow_text import offsets_and_bytes, slices
 from sequora.llm.shingles import mixed, powers
 from sequora.llm.store import cut
 
@@ -46,6 +47,8 @@ WIDE = LEAST + SIDE
 HOT_CLASSES = 50_000
 #: Contexts that one block of a task holds, but for a larger single anchor.
 BLOCK_ROWS = 20_000
+#: Occurrences that a task makes into parts of classes before it gives them away.
+HELD = 1 << 19
 _CODE = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
 _NONE = -(2**63)
 
@@ -120,23 +123,106 @@ def _distinct_anchors(copies):
     return run
 
 
-_OCCURRENCE = "anchor long, context long, doc long, tag int, place int, before byte, behind byte"
+def _shared(batches: Iterator[pa.RecordBatch], copies: np.ndarray, twice: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each slice, the anchors that two texts may have: (doc and tag of each text, text, place, anchor, context, offsets, bytes)."""
+    for batch in _alone(batches, copies):
+        doc, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        for first, end, offsets, data in slices(batch.column(2)):
+            text, place, h, context = anchors(offsets, data)
+            keep = np.flatnonzero(bitmap.lookup(twice, h.view(np.int64)))
+            yield doc[first:end], tag[first:end], text[keep], place[keep], h[keep].view(np.int64), context[keep].view(np.int64), offsets, data
 
 
-def _occurrences(copies, twice):
-    """Anchors that may occur in two texts: where, and how far the context goes to each side."""
+_PAIR = "anchor long, context long, first long, last long"
+
+
+def _pairs(anchor: np.ndarray, context: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of one (anchor, context) made one; sorted."""
+    order = np.lexsort((context, anchor))
+    anchor, context = anchor[order], context[order]
+    at = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])
+    return anchor[at], context[at], np.minimum.reduceat(first[order], at), np.maximum.reduceat(last[order], at)
+
+
+def _partial_classes(copies, twice):
+    """Classes of ``HELD`` occurrences at a time, each with its least and its greatest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _alone(batches, copies.value):
-            doc, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for first, _, offsets, data in slices(batch.column(2)):
-                text, place, h, context = anchors(offsets, data)
-                keep = bitmap.lookup(twice.value, h.view(np.int64))
-                text, place, h, context = text[keep], place[keep], h[keep], context[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h.view(np.int64), context.view(np.int64), doc[first + text], tag[first + text], (place - offsets[text]).astype(np.int32), np.minimum(SIDE, place - offsets[text]).astype(np.int8), np.minimum(LEAST, offsets[text + 1] - place).astype(np.int8))],
-                    names=[x.split()[0] for x in _OCCURRENCE.split(", ")],
-                )
+        def given() -> Iterator[pa.RecordBatch]:
+            cols = _pairs(*(np.concatenate(c) for c in zip(*held)))
+            for i in range(0, len(cols[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names=["anchor", "context", "first", "last"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+        for doc, _, text, _, a, c, _, _ in _shared(batches, copies.value, twice.value):
+            if len(a):
+                held.append((a, c, doc[text], doc[text]))
+                n += len(a)
+            if n >= HELD:
+                yield from given()
+                held, n = [], 0
+        if n:
+            yield from given()
+
+    return run
+
+
+_CLASS = "anchor long, context long, first long, more boolean, several boolean, nth int"
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes from their parts, sorted by (anchor, context): those that two documents have, and those of anchors with several.
+
+    ``nth`` counts the classes of an anchor. The last class of a batch waits for the next one, so a task never holds an anchor whole.
+    """
+    held: list[np.ndarray] | None = None
+    n = 0  # classes of the waiting one's anchor before it
+
+    def settled(cols: list[np.ndarray], rows: int) -> tuple[pa.RecordBatch, int]:
+        anchor, context, first, last = cols
+        at = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        nth = np.arange(len(anchor)) - np.repeat(at, np.diff(np.r_[at, len(anchor)]))
+        nth[: at[1] if len(at) > 1 else len(anchor)] += n
+        several, more = (nth > 0) | np.r_[anchor[1:] == anchor[:-1], False], first < last
+        linked = np.minimum.reduceat(first, at) < np.maximum.reduceat(last, at)
+        # an anchor that is not whole here may have another document elsewhere
+        linked[-1], linked[0] = True, linked[0] or n > 0 or len(at) == 1
+        several &= np.repeat(linked, np.diff(np.r_[at, len(anchor)]))
+        keep = np.flatnonzero((several | more)[:rows])
+        kept = [anchor[keep], context[keep], first[keep], more[keep], several[keep], nth[keep].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=[x.split()[0] for x in _CLASS.split(", ")]), int(nth[-1])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(k)) for k in range(4)]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        cols = list(_pairs(*cols))
+        found, n = settled(cols, len(cols[0]) - 1)
+        if found.num_rows:
+            yield found
+        held = [c[-1:] for c in cols]
+    if held is not None:
+        yield settled(held, 1)[0]
+
+
+_OCCURRENCE = "anchor long, context long, doc long, tag int, start int, size int"
+
+
+def _occurrences(copies, twice, wanted=None):
+    """Where the anchors that two texts may have occur, as the spans of their contexts; of the classes ``wanted``, where given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, tag, text, place, a, c, offsets, _ in _shared(batches, copies.value, twice.value):
+            if wanted is not None:
+                keep = np.flatnonzero(bitmap.lookup(wanted.value, _class_key(a, c)))
+                text, place, a, c = text[keep], place[keep], a[keep], c[keep]
+            own = place - offsets[text]
+            start, end = np.maximum(own - SIDE, 0), np.minimum(place + LEAST, offsets[text + 1]) - offsets[text]
+            cols = [a, c, doc[text], tag[text], start.astype(np.int32), (end - start).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=[x.split()[0] for x in _OCCURRENCE.split(", ")])
 
     return run
 
@@ -144,43 +230,43 @@ def _occurrences(copies, twice):
 _CONTEXT = "anchor long, doc long, tag int, place int, before int, bytes binary, again array<int>"
 
 
+def _class_key(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mixed(mixed(anchor.view(np.uint64)) ^ context.view(np.uint64)).view(np.int64)
+
+
 def _asked_key(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    key = mixed(anchor.view(np.uint64)) ^ context.view(np.uint64)
-    return mixed(mixed(key) + doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return mixed(_class_key(anchor, context).view(np.uint64) + doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    return (_asked_key(*(np.asarray(batch.column(i)) for i in range(3))) for batch in batches if batch.num_rows)
+def _keys(key, columns: int):
+    """The keys of a partition's rows, of their first columns."""
+    return lambda batches: (key(*(np.asarray(batch.column(i)) for i in range(columns))) for batch in batches if batch.num_rows)
 
 
-def _contexts(copies, asked):
+def _contexts(copies, twice, asked):
     """The bytes of the contexts that are asked for (a false alarm is one more true occurrence).
 
     Equal contexts of one text are one row: ``again`` holds how far behind the first the others are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _alone(batches, copies.value):
-            doc, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for first, _, offsets, data in slices(batch.column(2)):
-                text, place, h, context = anchors(offsets, data)
-                a, c = h.view(np.int64), context.view(np.int64)
-                keep = np.flatnonzero(bitmap.lookup(asked.value, _asked_key(a, c, doc[first + text])))
-                keep = keep[np.lexsort((place[keep], c[keep], a[keep], text[keep]))]
-                text, place, a, c = text[keep], place[keep], a[keep], c[keep]
-                new = np.ones(len(keep), bool)
-                new[1:] = (text[1:] != text[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-                at, behind = np.flatnonzero(new), np.flatnonzero(~new)
-                shift = place[behind] - place[at[np.cumsum(new)[behind] - 1]]
-                again = pa.ListArray.from_arrays(pa.array(np.searchsorted(behind, np.r_[at, len(keep)]).astype(np.int32)), pa.array(shift.astype(np.int32)))
-                text, place, a = text[new], place[new], a[new]
-                own = place - offsets[text]
-                lo, hi = np.maximum(place - SIDE, offsets[text]), np.minimum(place + LEAST, offsets[text + 1])
-                raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(doc[first + text]), pa.array(tag[first + text]), pa.array(own.astype(np.int32)), pa.array((place - lo).astype(np.int32)), pa.array([raw[i:j] for i, j in zip(lo, hi)], pa.binary()), again],
-                    names=["anchor", "doc", "tag", "place", "before", "bytes", "again"],
-                )
+        for doc, tag, text, place, a, c, offsets, data in _shared(batches, copies.value, twice.value):
+            keep = np.flatnonzero(bitmap.lookup(asked.value, _asked_key(a, c, doc[text])))
+            keep = keep[np.lexsort((place[keep], c[keep], a[keep], text[keep]))]
+            text, place, a, c = text[keep], place[keep], a[keep], c[keep]
+            new = np.ones(len(keep), bool)
+            new[1:] = (text[1:] != text[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+            at, behind = np.flatnonzero(new), np.flatnonzero(~new)
+            shift = place[behind] - place[at[np.cumsum(new)[behind] - 1]]
+            again = pa.ListArray.from_arrays(pa.array(np.searchsorted(behind, np.r_[at, len(keep)]).astype(np.int32)), pa.array(shift.astype(np.int32)))
+            text, place, a = text[new], place[new], a[new]
+            own = place - offsets[text]
+            lo, hi = np.maximum(place - SIDE, offsets[text]), np.minimum(place + LEAST, offsets[text + 1])
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a), pa.array(doc[text]), pa.array(tag[text]), pa.array(own.astype(np.int32)), pa.array((place - lo).astype(np.int32)), pa.array([raw[i:j] for i, j in zip(lo, hi)], pa.binary()), again],
+                names=["anchor", "doc", "tag", "place", "before", "bytes", "again"],
+            )
 
     return run
 
@@ -193,8 +279,6 @@ class Block:
         col = lambda name: table.column(name).combine_chunks()
         self.anchor, self.doc, self.tag = (np.asarray(col(x)) for x in ("anchor", "doc", "tag"))
         self.start = np.asarray(col("place")).astype(np.int64) - np.asarray(col("before"))  # of the context in its text
-        from sequora.llm.arrow_text import offsets_and_bytes
-
         again = col("again")
         self.listed, self.shifts = np.asarray(again.offsets).astype(np.int64), np.asarray(again.values).astype(np.int64)
         offsets, data = offsets_and_bytes(col("bytes"))
@@ -431,31 +515,27 @@ class Repeats:
         again = cut(again.select("doc", F.hash("text").alias("tag"), "text", F.lit(0).cast("long").alias("h"), F.lit(True).alias("sure")), "copies")
         alone = rows.select("doc", F.hash("text").alias("tag"), "text", "h", F.lit(False).alias("sure"))
         self.texts = alone.unionByName(again).where(F.octet_length("text") >= LEAST).select(*_TEXTS)
-        twice = bitmap.repeated(self.texts, bitmap.bits_for(total // 16), of=_distinct_anchors(self.copies))
-        self.found = cut(self.texts.mapInArrow(_occurrences(self.copies, twice), _OCCURRENCE), "occurrences")
-        classes = self.found.groupBy("anchor", "context").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        self.classes = cut(classes.select("anchor", "context", "first", (F.col("first") < F.col("last")).alias("more")), "classes")
-        per = self.classes.groupBy("anchor").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.max("more").alias("more"), F.count(F.lit(1)).alias("n"))
-        self.anchors = cut(per.where("n > 1 and (low < high or more)").select("anchor", "n"), "anchors")
+        self.twice = bitmap.repeated(self.texts, bitmap.bits_for(total // 16), of=_distinct_anchors(self.copies))
+        parts = self.texts.mapInArrow(_partial_classes(self.copies, self.twice), _PAIR).repartition("anchor").sortWithinPartitions("anchor", "context")
+        self.classes = cut(parts.mapInArrow(_classes, _CLASS), "classes")
 
     def _held(self, need: DataFrame, count: int) -> DataFrame:
         """The contexts of (anchor, context, doc)."""
-        asked = bitmap.present(need, bitmap.bits_for(count), of=_keys)
-        return self.texts.mapInArrow(_contexts(self.copies, asked), _CONTEXT)
+        asked = bitmap.present(need, bitmap.bits_for(count), of=_keys(_asked_key, 3))
+        return self.texts.mapInArrow(_contexts(self.copies, self.twice, asked), _CONTEXT)
 
     def every_context(self) -> DataFrame:
         """Contexts of all members of all classes, of anchors that two documents have."""
         shared = self.classes.groupBy("anchor").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.max("more").alias("more")).where("low < high or more").select("anchor")
-        need = cut(self.found.join(shared.hint("merge"), "anchor").select("anchor", "context", "doc").distinct(), "asked")
+        found = self.texts.mapInArrow(_occurrences(self.copies, self.twice), _OCCURRENCE)
+        need = cut(found.join(shared.hint("merge"), "anchor").select("anchor", "context", "doc").distinct(), "asked")
         return self._held(need, need.count())
 
     def contexts(self) -> tuple[DataFrame, DataFrame]:
         """Contexts of the first document of each class, of anchors with several classes: those for blocks, and those of hot anchors."""
-        # an anchor that a filter lets through by mistake is one more block without a repeat; so no join is needed here
-        kept = self.anchors.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("classes")).first()
-        several = bitmap.present(self.anchors.select("anchor"), bitmap.bits_for(kept.n))
-        held = self._held(self.classes.where(bitmap.probe(several, F.col("anchor"))).select("anchor", "context", F.col("first").alias("doc")), kept.classes or 0)
-        hot = self.anchors.where(F.col("n") > HOT_CLASSES).select("anchor")
+        several = self.classes.where("several").select("anchor", "context", F.col("first").alias("doc"))
+        held = self._held(several, several.count())
+        hot = self.classes.where(F.col("nth") == HOT_CLASSES).select("anchor")
         if not hot.limit(1).count():
             return held, held.limit(0)
         held = cut(held, "contexts")
@@ -464,11 +544,9 @@ class Repeats:
     def spans(self) -> DataFrame:
         """(doc, tag, start, end): bytes to remove, overlapping."""
         first = self.classes.where("more").select("anchor", "context", "first")
-        key = F.xxhash64("anchor", "context")
-        shared = bitmap.present(first.select(key), bitmap.bits_for(first.count()))
-        found = self.found.where("before + behind >= %d" % LEAST).where(bitmap.probe(shared, key))
-        members = found.join(first.repartition(F.col("first")).hint("merge"), ["anchor", "context"]).where("doc > first")
-        whole = members.select("doc", "tag", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("behind")).alias("end"))
+        wanted = bitmap.present(first, bitmap.bits_for(first.count()), of=_keys(_class_key, 2))
+        found = self.texts.mapInArrow(_occurrences(self.copies, self.twice, wanted), _OCCURRENCE)
+        whole = found.join(first.hint("merge"), ["anchor", "context"]).where("doc > first").select("doc", "tag", "start", (F.col("start") + F.col("size")).alias("end"))
         cool, hot = self.contexts()
         sorted_ = cool.repartition("anchor").sortWithinPartitions("anchor")
         spans = whole.unionByName(sorted_.mapInArrow(_block_spans, "doc long, tag int, start int, end int"))
@@ -511,16 +589,32 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _merged(*held)
 
 
+def _packed(copies, hit):
+    """(doc, tag, n, packed): the compressed bytes of the texts (doc, tag, text, h, sure, key) that take part and whose key is hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in _alone(batches, copies.value):
+            batch = batch.filter(pa.array(bitmap.lookup(hit.value, np.asarray(batch.column(5)))))
+            offsets, data = offsets_and_bytes(batch.column(2))
+            raw = data.tobytes()
+            packed = [codec.compress(raw[i:j], asbytes=True) for i, j in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(packed, pa.binary())], names=["doc", "tag", "n", "packed"])
+
+    return run
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text (doc, text, starts, ends), the digests before and after its spans are removed."""
+    """Of each text (doc, n, packed, starts, ends), the digests before and after its spans are removed."""
+    codec = pa.Codec("zstd")
     for batch in batches:
         before, after = [], []
-        for text, starts, ends in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-            data = text.encode()
+        for n, packed, starts, ends in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+            data = codec.decompress(packed, n, asbytes=True)
             kept = b"".join(data[e:s] for e, s in zip([0, *ends], [*starts, len(data)]))
             before.append(hashlib.sha256(data).hexdigest())
             after.append(hashlib.sha256(kept).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.string()), batch.column(2), batch.column(3), pa.array(after, pa.string())], names=["doc", "sha", "starts", "ends", "kept_sha"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.string()), batch.column(3), batch.column(4), pa.array(after, pa.string())], names=["doc", "sha", "starts", "ends", "kept_sha"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -529,8 +623,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     merged = job.spans().repartition("doc", "tag").sortWithinPartitions("doc", "tag", "start")
     spans = cut(merged.mapInArrow(_merge_spans, "doc long, tag int, starts array<long>, ends array<long>"), "spans")
     hit = bitmap.present(spans.select(F.xxhash64("doc")), bitmap.bits_for(spans.count()))
-    takes_part = F.col("sure") | ~bitmap.probe(job.copies, F.col("h"))
-    touched = job.texts.where(bitmap.probe(hit, F.xxhash64("doc")) & takes_part).select("doc", "tag", "text").join(spans.hint("merge"), ["doc", "tag"]).select("doc", "text", "starts", "ends")
+    touched = job.texts.withColumn("key", F.xxhash64("doc")).mapInArrow(_packed(job.copies, hit), "doc long, tag int, n long, packed binary")
+    touched = touched.join(spans.hint("merge"), ["doc", "tag"]).select("doc", "n", "packed", "starts", "ends")
     done = cut(touched.mapInArrow(_apply, "doc long, sha string, starts array<long>, ends array<long>, kept_sha string"), "applied")
     spanned = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
     done = done.select("doc", "sha", spanned.alias("spans"), "kept_sha")

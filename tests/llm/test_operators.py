@@ -294,6 +294,43 @@ def test_maximal_repeats(spark):
     assert any({o.doc for o in r.occurrences} == {1, 2, 3} for r in got)
 
 
+def test_repeats_past_the_filter(spark, monkeypatch):
+    """With a filter that half of the single anchors pass: right results, and no table or shuffle of contexts that holds them."""
+    monkeypatch.setattr(suffix_dedup.bitmap, "MAX_BITS", suffix_dedup.bitmap.CHUNK_BITS)
+    passage = prose(900, 12)
+    texts = [(i, prose(1000 + i, 330) + (" " + passage + " " if i % 10 == 0 else " ") + prose(2000 + i, 60)) for i in range(200)]
+    docs = docs_of(spark, texts)
+    got = suffix_dedup.digest(suffix_dedup.repeated_spans(docs)).collect()
+    assert collections.Counter(tuple(r) for r in got) == brute_spans(texts, 50)
+    job = suffix_dedup.Repeats(docs, "doc_id", "text")
+    seen = collections.Counter(r.anchor for r in job.classes.collect())
+    assert 0 < sum(seen.values()) < 2000 and 0 < job.contexts()[0].count() < 2000
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 7, 1000])
+def test_classes_of_anchors(rows):
+    """Classes from batches of any size: kept are those that two documents have, and those of anchors with several and two documents."""
+    r = random.Random(rows)
+    parts = sorted((r.choice([r.randrange(200), 77]), r.randrange(5), r.randrange(6)) for _ in range(300))
+    cols = [[a for a, _, _ in parts], [c for _, c, _ in parts], [d for _, _, d in parts], [d + (d == 2) for _, _, d in parts]]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "context", "first", "last"])
+    got = [tuple(x.values()) for b in suffix_dedup._classes(whole.slice(i, rows) for i in range(0, 300, rows)) for x in b.to_pylist()]
+    docs, first = collections.defaultdict(set), {}
+    for a, c, lo, hi in zip(*cols):
+        docs[a, c] |= {lo, hi}
+    count = collections.Counter(a for a, _ in docs)
+    want, least = {}, set()
+    for a, c in sorted(docs):
+        first[a] = first.get(a, -1) + 1
+        held = set().union(*(docs[k] for k in docs if k[0] == a))
+        row = (a, c, min(docs[a, c]), len(docs[a, c]) > 1, count[a] > 1, first[a])
+        want[row] = None
+        if len(docs[a, c]) > 1 or (count[a] > 1 and len(held) > 1):
+            least.add(row)
+    assert least <= set(got) <= set(want) and len(got) == len(set(got))
+    assert rows < 1000 or len(got) - len(least) <= 5
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>é</p>"), (2, "http://b/x\r\ny", "<p>é</p>"), (3, None, None), (4, "http://d/", ""), (5, "http://e/", "z\r\n\r\nWARC/1.1" * 5), (5, "http://e/", "z\r\n\r\nWARC/1.1" * 5), (None, "http://n/", "<p>é</p>")], "page_id long, url string, html string")
     index = warc.write(pages)
