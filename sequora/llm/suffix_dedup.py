@@ -123,13 +123,13 @@ def _distinct_anchors(copies):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch], copies: np.ndarray, twice: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of each slice, the anchors that two texts may have: (doc and tag of each text, text, place, anchor, context, offsets, bytes)."""
+def _shared(batches: Iterator[pa.RecordBatch], copies: np.ndarray, among: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each slice, the anchors that a bitmap has: (doc and tag of each text, text, place, anchor, context, offsets, bytes)."""
     for batch in _alone(batches, copies):
         doc, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         for first, end, offsets, data in slices(batch.column(2)):
             text, place, h, context = anchors(offsets, data)
-            keep = np.flatnonzero(bitmap.lookup(twice, h.view(np.int64)))
+            keep = np.flatnonzero(bitmap.lookup(among, h.view(np.int64)))
             yield doc[first:end], tag[first:end], text[keep], place[keep], h[keep].view(np.int64), context[keep].view(np.int64), offsets, data
 
 
@@ -211,11 +211,11 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _OCCURRENCE = "anchor long, context long, doc long, tag int, start int, size int"
 
 
-def _occurrences(copies, twice, wanted=None):
-    """Where the anchors that two texts may have occur, as the spans of their contexts; of the classes ``wanted``, where given."""
+def _occurrences(copies, among, wanted=None):
+    """Where the anchors that a bitmap has occur, as the spans of their contexts; of the classes ``wanted``, where given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, tag, text, place, a, c, offsets, _ in _shared(batches, copies.value, twice.value):
+        for doc, tag, text, place, a, c, offsets, _ in _shared(batches, copies.value, among.value):
             if wanted is not None:
                 keep = np.flatnonzero(bitmap.lookup(wanted.value, _class_key(a, c)))
                 text, place, a, c = text[keep], place[keep], a[keep], c[keep]
@@ -243,14 +243,14 @@ def _keys(key, columns: int):
     return lambda batches: (key(*(np.asarray(batch.column(i)) for i in range(columns))) for batch in batches if batch.num_rows)
 
 
-def _contexts(copies, twice, asked):
+def _contexts(copies, among, asked):
     """The bytes of the contexts that are asked for (a false alarm is one more true occurrence).
 
     Equal contexts of one text are one row: ``again`` holds how far behind the first the others are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, tag, text, place, a, c, offsets, data in _shared(batches, copies.value, twice.value):
+        for doc, tag, text, place, a, c, offsets, data in _shared(batches, copies.value, among.value):
             keep = np.flatnonzero(bitmap.lookup(asked.value, _asked_key(a, c, doc[text])))
             keep = keep[np.lexsort((place[keep], c[keep], a[keep], text[keep]))]
             text, place, a, c = text[keep], place[keep], a[keep], c[keep]
@@ -522,7 +522,9 @@ class Repeats:
     def _held(self, need: DataFrame, count: int) -> DataFrame:
         """The contexts of (anchor, context, doc)."""
         asked = bitmap.present(need, bitmap.bits_for(count), of=_keys(_asked_key, 3))
-        return self.texts.mapInArrow(_contexts(self.copies, self.twice, asked), _CONTEXT)
+        # the anchors asked for are fewer than those that two texts may have: fewer false alarms
+        few = bitmap.present(need.select("anchor"), bitmap.bits_for(count))
+        return self.texts.mapInArrow(_contexts(self.copies, few, asked), _CONTEXT)
 
     def every_context(self) -> DataFrame:
         """Contexts of all members of all classes, of anchors that two documents have."""
@@ -545,7 +547,8 @@ class Repeats:
         """(doc, tag, start, end): bytes to remove, overlapping."""
         first = self.classes.where("more").select("anchor", "context", "first")
         wanted = bitmap.present(first, bitmap.bits_for(first.count()), of=_keys(_class_key, 2))
-        found = self.texts.mapInArrow(_occurrences(self.copies, self.twice, wanted), _OCCURRENCE)
+        few = bitmap.present(first.select("anchor"), bitmap.bits_for(first.count()))
+        found = self.texts.mapInArrow(_occurrences(self.copies, few, wanted), _OCCURRENCE)
         whole = found.join(first.hint("merge"), ["anchor", "context"]).where("doc > first").select("doc", "tag", "start", (F.col("start") + F.col("size")).alias("end"))
         cool, hot = self.contexts()
         sorted_ = cool.repartition("anchor").sortWithinPartitions("anchor")
