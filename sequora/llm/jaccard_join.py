@@ -15,6 +15,9 @@ rounds: first every group of a shingle's list meets the list's first group only
 the links found join classes into components; then all candidate pairs that lie in different components are
 verified. Pairs inside a component are spared, none across components is: no cap, no sample, the components are exact.
 
+Long plans are cut in parts: after each of its shuffles Spark plans and logs what is left of a plan anew, so what the driver needs
+grows with the square of a plan's length. A round without candidates ends there.
+
 Null texts count as empty; documents without words are in no link and their own component. Component ids are the
 smallest id in a component (a null id is smaller than any other). Rows with equal ids stay apart unless their sets link.
 Empty tables give empty results. A text of any length is one set, whole. Columns other than id and text are not read, and
@@ -126,6 +129,11 @@ def _can_link(percent: int, n: Column, m: Column, i: Column, j: Column) -> Colum
     return (F.least(n, m) * 100 >= percent * F.greatest(n, m)) & (F.least(n - i, m - j) >= need)
 
 
+def _pairs(pairs: DataFrame) -> DataFrame:
+    """Each pair (a, b) once, the smaller first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 class _Join:
     def __init__(self, docs: DataFrame, text: Column, width: int, percent: int):
         self.texts, self.width, self.percent = docs.select(F.coalesce(text, F.lit("")).alias("text")), width, percent
@@ -135,12 +143,11 @@ class _Join:
         one, other = (self.counts.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}")) for x in "ab")
         both = pairs.join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "n_a", "n_b", "c_a", "c_b")
         pairs = cut(both.mapInArrow(_may_link(self.percent), "a long, b long"), f"pairs-{name}")
+        if pairs.isEmpty():
+            return pairs
         nodes = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
         keys = cut(classes.join(nodes, "cid").select("cid", "n", "set_hash"), f"keys-{name}")
-        count = keys.count()
-        if not count:
-            return pairs
-        wanted = bitmap.present(keys.select("set_hash"), bitmap.bits_for(count))
+        wanted = bitmap.present(keys.select("set_hash"), bitmap.bits_for(keys.count()))
         found = self.texts.mapInArrow(_wanted_sets(wanted, self.width), "set_hash long, n long, members array<long>")
         sets = cut(found.join(keys, ["set_hash", "n"]).select("cid", "n", "members").dropDuplicates(["cid"]), f"sets-{name}")
         left = sets.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("m_a"))
@@ -175,13 +182,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = entries.groupBy("token").agg(F.min(F.struct("place", "gid", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "head.*")
     heads = heads.toDF("token", "h_place", "h_gid", "h_n").repartition(F.col("h_gid"))
     star = entries.join(heads.hint("merge"), "token").where((F.col("gid") != F.col("h_gid")) & _can_link(percent, F.col("n"), F.col("h_n"), F.col("place"), F.col("h_place")))
-    star = star.select(F.least("gid", "h_gid").alias("g"), F.greatest("gid", "h_gid").alias("h")).distinct()
+    star = cut(star.select(F.least("gid", "h_gid").alias("g"), F.greatest("gid", "h_gid").alias("h")).distinct(), "star")
     # a group's first class stands for it: it meets all classes of the other group, and those of its own
     other = members.select(F.col("gid").alias("h"), F.col("cid").alias("b"))
     mine = members.select(F.col("gid").alias("g"), F.col("cid").alias("a"))
     met = star.join(other.hint("merge"), "h").select(F.col("g").alias("a"), "b").unionByName(star.join(mine.hint("merge"), "g").select("a", F.col("h").alias("b")))
-    met = met.unionByName(members.where("gid != cid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))).distinct()
-    met = cut(met, "met")
+    met = met.unionByName(members.where("gid != cid").select(F.col("gid").alias("a"), F.col("cid").alias("b")))
+    met = cut(_pairs(met), "met")
     links = cut(job.verified(met, classes, "star"), "links")
 
     # round two: candidate pairs across components
@@ -197,10 +204,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     within = labelled.join(pure.where("low != high").select("gid"), "gid").select(F.col("gid").alias("g"), F.col("gid").alias("h")).distinct()
     a = labelled.select(F.col("gid").alias("g"), F.col("cid").alias("a"), F.col("label").alias("la"))
     b = labelled.select(F.col("gid").alias("h"), F.col("cid").alias("b"), F.col("label").alias("lb"))
-    rest = across.unionByName(within).join(a.hint("merge"), "g").join(b.hint("merge"), "h").where("la != lb and (g != h or a < b)").select("a", "b").distinct().join(met, ["a", "b"], "left_anti").join(met.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = cut(job.verified(rest, classes, "rest"), "links")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
+    near = cut(across.unionByName(within), "near")
+    if not near.isEmpty():
+        rest = near.join(a.hint("merge"), "g").join(b.hint("merge"), "h").where("la != lb and (g != h or a < b)")
+        rest = cut(_pairs(rest).join(met, ["a", "b"], "left_anti"), "rest")
+        more = rest if rest.isEmpty() else cut(job.verified(rest, classes, "rest"), "links")
+        if not more.isEmpty():  # a label stands for the links found before
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
     # of each class its component; the first document of a component names it
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("n", "set_hash", F.coalesce("label", "cid").alias("label"), "first")
@@ -222,7 +232,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marked = docs.withColumn(maybe, bitmap.probe(hit, F.xxhash64(at)))
     asked = marked.where(F.col(maybe)).withColumn(said, at).withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     out = marked.where(~F.col(maybe)).unionByName(asked.join(lost, [said, hashed], "left_anti").drop(said, hashed))
-    if lost.where("one").limit(1).count():  # rows repeated with id and text, of which one stays
+    if not lost.where("one").isEmpty():  # rows repeated with id and text, of which one stays
         again = asked.join(lost.where("one"), [said, hashed], "left_semi").dropDuplicates([said, hashed])
         out = out.unionByName(again.drop(said, hashed))
     return out.drop(maybe)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sequora.llm import bpe, decontaminate, exact_dedup, jaccard_join, licenses, pii, quality, shingles, suffix_dedup, toxicity, warc
+from sequora.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, maybe string, sha string, row string"
@@ -139,6 +140,29 @@ def test_jaccard_histogram_bounds_the_overlap():
         assert jaccard_join.overlap_bound(jaccard_join.histogram(a), jaccard_join.histogram(b)) >= len(np.intersect1d(a, b))
 
 
+def _jobs(spark, group, run):
+    """What ``run`` returns, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_in_few_jobs(spark):
+    """Chains, stars, pairs, links to oneself and links met twice; a round takes few jobs, as each costs the driver memory."""
+    links = [(i, i + 1) for i in range(100, 130)] + [(500 - i, 501) for i in range(20)] + [(7, 3), (3, 7), (9, 9), (2**40, -5)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got, n = _jobs(spark, "components", lambda: {r.node: r.label for r in components(df).collect()})
+    want = {i: i for a, b in links if a != b for i in (a, b)}
+    for _ in want:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    assert n <= 48, n
+
+
 def test_jaccard_cluster_without_a_centre(spark):
     """A chain of near copies, each close to the next only, is one component."""
     base = prose(9, 200).split()
