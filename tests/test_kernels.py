@@ -584,6 +584,27 @@ def test_distances_in_blocks_and_their_sums(spark, monkeypatch):
     assert v.where(~pairs.rounded(F.col("x")).eqNullSafe(F.round("x", 6) + F.lit(0.0))).count() == 0
 
 
+def test_nearest_of_every_recording_in_tiles(spark, run, events, monkeypatch):
+    from sequora.operators import pairs
+
+    assert set(run("nn_ratio").a) == set(events.rec)
+    monkeypatch.setattr(pairs, "MINE", 4)
+    monkeypatch.setattr(pairs, "MET", 6)
+    monkeypatch.setattr(pairs, "HELD", 2)
+    x = np.random.default_rng(1).integers(0, 5, (50, 4)) / 4
+    rows = spark.createDataFrame([(3 * i, v.tolist(), float(i)) for i, v in enumerate(x)], "rec long, row array<double>, w double")
+    want = np.abs(x[:, None] - x[None]).sum(axis=2) / 2
+
+    def make(d, a, b):
+        assert d.shape == (len(a["rec"]), len(b["rec"]))
+        return np.where(a["rec"][:, None] == b["rec"], np.inf, d).min(axis=1), d.max(axis=1), (d * a["w"][:, None] * b["w"]).sum(axis=1)
+
+    got = pairs.over_all(rows, 2, make, {"near": "min", "far": "max", "sums": "sum"}).orderBy("a").toPandas()
+    assert got.a.tolist() == [3 * i for i in range(50)]
+    w = np.arange(50.0)
+    assert np.allclose(got.near, (want + np.diag(np.full(50, np.inf))).min(axis=1)) and np.allclose(got.far, want.max(axis=1)) and np.allclose(got.sums, w * (want @ w))
+
+
 def test_lags_with_breaks(spark):
     seq = spark.createDataFrame([(1, t, float(v), b) for t, (v, b) in enumerate([(1, False), (2, False), (4, True), (8, False), (16, False)])], "rec long, t long, x double, b boolean")
     rows = motion.lagged(seq, ["x"], [1, -1], "b").collect()
