@@ -566,6 +566,13 @@ def test_double_centring_and_distances_use_every_recording(run, events):
     assert np.allclose(whole, whole.T) and np.abs(whole.sum(axis=0)).max() < 1e-4
 
 
+def test_diffusion_kernel_of_every_recording(run, events):
+    k = run("diffusion_kernel")
+    whole = k.pivot(index="a", columns="b", values="k")
+    assert set(whole.index) == set(events.rec) == set(whole.columns) and len(k) == events.rec.nunique() ** 2
+    assert np.allclose(whole.sum(axis=1), 1, atol=1e-4)
+
+
 def test_distances_in_blocks_and_their_sums(spark, monkeypatch):
     from pyspark.sql import functions as F
 
